@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lumenflow.session import ship_package
+
+from . import decontaminate as decontam
 from . import exact_dedup as exact
+from . import lang_id, minhash, pii, suffix_dedup
+from . import quality as quality_
+from . import sentencepiece_codec as pieces
 from . import token_counts as tokens
+from .common import fold
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -27,5 +36,42 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_documents(spark, sf_dir), tokens.new_cache(spark), _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_token_counts": op2_token_counts}
-SQL = {"op1_exact_dedup": exact.SQL}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(pii.find_pii(_documents(spark, sf_dir)))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = lang_id.train_language(docs.where(fold("doc_id", 3) != 1))
+    return lang_id.identify_language(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir), k=4, percent=80)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality_.train_quality(docs, quality_labels(spark, sf_dir))
+    return quality_.score_quality(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learnt from."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0).select("doc_id", F.col("quality").cast("int").alias("quality"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode_digest(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_digest(suffix_dedup.remove_repeats(_documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_pii, op4_language_id, op5_minhash_near_dedup, op7_quality, op8_decontaminate, op9_sentencepiece, op10_suffix_array_dedup)}
+SQL = {"op1_exact_dedup": exact.SQL, "op3_pii": pii.SQL}
