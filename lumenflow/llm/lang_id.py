@@ -148,8 +148,9 @@ def _predict(model: LanguageModel | None, least_lead: float):
         for b in batches:
             data, offs = raw(b.column(1))
             lang, score, unsure = [], [], []
-            for i, j in steps(offs, 1 << 18):
-                for i, j in ((k, min(k + 64, j)) for k in range(i, j, 64)):
+            for first, end in steps(offs, 1 << 18):
+                for i in range(first, end, 64):
+                    j = min(i + 64, end)
                     part = offs[i : j + 1]
                     bytes_ = data[part[0] : part[-1]]
                     ascii_ = np.add.reduceat(np.r_[_LETTER[bytes_], False].astype(np.int32), np.minimum(part[:-1] - part[0], len(bytes_))) * (np.diff(part) > 0)
