@@ -12,6 +12,7 @@ label, of which at most `text_bytes` each are used. Scoring covers whole texts.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -109,7 +110,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = 3000, tex
         except zstd.ZstdError:  # too little text for training: the text itself is the dictionary
             return b"".join(parts)[-dict_bytes:] or b"none"
 
-    model = QualityModel(dictionary(half[1][::2]), dictionary(half[0][::2]), ())
+    # A line that several documents have would be learnt by heart, for the label of whichever side has more of it.
+    seen = Counter(line for texts in half.values() for t in texts for line in set(t.split(b"\n")))
+    own = {q: [b"\n".join(x for x in t.split(b"\n") if seen[x] == 1) for t in texts[::2]] for q, texts in half.items()}
+    model = QualityModel(dictionary(own[1]), dictionary(own[0]), ())
     x = np.vstack([_expanded(model.features(half[q][1::2])) for q in (0, 1)])
     y = np.concatenate([np.full(len(half[q][1::2]), float(q)) for q in (0, 1)])
     weight = np.where(y == 1, counts[1] / len(half[1][1::2]), counts[0] / len(half[0][1::2])) / sum(counts.values()) * len(y)
