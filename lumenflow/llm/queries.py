@@ -9,7 +9,7 @@ from lumenflow.session import ship_package
 
 from . import decontaminate as decontam
 from . import exact_dedup as exact
-from . import lang_id, minhash, pii, suffix_dedup
+from . import lang_id, lm_scoring, minhash, pii, suffix_dedup
 from . import quality as quality_
 from . import sentencepiece_codec as pieces
 from . import token_counts as tokens
@@ -50,6 +50,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), k=4, percent=80)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score_texts(_documents(spark, sf_dir), train=fold("doc_id", 5) != 1)
+    return scored.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = quality_.train_quality(docs, quality_labels(spark, sf_dir))
@@ -73,5 +78,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats_digest(suffix_dedup.remove_repeats(_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_pii, op4_language_id, op5_minhash_near_dedup, op7_quality, op8_decontaminate, op9_sentencepiece, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_pii, op4_language_id, op5_minhash_near_dedup, op6_lm_scoring, op7_quality, op8_decontaminate, op9_sentencepiece, op10_suffix_array_dedup)}
 SQL = {"op1_exact_dedup": exact.SQL, "op3_pii": pii.SQL}

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK_BYTES, WIRE, block_count, grouped, in_blocks, is_in, joined, number, wire
 from .common import hash_spans, prefix_sums, raw, steps
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1  # grams in a window
 SEPARATOR = 255  # never a byte of UTF-8
-#: Text bytes of a block, and documents beyond which an anchor's windows go singly.
-BLOCK_BYTES, COMMON = 14_000_000, 2000
-WIRE = "key int, block int, a binary, b binary, c binary, d binary"
+#: Documents beyond which an anchor's windows go singly.
+COMMON = 2000
 
 
 # --- two-stage suffix sorting ----------------------------------------------
@@ -109,15 +109,15 @@ def classes_of_windows(cells: list[bytes], docs: np.ndarray) -> list[np.ndarray]
     owner = np.repeat(np.arange(len(cells)), n_windows)
     first = np.cumsum(n_windows) - n_windows
     place = starts[owner] + np.arange(len(owner)) - first[owner]  # of each window in t
-    number = np.full(len(t), -1, np.int64)
-    number[place] = np.arange(len(place))
+    window = np.full(len(t), -1, np.int64)
+    window[place] = np.arange(len(place))
     sa, word = two_stage_sort(t)
-    sa = sa[number[sa] >= 0]
+    sa = sa[window[sa] >= 0]
     equal = np.ones(len(sa) - 1, bool)
     for off in (*range(0, LENGTH - 8, 8), LENGTH - 8):  # adjacent common prefix of LENGTH or more
         equal &= word[sa[1:] + off] == word[sa[:-1] + off]
     begins = np.flatnonzero(np.append(True, ~equal))
-    w = number[sa]
+    w = window[sa]
     least = np.minimum.reduceat(docs[owner[w]], begins)
     found = np.empty(len(owner), np.int64)
     found[w] = np.repeat(least, np.diff(np.append(begins, len(w))))
@@ -166,34 +166,6 @@ class Block:
             yield sums, base, value[k], valid[k], valid[np.append(k[1:], len(valid)) - 1], row[valid[k]]
 
 
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal keys together, and where each group begins in it."""
-    o = np.lexsort(keys[::-1])
-    new = np.ones(len(o), bool)
-    new[1:] = np.any([k[o][1:] != k[o][:-1] for k in keys], axis=0)
-    return o, np.flatnonzero(new)
-
-
-def _is_in(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    if not len(sorted_):
-        return np.zeros(len(x), bool)
-    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
-
-
-def _wire(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [()] * 6
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "block", "a", "b", "c", "d"])
-
-
-def _block_id(key: tuple[pa.Scalar, ...]) -> int:
-    return key[0].as_py()
-
-
-def _cat(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
-
-
 def _anchors(buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block = Block(table)
@@ -201,10 +173,10 @@ def _anchors(buckets: int):
         for _, _, value, _, _, row in block.runs():
             anchors.append(value)
             ids.append(block.ids[row])
-        fp, ids = _cat(anchors), _cat(ids, np.int64)
+        fp, ids = joined(anchors), joined(ids, np.int64)
         if not len(fp):
-            return _wire([])
-        o, _ = _groups(fp, ids)
+            return wire([])
+        o, _ = grouped(fp, ids)
         fp, ids = fp[o], ids[o]
         once = np.append(True, (fp[1:] != fp[:-1]) | (ids[1:] != ids[:-1]))
         fp = fp[once]
@@ -219,8 +191,8 @@ def _anchors(buckets: int):
         for k in np.unique(where):
             f, d = fp[cut[k] : cut[k + 1]], docs[cut[k] : cut[k + 1]]
             many = d > 1
-            rows.append((int(k), _block_id(key), f[~many].tobytes(), f[many].tobytes(), d[many].tobytes(), None))
-        return _wire(rows)
+            rows.append((int(k), number(key), f[~many].tobytes(), f[many].tobytes(), d[many].tobytes(), None))
+        return wire(rows)
 
     return run
 
@@ -233,8 +205,8 @@ def _shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         fps += [one, many]
         docs += [np.ones(len(one), np.int64), np.frombuffer(c, np.uint32).astype(np.int64)]
         blocks.append(np.full(len(one) + len(many), block, np.int32))
-    fp, n, block = _cat(fps), _cat(docs, np.int64), _cat(blocks, np.int32)
-    o, begins = _groups(fp)
+    fp, n, block = joined(fps), joined(docs, np.int64), joined(blocks, np.int32)
+    o, begins = grouped(fp)
     total = np.empty(len(fp), np.int64)
     total[o] = np.repeat(np.add.reduceat(n[o], begins), np.diff(np.append(begins, len(o))))
     keep = total > 1
@@ -245,31 +217,31 @@ def _shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     for k in np.unique(block):
         s = slice(*np.searchsorted(block, [k, k + 1]))
         common = total[s] > COMMON
-        rows.append((_block_id(key), int(k), fp[s][~common].tobytes(), fp[s][common].tobytes(), None, None))
-    return _wire(rows)
+        rows.append((number(key), int(k), fp[s][~common].tobytes(), fp[s][common].tobytes(), None, None))
+    return wire(rows)
 
 
 def _cells(buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
         block = Block(table)
-        shared = np.sort(_cat([np.frombuffer(x, np.uint64) for x in told.column("a").to_pylist()]))
-        common = np.sort(_cat([np.frombuffer(x, np.uint64) for x in told.column("b").to_pylist()]))
+        shared = np.sort(joined([np.frombuffer(x, np.uint64) for x in told.column("a").to_pylist()]))
+        common = np.sort(joined([np.frombuffer(x, np.uint64) for x in told.column("b").to_pylist()]))
         if not len(shared) and not len(common):
-            return _wire([])
+            return wire([])
         parts = []
         for sums, base, value, p0, p1, row in block.runs():
-            yes = _is_in(value, shared)
+            yes = is_in(value, shared)
             parts.append((hash_spans(sums, p0[yes], p1[yes] + LENGTH), value[yes], base + p0[yes], p1[yes] - p0[yes] + LENGTH, block.ids[row[yes]], np.zeros(yes.sum(), bool)))
-            yes = _is_in(value, common)
+            yes = is_in(value, common)
             if yes.any():
                 n = (p1 - p0 + 1)[yes]
                 own = np.repeat(np.flatnonzero(yes), n)
                 p = p0[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
                 parts.append((hash_spans(sums, p, p + LENGTH), value[own], base + p, np.full(len(p), LENGTH), block.ids[row[own]], np.ones(len(p), bool)))
         if not parts:
-            return _wire([])
+            return wire([])
         h, fp, at, n, ids, single = (np.concatenate(x) for x in zip(*parts, strict=True))
-        o, begins = _groups(single, h)
+        o, begins = grouped(single, h)
         low, high = np.minimum.reduceat(ids[o], begins), np.maximum.reduceat(ids[o], begins)
         first = o[begins]
         h, fp, at, n, single = h[first], fp[first], at[first], n[first], single[first]
@@ -282,8 +254,8 @@ def _cells(buckets: int):
             s = o[cut[k] : cut[k + 1]]
             text = b"".join(data[a : a + m].tobytes() for a, m in zip(at[s].tolist(), n[s].tolist(), strict=True))
             head = np.array([k % 2], np.uint64)
-            rows.append((int(k // 2), _block_id(key), np.concatenate([head, h[s]]).tobytes(), text, np.concatenate([n[s].astype(np.int64), low[s], high[s]]).tobytes(), fp[s].tobytes() if k % 2 else None))
-        return _wire(rows)
+            rows.append((int(k // 2), number(key), np.concatenate([head, h[s]]).tobytes(), text, np.concatenate([n[s].astype(np.int64), low[s], high[s]]).tobytes(), fp[s].tobytes() if k % 2 else None))
+        return wire(rows)
 
     return run
 
@@ -296,31 +268,31 @@ def _sorted(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         h = np.frombuffer(a, np.uint64)
         n, lo, hi = np.frombuffer(c, np.int64).reshape(3, -1)
         ends = np.cumsum(n)
-        number = np.empty(len(n), np.int64)
+        which = np.empty(len(n), np.int64)
         for i, (e, m, doc) in enumerate(zip(ends.tolist(), n.tolist(), lo.tolist(), strict=True)):
-            k = number[i] = distinct.setdefault(text[e - m : e], len(distinct))
+            k = which[i] = distinct.setdefault(text[e - m : e], len(distinct))
             if k == len(low):
                 low.append(doc)
             elif doc < low[k]:
                 low[k] = doc
-        sent.append((block, bool(h[0]), h[1:], hi, number, d))
+        sent.append((block, bool(h[0]), h[1:], hi, which, d))
     found = classes_of_windows(list(distinct), np.array(low, np.int64))
     rows = []
     least = np.array([x.min() for x in found])
-    for block, single, h, hi, number, d in sent:
-        yes = np.flatnonzero(hi > least[number])  # otherwise none of the block's documents has anything to remove there
+    for block, single, h, hi, which, d in sent:
+        yes = np.flatnonzero(hi > least[which])  # otherwise none of the block's documents has anything to remove there
         if not len(yes):
             continue
         lens, docs, runs = [], [], []
-        for k in number[yes]:
+        for k in which[yes]:
             f = found[k]
             cut = np.append(np.flatnonzero(np.append(True, f[1:] != f[:-1])), len(f))
             runs.append(len(cut) - 1)
             lens.append(np.diff(cut))
             docs.append(f[cut[:-1]])
         head = np.array([single], np.uint64)
-        rows.append((_block_id(key), block, np.concatenate([head, h[yes]]).tobytes(), np.concatenate([np.array(runs), *lens]).astype(np.int32).tobytes(), np.concatenate(docs).tobytes(), np.frombuffer(d, np.uint64)[yes].tobytes() if single else None))
-    return _wire(rows)
+        rows.append((number(key), block, np.concatenate([head, h[yes]]).tobytes(), np.concatenate([np.array(runs), *lens]).astype(np.int32).tobytes(), np.concatenate(docs).tobytes(), np.frombuffer(d, np.uint64)[yes].tobytes() if single else None))
+    return wire(rows)
 
 
 class _Told:
@@ -338,8 +310,8 @@ class _Told:
             docs[single].append(np.frombuffer(c, np.int64))
             if single:
                 self.common.append(np.frombuffer(d, np.uint64))
-        self.common = np.unique(_cat(self.common))
-        self.cells, self.windows = ((_cat(hashes[s]), _cat(runs[s], np.int32), _cat(lens[s], np.int32), _cat(docs[s], np.int64)) for s in (False, True))
+        self.common = np.unique(joined(self.common))
+        self.cells, self.windows = ((joined(hashes[s]), joined(runs[s], np.int32), joined(lens[s], np.int32), joined(docs[s], np.int64)) for s in (False, True))
 
     @staticmethod
     def look(h: np.ndarray, table: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
@@ -370,7 +342,7 @@ def _removed(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.
             start = base + p0[i[yes]] + off[yes]
             np.add.at(step, start, 1)
             np.add.at(step, start + n[yes] - 1 + LENGTH, -1)
-            common = _is_in(value, known.common)
+            common = is_in(value, known.common)
             if common.any():
                 n = (p1 - p0 + 1)[common]
                 own = np.repeat(np.flatnonzero(common), n)
@@ -399,10 +371,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(64, -(-size // block_bytes))
-    # Rows without an id have no strings to share and may lie anywhere.
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("int"))
+    blocks = block_count(rows, block_bytes)
+    rows = in_blocks(rows, blocks)
     own = rows.groupBy("block")
     anchors = own.applyInArrow(_anchors(blocks), WIRE)
     shared = anchors.groupBy("key").applyInArrow(_shared, WIRE)
