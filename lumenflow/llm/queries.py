@@ -21,7 +21,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -33,7 +33,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Begins with an empty cache, so that each run does the whole work."""
-    return tokens.token_counts(_documents(spark, sf_dir), tokens.new_cache(spark), _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"))
+    return tokens.token_counts(_documents(spark, sf_dir), tokens.new_cache(spark), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_decode_digest(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+    return pieces.encode_decode_digest(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
