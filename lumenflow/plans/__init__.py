@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("catalogue", "streams")
+MODULES = ("catalogue", "streams", "kernels")
 
 
 def load_all() -> None:
