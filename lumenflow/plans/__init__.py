@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("catalogue", "streams", "kernels")
+MODULES = ("catalogue", "streams", "kernels", "scalars")
 
 
 def load_all() -> None:
