@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
 
 
 def total(a: Column) -> Column:
