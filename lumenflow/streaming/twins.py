@@ -113,4 +113,4 @@ class KeepChanged(StatefulProcessor):
 
 def stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
     """A stateful operator over each key; needs the RocksDB state store."""
-    return df.groupBy(F.col(key).alias("key")).transformWithStateInPandas(processor, schema, "append", "none")
+    return df.withColumn("key", F.col(key)).groupBy("key").transformWithStateInPandas(processor, schema, "append", "none")
