@@ -1,0 +1,328 @@
+"""Each operator against plain versions, libraries, round trips or held-out accuracy, and on awkward tables."""
+
+import hashlib
+import itertools
+import math
+import random
+import zlib
+from collections import Counter
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumenflow.llm import blocks, common, decontaminate, exact_dedup, graph, lang_id, lm_scoring, minhash, pii, quality, queries, sentencepiece_codec, suffix_dedup, token_counts
+
+SCHEMA = "doc_id long, text string"
+JSON, RANKS, PIECES = (queries.vocabulary(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
+AWKWARD = ["", " ", "a", "the the the", "é日本 😀", "x" * 3000, "one two three\nfour  five", "<|endoftext|> end", "▁ mark", None]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def awkward(spark):
+    """Nulls in any column, repeated rows, ties and columns whose names clash with the operators' own."""
+    rows = [(i, t) for i, t in enumerate(AWKWARD)] + [(3, AWKWARD[3])] + [(None, "no id"), (None, None)]
+    return frame(spark, rows).withColumns({"key": F.lit(1), "block": F.lit(None).cast("int"), "a": F.lit("a"), "rep": F.lit(2), "score": F.lit(0.5), "sig": F.lit(None).cast("string"), "salt": F.lit(9), "train": F.lit(True), "norm": F.lit("z")})
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    good = [(i, f"{a} {b} quiet words of plain prose number {i} flow on and on here") for i, (a, b) in enumerate(itertools.product("abcdefghij", repeat=2))]
+    bad = [(1000 + i, f"BUY!! NOW!! {i} | CLICK!! | {i * 7} !!! ###") for i in range(100)]
+    docs = frame(spark, good + bad)
+    labels = docs.select("doc_id", (F.col("doc_id") < 1000).cast("int").alias("quality"))
+    return quality.train_quality(docs, labels)
+
+
+def operators(spark, model):
+    """Each operator as a function of a table."""
+    bench = spark.createDataFrame([(1, "eight nine ten eleven twelve thirteen fourteen fifteen sixteen")], "item_id long, text string")
+    lang = lang_id.train_language(spark.createDataFrame([("en", "the words of this"), ("de", "die wörter und das")], "lang string, text string"))
+    return {
+        "exact": exact_dedup.exact_dedup,
+        "tokens": lambda d: token_counts.token_counts(d, token_counts.new_cache(spark), JSON, RANKS),
+        "pii": lambda d: pii.pii_digest(pii.find_pii(d)),
+        "language": lambda d: lang_id.identify_language(d, lang),
+        "near": minhash.near_duplicates,
+        "lm": lambda d: lm_scoring.score_texts(d, common.fold("doc_id", 5) != 1),
+        "quality": lambda d: quality.score_quality(d, model),
+        "leaks": lambda d: decontaminate.contaminated(d, bench),
+        "pieces": lambda d: sentencepiece_codec.encode_decode_digest(d, PIECES),
+        "repeats": lambda d: suffix_dedup.repeats_digest(suffix_dedup.remove_repeats(d)),
+    }
+
+
+NAMES = ["exact", "tokens", "pii", "language", "near", "lm", "quality", "leaks", "pieces", "repeats"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_awkward_and_empty_tables(spark, model, name):
+    op = operators(spark, model)[name]
+    docs = awkward(spark)
+    n = op(docs).count()
+    assert n == {"leaks": 0, "near": docs.where("doc_id IS NOT NULL").count()}.get(name, docs.count())
+    assert op(frame(spark, [])).count() == 0
+
+
+# 1 ------------------------------------------------------------------------
+
+
+def test_exact_dedup(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["Same", "sAME", "other", "", None, "É", "é"])) for i in range(200)]
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, rows), salts=7).collect()}
+    norm = {i: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "") for i, t in rows}
+    for i, t in norm.items():
+        same = [j for j, u in norm.items() if u == t]
+        r = got[i]
+        assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (max(same), len(same), i == max(same), hashlib.sha256(t.encode()).hexdigest())
+    kept = exact_dedup.exact_dedup_filter(frame(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.kept)
+
+
+def test_exact_dedup_plan_is_native(spark):
+    plan = exact_dedup.content_sort(frame(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "rangepartitioning" in plan and plan.count("Exchange") == 1
+
+
+# 2 ------------------------------------------------------------------------
+
+
+def test_token_counts_and_cache(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    rng = random.Random(2)
+    chars = [chr(c) for c in (*range(9, 14), *range(28, 256), 0x2028, 0x3000, 0x65E5, 0x1F600)]
+    rows = [(i, "".join(rng.choice(chars) for _ in range(rng.randrange(60)))) for i in range(300)]
+    rows += [(300 + i, x) for i, x in enumerate(AWKWARD)]
+    cache = token_counts.new_cache(spark)
+    want = {i: len(t.encode(x or "", add_special_tokens=False)) for i, x in rows}
+    for part in (rows[:200], rows):
+        got = token_counts.token_counts(frame(spark, part), cache, JSON, RANKS).collect()
+        assert {r.doc_id: r.n_tokens for r in got} == {i: want[i] for i, _ in part}
+        assert all(r.n_bytes == len((dict(rows)[r.doc_id] or "").encode()) for r in got)
+    stored = spark.read.parquet(f"{cache}/*")
+    assert stored.count() == stored.select("digest").distinct().count() == len({x or "" for _, x in rows})
+    assert spark.read.parquet(f"{cache}/000001").count() == len({x or "" for _, x in rows}) - len({x or "" for _, x in rows[:200]})
+
+
+# 3 ------------------------------------------------------------------------
+
+
+def test_pii(spark):
+    card = "4111 1111 1111 1111"
+    cases = [
+        "mail a.b@c.de_x@y.zz now", "no@dot a@b@c.d", "1.2.3.4.5.6.7.8 and 999.1.1.1 and 0255.1.1.1", f"card {card}, {card[:-1]}2", "call +1 (234) 567-8901 or +12", "é😀 x@y.co",
+        "iban DE89 3704 0044 0532 0130 00 x", "DE88 3704 0044 0532 0130 00", "ssn 123-45-6789", "123-45-6789", "1" * 20000, "a" * 20000 + "@", "1 " * 9000, "a.b" * 5000 + "@x" + ".y" * 5000,
+    ]
+    got = {r.doc_id: r.spans for r in pii.pii_digest(pii.find_pii(frame(spark, list(enumerate(cases))))).collect()}
+    want = ["email:5:11,email:11:17", "email:9:14", "ip:0:7,ip:8:15,ip:34:44", "card:5:24", "phone:5:22", "email:5:11", "iban:5:32", "", "ssn:4:15", "", "", "", "", "email:0:25002"]
+    want[1] = "email:11:16"
+    assert [got[i] for i in range(len(cases))] == want
+    clean = {r.doc_id: r.text for r in pii.redact(frame(spark, list(enumerate(cases[:6])))).collect()}
+    assert clean[5] == "é😀 [redacted]" and "4111" not in clean[3][:20]
+
+
+# 4 ------------------------------------------------------------------------
+
+
+def test_language_held_out(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    out = queries.op4_language_id(spark, data).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in out) >= 0.95 * len(out)
+    assert all(0 <= r.score <= 1 for r in out)
+    code = lang_id.codewords(9)
+    assert min((code[i] != code[j]).sum() for i in range(9) for j in range(i)) >= 4
+    none = lang_id.identify_language(frame(spark, [(1, "123 !?"), (2, None), (3, "日本")]), None).collect()
+    assert [r.lang_pred for r in none] == ["und"] * 3
+
+
+# 5 ------------------------------------------------------------------------
+
+
+def near_rows(seed=3):
+    """Groups of edited copies, dense and loose, a passage that many share, copies and short texts."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(4):
+        base = [rng.choice(vocab) for _ in range(110)]
+        for _ in range(30):
+            t = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 8])):
+                t[rng.randrange(len(t))] = rng.choice(vocab)
+            texts.append(" ".join(t))
+    shared = [rng.choice(vocab) for _ in range(50)]
+    texts += [" ".join(shared + [rng.choice(vocab) for _ in range(rng.randrange(5, 60))]) for _ in range(40)]
+    texts += [texts[0]] * 30 + ["one two", "One two", "one", "", None]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 8)
+    monkeypatch.setattr(minhash, "LARGE", 6)
+    rows = near_rows()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), 4, 80).collect()}
+    assert got == brute.near_duplicates(rows, 4, 80)
+
+
+def test_prune_bound_is_a_posterior():
+    for n, m in minhash.least_matches(0.8, 1e-6):
+        below = sum(math.comb(n + 1, k) * 0.8**k * 0.2 ** (n + 1 - k) for k in range(m))
+        assert below < 1e-6
+
+
+def test_components_of_paths_and_stars(spark):
+    path = [(i, i + 1) for i in range(100, 160)]
+    star = [(5, i) for i in range(200, 260)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(path + star + [(7, 7), (None, 1)], "a long, b long")).collect()}
+    assert got == {**{i: 100 for i in range(100, 161)}, 5: 5, **{i: 5 for i in range(200, 260)}}
+
+
+# 6 ------------------------------------------------------------------------
+
+
+def test_lm_scores(spark, data):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    tokens = {i: [*brute.words(t), None] for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    c = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, mass = sum(c.values()), sum(c.values()) + 0.5 * (len(c) + 1)
+    pairs = Counter(p for i, ws in tokens.items() if not held[i] for p in zip(["<s>", *ws[:-1]], ws, strict=True))
+    of, kinds = Counter(), Counter()
+    for (a, _), m in pairs.items():
+        of[a] += m
+        kinds[a] += 1
+
+    def p(a, b):
+        low = (c[b] + 0.5) / mass
+        return (max(pairs[a, b] - 0.75, 0) + 0.75 * kinds[a] * low) / of[a] if of[a] else low
+
+    for r in queries.op6_lm_scoring(spark, data).collect():
+        ws = tokens[r.doc_id]
+        base = sum(math.log10((c[w] + 0.5) / mass) for w in ws)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(c[w] > 0 for w in ws), n)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9)
+        exact = sum(math.log10(p(a, b)) for a, b in zip(["<s>", *ws[:-1]], ws, strict=True))
+        assert abs(r.score - exact) <= 0.04 * len(ws)  # a quantisation step for each token at most
+
+
+def test_elias_fano_and_trie_file(tmp_path):
+    rng = np.random.default_rng(4)
+    for n, top in ((1, 1), (1000, 2**62), (1000, 900), (5000, 2**40)):
+        v = np.sort(rng.integers(0, top, n).astype(np.uint64))
+        e = lm_scoring.EliasFano.of(v)
+        assert (e.get(np.arange(n)) == v).all()
+        x = rng.integers(0, top, 300).astype(np.uint64)
+        assert (e.successor(x, np.zeros(300, np.int64), np.full(300, n)) == np.searchsorted(v, x)).all()
+    context = np.sort(rng.integers(4, 2**62, 50).astype(np.uint64)).repeat(4)
+    successor = np.sort(rng.integers(0, 2**32, (50, 4)), axis=1).astype(np.uint32).ravel()
+    trie = lm_scoring.NgramTrie.build(context, successor, np.full(200, 3), np.full(200, 12), np.full(200, -4.0), np.ones(200, np.int64))
+    trie.save(str(tmp_path / "t"))
+    again = lm_scoring.NgramTrie.open(str(tmp_path / "t"))
+    seen = again.query(context, successor, np.full(200, -4.0))
+    assert np.allclose(seen, math.log10(2.25 / 12 + 0.25 * 1e-4), atol=0.021)
+    assert np.allclose(again.query(context, successor + 1, np.full(200, -4.0)), -4 + math.log10(0.25), atol=0.021)
+    assert (again.query(context + 1, successor, np.full(200, -4.0)) == -4).all()
+
+
+# 7 ------------------------------------------------------------------------
+
+
+def test_quality(spark, model):
+    docs = frame(spark, [(1, "some quiet words of plain prose that flow on and on here"), (2, "BUY!! NOW!! 5 | CLICK!! | 3 !!! ###"), (3, ""), (4, None)])
+    got = {r.doc_id: r for r in quality.score_quality(docs, model).collect()}
+    assert got[1].predicted == 1 and got[2].predicted == 0 and all(0 <= r.score <= 1 for r in got.values())
+    assert [r.doc_id for r in quality.quality_filter(docs.where("doc_id < 3"), model).collect()] == [1]
+    none = quality.train_quality(docs, docs.select("doc_id", F.lit(None).cast("int").alias("quality")))
+    assert quality.score_quality(docs, none).where("score = 0.5").count() == 4
+
+
+# 8 ------------------------------------------------------------------------
+
+
+def test_masks_hit_every_window_with_three_substitutions():
+    for n in range(4):
+        for gone in itertools.combinations(range(13), n):
+            assert any(all(at + k not in gone for k, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for at in range(13 - len(m) + 1))
+
+
+def test_decontamination(spark):
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(400)]
+    items = [(j, " ".join(rng.choice(vocab) for _ in range(rng.choice([5, 8, 10, 13, 20, 40])))) for j in range(30)]
+    docs = []
+    for i in range(120):
+        t = [rng.choice(vocab) for _ in range(rng.randrange(0, 60))]
+        if i % 3:
+            x = rng.choice(items)[1].upper().split() if i % 2 else rng.choice(items)[1].split()
+            for _ in range(rng.randrange(0, 6)):
+                x[rng.randrange(len(x))] = rng.choice(vocab)
+            at = rng.randrange(len(t) + 1)
+            t[at:at] = x[rng.randrange(0, 4) :]
+        docs.append((i, " ".join(t)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(frame(spark, docs), bench).collect()}
+    want = brute.contaminated(docs, items)
+    long_ = {j for j, t in items if len(t.split()) >= 13}
+    assert {p for p in want if p[1] in long_} == {p for p in got if p[1] in long_}
+    assert got <= want and want
+    left = {r.doc_id for r in decontaminate.decontaminate(frame(spark, docs), bench).collect()}
+    assert left == {i for i, _ in docs} - {i for i, _ in got}
+
+
+# 9 ------------------------------------------------------------------------
+
+
+def test_pieces_equal_the_library(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    c = sentencepiece_codec.PieceCodec(PIECES)
+    rng = random.Random(9)
+    pool = ["the ", "  ", "\n", "▁", "é", "日本", "😀", "\x00", "\t", "a", " b", "<s>", "<0x41>", " ⁇ ", "ing", "123", " " * 17, "xx▁", "\r\n", "tion", "Straße", "qu"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(30))) for _ in range(1500)] + [x or "" for x in AWKWARD]
+    for t in texts:
+        ids = sp.encode(t)
+        joined, n, decoded = c.encode_decode(t)
+        assert (joined, n, decoded) == (" ".join(map(str, ids)), len(ids), sp.decode(ids))
+        assert c.encode(t) == ids and c.decode(ids) == decoded
+    encoded = sentencepiece_codec.encode(frame(spark, list(enumerate(texts[:50]))), PIECES)
+    back = {r.doc_id: r.text for r in sentencepiece_codec.decode(encoded, PIECES).collect()}
+    assert all(back[i] == sp.decode(sp.encode(t)) for i, t in enumerate(texts[:50]))
+
+
+# 10 -----------------------------------------------------------------------
+
+
+def test_two_stage_sort_orders_suffixes():
+    rng = random.Random(10)
+    for alphabet in ("ab", "a", "abcd\xff"):
+        t = bytes(ord(rng.choice(alphabet)) for _ in range(700))
+        sa, _ = suffix_dedup.two_stage_sort(np.frombuffer(t, np.uint8))
+        assert sorted(sa) == list(range(700))
+        keys = [t[i : i + 50] for i in sa]
+        assert all(a <= b or a.startswith(b) for a, b in itertools.pairwise(keys))
+
+
+@pytest.mark.parametrize("common", [2000, 3])
+def test_repeats_equal_brute_force(spark, common):
+    rng = random.Random(11)
+    letters = "abcdé "
+    passages = ["".join(rng.choice(letters) for _ in range(n)) for n in (49, 50, 51, 80, 300)]
+    rows = [(i * 7 % 120, "".join(rng.choice(passages) if rng.random() < 0.5 else "".join(rng.choice(letters) for _ in range(rng.randrange(90))) for _ in range(rng.randrange(6)))) for i in range(120)]
+    rows += [(200, None), (201, ""), (202, "aaaa" * 60), (203, "a" * 100), (204, "ab" * 70), (205, "ab" * 40)]
+    done = suffix_dedup.repeats_digest(suffix_dedup.remove_repeats(frame(spark, rows), common=common)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in done} == brute.remove_repeats(rows)
+
+
+def test_packed_numbers():
+    x = np.random.default_rng(1).integers(0, 2**48, 1000).astype(np.uint64)
+    assert (suffix_dedup.unpacked(suffix_dedup.packed(x)) == x).all() and len(suffix_dedup.unpacked(None)) == 0
+    assert blocks.is_in(np.array([1, 5], np.uint64), np.array([5], np.uint64)).tolist() == [False, True]
