@@ -8,9 +8,10 @@ by content, and only arrays travel between the two:
 2. Buckets of anchors tell blocks which of theirs more than one document has, and
    which very many have.
 3. Blocks cut their texts into cells, runs of windows with one shared anchor, and
-   send each distinct cell once with its smallest and largest document. Windows of
-   a very common anchor go singly, dealt by their own content, so that no bucket
-   gets more than a bounded part of them.
+   tell of each distinct cell once, by hash, with its smallest and largest document.
+   Windows of a very common anchor go singly, dealt by their own content, so that
+   no bucket gets more than a bounded part of them. The bucket asks one block for
+   the bytes of each cell.
 4. Each bucket builds the suffix array of its cells by two-stage sorting: only
    suffixes smaller than their successors are sorted directly, the rest are
    induced by scanning the array bucket by bucket; neighbours whose common prefix
@@ -100,15 +101,18 @@ def two_stage_sort(t: np.ndarray, depth: int = 56) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(out), word
 
 
-def classes_of_windows(cells: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each window of each cell, the smallest of docs among the cells that hold that window."""
-    lens = np.array([len(c) for c in cells])
-    starts = np.cumsum(lens + 1) - (lens + 1)
-    t = np.frombuffer(bytes([SEPARATOR]).join([*cells, b""]), np.uint8)
+def classes_of_windows(text: np.ndarray, lens: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each window of each cell in turn, the smallest of docs among the cells that hold that window.
+
+    text: the cells' bytes one after the other; lens and docs: of each cell.
+    """
+    cell = np.repeat(np.arange(len(lens)), lens)
+    t = np.full(len(text) + len(lens), SEPARATOR, np.uint8)
+    t[np.arange(len(text)) + cell] = text
     n_windows = lens - LENGTH + 1
-    owner = np.repeat(np.arange(len(cells)), n_windows)
+    owner = np.repeat(np.arange(len(lens)), n_windows)
     first = np.cumsum(n_windows) - n_windows
-    place = starts[owner] + np.arange(len(owner)) - first[owner]  # of each window in t
+    place = (np.cumsum(lens + 1) - (lens + 1) - first)[owner] + np.arange(len(owner))  # of each window in t
     window = np.full(len(t), -1, np.int64)
     window[place] = np.arange(len(place))
     sa, word = two_stage_sort(t)
@@ -121,7 +125,7 @@ def classes_of_windows(cells: list[bytes], docs: np.ndarray) -> list[np.ndarray]
     least = np.minimum.reduceat(docs[owner[w]], begins)
     found = np.empty(len(owner), np.int64)
     found[w] = np.repeat(least, np.diff(np.append(begins, len(w))))
-    return np.split(found, first[1:])
+    return found
 
 
 # --- windows and cells of a block ------------------------------------------
@@ -163,7 +167,17 @@ class Block:
             value = least[valid]
             new = np.append(True, (value[1:] != value[:-1]) | (np.diff(valid) != 1) | (row[valid[1:]] != row[valid[:-1]]))
             k = np.flatnonzero(new)
-            yield sums, base, value[k], valid[k], valid[np.append(k[1:], len(valid)) - 1], row[valid[k]]
+            yield sums, base, value[k] >> np.uint64(16), valid[k], valid[np.append(k[1:], len(valid)) - 1], row[valid[k]]
+
+
+def packed(x: np.ndarray) -> bytes:
+    """48-bit numbers in 6 bytes each."""
+    return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint16).tobytes()
+
+
+def unpacked(b: bytes | None) -> np.ndarray:
+    n = len(b or b"") // 6
+    return np.frombuffer(b, np.uint32, n).astype(np.uint64) | np.frombuffer(b, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32) if n else np.zeros(0, np.uint64)
 
 
 def _anchors(buckets: int):
@@ -191,107 +205,176 @@ def _anchors(buckets: int):
         for k in np.unique(where):
             f, d = fp[cut[k] : cut[k + 1]], docs[cut[k] : cut[k + 1]]
             many = d > 1
-            rows.append((int(k), number(key), f[~many].tobytes(), f[many].tobytes(), d[many].tobytes(), None))
+            rows.append((int(k), number(key), packed(f[~many]), packed(f[many]), d[many].tobytes(), None))
         return wire(rows)
 
     return run
 
 
-def _shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """For each block, its anchors that several documents have (a) and that very many have (b)."""
-    fps, docs, blocks = [], [], []
-    for block, a, b, c in zip(*(table.column(x).to_pylist() for x in ("block", "a", "b", "c")), strict=True):
-        one, many = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        fps += [one, many]
-        docs += [np.ones(len(one), np.int64), np.frombuffer(c, np.uint32).astype(np.int64)]
-        blocks.append(np.full(len(one) + len(many), block, np.int32))
-    fp, n, block = joined(fps), joined(docs, np.int64), joined(blocks, np.int32)
-    o, begins = grouped(fp)
-    total = np.empty(len(fp), np.int64)
-    total[o] = np.repeat(np.add.reduceat(n[o], begins), np.diff(np.append(begins, len(o))))
-    keep = total > 1
-    fp, total, block = fp[keep], total[keep], block[keep]
-    o = np.argsort(block, kind="stable")
-    fp, total, block = fp[o], total[o], block[o]
-    rows = []
-    for k in np.unique(block):
-        s = slice(*np.searchsorted(block, [k, k + 1]))
-        common = total[s] > COMMON
-        rows.append((number(key), int(k), fp[s][~common].tobytes(), fp[s][common].tobytes(), None, None))
-    return wire(rows)
+def _shared(common_from: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """For each block, its anchors that several documents have (a) and that very many have (b)."""
+        fps, docs, blocks = [], [], []
+        for block, a, b, c in zip(*(table.column(x).to_pylist() for x in ("block", "a", "b", "c")), strict=True):
+            one, many = unpacked(a), unpacked(b)
+            fps += [one, many]
+            docs += [np.ones(len(one), np.int64), np.frombuffer(c, np.uint32).astype(np.int64)]
+            blocks.append(np.full(len(one) + len(many), block, np.int32))
+        fp, n, block = joined(fps), joined(docs, np.int64), joined(blocks, np.int32)
+        o, begins = grouped(fp)
+        total = np.empty(len(fp), np.int64)
+        total[o] = np.repeat(np.add.reduceat(n[o], begins), np.diff(np.append(begins, len(o))))
+        keep = total > 1
+        fp, total, block = fp[keep], total[keep], block[keep]
+        o = np.argsort(block, kind="stable")
+        fp, total, block = fp[o], total[o], block[o]
+        rows = []
+        for k in np.unique(block):
+            s = slice(*np.searchsorted(block, [k, k + 1]))
+            common = total[s] > common_from
+            rows.append((number(key), int(k), packed(fp[s][~common]), packed(fp[s][common]), None, None))
+        return wire(rows)
+
+    return run
+
+
+def _block_cells(block: Block, told: pa.Table) -> tuple[np.ndarray, ...] | None:
+    """Hash, anchor, place, bytes, document and singleness of every cell of shared anchors."""
+    shared = np.sort(joined([unpacked(x) for x in told.column("a").to_pylist()]))
+    common = np.sort(joined([unpacked(x) for x in told.column("b").to_pylist()]))
+    parts = []
+    for sums, base, value, p0, p1, row in block.runs() if len(shared) or len(common) else ():
+        yes = is_in(value, shared)
+        parts.append((hash_spans(sums, p0[yes], p1[yes] + LENGTH), value[yes], base + p0[yes], p1[yes] - p0[yes] + LENGTH, block.ids[row[yes]], np.zeros(yes.sum(), bool)))
+        yes = is_in(value, common)
+        if yes.any():
+            own, p = spread_windows(p0, p1, yes)
+            parts.append((hash_spans(sums, p, p + LENGTH), value[own], base + p, np.full(len(p), LENGTH), block.ids[row[own]], np.ones(len(p), bool)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else None
+
+
+def spread_windows(p0: np.ndarray, p1: np.ndarray, yes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of the chosen runs one by one: their run and place."""
+    n = (p1 - p0 + 1)[yes]
+    own = np.repeat(np.flatnonzero(yes), n)
+    return own, p0[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _cells(buckets: int):
+    """Tells the buckets of the block's distinct cells: kind and hashes (a), smallest and largest documents (b), anchors of single windows (c)."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
         block = Block(table)
-        shared = np.sort(joined([np.frombuffer(x, np.uint64) for x in told.column("a").to_pylist()]))
-        common = np.sort(joined([np.frombuffer(x, np.uint64) for x in told.column("b").to_pylist()]))
-        if not len(shared) and not len(common):
+        if (cells := _block_cells(block, told)) is None:
             return wire([])
-        parts = []
-        for sums, base, value, p0, p1, row in block.runs():
-            yes = is_in(value, shared)
-            parts.append((hash_spans(sums, p0[yes], p1[yes] + LENGTH), value[yes], base + p0[yes], p1[yes] - p0[yes] + LENGTH, block.ids[row[yes]], np.zeros(yes.sum(), bool)))
-            yes = is_in(value, common)
-            if yes.any():
-                n = (p1 - p0 + 1)[yes]
-                own = np.repeat(np.flatnonzero(yes), n)
-                p = p0[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-                parts.append((hash_spans(sums, p, p + LENGTH), value[own], base + p, np.full(len(p), LENGTH), block.ids[row[own]], np.ones(len(p), bool)))
-        if not parts:
-            return wire([])
-        h, fp, at, n, ids, single = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, fp, _, _, ids, single = cells
         o, begins = grouped(single, h)
         low, high = np.minimum.reduceat(ids[o], begins), np.maximum.reduceat(ids[o], begins)
-        first = o[begins]
-        h, fp, at, n, single = h[first], fp[first], at[first], n[first], single[first]
-        where = (np.where(single, h, fp) % np.uint64(buckets)).astype(np.int64)
+        h, fp, single = h[o[begins]], fp[o[begins]], single[o[begins]]
+        where = (np.where(single, h, fp) % np.uint64(buckets)).astype(np.int64) * 2 + single
+        o = np.argsort(where, kind="stable")
+        cut = np.searchsorted(where[o], np.arange(2 * buckets + 1))
         rows = []
-        o = np.lexsort((single, where))
-        cut = np.searchsorted(where[o] * 2 + single[o], np.arange(2 * buckets + 1))
-        data = block.data
-        for k in np.unique(where * 2 + single):
+        for k in np.unique(where):
             s = o[cut[k] : cut[k + 1]]
-            text = b"".join(data[a : a + m].tobytes() for a, m in zip(at[s].tolist(), n[s].tolist(), strict=True))
-            head = np.array([k % 2], np.uint64)
-            rows.append((int(k // 2), number(key), np.concatenate([head, h[s]]).tobytes(), text, np.concatenate([n[s].astype(np.int64), low[s], high[s]]).tobytes(), fp[s].tobytes() if k % 2 else None))
+            rows.append((int(k // 2), number(key), np.append(np.uint64(k % 2), h[s]).tobytes(), np.concatenate([low[s], high[s]]).tobytes(), fp[s].tobytes() if k % 2 else None, None))
         return wire(rows)
 
     return run
 
 
-def _sorted(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+class _Cells:
+    """What all blocks have told a bucket: for each block its kind, hashes, largest documents and anchors, and the distinct cells."""
+
+    def __init__(self, table: pa.Table):
+        self.sent = []
+        for block, a, b, c in zip(*(table.column(x).to_pylist() for x in ("block", "a", "b", "c")), strict=True):
+            h, docs = np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64).reshape(2, -1)
+            self.sent.append((block, bool(h[0]), h[1:], docs[0], docs[1], np.frombuffer(c, np.uint64) if c is not None else None))
+        every = joined([x[2] for x in self.sent])
+        low = joined([x[3] for x in self.sent], np.int64)
+        fp = joined([np.zeros(len(x[2]), np.uint64) if x[5] is None else x[5] for x in self.sent])
+        block = np.repeat(np.array([x[0] for x in self.sent], np.int64), [len(x[2]) for x in self.sent])
+        o = np.lexsort((low, every))
+        first = np.append(True, every[o[1:]] != every[o[:-1]]) if len(o) else np.zeros(0, bool)
+        o = o[first]
+        self.hashes, self.low, self.fp, self.holder = every[o], low[o], fp[o], block[o]
+
+    def held(self, block: int) -> np.ndarray:
+        """The cells whose bytes a block is asked for, in the order in which it gives them."""
+        return np.flatnonzero(self.holder == block)
+
+
+def _wanted(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Asks the block of each cell's smallest document for its bytes: hashes (c), and the anchors of single windows among them (d)."""
+    cells = _Cells(table)
+    rows = []
+    for k in np.unique(cells.holder):
+        held = cells.held(k)
+        fp = np.unique(cells.fp[held])
+        rows.append((number(key), int(k), None, None, cells.hashes[held].tobytes(), fp[fp > 0].tobytes()))
+    return wire(rows)
+
+
+def _given(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
+    """The asked cells: lengths (b) and bytes (c), in the order asked for."""
+    block = Block(table)
+    asked = [(k, np.frombuffer(c, np.uint64)) for k, c in zip(told.column("key").to_pylist(), told.column("c").to_pylist(), strict=True)]
+    if not asked:
+        return wire([])
+    wanted = np.sort(joined([x for _, x in asked]))
+    common = np.unique(joined([np.frombuffer(x, np.uint64) for x in told.column("d").to_pylist()]))
+    parts = []
+    for sums, base, value, p0, p1, _ in block.runs():
+        h = hash_spans(sums, p0, p1 + LENGTH)
+        yes = is_in(h, wanted)
+        parts.append((h[yes], base + p0[yes], p1[yes] - p0[yes] + LENGTH))
+        yes = is_in(value, common)
+        if yes.any():
+            _, p = spread_windows(p0, p1, yes)
+            h = hash_spans(sums, p, p + LENGTH)
+            yes = is_in(h, wanted)
+            parts.append((h[yes], base + p[yes], np.full(yes.sum(), LENGTH)))
+    h, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    o = np.argsort(h, kind="stable")
+    sorted_ = h[o]
+    rows = []
+    for k, hashes in asked:
+        i = o[np.searchsorted(sorted_, hashes)]
+        text = b"".join([block.data[x:y].tobytes() for x, y in zip(at[i].tolist(), (at[i] + n[i]).tolist(), strict=True)])
+        rows.append((k, number(key), None, n[i].astype(np.uint32).tobytes(), text, None))
+    return wire(rows)
+
+
+def _sorted(key: tuple[pa.Scalar, ...], table: pa.Table, given: pa.Table) -> pa.Table:
     """For each block and cell where something may go: hash (a), runs of windows (b) with their smallest document (c); single windows have their anchors too (d)."""
-    sent, distinct = [], {}
-    low: list[int] = []
-    for block, a, text, c, d in zip(*(table.column(x).to_pylist() for x in ("block", "a", "b", "c", "d")), strict=True):
-        h = np.frombuffer(a, np.uint64)
-        n, lo, hi = np.frombuffer(c, np.int64).reshape(3, -1)
-        ends = np.cumsum(n)
-        which = np.empty(len(n), np.int64)
-        for i, (e, m, doc) in enumerate(zip(ends.tolist(), n.tolist(), lo.tolist(), strict=True)):
-            k = which[i] = distinct.setdefault(text[e - m : e], len(distinct))
-            if k == len(low):
-                low.append(doc)
-            elif doc < low[k]:
-                low[k] = doc
-        sent.append((block, bool(h[0]), h[1:], hi, which, d))
-    found = classes_of_windows(list(distinct), np.array(low, np.int64))
+    cells = _Cells(table)
+    if not len(cells.hashes):
+        return wire([])
+    blocks, lens, text = given.column("block").to_pylist(), given.column("b").to_pylist(), given.column("c").to_pylist()
+    lens = np.concatenate([np.frombuffer(x, np.uint32) for x in lens]).astype(np.int64)
+    text = np.frombuffer(b"".join(text), np.uint8)
+    place = np.concatenate([cells.held(k) for k in blocks])  # of the given cells among the distinct ones
+    found = classes_of_windows(text, lens, cells.low[place])
+    n_windows = lens - LENGTH + 1
+    first = np.cumsum(n_windows) - n_windows
+    new = np.append(True, found[1:] != found[:-1])
+    new[first] = True
+    run_at = np.flatnonzero(new)
+    run_len, run_doc = np.diff(np.append(run_at, len(found))), found[run_at]
+    runs = np.diff(np.append(np.searchsorted(run_at, first), len(run_at)))
+    run_first = np.cumsum(runs) - runs
+    least = np.minimum.reduceat(found, first)
+    given_as = np.empty(len(cells.hashes), np.int64)
+    given_as[place] = np.arange(len(place))
     rows = []
-    least = np.array([x.min() for x in found])
-    for block, single, h, hi, which, d in sent:
-        yes = np.flatnonzero(hi > least[which])  # otherwise none of the block's documents has anything to remove there
-        if not len(yes):
-            continue
-        lens, docs, runs = [], [], []
-        for k in which[yes]:
-            f = found[k]
-            cut = np.append(np.flatnonzero(np.append(True, f[1:] != f[:-1])), len(f))
-            runs.append(len(cut) - 1)
-            lens.append(np.diff(cut))
-            docs.append(f[cut[:-1]])
-        head = np.array([single], np.uint64)
-        rows.append((number(key), block, np.concatenate([head, h[yes]]).tobytes(), np.concatenate([np.array(runs), *lens]).astype(np.int32).tobytes(), np.concatenate(docs).tobytes(), np.frombuffer(d, np.uint64)[yes].tobytes() if single else None))
+    for block, single, h, _, high, fp in cells.sent:
+        which = given_as[np.searchsorted(cells.hashes, h)]
+        yes = np.flatnonzero(high > least[which])  # otherwise none of the block's documents has anything to remove there
+        if len(yes):
+            k = which[yes]
+            r = np.repeat(run_first[k] - (np.cumsum(runs[k]) - runs[k]), runs[k]) + np.arange(runs[k].sum())
+            rows.append((number(key), block, np.append(np.uint64(single), h[yes]).tobytes(), np.concatenate([runs[k], run_len[r]]).astype(np.int32).tobytes(), run_doc[r].tobytes(), fp[yes].tobytes() if single else None))
     return wire(rows)
 
 
@@ -344,9 +427,7 @@ def _removed(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.
             np.add.at(step, start + n[yes] - 1 + LENGTH, -1)
             common = is_in(value, known.common)
             if common.any():
-                n = (p1 - p0 + 1)[common]
-                own = np.repeat(np.flatnonzero(common), n)
-                p = p0[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                own, p = spread_windows(p0, p1, common)
                 i, _, _, doc = known.look(hash_spans(sums, p, p + LENGTH), known.windows)
                 yes = doc < block.ids[row[own[i]]]
                 np.add.at(step, base + p[i[yes]], 1)
@@ -361,7 +442,7 @@ def _removed(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.
     return pa.table([table.column("doc_id").cast(pa.int64()), pa.array(np.diff(block.offs), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, common: int = COMMON) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes (which may cut characters) of every row of docs.
 
     A byte goes when a 50-byte string that covers it also starts in a document
@@ -373,11 +454,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     blocks = block_count(rows, block_bytes)
     rows = in_blocks(rows, blocks)
+    buckets = 4 * blocks  # what a bucket sorts takes more memory than what a block reads
     own = rows.groupBy("block")
-    anchors = own.applyInArrow(_anchors(blocks), WIRE)
-    shared = anchors.groupBy("key").applyInArrow(_shared, WIRE)
-    cells = own.cogroup(shared.groupBy("block")).applyInArrow(_cells(blocks), WIRE)
-    told = cells.groupBy("key").applyInArrow(_sorted, WIRE)
+    anchors = own.applyInArrow(_anchors(buckets), WIRE)
+    shared = anchors.groupBy("key").applyInArrow(_shared(common), WIRE)
+    cells = own.cogroup(shared.groupBy("block")).applyInArrow(_cells(buckets), WIRE)
+    wanted = cells.groupBy("key").applyInArrow(_wanted, WIRE)
+    given = own.cogroup(wanted.groupBy("block")).applyInArrow(_given, WIRE)
+    told = cells.groupBy("key").cogroup(given.groupBy("key")).applyInArrow(_sorted, WIRE)
     return own.cogroup(told.groupBy("block")).applyInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
