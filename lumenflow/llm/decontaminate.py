@@ -18,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR_PATTERN, lower_ascii, size_mb
+from .common import SEPARATOR_PATTERN, lower_ascii, size_mb, stored
 
 #: 1 keeps a word, 0 ignores it.
 MASKS = ("11011", "110101")
 SPAN = max(map(len, MASKS))
 #: Seeds of a benchmark up to this many words of text are sent to all executors; beyond it both sides are dealt by seed.
 BROADCAST_WORDS = 2_000_000
+#: Places of hits up to which their list is sent to where the texts are; beyond it both are dealt by document.
+SENT_HITS = 500_000
 
 
 def word_list(text: Column) -> Column:
@@ -32,15 +34,17 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), SEPARATOR_PATTERN), lambda w: w != "")
 
 
-def _seeded(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """rows(words, ...) by word position: pos, mask and seed; a mask that runs over the end has no seed there."""
-    places = F.arrays_zip(*[(F.col("words") if k == 0 else F.slice("words", k + 1, F.size("words"))).alias(f"w{k}") for k in range(SPAN)])
-    opened = rows.select(*keep, F.posexplode(places).alias("pos", "w"))
-    seeds = []
-    for m, mask in enumerate(MASKS):
-        kept = [F.col(f"w.w{k}") for k, c in enumerate(mask) if c == "1"]
-        seeds.append(F.when(F.col(f"w.w{len(mask) - 1}").isNotNull(), F.xxhash64(F.lit(m), *kept)))
-    return opened.select(*keep, "pos", F.explode(F.array(*seeds)).alias("seed")).where("seed IS NOT NULL")
+def _seeded(rows: DataFrame, key: str) -> DataFrame:
+    """rows(key, words) by mask and word position: key, pos and seed. Only hashes are laid out by position, not the words."""
+    words, n = F.col("words"), F.size("words")
+
+    def seeds(m: int, mask: str) -> Column:
+        kept = [k for k, c in enumerate(mask) if c == "1"]
+        at = F.transform(F.sequence(F.lit(0), n - len(mask)), lambda i: F.xxhash64(F.lit(m), *[F.get(words, i + k) for k in kept]))
+        return F.when(n >= len(mask), at)
+
+    arrays = rows.select(key, F.explode(F.array(*[seeds(m, mask) for m, mask in enumerate(MASKS)])).alias("seeds"))
+    return arrays.select(key, F.posexplode("seeds").alias("pos", "seed"))
 
 
 def _best_window(window: int) -> Column:
@@ -61,16 +65,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     places of an item go to the one with most equal words, then to the first.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_list(F.col("text")).alias("item_words")).where((F.size("item_words") >= max(least, SPAN)) & F.col("item_id").isNotNull())
-    seeds = _seeded(items.withColumn("words", F.col("item_words")), ["item_id", "item_words"]).select("item_id", "item_words", F.col("pos").alias("item_pos"), "seed")
+    items = items.groupBy("item_id", "item_words").agg(F.lit(1).alias("one")).drop("one")
     n = items.agg(F.sum(F.size("item_words"))).first()[0] or 0
-    seeds = F.broadcast(seeds) if n <= BROADCAST_WORDS and size_mb(benchmark) <= 64 else seeds
+    small = F.broadcast if n <= BROADCAST_WORDS and size_mb(benchmark) <= 64 else (lambda df: df)
+    item_key = F.xxhash64("item_id", "item_words").alias("item")  # rows that repeat an item_id with another text are items of their own
+    items = items.withColumn("item", item_key)
+    seeds = _seeded(items.select("item", F.col("item_words").alias("words")), "item").withColumnRenamed("pos", "item_pos")
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_list(F.col(text_col)).alias("words")).where("doc_id IS NOT NULL")
-    hits = _seeded(words, ["doc_id", "words"]).join(seeds, "seed")
-    lead = F.col("item_pos") - F.col("pos")  # item words before the document's first word
-    start = F.greatest(F.col("pos") - F.col("item_pos"), F.lit(0))
+    hits = _seeded(words, "doc_id").join(small(seeds), "seed").select("doc_id", "item", (F.col("pos") - F.col("item_pos")).alias("doc_pos"))
+    hits = stored(hits.distinct(), "hits")
+    found = F.broadcast(hits) if hits.count() <= SENT_HITS else hits
+    lead = -F.col("doc_pos")  # item words before the document's first word
+    start = F.greatest(F.col("doc_pos"), F.lit(0))
     padded = F.concat(F.array_repeat(F.lit(None).cast("string"), F.greatest(lead, F.lit(0))), F.slice("words", start + 1, F.size("item_words") - F.greatest(lead, F.lit(0))))
-    laid = hits.select("doc_id", "item_id", "item_words", (F.col("pos") - F.col("item_pos")).alias("doc_pos"), padded.alias("aligned"))
-    laid = laid.groupBy("doc_id", "item_id", "doc_pos", "item_words", "aligned").agg(F.lit(1).alias("one"))
+    laid = words.join(found, "doc_id").join(small(items), "item")
+    laid = laid.select("doc_id", "item_id", "item_words", "doc_pos", padded.alias("aligned"))
     equal, best, size = _best_window(window)
     scored = laid.withColumn("equal", equal).select("doc_id", "item_id", "doc_pos", best.alias("equal_words"), size.alias("window_words"))
     found = scored.where(F.col("equal_words") >= F.ceil(F.col("window_words") * share))
