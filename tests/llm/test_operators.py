@@ -9,6 +9,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,12 +175,34 @@ def near_rows(seed=3):
 
 def test_near_duplicates_equal_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CHUNK", 8)
+    monkeypatch.setattr(minhash, "PART", 8)
     monkeypatch.setattr(minhash, "LARGE", 6)
     rows = near_rows()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), 4, 80).collect()}
     assert got == brute.near_duplicates(rows, 4, 80)
 
 
+def test_inner_members_of_a_bucket_are_all_compared(spark, monkeypatch):
+    """With ends unlike all others and no clusters yet, the survivors put out connect just what all surviving pairs connect."""
+    monkeypatch.setattr(minhash, "PART", 8)
+    rows = [(i, t) for i, t in near_rows(4) if t and len(t.split()) > 9][:60]
+    data = pa.array([t for _, t in rows])
+    sig = [minhash.signature(s) for s in minhash.shingle_sets(*common.raw(data), 4)]
+    alike = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if all((sig[i][:size] == sig[j][:size]).sum() >= m for size, m in minhash.least_matches(0.8, 1e-6))]
+    sigs = spark.createDataFrame([(i, bytearray(s.tobytes())) for (i, _), s in zip(rows, sig, strict=True)], "rep long, sig binary")
+    members = spark.createDataFrame([(1, i, -1, 10_000, len(rows) + 2) for i, _ in rows], "band long, rep long, lo long, hi long, n long")
+    none = spark.createDataFrame([], "node long, component long")
+    for large in (1000, 6):  # with LARGE below the members a second band must agree; here a second equal bucket does
+        monkeypatch.setattr(minhash, "LARGE", large)
+        both = members.unionByName(members.withColumn("band", F.col("band") + 1))
+        got = minhash._remaining(both, none, sigs, 0.8, 1e-6)
+        assert alike and named(graph.components(got, "x", "p")) == named(graph.components(spark.createDataFrame(alike, "x long, p long"), "x", "p"))
+
+
+def named(components):
+    return {r.node: r.component for r in components.collect()}
+
+
 def test_prune_bound_is_a_posterior():
     for n, m in minhash.least_matches(0.8, 1e-6):
         below = sum(math.comb(n + 1, k) * 0.8**k * 0.2 ** (n + 1 - k) for k in range(m))
