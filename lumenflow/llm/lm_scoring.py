@@ -11,8 +11,9 @@ No machine holds the whole model. Blocks of documents (see blocks.py) ask for th
 counts of their words, send each distinct pair of words once with how often
 training documents have it, and get a quantised log-probability for each back.
 The pairs of a context lie in one shard of the trie, those of a very frequent
-context in as many shards as its count asks for. Everything is counted over all
-training documents; nothing is pruned or capped.
+context in as many shards as its count asks for; how many successors such a
+context has is summed over its shards before they are built. Everything is
+counted over all training documents; nothing is pruned, capped or estimated.
 
 Words are known by 64-bit hashes, successors inside a context by 32 bits.
 """
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, WIRE, block_count, in_blocks, joined, number, wire
+from .blocks import BLOCK_BYTES, WIRE, block_count, in_blocks, is_in, joined, number, wire
 from .common import LOWERED, hash_spans, mixed, prefix_sums, raw, steps, stored, words
 
 START, END = np.uint64(1), np.uint64(2)
@@ -116,20 +117,26 @@ class NgramTrie:
         self.contexts, self.pointers, self.backoff, self.successors, self.probs = contexts, pointers, backoff, successors, probs
 
     @classmethod
-    def build(cls, context: np.ndarray, successor: np.ndarray, count: np.ndarray, total: np.ndarray, lower: np.ndarray, spread: np.ndarray) -> NgramTrie:
+    def build(cls, context: np.ndarray, successor: np.ndarray, count: np.ndarray, total: np.ndarray, lower: np.ndarray, known: np.ndarray, bare: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> NgramTrie:
         """From counted pairs sorted by context hash (below 2**62) and 32-bit successor hash.
 
         total: the context's count in training; lower: log10 probability of the
-        successor alone; spread: shards that the context's successors lie in.
+        successor alone; known: how many successors the context has over all
+        shards, as far as that is more than the pairs given; bare: context, total
+        and known of contexts whose successors all lie in other shards.
         """
-        begins = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
-        kinds = np.diff(np.append(begins, len(context)))
-        weight = np.minimum(DISCOUNT * kinds * spread[begins] / np.maximum(total[begins], 1), 1.0)
-        own = np.repeat(np.arange(len(begins)), kinds)
+        names, begins, kinds = np.unique(context, return_index=True, return_counts=True)
+        total_of, known_of = total[begins], np.maximum(kinds, known[begins])
+        if bare is not None:
+            names, total_of, known_of, kinds = (np.append(x, y) for x, y in ((names, bare[0]), (total_of, bare[1]), (known_of, bare[2]), (kinds, np.zeros(len(bare[0]), np.int64))))
+            o = np.argsort(names)
+            names, total_of, known_of, kinds = names[o], total_of[o], known_of[o], kinds[o]
+        weight = np.minimum(DISCOUNT * known_of / np.maximum(total_of, 1), 1.0)
+        own = np.repeat(np.arange(len(names)), kinds)
         p = np.maximum(count - DISCOUNT, 0) / np.maximum(total, 1) + weight[own] * 10.0**lower
         # Successors of context k become monotone over the whole level by adding k * 2**32.
         level = successor.astype(np.uint64) + (own.astype(np.uint64) << np.uint64(32))
-        return cls(EliasFano.of(context[begins]), EliasFano.of(np.append(begins, len(context))), quantised(np.log10(weight)) if len(weight) else np.zeros(0, np.uint8), EliasFano.of(level), quantised(np.log10(p)) if len(p) else np.zeros(0, np.uint8))
+        return cls(EliasFano.of(names), EliasFano.of(np.append(0, np.cumsum(kinds))), quantised(np.log10(weight)) if len(weight) else np.zeros(0, np.uint8), EliasFano.of(level), quantised(np.log10(p)) if len(p) else np.zeros(0, np.uint8))
 
     def query(self, context: np.ndarray, successor: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """Log10 probabilities: of the pair if the trie has it, else the context's weight of the lower order; the lower order alone for a new context."""
@@ -213,7 +220,7 @@ class _Tokens:
                 out[self.cut[key] : self.cut[key + 1]] = np.frombuffer(a, np.int64)
         return out
 
-    def pairs(self, counts: np.ndarray, buckets: int, documents: int) -> dict[str, np.ndarray]:
+    def pairs(self, counts: np.ndarray, buckets: int, documents: int, share: int) -> dict[str, np.ndarray]:
         """The distinct pairs (context, successor) in order of shard, context and successor, and each token's pair."""
         n = len(self.words)
         before = np.full(len(self.word), n, np.int64)  # START
@@ -223,14 +230,14 @@ class _Tokens:
         context = np.append(self.words, START)[first]
         total = np.append(counts, documents)[first]
         successor = (mixed(self.words[second]) >> np.uint64(32)).astype(np.uint32)
-        spread = 1 + total // SHARE
+        spread = 1 + total // share
         salt = (successor.astype(np.int64) // 7) % spread
         shard = (mixed(context + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
         o = np.lexsort((successor, context, shard))
         back = np.empty(len(o), np.int64)
         back[o] = np.arange(len(o))
         trained = np.bincount(place[self.train[self.row]], minlength=len(code))
-        return {"pair": back[place], "context": context[o], "total": total[o], "successor": successor[o], "second": second[o], "spread": spread[o], "trained": trained[o], "cut": np.searchsorted(shard[o], np.arange(buckets + 1))}
+        return {"pair": back[place], "context": context[o], "total": total[o], "successor": successor[o], "second": second[o], "trained": trained[o], "cut": np.searchsorted(shard[o], np.arange(buckets + 1))}
 
 
 # --- what runs in blocks and buckets ---------------------------------------
@@ -297,11 +304,11 @@ def _lower(counts: np.ndarray, mass: float) -> np.ndarray:
     return np.log10((counts + 0.5) / mass)
 
 
-def _paired(buckets: int, mass: float, documents: int):
+def _paired(buckets: int, mass: float, documents: int, share: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
         t = _Tokens(table, buckets)
         counts = t.counts(told)
-        p = t.pairs(counts, buckets, documents)
+        p = t.pairs(counts, buckets, documents, share)
         low = quantised(_lower(counts, mass))[p["second"]]
         rows = []
         for k in range(buckets):
@@ -316,7 +323,41 @@ def _paired(buckets: int, mass: float, documents: int):
     return run
 
 
-def _scored_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _found(buckets: int, share: int):
+    """What the bucket's shard has of the contexts that are dealt over shards: each one's training count and distinct successors here, none too, to the context's home bucket."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        heads, pairs = [], []
+        for a, b, d in zip(*(table.column(x).to_pylist() for x in ("a", "b", "d")), strict=True):
+            context, total, n = np.frombuffer(a, np.int64).reshape(3, -1)
+            dealt = total >= share
+            if dealt.any():
+                heads.append((context[dealt].view(np.uint64), total[dealt]))
+                seen = np.repeat(dealt, n) & (np.frombuffer(d, np.uint32) > 0)
+                pairs.append((np.repeat(context.view(np.uint64), n)[seen], np.frombuffer(b, np.uint32)[seen]))
+        if not heads:
+            return wire([])
+        context, first = np.unique(np.concatenate([h[0] for h in heads]), return_index=True)
+        total = np.concatenate([h[1] for h in heads])[first]
+        code = np.concatenate([(np.searchsorted(context, c).astype(np.uint64) << np.uint64(32)) | s for c, s in pairs])
+        kinds = np.bincount((np.unique(code) >> np.uint64(32)).astype(np.int64), minlength=len(context)).astype(np.int64)
+        home = (mixed(context) % np.uint64(buckets)).astype(np.int64)
+        return wire([(int(k), number(key), context[home == k].tobytes(), kinds[home == k].tobytes(), total[home == k].tobytes(), None) for k in np.unique(home)])
+
+    return run
+
+
+def _found_in_all(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Sums the shards' successors of each context and tells each shard that has it."""
+    shards = table.column("block").to_pylist()
+    contexts, kinds, totals = ([np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("a", np.uint64), ("b", np.int64), ("c", np.int64)))
+    names, place = np.unique(np.concatenate(contexts), return_inverse=True)
+    sums = np.zeros(len(names), np.int64)
+    np.add.at(sums, place, np.concatenate(kinds))
+    return wire([(shard, number(key), c.tobytes(), sums[np.searchsorted(names, c)].tobytes(), t.tobytes(), None) for shard, c, t in zip(shards, contexts, totals, strict=True)])
+
+
+def _scored_pairs(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
     """Builds the bucket's shard of the trie and gives each block the log-probabilities of its pairs, in its order."""
     parts = []
     for block, a, b, c, d in zip(*(table.column(x).to_pylist() for x in ("block", "a", "b", "c", "d")), strict=True):
@@ -328,7 +369,15 @@ def _scored_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     begins = np.flatnonzero(np.append(True, (context[o[1:]] != context[o[:-1]]) | (successor[o[1:]] != successor[o[:-1]]))) if len(o) else np.zeros(0, np.int64)
     first = o[begins]
     counts = np.add.reduceat(count[o].astype(np.int64), begins) if len(o) else np.zeros(0, np.int64)
-    trie = NgramTrie.build(context[first], successor[first], counts, total[first], restored(low[first]), 1 + total[first] // SHARE)
+    dealt, kinds, dealt_total = (joined([np.frombuffer(x, t) for x in found.column(c).to_pylist()], t) for c, t in (("a", np.uint64), ("b", np.int64), ("c", np.int64)))
+    o = np.argsort(dealt)
+    dealt, kinds, dealt_total = dealt[o], kinds[o], dealt_total[o]
+    known = np.zeros(len(first), np.int64)
+    if len(dealt):
+        at = np.minimum(np.searchsorted(dealt, context[first]), len(dealt) - 1)
+        known = np.where(dealt[at] == context[first], kinds[at], 0)
+    bare = ~is_in(dealt, context[first])
+    trie = NgramTrie.build(context[first], successor[first], counts, total[first], restored(low[first]), known, (dealt[bare], dealt_total[bare], kinds[bare]))
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "shard.trie")
         trie.save(path)
@@ -337,11 +386,11 @@ def _scored_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return wire(rows)
 
 
-def _documents(buckets: int, documents: int):
+def _documents(buckets: int, documents: int, share: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
         t = _Tokens(table, buckets)
         counts = t.counts(told)
-        p = t.pairs(counts, buckets, documents)
+        p = t.pairs(counts, buckets, documents, share)
         codes = np.zeros(len(p["context"]), np.uint8)
         for k, kind, a in zip(*(told.column(x).to_pylist() for x in ("key", "b", "a")), strict=True):
             if kind == b"scores":
@@ -353,7 +402,7 @@ def _documents(buckets: int, documents: int):
     return run
 
 
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, share: int = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs.
 
     train says which rows the model learns from; held_out is its opposite. Tokens
@@ -372,7 +421,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     mass = tokens + 0.5 * (kinds + 1)
     own = in_blocks(rows, blocks).groupBy("block")
     counts = own.applyInArrow(_asked(blocks), WIRE).groupBy("key").cogroup(unigrams.groupBy("key")).applyInArrow(_answered, WIRE)
-    pairs = own.cogroup(counts.groupBy("block")).applyInArrow(_paired(blocks, mass, documents), WIRE)
-    scores = pairs.groupBy("key").applyInArrow(_scored_pairs, WIRE)
-    done = own.cogroup(counts.unionByName(scores).groupBy("block")).applyInArrow(_documents(blocks, documents), "doc_id long, n_tokens long, n_known long, log_counts double, score double")
+    pairs = own.cogroup(counts.groupBy("block")).applyInArrow(_paired(blocks, mass, documents, share), WIRE)
+    found = pairs.groupBy("key").applyInArrow(_found(blocks, share), WIRE).groupBy("key").applyInArrow(_found_in_all, WIRE)
+    scores = pairs.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(_scored_pairs, WIRE)
+    done = own.cogroup(counts.unionByName(scores).groupBy("block")).applyInArrow(_documents(blocks, documents, share), "doc_id long, n_tokens long, n_known long, log_counts double, score double")
     return done.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("log_counts") - F.col("n_tokens") * F.lit(float(np.log10(mass)))).alias("base_score"), "score")

@@ -244,6 +244,31 @@ def test_lm_scores(spark, data):
         assert abs(r.score - exact) <= 0.04 * len(ws)  # a quantisation step for each token at most
 
 
+def test_lm_counts_successors_of_frequent_contexts_over_all_shards(spark):
+    rng = random.Random(6)
+    train = [(i, "the w%d" % rng.randrange(60) if i % 3 else "the w%d of w%d" % (rng.randrange(9), i)) for i in range(900)]
+    held = [(1000 + i, f"the x{i}") for i in range(100)] + [(1100 + i, f"of w{i}") for i in range(50)]
+    tokens = {i: [*t.split(), None] for i, t in train + held}
+    c = Counter(w for i, _ in train for w in tokens[i])
+    mass = sum(c.values()) + 0.5 * (len(c) + 1)
+    pairs = Counter(p for i, _ in train for p in zip(["<s>", *tokens[i][:-1]], tokens[i], strict=True))
+    of, kinds = Counter(), Counter(a for a, _ in pairs)
+    for (a, _), m in pairs.items():
+        of[a] += m
+
+    def p(a, b):
+        low = (c[b] + 0.5) / mass
+        return (max(pairs[a, b] - 0.75, 0) + 0.75 * kinds[a] * low) / of[a] if of[a] else low
+
+    # Shares of 3: "the" has more salts than there are buckets, and most shards of "of" have no pair of it.
+    got = lm_scoring.score_texts(frame(spark, train + held), F.col("doc_id") < 1000, share=3).collect()
+    assert len(got) == len(tokens)
+    for r in got:
+        ws = tokens[r.doc_id]
+        exact = sum(math.log10(p(a, b)) for a, b in zip(["<s>", *ws[:-1]], ws, strict=True))
+        assert abs(r.score - exact) <= 0.04 * len(ws)
+
+
 def test_elias_fano_and_trie_file(tmp_path):
     rng = np.random.default_rng(4)
     for n, top in ((1, 1), (1000, 2**62), (1000, 900), (5000, 2**40)):
