@@ -3,7 +3,8 @@
 The model is a bigram model, interpolated with the unigram model by absolute
 discounting. Its trie has two levels: contexts, and each context's successors.
 Hashes and pointers of a level are monotone, so each is an Elias-Fano sequence;
-the smoothed probabilities are quantised to one byte. A trie lies in a file that
+the smoothed probabilities are quantised to two bytes, which reach down to
+10**-2621. A trie lies in a file that
 is memory-mapped to answer queries: find the context, then search the successor
 in the context's own range.
 
@@ -103,13 +104,23 @@ class EliasFano:
 
 
 def quantised(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-log10 / STEP), 0, 255).astype(np.uint8)
+    return np.clip(np.rint(-log10 / STEP), 0, 65535).astype(np.uint16)
 
 
 def restored(code: np.ndarray) -> np.ndarray:
     return code.astype(np.float64) * -STEP
 
 
+def packed(code: np.ndarray) -> bytes:
+    """All low bytes and then all high bytes, which are mostly 0 and compress to almost nothing."""
+    return code.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    low, high = np.frombuffer(data, np.uint8).reshape(2, -1)
+    return low.astype(np.uint16) | (high.astype(np.uint16) << np.uint16(8))
+
+
 class NgramTrie:
     """Contexts (level 1: hash, pointer, quantised weight of the lower order) and successors (level 2: hash, quantised probability)."""
 
@@ -136,7 +147,7 @@ class NgramTrie:
         p = np.maximum(count - DISCOUNT, 0) / np.maximum(total, 1) + weight[own] * 10.0**lower
         # Successors of context k become monotone over the whole level by adding k * 2**32.
         level = successor.astype(np.uint64) + (own.astype(np.uint64) << np.uint64(32))
-        return cls(EliasFano.of(names), EliasFano.of(np.append(0, np.cumsum(kinds))), quantised(np.log10(weight)) if len(weight) else np.zeros(0, np.uint8), EliasFano.of(level), quantised(np.log10(p)) if len(p) else np.zeros(0, np.uint8))
+        return cls(EliasFano.of(names), EliasFano.of(np.append(0, np.cumsum(kinds))), quantised(np.log10(weight)) if len(weight) else np.zeros(0, np.uint16), EliasFano.of(level), quantised(np.log10(p)) if len(p) else np.zeros(0, np.uint16))
 
     def query(self, context: np.ndarray, successor: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """Log10 probabilities: of the pair if the trie has it, else the context's weight of the lower order; the lower order alone for a new context."""
@@ -158,7 +169,7 @@ class NgramTrie:
         return out
 
     def save(self, path: str) -> None:
-        arrays = [*self.contexts.arrays(), *self.pointers.arrays(), *self.successors.arrays(), self.backoff, self.probs]
+        arrays = [*self.contexts.arrays(), *self.pointers.arrays(), *self.successors.arrays(), self.backoff.view(np.uint8), self.probs.view(np.uint8)]
         with open(path, "wb") as f:
             f.write(np.array([len(a) for a in arrays], np.int64).tobytes())
             for a in arrays:
@@ -170,7 +181,7 @@ class NgramTrie:
         sizes = np.frombuffer(mapped[: 11 * 8].tobytes(), np.int64)
         cut = 11 * 8 + np.append(0, np.cumsum(sizes))
         a = [mapped[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
-        return cls(EliasFano.from_arrays(*a[0:3]), EliasFano.from_arrays(*a[3:6]), a[9], EliasFano.from_arrays(*a[6:9]), a[10])
+        return cls(EliasFano.from_arrays(*a[0:3]), EliasFano.from_arrays(*a[3:6]), a[9].view(np.uint16), EliasFano.from_arrays(*a[6:9]), a[10].view(np.uint16))
 
 
 # --- words and pairs of a block --------------------------------------------
@@ -317,7 +328,7 @@ def _paired(buckets: int, mass: float, documents: int, share: int):
             if len(context):
                 begins = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
                 head = np.concatenate([context[begins].view(np.int64), p["total"][s][begins], np.diff(np.append(begins, len(context)))])
-                rows.append((k, number(key), head.tobytes(), p["successor"][s].tobytes(), low[s].tobytes(), p["trained"][s].astype(np.uint32).tobytes()))
+                rows.append((k, number(key), head.tobytes(), p["successor"][s].tobytes(), packed(low[s]), p["trained"][s].astype(np.uint32).tobytes()))
         return wire(rows)
 
     return run
@@ -362,7 +373,7 @@ def _scored_pairs(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table)
     parts = []
     for block, a, b, c, d in zip(*(table.column(x).to_pylist() for x in ("block", "a", "b", "c", "d")), strict=True):
         context, total, n = np.frombuffer(a, np.int64).reshape(3, -1)
-        parts.append((block, np.repeat(context.view(np.uint64), n), np.repeat(total, n), np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint8), np.frombuffer(d, np.uint32)))
+        parts.append((block, np.repeat(context.view(np.uint64), n), np.repeat(total, n), np.frombuffer(b, np.uint32), unpacked(c), np.frombuffer(d, np.uint32)))
     context, total, successor, low, count = (np.concatenate([p[i] for p in parts]) for i in range(1, 6))
     trained = np.flatnonzero(count)
     o = trained[np.lexsort((successor[trained], context[trained]))]
@@ -382,7 +393,7 @@ def _scored_pairs(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table)
         path = os.path.join(folder, "shard.trie")
         trie.save(path)
         trie = NgramTrie.open(path)
-        rows = [(number(key), p[0], quantised(trie.query(p[1], p[3], restored(p[4]))).tobytes(), b"scores", None, None) for p in parts]
+        rows = [(number(key), p[0], packed(quantised(trie.query(p[1], p[3], restored(p[4])))), b"scores", None, None) for p in parts]
     return wire(rows)
 
 
@@ -391,10 +402,10 @@ def _documents(buckets: int, documents: int, share: int):
         t = _Tokens(table, buckets)
         counts = t.counts(told)
         p = t.pairs(counts, buckets, documents, share)
-        codes = np.zeros(len(p["context"]), np.uint8)
+        codes = np.zeros(len(p["context"]), np.uint16)
         for k, kind, a in zip(*(told.column(x).to_pylist() for x in ("key", "b", "a")), strict=True):
             if kind == b"scores":
-                codes[p["cut"][k] : p["cut"][k + 1]] = np.frombuffer(a, np.uint8)
+                codes[p["cut"][k] : p["cut"][k + 1]] = unpacked(a)
         c = counts[t.word]
         total = lambda x: np.bincount(t.row, x, t.rows)
         return pa.table({"doc_id": table.column("doc_id"), "n_tokens": pa.array(np.bincount(t.row, minlength=t.rows), pa.int64()), "n_known": pa.array(total(c > 0).astype(np.int64)), "log_counts": pa.array(total(np.log10(c + 0.5))), "score": pa.array(total(restored(codes)[p["pair"]]))})

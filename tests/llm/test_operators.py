@@ -269,6 +269,20 @@ def test_lm_counts_successors_of_frequent_contexts_over_all_shards(spark):
         assert abs(r.score - exact) <= 0.04 * len(ws)
 
 
+def test_lm_probabilities_have_no_floor(tmp_path):
+    """An unknown word behind a context of a few successors, in a model of 4e9 tokens; and less likely ones."""
+    context, successor, one = np.array([9], np.uint64), np.array([5], np.uint32), np.ones(1, np.int64)
+    lm_scoring.NgramTrie.build(context, successor, one, one * 10**14, np.full(1, -9.0), one).save(str(tmp_path / "t"))
+    trie = lm_scoring.NgramTrie.open(str(tmp_path / "t"))
+    assert abs(trie.query(context, successor, np.full(1, -9.0))[0] - math.log10(0.25e-14)) <= 0.021
+    assert abs(trie.query(context, successor + np.uint32(1), np.full(1, -9.0))[0] - math.log10(0.75e-23)) <= 0.021
+    head = np.array([9, 1000, 2]).tobytes()
+    low = lm_scoring.quantised(np.array([-2.0, -9.9]))
+    asked = blocks.wire([(0, 3, head, np.array([5, 6], np.uint32).tobytes(), lm_scoring.packed(low), np.array([1000, 0], np.uint32).tobytes())])
+    told = lm_scoring._scored_pairs((pa.scalar(0),), asked, blocks.wire([])).column("a").to_pylist()[0]
+    assert np.allclose(lm_scoring.restored(lm_scoring.unpacked(told)), [math.log10(0.99925), math.log10(0.75e-3) - 9.9], atol=0.06)
+
+
 def test_elias_fano_and_trie_file(tmp_path):
     rng = np.random.default_rng(4)
     for n, top in ((1, 1), (1000, 2**62), (1000, 900), (5000, 2**40)):
