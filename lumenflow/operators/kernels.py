@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,17 +134,46 @@ def nearest(points: DataFrame, palette: list[list[float]], value: str) -> DataFr
 
 
 def least_squares(df: DataFrame, y: str, xs: list[str], keys: list[str], pivot: float = 1e-12) -> DataFrame:
-    """Coefficients without intercept for each key, from sums of products; solved for one or two variables.
+    """Coefficients without intercept for each key, from sums of products.
 
     The sums merge like any aggregate, so no rows meet anywhere. A pivot below the
-    threshold counts as 1.
+    threshold counts as 1. Three variables and more are solved by Cholesky's
+    decomposition, one row of sums for each key.
     """
-    if len(xs) not in (1, 2):
-        raise ValueError("one or two variables")
+    if not xs:
+        raise ValueError("no variables")
     c = lambda n: F.col(n).cast("double")
     sums = {f"s_{a}_{b}": F.sum(c(a) * c(b)) for i, a in enumerate(xs) for b in [*xs[i:], y]}
     out = df.groupBy(*keys).agg(*[v.alias(k) for k, v in sums.items()])
     safe = lambda v: F.when(F.abs(v) < pivot, 1.0).otherwise(v)
+    if len(xs) > 2:
+        n = len(xs)
+
+        @F.pandas_udf("array<double>")
+        def solved(rows: pd.Series) -> pd.Series:
+            def one(sums: np.ndarray) -> list[float] | None:
+                s = np.asarray(sums, float)
+                if not np.isfinite(s).all():
+                    return None
+                m, v, at = np.zeros((n, n)), np.zeros(n), 0
+                for i in range(n):
+                    m[i, i:], v[i] = s[at : at + n - i], s[at + n - i]
+                    at += n - i + 1
+                low = np.zeros((n, n))
+                for i in range(n):
+                    p = m[i, i] - low[i, :i] @ low[i, :i]
+                    low[i, i] = np.sqrt(p if p >= pivot else 1.0)
+                    low[i + 1 :, i] = (m[i, i + 1 :] - low[i + 1 :, :i] @ low[i, :i]) / low[i, i]
+                for i in range(n):
+                    v[i] = (v[i] - low[i, :i] @ v[:i]) / low[i, i]
+                for i in reversed(range(n)):
+                    v[i] = (v[i] - low[i + 1 :, i] @ v[i + 1 :]) / low[i, i]
+                return v.tolist()
+
+            return rows.map(one)
+
+        out = out.select(*keys, solved(F.array(*[F.coalesce(F.col(k), F.lit(float("nan"))) for k in sums])).alias("__c"))
+        return out.select(*keys, *[F.get("__c", F.lit(i)).alias(f"c_{x}") for i, x in enumerate(xs)])
     a = xs[0]
     if len(xs) == 1:
         return out.select(*keys, (F.col(f"s_{a}_{y}") / safe(F.col(f"s_{a}_{a}"))).alias(f"c_{a}"))

@@ -63,12 +63,22 @@ def transpose(spark, sf_dir):
 r AS (SELECT *, sum(v) OVER (PARTITION BY vec_id, y ORDER BY x) AS s FROM c) SELECT vec_id, y * 8 + x AS pos, round(sum(s) OVER (PARTITION BY vec_id, x ORDER BY y), 9) + 0 AS total FROM r"""
 )
 def integral_image(spark, sf_dir):
-    """Every tenth vector as a test plane: the operator's input, not a cut of its output."""
+    """Every tenth vector as a plane, as its SQL says; integral_image_whole has them all."""
     v = _vectors(spark, sf_dir).where("vec_id % 10 = 0")
     out = v.select("vec_id", F.posexplode(K.integral_image(F.col("e"), 8)).alias("pos", "total"))
     return out.select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round("total", 9) + 0).alias("total"))
 
 
+@query(
+    f"""WITH c AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, e[i + 1] AS v FROM (SELECT *, unnest(range(0, 64)) AS i FROM {_E})),
+r AS (SELECT *, sum(v) OVER (PARTITION BY vec_id, y ORDER BY x) AS s FROM c) SELECT vec_id, y * 8 + x AS pos, round(sum(s) OVER (PARTITION BY vec_id, x ORDER BY y), 9) + 0 AS total FROM r"""
+)
+def integral_image_whole(spark, sf_dir):
+    """Every vector as a plane."""
+    out = _vectors(spark, sf_dir).select("vec_id", F.posexplode(K.integral_image(F.col("e"), 8)).alias("pos", "total"))
+    return out.select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round("total", 9) + 0).alias("total"))
+
+
 @query(f"SELECT vec_id, list_min(list_filter(range(0, 64), lambda i: e[i + 1] > 0.2)) AS first, list_max(list_filter(range(0, 64), lambda i: e[i + 1] > 0.2)) AS last FROM {_E}")
 def bounding_box(spark, sf_dir):
     b = _vectors(spark, sf_dir).select("vec_id", K.bounding_range(F.col("e"), 0.2).alias("b"))
@@ -129,6 +139,12 @@ def covariance(spark, sf_dir):
     return K.covariance(v, "e", 8).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.round("cov", 9) + 0).alias("cov"))
 
 
+@query(f"SELECT i, j, round(covar_pop(e[i + 1], e[j + 1]), 9) + 0 AS cov FROM {_E}, range(64) a(i), range(64) b(j) WHERE i <= j GROUP BY i, j")
+def covariance_whole(spark, sf_dir):
+    """Over all 64 components."""
+    return K.covariance(_vectors(spark, sf_dir), "e", 64).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.round("cov", 9) + 0).alias("cov"))
+
+
 @query(f"SELECT a.vec_id, round(sqrt(list_sum(list_transform(a.e, lambda x: x * x)) / 64 - (list_sum(a.e) / 64) ** 2), 9) AS si, round(sqrt(greatest(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[2] - p[1]) ** 2)) / 64 - (list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[2] - p[1])) / 64) ** 2, 0)), 9) AS ti FROM {_PAIR}")
 def siti(spark, sf_dir):
     """Spread of a plane, and of its change to the next."""
