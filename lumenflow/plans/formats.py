@@ -55,6 +55,14 @@ def metadata_round_trip(spark, sf_dir):
     return X.parse_metadata(X.metadata_lines(rows, "k", "v"))
 
 
+@query("SELECT 'k=' || chr(10) || doc_id AS key, text || ';#\\' AS value FROM documents")
+def metadata_round_trip_whole(spark, sf_dir):
+    """Whole texts with their line ends, and a line end in each key."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.concat(F.lit("k=\n"), F.col("doc_id").cast("string")).alias("k"), F.concat("text", F.lit(";#\\")).alias("v"))
+    return X.parse_metadata(X.metadata_lines(rows, "k", "v"))
+
+
 @query("WITH e AS (SELECT * FROM (VALUES (0, 'view', 100, 500), (1, 'click', 0, 300), (2, 'view', 600, 900)) t(ord, event_type, inpoint, outpoint)), c AS (SELECT ord, event_id FROM events JOIN e USING (event_type) WHERE event_id >= inpoint AND event_id < outpoint), s AS (SELECT ord, min(event_id) AS f, max(event_id) - min(event_id) + 1 AS len FROM c GROUP BY ord), o AS (SELECT ord, f, coalesce(sum(len) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s) SELECT ord, event_id, (event_id - f + off)::BIGINT AS out_pts FROM c JOIN o USING (ord)")
 def concat_list(spark, sf_dir):
     entries = spark.createDataFrame([(0, "view", 100, 500), (1, "click", 0, 300), (2, "view", 600, 900)], "ord int, event_type string, inpoint long, outpoint long")

@@ -15,6 +15,12 @@ def digests(spark, sf_dir):
     return d.select("doc_id", S.digest(t, "md5").alias("md5"), S.digest(t, "sha1").alias("sha1"), S.digest(t, "sha256").alias("sha256"), S.base64_line(F.substring(t, 1, 60)).alias("head64"))
 
 
+@query("SELECT doc_id, base64(encode(text)) AS text64 FROM documents")
+def base64_whole(spark, sf_dir):
+    """Whole texts, which Base64 would break into lines."""
+    return table(spark, sf_dir, "documents").select("doc_id", S.base64_line(F.col("text")).alias("text64"))
+
+
 @query(
     """WITH b AS (SELECT event_id, list_transform(string_split(props, ''), lambda c: ascii(c)) AS b FROM events)
 SELECT event_id, ((list_reduce(list_prepend(0, list_transform(range(1, len(b) + 1), lambda i: b[i] * (len(b) - i + 1))), lambda x, y: x + y) + len(b)) % 65521 * 65536 + (1 + list_sum(b)) % 65521)::BIGINT AS adler FROM b"""

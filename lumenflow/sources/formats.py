@@ -68,7 +68,7 @@ def parse_metadata(df: DataFrame) -> DataFrame:
     """key and value of unescaped lines; comments and section heads are left out. Values that run over lines must be joined before."""
     plain = lambda c: F.regexp_replace(c, r"\\([=;#\\\n])", "$1")
     rows = df.where(~F.col("value").rlike(r"^[;#\[]") & F.col("value").contains("="))
-    cut = r"^((?:[^=\\]|\\.)*)=((?s:.*))$"
+    cut = r"^((?:[^=\\]++|\\(?s:.))*+)=((?s:.*))$"
     return rows.select(plain(F.regexp_extract("value", cut, 1)).alias("key"), plain(F.regexp_extract("value", cut, 2)).alias("value"))
 
 

@@ -101,3 +101,11 @@ def test_wave_source(spark):
     spark.dataSource.register(WaveSource)
     df = spark.read.format("wave").option("samples", 100).option("partitions", 3).load()
     assert df.count() == 100 and abs(df.where("n = 0").first().sample) < 1e-12
+
+
+def test_metadata_keeps_line_ends_and_long_values(spark):
+    from lumenflow.sources import formats as X
+
+    rows = [("a\nb=" + "long key " * 3000, "first\nsecond = #;\\\n" + "x" * 50_000 + "\n"), ("k", "\n")]
+    out = X.parse_metadata(X.metadata_lines(spark.createDataFrame(rows, "k string, v string"), "k", "v"))
+    assert sorted(map(tuple, out.collect())) == sorted(rows)
