@@ -72,21 +72,42 @@ def test_awkward_and_empty_tables(spark, model, name):
 # 1 ------------------------------------------------------------------------
 
 
-def test_exact_dedup(spark):
+@pytest.mark.parametrize("share_bytes", [10**9, 300])
+@pytest.mark.parametrize("digest", ["right", "constant"])
+def test_exact_dedup(spark, monkeypatch, share_bytes, digest):
+    """Groups are right however texts are dealt, and even if all digests were equal: only the texts say what is equal."""
+    if digest == "constant":
+        monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
     rng = random.Random(1)
-    rows = [(i, rng.choice(["Same", "sAME", "other", "", None, "É", "é"])) for i in range(200)]
-    got = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, rows), salts=7).collect()}
-    norm = {i: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "") for i, t in rows}
-    for i, t in norm.items():
-        same = [j for j, u in norm.items() if u == t]
-        r = got[i]
-        assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (max(same), len(same), i == max(same), hashlib.sha256(t.encode()).hexdigest())
-    kept = exact_dedup.exact_dedup_filter(frame(spark, rows))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.kept)
-
-
-def test_exact_dedup_plan_is_native(spark):
-    plan = exact_dedup.content_sort(frame(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
+    same_start = "one beginning that very many texts share, longer than a head " * 3
+    rows = [(i, rng.choice(["Same", "sAME", "other", "", None, "É", "é", same_start, same_start + "x", same_start + "X", "y" * 20_000])) for i in range(400)]
+    rows += [(3, "other"), (3, "other"), (399, "only here"), (None, "Same"), (None, "no id"), (None, "no id")]
+    got = exact_dedup.exact_dedup(frame(spark, rows), share_bytes=share_bytes).collect()
+    monkeypatch.undo()
+    norm = [(i, "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for i, t in rows]
+    want = []
+    for i, t in norm:
+        ids = [j for j, u in norm if u == t]
+        keep = max((j for j in ids if j is not None), default=None)
+        want.append((i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()))
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == Counter(want)
+    docs = frame(spark, rows).withColumns({"row": F.lit(1), "norm": F.lit("n"), "salt": F.col("doc_id")})
+    kept = exact_dedup.exact_dedup_filter(docs, share_bytes=share_bytes)
+    assert kept.columns == docs.columns
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    assert Counter((r.doc_id, low(r.text)) for r in kept.collect()) == Counter({(max((j for j, u in norm if u == t and j is not None), default=None), t): 1 for _, t in norm})
+
+
+def test_exact_dedup_sorts_equal_texts_into_one_run(spark):
+    """The content sort itself brings every group together: a range holds all rows of a text, side by side."""
+    rng = random.Random(2)
+    docs = frame(spark, [(i, rng.choice("abcdefgh") * rng.randrange(1, 90)) for i in range(600)])
+    rows = exact_dedup._normalised(docs, F.struct("doc_id"), "text", 48)
+    ranges, run = exact_dedup.content_sort(rows)
+    placed = ranges.sortWithinPartitions(*run).select("norm", F.spark_partition_id().alias("p")).collect()
+    runs = [k for k, _ in itertools.groupby(placed, lambda r: (r.p, r.norm))]
+    assert len(runs) == len({t for _, t in runs}) == docs.select("text").distinct().count()
+    plan = ranges.withColumn("n", F.count("*").over(exact_dedup.Window.partitionBy(*run)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "rangepartitioning" in plan and plan.count("Exchange") == 1
 
 
