@@ -5,10 +5,16 @@ are code points, end exclusive. The patterns below say the same as their plain
 forms, but are written so that Java's matcher neither recurses nor rescans: runs
 are possessive, and an email may only begin where a run of its characters begins
 or where the last match ended.
+
+Time grows in proportion to the text and its matches, however many these are:
+matches are gone through in groups, so that no list is copied for each of them, and
+what stands around a span comes from the text cut into short pieces once, not from
+the text's start.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +33,8 @@ class Kind:
 
 
 # Patterns of the kinds and the words that speak for them.
+_NAMED_SECRET = "(?:token|Token|TOKEN|secret|Secret|SECRET|password|Password|PASSWORD|passwd|api[_-]?key|Api[_-]?[Kk]ey|API[_-]?KEY|access[_-]?key|ACCESS[_-]?KEY)"
+_SECRET = f"(?:{_NAMED_SECRET}" + r"[\"']?\x20?[:=]\x20?[\"']?|AKIA|gh[pousr]_|sk-|xox[abprs]-)[A-Za-z0-9_./+=-]{16,}"
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "@", 80, "mail|contact|write|reply"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]\.[0-9]", 70, "ip|host|server|address"),
@@ -34,26 +42,65 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 60, "phone|call|tel|mobile|fax"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", "[A-Z]{2}[0-9]{2}", 90, "iban|bank|account|transfer"),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 40, "ssn|social|security|tax", 50),
+    Kind("secret", _SECRET + "+", _SECRET, _NAMED_SECRET + r"|AKIA|gh[pousr]_|sk-|xox[abprs]-", 60, "key|auth|login|credential|bearer"),
 )
 BASE = ("email", "ip", "card", "phone")
 IP_PATTERN = r"^(0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.|$)){4}$"
 #: Characters on either side of a span in which a context word counts, and what it adds.
 NEAR, BONUS = 30, 10
+#: Matches in a group, and characters in a piece of text.
+GROUP, PIECE = 256, 256
+
+
+def _scan(items: Column, item: str, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Goes through items, a column of its own, with a running number from 0: step(number, item) gives the next number and a value, which is left out if null.
+
+    A list grows only inside a group of items and then by whole groups, so the
+    copying is in proportion to the items.
+    """
+    n = F.size(items)
+    groups = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / GROUP).cast("int")), lambda g: F.slice(items, g * GROUP + 1, GROUP))).otherwise(F.array().cast(f"array<array<{item}>>"))
+    none = F.array().cast(f"array<{kind}>")
+
+    def inner(acc: Column, x: Column) -> Column:
+        at, value = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.when(value.isNotNull(), F.concat(acc["out"], F.array(value))).otherwise(acc["out"]).alias("out"))
+
+    def outer(acc: Column, group: Column) -> Column:
+        start = F.coalesce(F.get(acc, F.size(acc) - 1)["at"], F.lit(0))
+        return F.concat(acc, F.array(F.aggregate(group, F.struct(start.alias("at"), none.alias("out")), inner)))
+
+    done = F.aggregate(groups, F.array().cast(f"array<struct<at:int,out:array<{kind}>>>"), outer)
+    return F.flatten(F.transform(done, lambda x: x["out"]))
+
 
+def _matches(text: Column, kind: Kind) -> Column:
+    """All leftmost non-overlapping matches, each with the length of what stands between it and the one before: array<struct<p, m>>."""
+    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    between = F.slice(F.split(text, F.lit(kind.pattern), -1), F.lit(1), F.size(matches))
+    return F.zip_with(between, matches, lambda p, m: F.struct(F.char_length(p).alias("p"), m.alias("m")))
 
-def _spans(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches as array<struct<s, e, m>>: the pieces between them give their places."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, F.lit(pattern), -1)
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.char_length(x["p"])
+def _spans(pairs: Column, kind: Kind) -> Column:
+    """Places of the matches that may be valid: array<struct<s, e, m>>."""
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        s = at + x["p"]
         e = s + F.char_length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+        return e, F.when(_valid(kind.name, x["m"]), F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))
+
+    return _scan(pairs, "struct<p:int,m:string>", "struct<s:int,e:int,m:string>", step)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
+
 
-    pairs = F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))  # the last piece has no match
-    return F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+def _part(pieces: Column, start: Column, end: Column) -> Column:
+    """Characters start..end-1 of the text that was cut into pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    own = F.array_join(F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+    return F.substring(own, start - first * PIECE + 1, end - start)
 
 
 def _luhn(digits: Column) -> Column:
@@ -78,45 +125,52 @@ def _mod97(match: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(turned)), F.lit(0), add)
 
 
-def _valid(kind: str, text: Column, x: Column) -> Column:
-    m = x["m"]
+def _valid(kind: str, m: Column) -> Column:
+    """What the match itself says."""
     digits = F.regexp_replace(m, "[^0-9]", "")
     n = F.char_length(digits)
-    alone = ~F.coalesce(F.when(x["s"] > 0, F.substring(text, x["s"], F.lit(1))), F.lit("")).rlike("[A-Za-z0-9-]") & ~F.substring(text, x["e"] + 1, F.lit(1)).rlike("[A-Za-z0-9-]")
     return {
         "email": F.lit(True),
         "ip": m.rlike(IP_PATTERN),
         "card": F.when(n.between(16, 19), _luhn(digits)).otherwise(False),
         "phone": n.between(8, 15),
-        "iban": F.when(alone, _mod97(m) == 1).otherwise(False),
-        "ssn": alone & ~m.rlike("^(000|666|9)|-00-|-0000$"),
+        "iban": _mod97(m) == 1,
+        "ssn": ~m.rlike("^(000|666|9)|-00-|-0000$"),
+        "secret": n >= 4,
     }[kind]
 
 
-def _scored(kind: Kind, text: Column, x: Column) -> Column:
-    """The kind's score, raised by a context word within NEAR characters of the span."""
-    start = F.greatest(x["s"] - NEAR, F.lit(0))
-    around = F.concat(F.substring(text, start + 1, x["s"] - start), F.lit(" "), F.substring(text, x["e"] + 1, F.lit(NEAR)))
-    score = F.lit(kind.score) + F.when(F.lower(around).rlike(kind.context), BONUS).otherwise(0)
-    return F.struct(x["s"].alias("s"), x["e"].alias("e"), score.alias("score"))
+#: Kinds that may not stand inside a longer run of letters, digits and hyphens.
+ALONE = ("iban", "ssn")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, one array<struct<s, e, score>> for each kind, and the text, for every row of docs.
 
-    Null counts as the empty text, which has no spans. Repeated rows and null
-    ids stay as they are; an empty table gives no rows; other columns are ignored.
+    Null counts as the empty text, which has no spans. Texts of any length and
+    number of matches are gone through whole, in time in proportion to them.
+    Repeated rows and null ids stay as they are; an empty table gives no rows;
+    other columns are ignored.
     """
     t = F.col("text")
     out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    out = out.withColumns({f"m_{k.name}": F.when(t.rlike(k.hint), _spans(t, k.pattern)).otherwise(none) for k in KINDS})
-    return out.select("doc_id", "text", *[_confirmed(k, t).alias(k.name) for k in KINDS])
-
-
-def _confirmed(kind: Kind, text: Column) -> Column:
-    valid = F.filter(f"m_{kind.name}", lambda x: _valid(kind.name, text, x))
-    scored = F.transform(valid, lambda x: _scored(kind, text, x))
+    none = F.array().cast("array<struct<p:int,m:string>>")
+    out = out.withColumns({f"p_{k.name}": F.when(t.rlike(k.hint), _matches(t, k)).otherwise(none) for k in KINDS})
+    out = out.withColumns({f"m_{k.name}": _spans(F.col(f"p_{k.name}"), k) for k in KINDS})
+    some = sum((F.size(f"m_{k.name}") for k in KINDS), F.lit(0)) > 0
+    out = out.withColumn("pieces", F.when(some, _pieces(t)).otherwise(F.array().cast("array<string>"))).withColumn("length", F.char_length(t))
+    return out.select("doc_id", "text", "pieces", *[_confirmed(k).alias(k.name) for k in KINDS])
+
+
+def _confirmed(kind: Kind) -> Column:
+    """Spans with their scores, raised by a context word within NEAR characters; those that context rules out go."""
+    before = lambda x: _part(F.col("pieces"), F.greatest(x["s"] - NEAR, F.lit(0)), x["s"])
+    behind = lambda x: _part(F.col("pieces"), x["e"], F.least(x["e"] + NEAR, F.col("length")))
+    near = F.transform(f"m_{kind.name}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), before(x).alias("before"), behind(x).alias("behind")))
+    if kind.name in ALONE:
+        near = F.filter(near, lambda x: ~x["before"].rlike("[A-Za-z0-9-]$") & ~x["behind"].rlike("^[A-Za-z0-9-]"))
+    score = lambda x: F.lit(kind.score) + F.when(F.lower(F.concat(x["before"], F.lit(" "), x["behind"])).rlike(kind.context), BONUS).otherwise(0)
+    scored = F.transform(near, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), score(x).alias("score")))
     return F.filter(scored, lambda x: x["score"] >= kind.needed) if kind.needed else scored
 
 
@@ -134,6 +188,7 @@ def pii_digest(found: DataFrame) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(base.cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.concat(*listed.values()), ",").alias("spans"),
+        sum((F.size(k.name) for k in KINDS), F.lit(0)).cast("long").alias("n_spans"),
         F.array_join(scores, ",").alias("scores"),
     )
 
@@ -142,14 +197,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     """doc_id and text with every span replaced by a mark; overlapping spans become one. Null texts become empty."""
     found = find_pii(docs, id_col, text_col)
     spans = F.array_sort(F.concat(*[F.transform(k.name, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in KINDS]))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["s"] >= acc["at"]
-        kept = F.when(fresh, F.concat(F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], kept).alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1)))
-    return found.select("doc_id", done.alias("text"))
+    found = found.withColumn("spans", spans).withColumn("last", F.coalesce(F.array_max(F.transform("spans", lambda x: x["e"])), F.lit(0)))
+    # What is left between spans: from the furthest end so far to the next start, where that lies behind it.
+    left = _scan(F.col("spans"), "struct<s:int,e:int>", "struct<s:int,e:int>", lambda at, x: (F.greatest(at, x["e"]), F.when(x["s"] >= at, F.struct(at.alias("s"), x["s"].alias("e")))))
+    marked = F.array_join(F.transform(left, lambda x: F.concat(_part(F.col("pieces"), x["s"], x["e"]), F.lit(mark))), "")
+    whole = F.concat(marked, F.substr(F.col("text"), F.col("last") + 1))
+    return found.select("doc_id", F.when(F.size("spans") > 0, whole).otherwise(F.col("text")).alias("text"))
 
 
 def _sql() -> str:
@@ -166,7 +219,9 @@ def _sql() -> str:
         "phone": f"len({digits}) BETWEEN 8 AND 15",
         "iban": f"CASE WHEN {alone} THEN {mod97} ELSE false END",
         "ssn": f"{alone} AND NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$')",
+        "secret": f"len({digits}) >= 4",
     }
+    quoted = lambda x: x.replace("'", "''")
     parts = []
     for n, k in enumerate(KINDS):
         at = "list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(f[1:i-1], lambda x: len(x))), 0)"
@@ -175,19 +230,19 @@ def _sql() -> str:
 SELECT doc_id, {n} AS o, s, e, score FROM (SELECT *, {score} AS score FROM (
   SELECT doc_id, t, f[i] AS m, ({at})::BIGINT AS s, ({at})::BIGINT + len(f[i]) AS e FROM (
     SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (
-      SELECT doc_id, t, regexp_extract_all(t, '{k.plain}') AS f, string_split_regex(t, '{k.plain}') AS p FROM d)))
+      SELECT doc_id, t, regexp_extract_all(t, '{quoted(k.plain)}') AS f, string_split_regex(t, '{quoted(k.plain)}') AS p FROM d)))
   WHERE {valid[k.name]}) WHERE score >= {k.needed}""")
     names = "['" + "','".join(k.name for k in KINDS) + "'][o + 1]"
     counts = ", ".join(f"count(*) FILTER (o = {n}) AS n_{k}" for n, k in enumerate(BASE))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS ({" UNION ALL ".join(parts)}),
-g AS (SELECT doc_id, {counts},
+g AS (SELECT doc_id, {counts}, count(*) AS n_spans,
         coalesce(string_agg({names} || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (o < {len(BASE)}), '') AS base,
         string_agg({names} || ':' || s || ':' || e, ',' ORDER BY o, s) AS spans, string_agg(score::VARCHAR, ',' ORDER BY o, s) AS scores
       FROM f GROUP BY doc_id)
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256,
-       coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+       coalesce(spans, '') AS spans, coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(scores, '') AS scores
 FROM d LEFT JOIN g USING (doc_id)"""
 
 
