@@ -5,84 +5,112 @@ document and of a benchmark item, it gives hashes of the kept words; equal hashe
 are hits. A hit fixes how the item lies along the document, and the words around
 it are then compared place by place, which allows substitutions: a document is
 contaminated by an item when a window of `window` words (the whole item if it is
-shorter) has at least `share` of its words equal to the item's.
+shorter) has at least `share` of its words equal to the item's. Items of fewer than
+WHOLE words must occur whole and unchanged.
 
-The masks together hit every window of 13 words with up to 3 words replaced,
-wherever these are (tests/llm goes through all cases), so no overlap that the
-defaults count is missed for want of a hit; items of 8 to 12 words are hit
-wherever 2 neighbouring words, one ignored and 2 more are equal.
+The masks of an item hit every window with as many words replaced as the defaults
+allow, wherever these are (tests/llm goes through all cases), so no overlap that
+the defaults count is missed for want of a hit.
+
+Documents are first asked only where a seed of any item stands; which items these
+are is looked up with the words around at hand, and what doesn't hold is dropped
+there and then. So a phrase that many items and many documents share costs
+comparisons, but no rows that are shuffled or stored.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SEPARATOR_PATTERN, lower_ascii, size_mb, stored
 
-#: 1 keeps a word, 0 ignores it.
+#: 1 keeps a word, 0 ignores it. The second row is for items shorter than LONG words as well.
 MASKS = ("11011", "110101")
-SPAN = max(map(len, MASKS))
+SHORT_MASKS = ("1111", "110011")
+LONG, WHOLE = 13, 8
+SPAN = max(map(len, (*MASKS, *SHORT_MASKS)))
 #: Seeds of a benchmark up to this many words of text are sent to all executors; beyond it both sides are dealt by seed.
 BROADCAST_WORDS = 2_000_000
 #: Places of hits up to which their list is sent to where the texts are; beyond it both are dealt by document.
 SENT_HITS = 500_000
 
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks of an item of n words."""
+    return ("1" * n,) if n < WHOLE else MASKS if n >= LONG else MASKS + SHORT_MASKS
+
+
+def needed(n: int, window: int, share: float) -> int:
+    """Equal words that an item of n words asks for."""
+    return n if n < WHOLE else ceil(min(n, window) * share)
+
+
 def word_list(text: Column) -> Column:
     """Lower-cased words of a text; null and blank texts have none."""
     return F.filter(F.split(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), SEPARATOR_PATTERN), lambda w: w != "")
 
 
-def _seeded(rows: DataFrame, key: str) -> DataFrame:
-    """rows(key, words) by mask and word position: key, pos and seed. Only hashes are laid out by position, not the words."""
+def _seeded(rows: DataFrame, key: str, masks: dict[str, Column]) -> DataFrame:
+    """rows(key, words) by mask and word position: key, pos and seed; masks: each with the rows that it is for. Only hashes are laid out by position, not the words."""
     words, n = F.col("words"), F.size("words")
 
-    def seeds(m: int, mask: str) -> Column:
+    def seeds(mask: str, on: Column) -> Column:
         kept = [k for k, c in enumerate(mask) if c == "1"]
-        at = F.transform(F.sequence(F.lit(0), n - len(mask)), lambda i: F.xxhash64(F.lit(m), *[F.get(words, i + k) for k in kept]))
-        return F.when(n >= len(mask), at)
+        at = F.transform(F.sequence(F.lit(0), n - len(mask)), lambda i: F.xxhash64(F.lit(mask), *[F.get(words, i + k) for k in kept]))
+        return F.when((n >= len(mask)) & on, at)
 
-    arrays = rows.select(key, F.explode(F.array(*[seeds(m, mask) for m, mask in enumerate(MASKS)])).alias("seeds"))
+    arrays = rows.select(key, F.explode(F.array(*[seeds(m, on) for m, on in masks.items()])).alias("seeds"))
     return arrays.select(key, F.posexplode("seeds").alias("pos", "seed"))
 
 
-def _best_window(window: int) -> Column:
-    """The most equal words in a window of the aligned words, and the window's length."""
-    size = F.least(F.lit(window), F.size("item_words"))
-    equal = F.zip_with("aligned", "item_words", lambda a, b: F.when(a == b, 1).otherwise(0))
-    starts = F.sequence(F.lit(1), F.size("item_words") - size + 1)
-    best = F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice("equal", s, size), F.lit(0), lambda t, x: t + x)))
-    return equal, best, size
+def _around(words: Column, pos: Column, reach: int) -> Column:
+    """2 * reach + SPAN words from reach before pos, null outside the text."""
+    return F.transform(F.sequence(F.lit(-reach), F.lit(reach + SPAN - 1)), lambda k: F.when(pos + k >= 0, F.get(words, pos + k)))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: float = 0.75, least: int = 8) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = LONG, share: float = 0.75, least: int = 1) -> DataFrame:
     """Pairs doc_id, item_id, doc_pos, equal_words, window_words of documents and the items found in them; at most one row a pair.
 
-    Items of fewer than `least` words are no evidence and are left out, as are
-    rows without ids. Null or blank texts match nothing; either table may be
-    empty. Repeated rows of a document or an item count once. Ties between
-    places of an item go to the one with most equal words, then to the first.
+    Items of fewer than `least` words are left out, as are rows without ids and
+    items without words. Null or blank texts match nothing; either table may be
+    empty. Repeated rows of a document or an item count once, and rows that repeat
+    an id with another text count for that id. Texts of any length are searched
+    whole. Ties between places of an item go to the one with most equal words, then
+    to the first.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_list(F.col("text")).alias("item_words")).where((F.size("item_words") >= max(least, SPAN)) & F.col("item_id").isNotNull())
+    n = F.size("item_words")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_list(F.col("text")).alias("item_words")).where((n >= max(least, 1)) & F.col("item_id").isNotNull())
     items = items.groupBy("item_id", "item_words").agg(F.lit(1).alias("one")).drop("one")
-    n = items.agg(F.sum(F.size("item_words"))).first()[0] or 0
-    small = F.broadcast if n <= BROADCAST_WORDS and size_mb(benchmark) <= 64 else (lambda df: df)
-    item_key = F.xxhash64("item_id", "item_words").alias("item")  # rows that repeat an item_id with another text are items of their own
-    items = items.withColumn("item", item_key)
-    seeds = _seeded(items.select("item", F.col("item_words").alias("words")), "item").withColumnRenamed("pos", "item_pos")
+    lengths = [r["n"] for r in items.select(F.least(n, F.lit(LONG)).alias("n")).distinct().collect()]  # LONG rows at most
+    total = items.agg(F.sum(n)).first()[0] or 0
+    small = F.broadcast if total <= BROADCAST_WORDS and size_mb(benchmark) <= 64 else (lambda df: df)
+    items = items.withColumn("item", F.xxhash64("item_id", "item_words"))  # rows that repeat an item_id with another text are items of their own
+    of = {m: [k for k in lengths if m in masks_of(k)] for m in sorted({m for k in lengths for m in masks_of(k)})}
+    length = F.least(F.size("words"), F.lit(LONG))
+    seeds = _seeded(items.select("item", F.col("item_words").alias("words")), "item", {m: length.isin(ks) for m, ks in of.items()}) if of else None
+    if seeds is None:  # no items, so nothing is found
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("doc_pos"), F.lit(0).alias("equal_words"), F.lit(0).alias("window_words")).where("false")
+    seeds = seeds.withColumnRenamed("pos", "item_pos")
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_list(F.col(text_col)).alias("words")).where("doc_id IS NOT NULL")
-    hits = _seeded(words, "doc_id").join(small(seeds), "seed").select("doc_id", "item", (F.col("pos") - F.col("item_pos")).alias("doc_pos"))
-    hits = stored(hits.distinct(), "hits")
-    found = F.broadcast(hits) if hits.count() <= SENT_HITS else hits
-    lead = -F.col("doc_pos")  # item words before the document's first word
-    start = F.greatest(F.col("doc_pos"), F.lit(0))
-    padded = F.concat(F.array_repeat(F.lit(None).cast("string"), F.greatest(lead, F.lit(0))), F.slice("words", start + 1, F.size("item_words") - F.greatest(lead, F.lit(0))))
-    laid = words.join(found, "doc_id").join(small(items), "item")
-    laid = laid.select("doc_id", "item_id", "item_words", "doc_pos", padded.alias("aligned"))
-    equal, best, size = _best_window(window)
-    scored = laid.withColumn("equal", equal).select("doc_id", "item_id", "doc_pos", best.alias("equal_words"), size.alias("window_words"))
-    found = scored.where(F.col("equal_words") >= F.ceil(F.col("window_words") * share))
+    places = _seeded(words, "doc_id", {m: F.lit(True) for m in of}).join(small(seeds.select("seed").distinct()), "seed", "left_semi")
+    hits = stored(places.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "seed")).alias("hits")), "hits")
+    few = (hits.agg(F.sum(F.size("hits"))).first()[0] or 0) <= SENT_HITS
+    reach = max(window, LONG) - 1
+    laid = words.join(F.broadcast(hits) if few else hits, "doc_id").select("doc_id", "words", F.explode("hits").alias("hit"))
+    laid = laid.select("doc_id", F.col("hit.pos").alias("pos"), F.col("hit.seed").alias("seed"), _around(F.col("words"), F.col("hit.pos"), reach).alias("near"))
+    laid = laid.join(small(seeds), "seed").join(small(items), "item")
+    equal = F.zip_with("near", _around(F.col("item_words"), F.col("item_pos"), reach), lambda a, b: F.when(a == b, 1).otherwise(0))
+    size = F.when(n < WHOLE, n).otherwise(F.least(F.lit(window), n))
+    need = F.when(n < WHOLE, n).otherwise(F.ceil(size * share))
+    laid = laid.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("doc_pos"), (F.col("item_pos") - reach).alias("from"), n.alias("n"), size.alias("window_words"), need.alias("need"), equal.alias("equal"))
+    laid = laid.where(F.aggregate("equal", F.lit(0), lambda t, x: t + x) >= F.col("need"))
+    # The item's windows that lie wholly inside what was compared.
+    first, last = F.greatest(-F.col("from"), F.lit(0)), F.least(F.col("n") - F.col("from"), F.lit(2 * reach + SPAN)) - F.col("window_words")
+    best = F.array_max(F.transform(F.sequence(first, last), lambda s: F.aggregate(F.slice("equal", s + 1, F.col("window_words")), F.lit(0), lambda t, x: t + x)))
+    found = laid.withColumn("equal_words", F.when(first <= last, best)).where(F.col("equal_words") >= F.col("need"))
     top = F.max_by(F.struct("doc_pos", "equal_words", "window_words"), F.struct("equal_words", -F.col("doc_pos"))).alias("top")
     return found.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", "top.doc_pos", "top.equal_words", "top.window_words")
 

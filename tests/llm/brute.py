@@ -58,17 +58,17 @@ def remove_repeats(rows, length=50):
     return out
 
 
-def contaminated(docs, items, window=13, share=0.75, least=8):
-    """Pairs (doc_id, item_id) with a window of enough equal words on some alignment; all alignments are tried."""
+def contaminated(docs, items, window=13, share=0.75, whole=8):
+    """Pairs (doc_id, item_id) with a window of enough equal words on some alignment, all words for items under `whole`; all alignments are tried."""
     out = set()
     for i, t in docs:
         d = words(t)
         for j, u in items:
             b = words(u)
-            if len(b) < least:
+            if not b:
                 continue
             size = min(window, len(b))
-            need = -(-size * share // 1)
+            need = -(-size * share // 1) if len(b) >= whole else len(b)
             for lead in range(-len(b) + 1, len(d)):
                 equal = [0 <= lead + x < len(d) and d[lead + x] == b[x] for x in range(len(b))]
                 if max(sum(equal[s : s + size]) for s in range(len(b) - size + 1)) >= need:

@@ -355,34 +355,42 @@ def test_quality(spark, model):
 # 8 ------------------------------------------------------------------------
 
 
-def test_masks_hit_every_window_with_three_substitutions():
-    for n in range(4):
-        for gone in itertools.combinations(range(13), n):
-            assert any(all(at + k not in gone for k, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for at in range(13 - len(m) + 1))
-
-
-def test_decontamination(spark):
+def test_masks_hit_every_window_with_as_many_substitutions_as_allowed():
+    for words in range(1, 30):
+        size = min(words, 13)
+        for n in range(size - decontaminate.needed(words, 13, 0.75) + 1):
+            for gone in itertools.combinations(range(size), n):
+                assert any(all(at + k not in gone for k, c in enumerate(m) if c == "1") for m in decontaminate.masks_of(words) for at in range(size - len(m) + 1))
+
+
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_decontamination(spark, monkeypatch, sent):
+    """Equal to brute force for items of all lengths, also with a phrase that many items and documents share."""
+    monkeypatch.setattr(decontaminate, "SENT_HITS", sent)
     rng = random.Random(8)
     vocab = [f"v{i}" for i in range(400)]
-    items = [(j, " ".join(rng.choice(vocab) for _ in range(rng.choice([5, 8, 10, 13, 20, 40])))) for j in range(30)]
+    items = [(j, " ".join(rng.choice(vocab) for _ in range(n))) for j, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 8, 9, 9, 10, 10, 11, 11, 12, 12, 13, 13, 14, 20, 40])]
+    items += [(50 + j, "choose the one right answer of these: " + " ".join(rng.choice(vocab) for _ in range(9))) for j in range(15)]
     docs = []
-    for i in range(120):
+    for i in range(260):
         t = [rng.choice(vocab) for _ in range(rng.randrange(0, 60))]
         if i % 3:
             x = rng.choice(items)[1].upper().split() if i % 2 else rng.choice(items)[1].split()
-            for _ in range(rng.randrange(0, 6)):
+            for _ in range(rng.randrange(0, 5)):
                 x[rng.randrange(len(x))] = rng.choice(vocab)
             at = rng.randrange(len(t) + 1)
-            t[at:at] = x[rng.randrange(0, 4) :]
+            t[at:at] = x[rng.randrange(0, 3) :]
+        if i % 5 == 0:
+            t += "choose the one right answer of these: yes".split()
         docs.append((i, " ".join(t)))
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench = spark.createDataFrame([*items, (90, ""), (91, None), (None, "v1 v2")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(frame(spark, docs), bench).collect()}
     want = brute.contaminated(docs, items)
-    long_ = {j for j, t in items if len(t.split()) >= 13}
-    assert {p for p in want if p[1] in long_} == {p for p in got if p[1] in long_}
-    assert got <= want and want
+    assert got == want and len({j for _, j in want}) > 25
     left = {r.doc_id for r in decontaminate.decontaminate(frame(spark, docs), bench).collect()}
     assert left == {i for i, _ in docs} - {i for i, _ in got}
+    assert decontaminate.contamination(frame(spark, docs), bench.where("false")).count() == 0
+    assert decontaminate.decontaminate(frame(spark, docs), bench.where("false")).count() == len(docs)
 
 
 # 9 ------------------------------------------------------------------------
