@@ -13,19 +13,22 @@
    class with its most similar end, then all pairs that still lie in different
    components.
 5. What is left are pairs of a bucket's inner members. Survivors make clusters, and
-   buckets whose inner members lie in several clusters are gone through in chunks of
-   bounded size: each pair of chunks is one task, which prunes as before and puts
-   out only survivors that connect clusters anew. In large buckets members must
-   agree in a second band too, so that many documents with one common passage do
-   not all meet. A cluster so completed that holds several components of verified
+   buckets whose inner members lie in several clusters are gone through in parts of
+   bounded size: each pair of parts is a task, which prunes as before and puts
+   out only survivors that connect clusters anew. Similar sets are of similar size, so
+   members are dealt by classes of size, and only parts of the same or neighbouring
+   classes meet. A cluster so completed that holds several components of verified
    links is cut into chunks likewise: there a set can share no more than what occurs
    in the other chunk at all, which with the sizes rules most pairs out; the others
    are compared and verified as before, and only links that connect something new
    are put out.
 6. Components of the verified links, found without the driver, are the groups.
 
-At 40 bands of 6 rows, a pair at the threshold 0.8 fails to agree in any band with
-probability 5e-6, and in any two of them with 8e-5.
+The rules are the same for buckets of all sizes: a pair that agrees in one band is a
+candidate. At 40 bands of 6 rows, a pair at the threshold 0.8 fails to agree in any
+band with probability 5e-6. Tasks are of bounded size, but their number grows with
+the square of the members of one size class of one bucket or cluster that aren't
+connected yet.
 """
 
 from __future__ import annotations
@@ -42,10 +45,9 @@ from .common import mixed, raw, shingles, steps, stored, word_hashes
 from .graph import components
 
 BANDS, ROWS, BATCH = 40, 6, 40
-#: Members of a part of a bucket, whose signatures one task compares, and members beyond which pairs must agree in a
-#: second band: where a member would go to more tasks, one for each part, than it has other bands.
-PART = 1024
-LARGE = BANDS * PART
+#: Members of a part of a bucket at least, and at least so many times the root of all members: the rows sent to tasks
+#: grow with the power 1.5 of a bucket's members. Rows of tasks that are worked off together.
+PART, PART_ROOT, SLOT_ROWS = 512, 8, 4096
 #: Members of a chunk, and ids up to which a list of documents is sent to all executors to pick their texts.
 CHUNK, SENT_IDS = 256, 500_000
 _rng = np.random.Generator(np.random.PCG64(5))
@@ -212,56 +214,61 @@ def _chunk_links(k: int, percent: int, miss: float):
     return run
 
 
-def _chunk_survivors(threshold: float, miss: float):
-    """Survivors between the two sides of a pair of a bucket's chunks, as many as connect clusters anew."""
+def _part_survivors(threshold: float, miss: float):
+    """Survivors between the two sides of each of some tasks, as many as connect clusters anew in their task."""
     bounds = least_matches(threshold, miss)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        ids, comp, side = (np.asarray(t.column(c)) for c in ("rep", "c", "side"))
+        tasks, ids, comp, side = (np.asarray(t.column(c)) for c in ("task", "rep", "c", "side"))
         sig = _matrix(t.column("sig").combine_chunks())
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(right):  # a chunk with itself
-            left = right = np.arange(len(ids))
-        forest, x, p = Forest(comp), [], []
-        for i in left:
-            j = right[right > i] if left is right else right
-            for y in _similar(sig, i, j[comp[j] != comp[i]], bounds):
-                ri, ry = forest.root(int(comp[i])), forest.root(int(comp[y]))
-                if ri != ry:
-                    forest.join(ri, ry)
-                    x.append(max(ids[i], ids[y]))
-                    p.append(min(ids[i], ids[y]))
+        order = np.argsort(tasks, kind="stable")
+        cut = np.append(np.flatnonzero(np.append(True, tasks[order][1:] != tasks[order][:-1])), len(order))
+        x, p = [], []
+        for at, end in zip(cut[:-1], cut[1:], strict=True):
+            own = order[at:end]
+            left, right = own[side[own] == 0], own[side[own] == 1]
+            alone = not len(right)  # a part with itself
+            forest = Forest(comp[own])
+            for n, i in enumerate(left):
+                j = left[n + 1 :] if alone else right
+                for y in _similar(sig, i, j[comp[j] != comp[i]], bounds):
+                    ri, ry = forest.root(int(comp[i])), forest.root(int(comp[y]))
+                    if ri != ry:
+                        forest.join(ri, ry)
+                        x.append(max(ids[i], ids[y]))
+                        p.append(min(ids[i], ids[y]))
         return pa.table({"x": pa.array(x, pa.int64()), "p": pa.array(p, pa.int64())})
 
     return run
 
 
 def _cluster_links(nodes: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
-    """Links inside clusters between components; nodes(rep, cluster, c)."""
+    """Links inside clusters between components; nodes(rep, cluster, c), sigs(rep, sig, cls)."""
     sizes = nodes.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("size"))
-    small = F.sum(F.when(F.col("size") <= CHUNK, F.col("size")).otherwise(0)).alias("small")
-    open_ = sizes.groupBy("cluster").agg(F.count(F.lit(1)).alias("comps"), small).where("comps > 1")
-    sizes = stored(sizes.join(open_.select("cluster", "small"), "cluster"), "sizes")
-    rows = nodes.join(sizes, ["cluster", "c"])
-    # A large component has chunks of its own; whole small components share chunks.
-    own = F.when(F.col("size") > CHUNK, F.col("c")).otherwise(-1)
-    part = F.when(F.col("size") > CHUNK, F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CHUNK))).otherwise(F.pmod(F.xxhash64("c"), F.ceil(F.col("small") / CHUNK)))
-    rows = stored(rows.select("rep", "cluster", "c", own.alias("own"), part.cast("long").alias("part")), "chunk-rows")
-    chunks = stored(rows.select("cluster", "own", "part").distinct(), "chunks")
-    other = chunks.select("cluster", F.col("own").alias("own2"), F.col("part").alias("part2"))
-    ordered = (F.col("own") < F.col("own2")) | ((F.col("own") == -1) & (F.col("own2") == -1) & (F.col("part") <= F.col("part2")))
-    pairs = stored(chunks.join(other, "cluster").where(ordered), "chunk-pairs")
-    task = F.xxhash64("cluster", "own", "part", "own2", "part2").alias("task")
-    first = pairs.join(rows, ["cluster", "own", "part"]).select(task, "rep", "c", F.lit(0).alias("side"))
-    second = pairs.where("own <> own2 OR part <> part2").join(rows.withColumnsRenamed({"own": "own2", "part": "part2"}), ["cluster", "own2", "part2"]).select(task, "rep", "c", F.lit(1).alias("side"))
-    full = rows.select("rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep").join(sigs, "rep")
+    open_ = sizes.groupBy("cluster").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1").select("cluster")
+    rows = stored(nodes.join(sizes.join(open_, "cluster"), ["cluster", "c"]).join(sigs.select("rep", "cls"), "rep"), "open-nodes")
+    # A large component has chunks of its own; whole small components share chunks. Either has them for each class of sizes.
+    rows = rows.withColumn("own", F.when(F.col("size") > CHUNK, F.col("c")).otherwise(-1))
+    counts = rows.groupBy("cluster", "own", "cls").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
+    part = F.pmod(F.xxhash64(F.when(F.col("own") == -1, F.col("c")).otherwise(F.col("rep"))), F.col("parts")).cast("long")
+    rows = stored(rows.join(counts, ["cluster", "own", "cls"]).select("rep", "cluster", "c", "own", "cls", part.alias("part")), "chunk-rows")
+    chunks = stored(rows.select("cluster", "own", "cls", "part").distinct(), "chunks")
+    other = chunks.select("cluster", F.col("own").alias("own2"), F.col("cls").alias("cls2"), F.col("part").alias("part2"))
+    near = chunks.withColumn("cls2", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
+    one, two = F.struct("own", "cls", "part"), F.struct(F.col("own2").alias("own"), F.col("cls2").alias("cls"), F.col("part2").alias("part"))
+    small = (F.col("own") == -1) & (F.col("own2") == -1)
+    pairs = stored(near.join(other, ["cluster", "cls2"]).where(((one < two) & (F.col("own") != F.col("own2"))) | ((one <= two) & small)), "chunk-pairs")
+    task = F.xxhash64("cluster", "own", "cls", "part", "own2", "cls2", "part2").alias("task")
+    first = pairs.join(rows, ["cluster", "own", "cls", "part"]).select(task, "rep", "c", F.lit(0).alias("side"))
+    second = pairs.where(one != two).join(rows.withColumnsRenamed({"own": "own2", "cls": "cls2", "part": "part2"}), ["cluster", "own2", "cls2", "part2"]).select(task, "rep", "c", F.lit(1).alias("side"))
+    full = rows.select("rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep").join(sigs.select("rep", "sig"), "rep")
     work = first.unionByName(second).join(stored(full, "chunk-texts"), "rep")
     return stored(work.groupBy("task").applyInArrow(_chunk_links(k, percent, miss), "a long, b long"), "links")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def _picked(base: DataFrame, ids: DataFrame) -> DataFrame:
@@ -272,21 +279,26 @@ def _picked(base: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs that has an id.
+    """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Sets are the distinct shingles of k lower-cased words; a shorter text's whole
     sequence is its one shingle; a text without words (null, empty, blank) has the
     empty set and is linked with nothing. Documents are linked when
     100 * intersection >= percent * union, and component_id is the smallest
     doc_id reachable. Repeated rows each get the same row. Rows without an id can
-    neither be named nor name a group and are left out; an empty table gives no
-    rows; other columns are ignored. Shingles are told apart by 64-bit hashes.
+    neither be named nor name a group: they are linked with nothing, their
+    component_id is null and they are kept. An empty table gives no rows; other
+    columns are ignored. Texts are taken whole, one at a time where they are long.
+    Shingles are told apart by 64-bit hashes.
     """
     base = _texts(docs, id_col, text_col)
     signed = stored(base.mapInArrow(_signed(k), "doc_id long, n_shingles long, key binary, sig binary"), "signed")
-    reps = stored(signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    sigs = reps.select("rep", "sig")
-    bands = sigs.mapInArrow(_banded, "band long, rep long")
+    named_ = signed.where("key IS NOT NULL AND doc_id IS NOT NULL")
+    # Sets of similar size are in the same or in neighbouring classes.
+    cls = F.floor(F.log(F.first("n_shingles")) / float(np.log(100 / percent) * 1.0001)).alias("cls")
+    reps = stored(named_.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), cls), "classes")
+    sigs = reps.select("rep", "sig", "cls")
+    bands = sigs.select("rep", "sig").mapInArrow(_banded, "band long, rep long")
     buckets = stored(bands.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi"), "buckets")
     members = stored(bands.join(buckets, "band"), "members")
 
@@ -322,28 +334,37 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
     links = links.unionByName(_cluster_links(stored(nodes, "nodes"), texts, sigs, k, percent, miss))
     comps = stored(components(links), "components")
     named = stored(reps.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component")), "named")
-    out = signed.select("doc_id", "n_shingles", "key").join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = signed.select("doc_id", "n_shingles", "key").join(named, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _remaining(members: DataFrame, clusters: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Survivors x > p of buckets' inner members, as many as connect different clusters in a task."""
-    inner = members.where("n > 3 AND rep <> lo AND rep <> hi").join(clusters.withColumnRenamed("node", "rep"), "rep", "left").select("band", "n", "rep", F.coalesce("component", "rep").alias("c"))
-    several = lambda rows: rows.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1").select("band", "size")
-    inner = stored(inner.join(stored(several(inner), "open"), "band"), "inner")
-    large = inner.where(F.col("n") > LARGE)
-    other = members.select(F.col("rep"), F.col("band").alias("second"))
-    twice = large.join(other, "rep").where("band <> second").select(F.xxhash64(F.least("band", "second"), F.greatest("band", "second")).alias("band"), "rep", "c").distinct()
-    twice = twice.join(stored(several(twice), "open"), "band")
-    small = inner.where(F.col("n") <= LARGE)
-    rows = small.select("band", "size", "rep", "c").unionByName(twice.select("band", "size", "rep", "c"))
-    parts = F.ceil(F.col("size") / PART).cast("long").alias("parts")
-    rows = stored(rows.select("band", "rep", "c", parts, F.pmod(F.xxhash64("rep"), parts).alias("part")), "open-members")
-    # Each chunk goes to one task for each chunk of its bucket, itself included.
-    mates = rows.withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    task = F.xxhash64("band", F.least("part", "mate"), F.greatest("part", "mate")).alias("task")
-    work = mates.select(task, "rep", "c", (F.col("part") > F.col("mate")).cast("int").alias("side")).join(sigs, "rep")
-    return stored(work.groupBy("task").applyInArrow(_chunk_survivors(threshold, miss), "x long, p long").distinct(), "remaining")
+    """Survivors x > p of buckets' inner members, as many as connect different clusters in a task; sigs(rep, sig, cls)."""
+    inner = members.where("n > 3 AND rep <> lo AND rep <> hi").join(clusters.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
+    several = inner.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band")
+    inner = stored(inner.join(stored(several, "open"), "band").join(sigs.select("rep", "cls"), "rep"), "inner")
+    n = F.count(F.lit(1))
+    counts = stored(inner.groupBy("band", "cls").agg(F.ceil(n / F.greatest(F.lit(PART), PART_ROOT * F.sqrt(n))).cast("long").alias("parts")), "parts")
+    above = counts.select("band", (F.col("cls") - 1).alias("cls"), F.col("parts").alias("above"))
+    below = counts.select("band", (F.col("cls") + 1).alias("cls"), F.col("parts").alias("below"))
+    around = counts.join(above, ["band", "cls"], "left").join(below, ["band", "cls"], "left")
+    rows = inner.join(around, ["band", "cls"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    # Each part goes to one task for each part of its own class, itself included, and of the classes above and below.
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(F.array().cast("array<bigint>"))
+    mate = lambda of, low, high, side: F.transform(upto(of), lambda m: F.struct(low(m).alias("low"), high(m).alias("high"), F.lit(of == "parts").alias("own"), side(m).cast("int").alias("side")))
+    part = F.col("part")
+    mates = F.concat(
+        mate("parts", lambda m: F.least(part, m), lambda m: F.greatest(part, m), lambda m: part > m),
+        mate("above", lambda m: part, lambda m: m, lambda m: F.lit(False)),
+        mate("below", lambda m: m, lambda m: part, lambda m: F.lit(True)),
+    )
+    base = F.when(F.col("mate.own") | (F.col("mate.side") == 0), F.col("cls")).otherwise(F.col("cls") - 1)
+    task = F.xxhash64("band", base, "mate.own", "mate.low", "mate.high").alias("task")
+    work = stored(rows.withColumn("mate", F.explode(mates)).select(task, "rep", "c", F.col("mate.side").alias("side")), "tasks")
+    spark = members.sparkSession
+    slots = max(work.count() // SLOT_ROWS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    work = work.join(sigs.select("rep", "sig"), "rep").withColumn("slot", F.pmod("task", F.lit(slots)))
+    return stored(work.groupBy("slot").applyInArrow(_part_survivors(threshold, miss), "x long, p long").distinct(), "remaining")
 
 
 def near_duplicate_filter(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
