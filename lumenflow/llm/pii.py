@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ class Kind:
     name: str
     pattern: str
     plain: str
-    hint: str  # a text without a match of this has no span of the kind
+    hint: str | tuple[str, ...]  # a text without a match of this, or without any of these, has no span of the kind
     score: int  # per cent, before context
     context: str
     needed: int = 0  # spans below this score are dropped
@@ -36,13 +37,13 @@ class Kind:
 _NAMED_SECRET = "(?:token|Token|TOKEN|secret|Secret|SECRET|password|Password|PASSWORD|passwd|api[_-]?key|Api[_-]?[Kk]ey|API[_-]?KEY|access[_-]?key|ACCESS[_-]?KEY)"
 _SECRET = f"(?:{_NAMED_SECRET}" + r"[\"']?\x20?[:=]\x20?[\"']?|AKIA|gh[pousr]_|sk-|xox[abprs]-)[A-Za-z0-9_./+=-]{16,}"
 KINDS = (
-    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "@", 80, "mail|contact|write|reply"),
+    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", ("@",), 80, "mail|contact|write|reply"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]\.[0-9]", 70, "ip|host|server|address"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9]([\x20-]?[0-9])+", r"[0-9][\x20-]?[0-9]", 90, "card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 60, "phone|call|tel|mobile|fax"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", "[A-Z]{2}[0-9]{2}", 90, "iban|bank|account|transfer"),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 40, "ssn|social|security|tax", 50),
-    Kind("secret", _SECRET + "+", _SECRET, _NAMED_SECRET + r"|AKIA|gh[pousr]_|sk-|xox[abprs]-", 60, "key|auth|login|credential|bearer"),
+    Kind("secret", _SECRET + "+", _SECRET, r"[:=]\x20?[\"']?[A-Za-z0-9_./+=-]{16}|AKIA|gh[pousr]_|sk-|xox[abprs]-", 60, "key|auth|login|credential|bearer"),
 )
 BASE = ("email", "ip", "card", "phone")
 IP_PATTERN = r"^(0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.|$)){4}$"
@@ -81,6 +82,12 @@ def _matches(text: Column, kind: Kind) -> Column:
     return F.zip_with(between, matches, lambda p, m: F.struct(F.char_length(p).alias("p"), m.alias("m")))
 
 
+def _hinted(text: Column, kind: Kind) -> Column:
+    if isinstance(kind.hint, str):
+        return text.rlike(kind.hint)
+    return reduce(lambda a, b: a | b, [text.contains(h) for h in kind.hint])
+
+
 def _spans(pairs: Column, kind: Kind) -> Column:
     """Places of the matches that may be valid: array<struct<s, e, m>>."""
 
@@ -155,7 +162,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     t = F.col("text")
     out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     none = F.array().cast("array<struct<p:int,m:string>>")
-    out = out.withColumns({f"p_{k.name}": F.when(t.rlike(k.hint), _matches(t, k)).otherwise(none) for k in KINDS})
+    out = out.withColumns({f"p_{k.name}": F.when(_hinted(t, k), _matches(t, k)).otherwise(none) for k in KINDS})
     out = out.withColumns({f"m_{k.name}": _spans(F.col(f"p_{k.name}"), k) for k in KINDS})
     some = sum((F.size(f"m_{k.name}") for k in KINDS), F.lit(0)) > 0
     out = out.withColumn("pieces", F.when(some, _pieces(t)).otherwise(F.array().cast("array<string>"))).withColumn("length", F.char_length(t))
