@@ -5,14 +5,15 @@ texts labelled bad. A text is cut into blocks, each block is compressed with
 either dictionary, and the difference of the two sizes over the text's size,
 with the sizes themselves, is turned into a score by a logistic calibration.
 
-Only the bounded sample of labelled rows that the dictionaries and the
-calibration are fitted on comes to the driver: at most `per_class` texts of each
-label, of which at most `text_bytes` each are used. Scoring covers whole texts.
+Dictionaries and calibration are fitted on a bounded sample of labelled rows, at
+most `per_class` of each label, whose whole texts are used and stay in Spark: what
+comes to the driver are at most `dict_blocks` blocks of each label, taken by hash
+from all over the texts, and the features of the calibration rows, which are
+computed in tasks. Scoring covers whole texts.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Bytes of a block: short enough for a dictionary to matter in each.
 BLOCK = 2048
 LEVEL = 3
@@ -74,14 +77,30 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = 3000, text_bytes: int = 6000, dict_bytes: int = 65536, seed: int = 7) -> QualityModel:
+def _own_blocks(texts: DataFrame, made_from: DataFrame) -> DataFrame:
+    """quality, block: the texts of made_from in blocks of BLOCK bytes, without lines that several of the texts have.
+
+    A line that several documents have would be learnt by heart, for the label of whichever side has more of it.
+    """
+    lines = lambda rows: rows.select("doc_id", "quality", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    once = lines(texts).groupBy(F.xxhash64("line").alias("h")).agg(F.countDistinct("doc_id").alias("n")).where("n = 1").select("h")
+    own = lines(made_from).join(once, F.xxhash64("line") == F.col("h"), "left_semi")
+    whole = own.groupBy("doc_id", "quality").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
+    whole = whole.select("doc_id", "quality", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").cast("binary").alias("text")).where(F.octet_length("text") > 0)
+    return whole.select("doc_id", "quality", "text", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / BLOCK).cast("int"))).alias("at")).select(
+        "quality", F.xxhash64("doc_id", "at").alias("o"), F.substring(F.col("text"), F.col("at") * BLOCK + 1, F.lit(BLOCK)).alias("block")
+    )
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = 3000, dict_blocks: int = 3000, dict_bytes: int = 65536, seed: int = 7) -> QualityModel:
     """A model from docs(doc_id, text) and labels(doc_id, quality), where quality is 0 or 1.
 
     The sample is the per_class rows of each label with the smallest hash of
     doc_id, so it doesn't depend on partitions. Half of it makes the
     dictionaries, the other half fits the calibration, at the labels' own rates.
-    Null ids, texts and labels are left out. Without rows of both labels the
-    score is the rate of label 1 (one half without any rows).
+    Null ids, texts and labels are left out; of rows that repeat an id the greatest
+    text counts, of labels the smallest. Texts are used whole, however long. Without
+    a few rows of both labels the score is the rate of label 1 (one half without any).
     """
     import zstandard as zstd
 
@@ -93,33 +112,44 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = 3000, tex
         part = known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     picked = F.broadcast(picked)  # 2 * per_class rows of two numbers at most
-    cut = F.substring(F.col("text").cast("string"), 1, text_bytes)
-    rows = docs.where("text IS NOT NULL").select("doc_id", cut.alias("text")).join(picked, "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text")).select(order.alias("o"), "quality", "text").collect()
-    rows.sort(key=lambda r: (r["o"], r["text"]))
-    half = {q: [r["text"].encode() for r in rows if r["quality"] == q] for q in (0, 1)}
+    rows = docs.where("text IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
+    texts = stored(rows, "quality-sample")
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2))
+    blocks = stored(_own_blocks(texts, texts.where(turn == 0)), "quality-blocks")
+    taken = {q: [bytes(r["block"]) for r in blocks.where(F.col("quality") == q).orderBy("o", "block").limit(dict_blocks).select("block").collect()] for q in (0, 1)}
     rate = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    if min(map(len, half.values())) < 8:
-        bias = float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
-        return QualityModel(b"good", b"bad", (bias, 0, 0, 0, 0, 0, 0))
+    bias = float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
+    constant = QualityModel(b"good", b"bad", (bias, 0, 0, 0, 0, 0, 0))
+    if not (taken[0] and taken[1]):
+        return constant
 
-    def dictionary(texts: list[bytes]) -> bytes:
-        parts = [t[at : at + BLOCK] for t in texts for at in range(0, len(t), BLOCK)]
-        parts = [p for p in parts if p] * (1 + 200 // max(1, len(parts)))
+    def dictionary(parts: list[bytes]) -> bytes:
+        parts = parts * (1 + 200 // len(parts))
         try:
             return zstd.train_dictionary(dict_bytes, parts, level=LEVEL).as_bytes()
         except zstd.ZstdError:  # too little text for training: the text itself is the dictionary
-            return b"".join(parts)[-dict_bytes:] or b"none"
-
-    # A line that several documents have would be learnt by heart, for the label of whichever side has more of it.
-    seen = Counter(line for texts in half.values() for t in texts for line in set(t.split(b"\n")))
-    own = {q: [b"\n".join(x for x in t.split(b"\n") if seen[x] == 1) for t in texts[::2]] for q, texts in half.items()}
-    model = QualityModel(dictionary(own[1]), dictionary(own[0]), ())
-    x = np.vstack([_expanded(model.features(half[q][1::2])) for q in (0, 1)])
-    y = np.concatenate([np.full(len(half[q][1::2]), float(q)) for q in (0, 1)])
-    weight = np.where(y == 1, counts[1] / len(half[1][1::2]), counts[0] / len(half[0][1::2])) / sum(counts.values()) * len(y)
+            return b"".join(parts)[-dict_bytes:]
+
+    model = QualityModel(dictionary(taken[1]), dictionary(taken[0]), ())
+    fitted = texts.where(turn == 1).select("doc_id", "quality", "text").mapInArrow(_featured(model), "doc_id long, quality int, d double, g double, b double").collect()
+    fitted.sort(key=lambda r: r["doc_id"])
+    y = np.array([r["quality"] for r in fitted], float)
+    if min((y == q).sum() for q in (0, 1)) < 4:
+        return constant
+    x = _expanded(np.array([(r["d"], r["g"], r["b"]) for r in fitted]))
+    weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum()) / sum(counts.values()) * len(y)
     return QualityModel(model.good, model.bad, tuple(map(float, _fit_logistic(x, y, weight))))
 
 
+def _featured(model: QualityModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = model.features([x or b"" for x in b.column(2).cast(pa.binary()).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.float64()) for c in f.T]], names=["doc_id", "quality", "d", "g", "b"])
+
+    return run
+
+
 def _scores(model: QualityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

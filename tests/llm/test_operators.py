@@ -354,6 +354,30 @@ def test_quality(spark, model):
     assert quality.score_quality(docs, none).where("score = 0.5").count() == 4
 
 
+def test_quality_on_held_out_labels(spark):
+    """Whole texts of sf0.01's labelled rows that the model hasn't seen: the chance that a good one scores above a bad one, and the calibration."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    rows = queries.op7_quality(spark, sf).where("held_out").join(labels, "doc_id").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    auc = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+    assert len(rows) > 50 and auc >= 0.85
+    right = np.mean([r.predicted == r.quality for r in rows])
+    assert right >= max(len(good), len(bad)) / len(rows)
+    assert all(r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+def test_quality_learns_from_whole_texts(spark):
+    """What tells the labels apart stands far behind the beginning."""
+    rng = random.Random(7)
+    start = " ".join(f"s{rng.randrange(50)}" for _ in range(2500))
+    docs = [(i, f"{start} {i} " + " ".join(rng.choice(["plain", "quiet", "calm", "words"] if i % 2 else ["BUY", "NOW", "CHEAP", "DEAL"]) + str(rng.randrange(30)) for _ in range(900))) for i in range(120)]
+    d = frame(spark, docs)
+    model = quality.train_quality(d, d.where("doc_id < 90").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+    got = quality.score_quality(d.where("doc_id >= 90"), model, threshold=0.5).collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got]) >= 0.9
+
+
 # 8 ------------------------------------------------------------------------
 
 
