@@ -12,10 +12,11 @@ The masks of an item hit every window with as many words replaced as the default
 allow, wherever these are (tests/llm goes through all cases), so no overlap that
 the defaults count is missed for want of a hit.
 
-Documents are first asked only where a seed of any item stands; which items these
-are is looked up with the words around at hand, and what doesn't hold is dropped
-there and then. So a phrase that many items and many documents share costs
-comparisons, but no rows that are shuffled or stored.
+Documents are cut into segments, so that a very long one is many rows. They are
+first asked only where a seed of any item stands; which items these are is looked up
+with the words around at hand, and what doesn't hold is dropped there and then. So a
+phrase that many items and many documents share costs comparisons, but no rows that
+are shuffled or stored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ MASKS = ("11011", "110101")
 SHORT_MASKS = ("1111", "110011")
 LONG, WHOLE = 13, 8
 SPAN = max(map(len, (*MASKS, *SHORT_MASKS)))
+#: Words of a segment, besides what reaches over its ends.
+SEGMENT = 512
 #: Seeds of a benchmark up to this many words of text are sent to all executors; beyond it both sides are dealt by seed.
 BROADCAST_WORDS = 2_000_000
 #: Places of hits up to which their list is sent to where the texts are; beyond it both are dealt by document.
@@ -53,8 +56,8 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), SEPARATOR_PATTERN), lambda w: w != "")
 
 
-def _seeded(rows: DataFrame, key: str, masks: dict[str, Column]) -> DataFrame:
-    """rows(key, words) by mask and word position: key, pos and seed; masks: each with the rows that it is for. Only hashes are laid out by position, not the words."""
+def _seeded(rows: DataFrame, keys: list[str], masks: dict[str, Column]) -> DataFrame:
+    """rows(keys, words) by mask and word position: keys, pos and seed; masks: each with the rows that it is for. Only hashes are laid out by position, not the words."""
     words, n = F.col("words"), F.size("words")
 
     def seeds(mask: str, on: Column) -> Column:
@@ -62,8 +65,17 @@ def _seeded(rows: DataFrame, key: str, masks: dict[str, Column]) -> DataFrame:
         at = F.transform(F.sequence(F.lit(0), n - len(mask)), lambda i: F.xxhash64(F.lit(mask), *[F.get(words, i + k) for k in kept]))
         return F.when((n >= len(mask)) & on, at)
 
-    arrays = rows.select(key, F.explode(F.array(*[seeds(m, on) for m, on in masks.items()])).alias("seeds"))
-    return arrays.select(key, F.posexplode("seeds").alias("pos", "seed"))
+    arrays = rows.select(*keys, F.explode(F.array(*[seeds(m, on) for m, on in masks.items()])).alias("seeds"))
+    return arrays.select(*keys, F.posexplode("seeds").alias("pos", "seed"))
+
+
+def _segments(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
+    """doc_id, first (place of the segment's first word) and words of rows with an id: SEGMENT words and `reach` + SPAN more on either side."""
+    words = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_list(F.col(text_col)).alias("words")).where("doc_id IS NOT NULL").where(F.size("words") > 0)
+    edge = reach + SPAN
+    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(SEGMENT))
+    cut = F.transform(starts, lambda s: F.struct(F.greatest(s - edge, F.lit(0)).alias("first"), F.slice("words", F.greatest(s - edge, F.lit(0)) + 1, s - F.greatest(s - edge, F.lit(0)) + SEGMENT + edge).alias("words")))
+    return words.select("doc_id", F.inline(cut))
 
 
 def _around(words: Column, pos: Column, reach: int) -> Column:
@@ -90,17 +102,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = items.withColumn("item", F.xxhash64("item_id", "item_words"))  # rows that repeat an item_id with another text are items of their own
     of = {m: [k for k in lengths if m in masks_of(k)] for m in sorted({m for k in lengths for m in masks_of(k)})}
     length = F.least(F.size("words"), F.lit(LONG))
-    seeds = _seeded(items.select("item", F.col("item_words").alias("words")), "item", {m: length.isin(ks) for m, ks in of.items()}) if of else None
+    seeds = _seeded(items.select("item", F.col("item_words").alias("words")), ["item"], {m: length.isin(ks) for m, ks in of.items()}) if of else None
     if seeds is None:  # no items, so nothing is found
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("doc_pos"), F.lit(0).alias("equal_words"), F.lit(0).alias("window_words")).where("false")
     seeds = seeds.withColumnRenamed("pos", "item_pos")
-    words = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_list(F.col(text_col)).alias("words")).where("doc_id IS NOT NULL")
-    places = _seeded(words, "doc_id", {m: F.lit(True) for m in of}).join(small(seeds.select("seed").distinct()), "seed", "left_semi")
-    hits = stored(places.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "seed")).alias("hits")), "hits")
-    few = (hits.agg(F.sum(F.size("hits"))).first()[0] or 0) <= SENT_HITS
     reach = max(window, LONG) - 1
-    laid = words.join(F.broadcast(hits) if few else hits, "doc_id").select("doc_id", "words", F.explode("hits").alias("hit"))
-    laid = laid.select("doc_id", F.col("hit.pos").alias("pos"), F.col("hit.seed").alias("seed"), _around(F.col("words"), F.col("hit.pos"), reach).alias("near"))
+    segments = _segments(docs, id_col, text_col, reach)
+    key = ["doc_id", "first"]
+    places = _seeded(segments, key, {m: F.lit(True) for m in of}).join(small(seeds.select("seed").distinct()), "seed", "left_semi")
+    hits = stored(places.groupBy(*key).agg(F.collect_set(F.struct("pos", "seed")).alias("hits")), "hits")
+    few = (hits.agg(F.sum(F.size("hits"))).first()[0] or 0) <= SENT_HITS
+    near = F.transform("hits", lambda h: F.struct((F.col("first") + h["pos"]).alias("pos"), h["seed"].alias("seed"), _around(F.col("words"), h["pos"], reach).alias("near")))
+    laid = segments.join(F.broadcast(hits) if few else hits, key).select("doc_id", F.inline(near))
     laid = laid.join(small(seeds), "seed").join(small(items), "item")
     equal = F.zip_with("near", _around(F.col("item_words"), F.col("item_pos"), reach), lambda a, b: F.when(a == b, 1).otherwise(0))
     size = F.when(n < WHOLE, n).otherwise(F.least(F.lit(window), n))
