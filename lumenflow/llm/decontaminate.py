@@ -113,7 +113,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = stored(places.groupBy(*key).agg(F.collect_set(F.struct("pos", "seed")).alias("hits")), "hits")
     few = (hits.agg(F.sum(F.size("hits"))).first()[0] or 0) <= SENT_HITS
     near = F.transform("hits", lambda h: F.struct((F.col("first") + h["pos"]).alias("pos"), h["seed"].alias("seed"), _around(F.col("words"), h["pos"], reach).alias("near")))
-    laid = segments.join(F.broadcast(hits) if few else hits, key).select("doc_id", F.inline(near))
+    found = hits.select(F.col("doc_id").alias("__found")).distinct()
+    asked = docs.join(F.broadcast(found) if few else found, F.col(id_col).cast("long") == F.col("__found"), "left_semi")  # before words are cut
+    laid = _segments(asked, id_col, text_col, reach).join(F.broadcast(hits) if few else hits, key).select("doc_id", F.inline(near))
     laid = laid.join(small(seeds), "seed").join(small(items), "item")
     equal = F.zip_with("near", _around(F.col("item_words"), F.col("item_pos"), reach), lambda a, b: F.when(a == b, 1).otherwise(0))
     size = F.when(n < WHOLE, n).otherwise(F.least(F.lit(window), n))
