@@ -3,7 +3,9 @@
 A block holds documents of a bounded number of bytes, dealt by doc_id; a bucket
 holds what all blocks know of a share of the keys. Blocks send each distinct key
 once, so a key that a third of all documents have comes to its bucket no more
-often than there are blocks. Rows on the wire are packed arrays.
+often than there are blocks. Rows on the wire are packed arrays, one for each bucket
+that a block has a key for: with very many buckets a message shrinks, down to one
+key, and messages grow with the input, not with blocks times buckets.
 """
 
 from __future__ import annotations
@@ -42,6 +44,12 @@ def joined(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def cuts(sorted_: np.ndarray) -> dict[int, slice]:
+    """Where each number lies in a sorted array: only those that are there, so a block's messages are never more than its keys."""
+    keys, first = np.unique(sorted_, return_index=True)
+    return {int(k): slice(int(i), int(j)) for k, i, j in zip(keys, first, np.append(first[1:], len(sorted_)), strict=True)}
+
+
 def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that brings equal keys together, and where each group begins in it."""
     o = np.lexsort(keys[::-1])

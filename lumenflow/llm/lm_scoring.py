@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, WIRE, block_count, in_blocks, is_in, joined, number, wire
+from .blocks import BLOCK_BYTES, WIRE, block_count, cuts, in_blocks, is_in, joined, number, wire
 from .common import LOWERED, hash_spans, mixed, prefix_sums, raw, steps, stored, words
 
 START, END = np.uint64(1), np.uint64(2)
@@ -44,12 +44,22 @@ FLUSH = 48_000_000
 # --- Elias-Fano sequences and the trie -------------------------------------
 
 
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_ONES = _BITS.sum(1).astype(np.uint8)
+#: Place of the r-th one in a byte.
+_PLACE = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.uint8)
+
+
 class EliasFano:
-    """A monotone sequence of numbers below 2**62: low bits packed, high bits as a unary bit row."""
+    """A monotone sequence of numbers below 2**62: low bits packed, high bits as a unary bit row.
+
+    The number of ones before each 64 bits of the row is all that is held beside
+    it: half a bit for each bit.
+    """
 
     def __init__(self, n: int, low_bits: int, lows: np.ndarray, highs: np.ndarray):
         self.n, self.low_bits, self.lows, self.highs = n, low_bits, lows, highs
-        self._ones: np.ndarray | None = None
+        self._before: np.ndarray | None = None
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -62,37 +72,64 @@ class EliasFano:
         packed = [np.packbits(((low[i : i + 8192, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for i in range(0, n, 8192)]
         lows = np.concatenate([*packed, np.zeros(16, np.uint8)])
         ones = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        row = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
+        row = np.zeros(((int(ones[-1]) + 1 if n else 0) + 63) // 64 * 64, np.uint8)
         row[ones] = 1
         return cls(n, bits, lows, np.packbits(row, bitorder="little"))
 
+    def _select(self, i: np.ndarray, bit: int) -> np.ndarray:
+        """Places of the i-th ones or zeros of the row; a zero beyond the row counts as just behind it."""
+        words = self.highs.reshape(-1, 8)
+        if self._before is None:  # counted once when a sequence is first read
+            self._before = np.append(0, np.cumsum(_ONES[words].sum(1, dtype=np.int64))).astype(np.uint32 if self.n < 1 << 32 else np.int64)
+        before = self._before if bit else np.arange(len(self._before)) * 64 - self._before
+        out = np.empty(len(i), np.int64)
+        for at in range(0, len(i), 65536):
+            x = i[at : at + 65536]
+            w = np.minimum(np.searchsorted(before, x, "right") - 1, len(words) - 1)
+            r = x - before[w].astype(np.int64)
+            own = words[w] if bit else ~words[w]
+            upto = np.cumsum(_ONES[own], axis=1, dtype=np.int64)
+            byte = np.minimum((upto <= r[:, None]).sum(1), 7)
+            rest = r - np.where(byte > 0, upto[np.arange(len(x)), byte - 1], 0)
+            out[at : at + 65536] = np.where(r < upto[:, 7], w * 64 + byte * 8 + _PLACE[own[np.arange(len(x)), byte], np.minimum(rest, 7)], len(words) * 64)
+        return out
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        word = np.zeros(len(i), np.uint64)
+        if not self.low_bits:
+            return word
+        at = i * self.low_bits
+        byte, shift = at >> 3, (at & 7).astype(np.uint64)
+        for k in range((self.low_bits + 14) // 8 if self.low_bits <= 56 else 8):
+            word |= self.lows[byte + k].astype(np.uint64) << np.uint64(8 * k)
+        word >>= shift
+        if self.low_bits > 56:
+            word |= np.where(shift > 0, self.lows[byte + 8].astype(np.uint64) << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+        return word & np.uint64((1 << self.low_bits) - 1)
+
     def get(self, i: np.ndarray) -> np.ndarray:
-        if self._ones is None:  # places of the ones, found once when a sequence is first read
-            self._ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little")).astype(np.int64)
-        value = (self._ones[i] - i).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            at = i * self.low_bits
-            byte, shift = at >> 3, (at & 7).astype(np.uint64)
-            word = np.zeros(len(i), np.uint64)
-            for k in range(8):
-                word |= self.lows[byte + k].astype(np.uint64) << np.uint64(8 * k)
-            word >>= shift
-            if self.low_bits > 56:
-                word |= np.where(shift > 0, self.lows[byte + 8].astype(np.uint64) << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
-            value |= word & np.uint64((1 << self.low_bits) - 1)
-        return value
-
-    def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """For each x the first index in [lo, hi) whose value is x or more, or hi."""
-        lo, hi = lo.copy(), hi.copy()
+        return ((self._select(i, 1) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
+
+    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each x the first index whose value is x or more (n if there is none), and whether it is x."""
+        if not self.n:
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        high, low = (x >> np.uint64(self.low_bits)).astype(np.int64), x & np.uint64((1 << self.low_bits) - 1)
+        # Values of one high part lie between two zeros of the row.
+        lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), 0) + 1 - high, 0)
+        lo = np.clip(lo, 0, self.n)
+        hi = np.clip(self._select(high, 0) - high, lo, self.n)
+        end = hi.copy()
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
-            less = self.get(mid) < x[open_]
+            less = self._low(mid) < low[open_]
             lo[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
             open_ = open_[lo[open_] < hi[open_]]
-        return lo
+        same = lo < end
+        same[same] = self._low(lo[same]) == low[same]
+        return lo, same
 
     def arrays(self) -> list[np.ndarray]:
         return [np.array([self.n, self.low_bits], np.int64).view(np.uint8), self.lows, self.highs]
@@ -152,19 +189,15 @@ class NgramTrie:
     def query(self, context: np.ndarray, successor: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """Log10 probabilities: of the pair if the trie has it, else the context's weight of the lower order; the lower order alone for a new context."""
         out = lower.copy()
-        n = self.contexts.n
-        if not n:
+        at, same = self.contexts.successor(context)
+        known = np.flatnonzero(same)
+        if not len(known):
             return out
-        at = self.contexts.successor(context, np.zeros(len(context), np.int64), np.full(len(context), n))
-        known = np.flatnonzero(at < n)
-        known = known[self.contexts.get(at[known]) == context[known]]
         c = at[known]
         out[known] += restored(self.backoff[c])
         lo, hi = self.pointers.get(c).astype(np.int64), self.pointers.get(c + 1).astype(np.int64)
-        x = successor[known].astype(np.uint64) + (c.astype(np.uint64) << np.uint64(32))
-        s = self.successors.successor(x, lo, hi)
-        inside = np.flatnonzero(s < hi)
-        inside = inside[self.successors.get(s[inside]) == x[inside]]
+        s, same = self.successors.successor(successor[known].astype(np.uint64) + (c.astype(np.uint64) << np.uint64(32)))
+        inside = np.flatnonzero(same & (lo <= s) & (s < hi))
         out[known[inside]] = restored(self.probs[s[inside]])
         return out
 
@@ -221,14 +254,14 @@ class _Tokens:
         back = np.empty(len(o), np.int64)
         back[o] = np.arange(len(o))
         self.words, self.word = distinct[o], back[place]
-        self.cut = np.searchsorted(bucket[o], np.arange(buckets + 1))
+        self.cut = cuts(bucket[o])
 
     def counts(self, told: pa.Table) -> np.ndarray:
         """Training counts of the words, from what the buckets have told."""
         out = np.zeros(len(self.words), np.int64)
         for key, kind, a in zip(*(told.column(x).to_pylist() for x in ("key", "b", "a")), strict=True):
             if kind == b"counts":
-                out[self.cut[key] : self.cut[key + 1]] = np.frombuffer(a, np.int64)
+                out[self.cut[key]] = np.frombuffer(a, np.int64)
         return out
 
     def pairs(self, counts: np.ndarray, buckets: int, documents: int, share: int) -> dict[str, np.ndarray]:
@@ -248,7 +281,7 @@ class _Tokens:
         back = np.empty(len(o), np.int64)
         back[o] = np.arange(len(o))
         trained = np.bincount(place[self.train[self.row]], minlength=len(code))
-        return {"pair": back[place], "context": context[o], "total": total[o], "successor": successor[o], "second": second[o], "trained": trained[o], "cut": np.searchsorted(shard[o], np.arange(buckets + 1))}
+        return {"pair": back[place], "context": context[o], "total": total[o], "successor": successor[o], "second": second[o], "trained": trained[o], "cut": cuts(shard[o])}
 
 
 # --- what runs in blocks and buckets ---------------------------------------
@@ -263,8 +296,7 @@ def _counted(buckets: int):
             h, n = np.unique(np.concatenate(parts), return_counts=True)
             bucket = (mixed(h) % np.uint64(buckets)).astype(np.int64)
             o = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[o], np.arange(buckets + 1))
-            rows = [(k, 0, h[o[i:j]].tobytes(), n[o[i:j]].astype(np.int64).tobytes(), None, None) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+            rows = [(k, 0, h[o[s]].tobytes(), n[o[s]].astype(np.int64).tobytes(), None, None) for k, s in cuts(bucket[o]).items()]
             yield from wire(rows).to_batches()
 
         for b in batches:
@@ -292,7 +324,7 @@ def _summed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 def _asked(buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         t = _Tokens(table, buckets)
-        return wire([(k, number(key), t.words[t.cut[k] : t.cut[k + 1]].tobytes(), None, None, None) for k in range(buckets) if t.cut[k] < t.cut[k + 1]])
+        return wire([(k, number(key), t.words[s].tobytes(), None, None, None) for k, s in t.cut.items()])
 
     return run
 
@@ -322,13 +354,11 @@ def _paired(buckets: int, mass: float, documents: int, share: int):
         p = t.pairs(counts, buckets, documents, share)
         low = quantised(_lower(counts, mass))[p["second"]]
         rows = []
-        for k in range(buckets):
-            s = slice(p["cut"][k], p["cut"][k + 1])
+        for k, s in p["cut"].items():
             context = p["context"][s]
-            if len(context):
-                begins = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-                head = np.concatenate([context[begins].view(np.int64), p["total"][s][begins], np.diff(np.append(begins, len(context)))])
-                rows.append((k, number(key), head.tobytes(), p["successor"][s].tobytes(), packed(low[s]), p["trained"][s].astype(np.uint32).tobytes()))
+            begins = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            head = np.concatenate([context[begins].view(np.int64), p["total"][s][begins], np.diff(np.append(begins, len(context)))])
+            rows.append((k, number(key), head.tobytes(), p["successor"][s].tobytes(), packed(low[s]), p["trained"][s].astype(np.uint32).tobytes()))
         return wire(rows)
 
     return run
@@ -405,7 +435,7 @@ def _documents(buckets: int, documents: int, share: int):
         codes = np.zeros(len(p["context"]), np.uint16)
         for k, kind, a in zip(*(told.column(x).to_pylist() for x in ("key", "b", "a")), strict=True):
             if kind == b"scores":
-                codes[p["cut"][k] : p["cut"][k + 1]] = unpacked(a)
+                codes[p["cut"][k]] = unpacked(a)
         c = counts[t.word]
         total = lambda x: np.bincount(t.row, x, t.rows)
         return pa.table({"doc_id": table.column("doc_id"), "n_tokens": pa.array(np.bincount(t.row, minlength=t.rows), pa.int64()), "n_known": pa.array(total(c > 0).astype(np.int64)), "log_counts": pa.array(total(np.log10(c + 0.5))), "score": pa.array(total(restored(codes)[p["pair"]]))})

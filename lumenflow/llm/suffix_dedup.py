@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, WIRE, block_count, grouped, in_blocks, is_in, joined, number, wire
+from .blocks import BLOCK_BYTES, WIRE, block_count, cuts, grouped, in_blocks, is_in, joined, number, wire
 from .common import hash_spans, prefix_sums, raw, steps
 
 LENGTH, GRAM = 50, 16
@@ -200,12 +200,11 @@ def _anchors(buckets: int):
         where = (fp % np.uint64(buckets)).astype(np.int64)
         o = np.argsort(where, kind="stable")
         fp, docs, where = fp[o], docs[o], where[o]
-        cut = np.searchsorted(where, np.arange(buckets + 1))
         rows = []
-        for k in np.unique(where):
-            f, d = fp[cut[k] : cut[k + 1]], docs[cut[k] : cut[k + 1]]
+        for k, s in cuts(where).items():
+            f, d = fp[s], docs[s]
             many = d > 1
-            rows.append((int(k), number(key), packed(f[~many]), packed(f[many]), d[many].tobytes(), None))
+            rows.append((k, number(key), packed(f[~many]), packed(f[many]), d[many].tobytes(), None))
         return wire(rows)
 
     return run
@@ -273,11 +272,10 @@ def _cells(buckets: int):
         h, fp, single = h[o[begins]], fp[o[begins]], single[o[begins]]
         where = (np.where(single, h, fp) % np.uint64(buckets)).astype(np.int64) * 2 + single
         o = np.argsort(where, kind="stable")
-        cut = np.searchsorted(where[o], np.arange(2 * buckets + 1))
         rows = []
-        for k in np.unique(where):
-            s = o[cut[k] : cut[k + 1]]
-            rows.append((int(k // 2), number(key), np.append(np.uint64(k % 2), h[s]).tobytes(), np.concatenate([low[s], high[s]]).tobytes(), fp[s].tobytes() if k % 2 else None, None))
+        for k, at in cuts(where[o]).items():
+            s = o[at]
+            rows.append((k // 2, number(key), np.append(np.uint64(k % 2), h[s]).tobytes(), np.concatenate([low[s], high[s]]).tobytes(), fp[s].tobytes() if k % 2 else None, None))
         return wire(rows)
 
     return run

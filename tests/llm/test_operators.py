@@ -330,7 +330,8 @@ def test_elias_fano_and_trie_file(tmp_path):
         e = lm_scoring.EliasFano.of(v)
         assert (e.get(np.arange(n)) == v).all()
         x = rng.integers(0, top, 300).astype(np.uint64)
-        assert (e.successor(x, np.zeros(300, np.int64), np.full(300, n)) == np.searchsorted(v, x)).all()
+        at, same = e.successor(np.append(x, v[:50]))
+        assert (at == np.searchsorted(v, np.append(x, v[:50]))).all() and (same == np.isin(np.append(x, v[:50]), v)).all()
     context = np.sort(rng.integers(4, 2**62, 50).astype(np.uint64)).repeat(4)
     successor = np.sort(rng.integers(0, 2**32, (50, 4)), axis=1).astype(np.uint32).ravel()
     trie = lm_scoring.NgramTrie.build(context, successor, np.full(200, 3), np.full(200, 12), np.full(200, -4.0), np.ones(200, np.int64))
