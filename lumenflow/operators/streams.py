@@ -7,8 +7,8 @@ stream is spread over its time buckets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +29,10 @@ class Stream:
     def _args(self) -> tuple[list[str], str, list[str]]:
         return [*self.keys], self.ts, [*self.ties]
 
+    def fitted(self, df: DataFrame, most: int = O.BUCKET_ROWS) -> Stream:
+        """The stream with the unit of time that keeps its fullest bucket at `most` rows or fewer."""
+        return replace(self, unit=O.fitted_unit(df, [*self.keys], self.ts, most))
+
     def numbered(self, df: DataFrame, name: str = "n") -> DataFrame:
         return O.numbered(df, *self._args(), name, self.unit)
 
@@ -42,8 +46,12 @@ class Stream:
     def running(self, df: DataFrame, value: Column, name: str, how: str = "sum") -> DataFrame:
         return O.running(df, *self._args(), value, name, how, self.unit)
 
-    def islands(self, df: DataFrame, same: Column, name: str = "island") -> DataFrame:
-        return O.islands(df, *self._args(), same, name, self.unit)
+    def annotated(self, df: DataFrame, **asked) -> DataFrame:
+        """Sums, rows before and rows behind in one pass; see ordering.annotated."""
+        return O.annotated(df, *self._args(), **asked, unit=self.unit)
+
+    def islands(self, df: DataFrame, cols: list[str], same: Callable[[Column, Column], Column], name: str = "island") -> DataFrame:
+        return O.islands(df, *self._args(), cols, same, name, self.unit)
 
 
 def every_nth(df: DataFrame, s: Stream, step: int) -> DataFrame:
@@ -68,8 +76,7 @@ def retimed(df: DataFrame, s: Stream, scale: float, name: str = "pts") -> DataFr
 
 def rate_report(df: DataFrame, s: Stream, pts: str) -> DataFrame:
     """Whether a stream's rate is constant: cfr and vfr steps, least and largest step, mean changed step (integer, toward zero)."""
-    steps = s.previous(df, __p=pts).withColumn("__d", F.col(pts) - F.col("__p")).where("__d IS NOT NULL")
-    steps = s.previous(steps, __pd="__d")
+    steps = s.annotated(df, before={"__p": (pts, 1), "__pp": (pts, 2)}).where("__p IS NOT NULL").withColumns({"__d": F.col(pts) - F.col("__p"), "__pd": F.col("__p") - F.col("__pp")})
     changed = F.col("__pd").isNotNull() & (F.col("__d") != F.col("__pd"))
     agg = steps.groupBy(*s.keys).agg(F.count_if(changed).alias("vfr"), F.count_if(~changed).alias("cfr"), F.min("__d").alias("min_delta"), F.max("__d").alias("max_delta"), F.sum(F.when(changed, F.col("__d"))).alias("__sum"))
     return agg.withColumn("avg_delta", F.expr("__sum div nullif(vfr, 0)")).drop("__sum")
@@ -143,11 +150,19 @@ def asof(main: DataFrame, other: DataFrame, s: Stream, value: str, name: str) ->
     return out.where("__main = 1").withColumn(name, F.col("__last")["v"]).drop("__main", "__v", "__last")
 
 
+_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}
+
+
 def grid(df: DataFrame, s: Stream, step: str) -> DataFrame:
-    """Regular times for each stream, from its first whole step to its last row."""
-    ends = df.groupBy(*s.keys).agg(F.min(s.ts).alias("__a"), F.max(s.ts).alias("__b"))
-    unit = step.split()[1].rstrip("s")
-    return ends.select(*s.keys, F.explode(F.sequence(F.date_trunc(unit, "__a").cast(df.schema[s.ts].dataType), F.col("__b"), F.expr(f"interval {step}"))).alias(s.ts))
+    """Regular times for each stream, from its first whole step's unit to its last row; laid out a thousand at a time."""
+    count, unit = step.split()
+    unit = unit.rstrip("s")
+    seconds = int(count) * _SECONDS[unit]
+    ends = df.groupBy(*s.keys).agg(F.date_trunc(unit, F.min(s.ts)).cast(df.schema[s.ts].dataType).alias("__a"), F.max(s.ts).alias("__b")).where("__a IS NOT NULL")
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    blocks = ends.withColumn("__n", F.floor((us("__b") - us("__a")) / (seconds * 1_000_000))).select(*s.keys, "__a", "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n"), F.lit(1000).cast("long"))).alias("__k"))
+    at = blocks.select(*s.keys, "__a", F.explode(F.sequence("__k", F.least(F.col("__k") + 999, F.col("__n")))).alias("__k"))
+    return at.select(*s.keys, F.timestamp_add("SECOND", (F.col("__k") * seconds).cast("int"), F.col("__a")).alias(s.ts))
 
 
 def resampled(df: DataFrame, s: Stream, step: str, value: str) -> DataFrame:
@@ -162,36 +177,36 @@ def resampled(df: DataFrame, s: Stream, step: str, value: str) -> DataFrame:
 
 def scene_scores(df: DataFrame, s: Stream, value: str) -> DataFrame:
     """mafd: change from the row before; score: the lesser of it and its own change."""
-    a = s.previous(df, __p=value).withColumn("mafd", F.abs(F.col(value) - F.col("__p")))
-    return s.previous(a, __pm="mafd").withColumn("score", F.when(F.col("__pm").isNotNull(), F.least("mafd", F.abs(F.col("mafd") - F.col("__pm"))))).drop("__p", "__pm")
+    a = s.annotated(df, before={"__p": (value, 1), "__pp": (value, 2)}).withColumns({"mafd": F.abs(F.col(value) - F.col("__p")), "__pm": F.abs(F.col("__p") - F.col("__pp"))})
+    return a.withColumn("score", F.when(F.col("__pm").isNotNull(), F.least("mafd", F.abs(F.col("mafd") - F.col("__pm"))))).drop("__p", "__pp", "__pm")
+
+
+def _runs(rows: DataFrame, s: Stream) -> DataFrame:
+    return rows.groupBy(*s.keys, "island").agg(F.min(s.ts).alias("start"), F.max(s.ts).alias("end"), F.count(F.lit(1)).alias("rows"))
 
 
 def runs_where(df: DataFrame, s: Stream, flag: Column, least: int) -> DataFrame:
     """Maximal runs of at least `least` rows whose flag holds: start, end and number of rows."""
-    rows = s.previous(df.withColumn("__f", F.coalesce(flag, F.lit(False))), __pf="__f")
-    rows = s.islands(rows, F.col("__pf") & F.col("__f")).where("__f")
-    return rows.groupBy(*s.keys, "island").agg(F.min(s.ts).alias("start"), F.max(s.ts).alias("end"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least).drop("island")
+    rows = s.islands(df.withColumn("__f", F.coalesce(flag, F.lit(False))), ["__f"], lambda a, b: a["__f"] & b["__f"])
+    return _runs(rows.where("__f"), s).where(F.col("rows") >= least).drop("island")
 
 
 def frozen(df: DataFrame, s: Stream, value: str, tolerance: float, least: int) -> DataFrame:
     """Maximal runs of rows that each differ from the row before by tolerance or less."""
-    rows = s.previous(df, __p=value)
-    rows = s.islands(rows, F.abs(F.col(value) - F.col("__p")) <= tolerance)
-    return rows.groupBy(*s.keys, "island").agg(F.min(s.ts).alias("start"), F.max(s.ts).alias("end"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least).drop("island")
+    rows = s.islands(df, [value], lambda a, b: F.abs(b[value] - a[value]) <= tolerance)
+    return _runs(rows, s).where(F.col("rows") >= least).drop("island")
 
 
 def sessions(df: DataFrame, s: Stream, gap_seconds: int) -> DataFrame:
     """Runs of rows without a gap above gap_seconds between neighbours."""
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    rows = s.previous(df, __p=s.ts)
-    rows = s.islands(rows, us(s.ts) - us("__p") <= gap_seconds * 1_000_000)
-    return rows.groupBy(*s.keys, "island").agg(F.min(s.ts).alias("start"), F.max(s.ts).alias("end"), F.count(F.lit(1)).alias("rows")).withColumnRenamed("island", "session")
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    rows = s.islands(df, [s.ts], lambda a, b: us(b[s.ts]) - us(a[s.ts]) <= gap_seconds * 1_000_000)
+    return _runs(rows, s).withColumnRenamed("island", "session")
 
 
 def run_lengths(df: DataFrame, s: Stream, value: str) -> DataFrame:
     """Run-length coding of a column; nulls are equal to each other."""
-    rows = s.previous(df.withColumn("__s", F.struct(value)), __p="__s")
-    rows = s.islands(rows, F.col("__p").isNotNull() & F.col("__p")[value].eqNullSafe(F.col(value)))
+    rows = s.islands(df, [value], lambda a, b: a[value].eqNullSafe(b[value]))
     return rows.groupBy(*s.keys, "island").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("length")).withColumnRenamed("island", "run")
 
 

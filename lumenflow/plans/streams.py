@@ -183,8 +183,7 @@ def run_lengths(spark, sf_dir):
 @query(f"SELECT event_id, min(value) {_W} AS low, max(value) {_W} AS high FROM events")
 def cropdetect(spark, sf_dir):
     """The running bounds of a stream's values."""
-    low = BY_TYPE.running(_events(spark, sf_dir), F.col("value"), "low", "min")
-    return BY_TYPE.running(low, F.col("value"), "high", "max").select("event_id", "low", "high")
+    return BY_TYPE.annotated(_events(spark, sf_dir), sums={"low": (F.col("value"), "min"), "high": (F.col("value"), "max")}).select("event_id", "low", "high")
 
 
 @query(f"SELECT event_id, sum(value::DECIMAL(18,4)) {_W}::DOUBLE AS total FROM events")
@@ -274,7 +273,7 @@ SELECT event_id, echo, CASE WHEN abs(value) < 10 THEN 0 ELSE value END AS gated,
 )
 def dynamics(spark, sf_dir):
     """Echo of the row before, gate, limiter and fade-in."""
-    e = BY_TYPE.numbered(BY_TYPE.previous(_events(spark, sf_dir), before="value"), "n")
+    e = BY_TYPE.annotated(_events(spark, sf_dir), before={"before": ("value", 1)}, sums={"n": (F.lit(1), "sum")}).withColumn("n", F.col("n") - 1)
     v = F.col("value")
     return e.select("event_id", (v + 0.5 * F.coalesce("before", F.lit(0.0))).alias("echo"), F.when(F.abs(v) < 10, 0.0).otherwise(v).alias("gated"), F.least(F.greatest(v, F.lit(-80.0)), F.lit(80.0)).alias("limited"), (v * F.least(F.col("n") / F.lit(100.0), F.lit(1.0))).alias("faded"))
 

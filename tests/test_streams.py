@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenflow.operators import streams as T
-from lumenflow.operators.ordering import carried, numbered, running, with_next, with_previous
+from lumenflow.operators.ordering import annotated, carried, fitted_unit, islands, numbered, running, with_next, with_previous
 
 SCHEMA = "k string, ts timestamp_ntz, event_id long, value double"
 S = T.Stream(("k",))
@@ -50,6 +50,40 @@ def test_ordering_blocks_agree_with_a_plain_scan(spark, unit):
             assert last[i] == held
 
 
+@pytest.mark.parametrize("unit", ["hour", "day", "year"])
+def test_runs_and_rows_further_back_agree_with_a_plain_scan(spark, unit):
+    data = rows()
+    df = spark.createDataFrame(data, SCHEMA)
+    args = (["k"], "ts", ["event_id"])
+    back = {r.event_id: (r.p3, r.p1, r.low) for r in annotated(df, *args, sums={"low": (F.col("value"), "min")}, before={"p3": ("value", 3), "p1": ("event_id", 1)}, unit=unit).collect()}
+    runs = {r.event_id: r.island for r in islands(df, *args, ["value"], lambda a, b: F.abs(a["value"] - b["value"]) <= 8, unit=unit).collect()}
+    for s in streams(data).values():
+        run = 0
+        for j, (_, i, v) in enumerate(s):
+            run += not (j and abs(v - s[j - 1][2]) <= 8)
+            assert back[i] == (s[j - 3][2] if j > 2 else None, s[j - 1][1] if j else None, min(x[2] for x in s[: j + 1]))
+            assert runs[i] == run
+    assert len(back) == len(runs) == sum(map(len, streams(data).values()))
+
+
+def test_buckets_follow_the_volume(spark):
+    df = spark.createDataFrame(rows(), SCHEMA)
+    most = {u: df.where("ts IS NOT NULL").groupBy("k", F.date_trunc(u, "ts")).count().agg(F.max("count")).first()[0] for u in ("day", "hour")}
+    assert fitted_unit(df, ["k"], "ts", most["day"]) == "day"
+    assert fitted_unit(df, ["k"], "ts", most["day"] - 1) == "hour"
+    assert S.fitted(df, 0).unit == "second"
+    assert S.fitted(df.where("false")).unit == "day"
+
+
+def test_one_pass_reads_and_deals_its_rows_once(spark, data):
+    """The table of buckets is taken from the rows that are dealt already."""
+    df = spark.read.parquet(f"{data}/events.parquet")
+    out = T.scene_scores(df, T.Stream(("event_type",)), "value").select("event_id", "mafd", "score")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") + plan.count("Scan parquet") <= 2, plan
+
+
 def test_decimation_keeps_rows_unlike_the_last_kept(spark):
     data = rows()
     got = {r.event_id for r in T.decimated(spark.createDataFrame(data, SCHEMA), S, "value", "event_id", 10.0).collect()}
