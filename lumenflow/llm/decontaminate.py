@@ -12,10 +12,10 @@ The masks of an item hit every window with as many words replaced as the default
 allow, wherever these are (tests/llm goes through all cases), so no overlap that
 the defaults count is missed for want of a hit.
 
-Documents are cut into segments, so that a very long one is many rows. They are
-first asked only where a seed of any item stands; which items these are is looked up
-with the words around at hand, and what doesn't hold is dropped there and then. So a
-phrase that many items and many documents share costs comparisons, but no rows that
+Documents are first asked only where a seed of any item stands. Those that have any
+are cut into segments, so that a very long one is many rows; which items the seeds
+are of is looked up with the words around at hand, and what doesn't hold is dropped
+there and then. So a phrase that many items and many documents share costs comparisons, but no rows that
 are shuffled or stored.
 """
 
@@ -69,13 +69,17 @@ def _seeded(rows: DataFrame, keys: list[str], masks: dict[str, Column]) -> DataF
     return arrays.select(*keys, F.posexplode("seeds").alias("pos", "seed"))
 
 
-def _segments(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
-    """doc_id, first (place of the segment's first word) and words of rows with an id: SEGMENT words and `reach` + SPAN more on either side."""
-    words = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_list(F.col(text_col)).alias("words")).where("doc_id IS NOT NULL").where(F.size("words") > 0)
+def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), word_list(F.col(text_col)).alias("words")).where("doc_id IS NOT NULL")
+
+
+def _segments(words: DataFrame, reach: int) -> DataFrame:
+    """doc_id, seg, first (place of the first word given) and words of each segment of rows(doc_id, words): SEGMENT words, and `reach` + SPAN more on either side."""
     edge = reach + SPAN
     starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(SEGMENT))
-    cut = F.transform(starts, lambda s: F.struct(F.greatest(s - edge, F.lit(0)).alias("first"), F.slice("words", F.greatest(s - edge, F.lit(0)) + 1, s - F.greatest(s - edge, F.lit(0)) + SEGMENT + edge).alias("words")))
-    return words.select("doc_id", F.inline(cut))
+    first = lambda s: F.greatest(s - edge, F.lit(0))
+    cut = F.transform(starts, lambda s: F.struct(F.floor(s / SEGMENT).cast("int").alias("seg"), first(s).alias("first"), F.slice("words", first(s) + 1, s - first(s) + SEGMENT + edge).alias("words")))
+    return words.where(F.size("words") > 0).select("doc_id", F.inline(cut))
 
 
 def _around(words: Column, pos: Column, reach: int) -> Column:
@@ -107,15 +111,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("doc_pos"), F.lit(0).alias("equal_words"), F.lit(0).alias("window_words")).where("false")
     seeds = seeds.withColumnRenamed("pos", "item_pos")
     reach = max(window, LONG) - 1
-    segments = _segments(docs, id_col, text_col, reach)
-    key = ["doc_id", "first"]
-    places = _seeded(segments, key, {m: F.lit(True) for m in of}).join(small(seeds.select("seed").distinct()), "seed", "left_semi")
-    hits = stored(places.groupBy(*key).agg(F.collect_set(F.struct("pos", "seed")).alias("hits")), "hits")
+    places = _seeded(_words(docs, id_col, text_col), ["doc_id"], {m: F.lit(True) for m in of}).join(small(seeds.select("seed").distinct()), "seed", "left_semi")
+    key = ["doc_id", "seg"]
+    hits = stored(places.groupBy("doc_id", F.floor(F.col("pos") / SEGMENT).cast("int").alias("seg")).agg(F.collect_set(F.struct("pos", "seed")).alias("hits")), "hits")
     few = (hits.agg(F.sum(F.size("hits"))).first()[0] or 0) <= SENT_HITS
-    near = F.transform("hits", lambda h: F.struct((F.col("first") + h["pos"]).alias("pos"), h["seed"].alias("seed"), _around(F.col("words"), h["pos"], reach).alias("near")))
+    near = F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), h["seed"].alias("seed"), _around(F.col("words"), h["pos"] - F.col("first"), reach).alias("near")))
     found = hits.select(F.col("doc_id").alias("__found")).distinct()
     asked = docs.join(F.broadcast(found) if few else found, F.col(id_col).cast("long") == F.col("__found"), "left_semi")  # before words are cut
-    laid = _segments(asked, id_col, text_col, reach).join(F.broadcast(hits) if few else hits, key).select("doc_id", F.inline(near))
+    laid = _segments(_words(asked, id_col, text_col), reach).join(F.broadcast(hits) if few else hits, key).select("doc_id", F.inline(near))
     laid = laid.join(small(seeds), "seed").join(small(items), "item")
     equal = F.zip_with("near", _around(F.col("item_words"), F.col("item_pos"), reach), lambda a, b: F.when(a == b, 1).otherwise(0))
     size = F.when(n < WHOLE, n).otherwise(F.least(F.lit(window), n))
