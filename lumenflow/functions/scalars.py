@@ -1,18 +1,17 @@
 """Scalar functions: digests, codecs, text and number helpers.
 
 Built-in expressions wherever Spark has them; Arrow-batched pandas UDFs for
-Adler-32, Murmur3-128, HMAC, other CRCs, strict URL decoding and escaped
-dictionaries, which it hasn't.
+Adler-32, Murmur3-128 and CRCs other than CRC-32, which it hasn't.
 """
 
 from __future__ import annotations
 
 import hashlib
-import hmac as hmac_
 import re
 import struct
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,19 +64,29 @@ def crc(c: Column, kind: str, seed: int = 0) -> Column:
 
     @F.pandas_udf("long")
     def run(data: pd.Series) -> pd.Series:
-        table, mask = crc_table(bits, poly, low), (1 << bits) - 1
+        return pd.Series(crc_of(data.tolist(), bits, poly, low, seed), dtype="Int64")
 
-        def one(d: bytes | None) -> int | None:
-            if d is None:
-                return None
-            v = seed
-            for b in d:
-                v = table[(v ^ b) & 255] ^ v >> 8 if low else (table[(v >> (bits - 8) ^ b) & 255] ^ v << 8) & mask
-            return v
+    return run(as_bytes(c))
 
-        return pd.Series([one(d) for d in data], dtype="Int64")
 
-    return run(as_bytes(c))
+def crc_of(data: list[bytes | None], bits: int, poly: int, low_first: bool, seed: int) -> list[int | None]:
+    """CRCs of many byte strings at once, by position: a step for each byte of the longest, over all that are long enough."""
+    table, mask = np.array(crc_table(bits, poly, low_first), np.uint64), np.uint64((1 << bits) - 1)
+    sizes = np.array([len(d) if d is not None else 0 for d in data], np.int64)
+    order = np.argsort(-sizes, kind="stable")  # so that the strings still open are a prefix
+    flat = np.frombuffer(b"".join(data[i] or b"" for i in order), np.uint8)
+    start = np.cumsum(sizes[order]) - sizes[order]
+    v = np.full(len(data), seed, np.uint64)
+    open_ = len(data)
+    byte, eight, top = np.uint64(255), np.uint64(8), np.uint64(max(bits - 8, 0))
+    for k in range(int(sizes.max(initial=0))):
+        open_ = int(np.searchsorted(-sizes[order][:open_], -k, "left"))
+        b, x = flat[start[:open_] + k].astype(np.uint64), v[:open_]
+        v[:open_] = table[((x ^ b) & byte).astype(np.int64)] ^ (x >> eight) if low_first else (table[((x >> top ^ b) & byte).astype(np.int64)] ^ (x << eight)) & mask
+    out: list[int | None] = [None] * len(data)
+    for place, i in enumerate(order):
+        out[i] = None if data[i] is None else int(v[place])
+    return out
 
 
 def _rotl(x: int, r: int) -> int:
@@ -124,11 +133,12 @@ def murmur3_128(c: Column, seed: int = 0) -> Column:
 
 
 def hmac(c: Column, key: bytes, algorithm: str = "sha256") -> Column:
-    @F.pandas_udf("string")
-    def run(data: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None else hmac_.new(key, d, algorithm).hexdigest() for d in data])
-
-    return run(as_bytes(c))
+    """A keyed digest in hex: two digests of the text behind the key's two pads, which are constants of the plan."""
+    block = 128 if algorithm in ("sha384", "sha512") else 64
+    key = hashlib.new(algorithm, key).digest() if len(key) > block else key
+    pad = lambda x: F.lit(bytes(b ^ x for b in key.ljust(block, b"\0")))
+    inner = digest(F.concat(pad(0x36), as_bytes(c)), algorithm, "binary")
+    return digest(F.concat(pad(0x5C), inner), algorithm)
 
 
 def digest(c: Column, algorithm: str, encoding: str = "hex") -> Column:
@@ -150,16 +160,15 @@ def digest(c: Column, algorithm: str, encoding: str = "hex") -> Column:
 def url_decode(c: Column, plus: bool = False) -> Column:
     """Percent-decoding that keeps escapes which aren't hexadecimal as they are; plus says whether + is a space.
 
-    Texts without an escape never leave the JVM's fast path: the UDF sees nulls for them.
+    Runs of escapes are decoded one by one, so a character may be spelt over
+    several; bytes that are no UTF-8 become the replacement character.
     """
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        escape = re.compile(rb"%([0-9A-Fa-f]{2})")
-        return pd.Series([None if t is None else escape.sub(lambda m: bytes([int(m[1], 16)]), t.encode()).decode("utf-8", "replace") for t in texts])
-
     text = F.replace(c, F.lit("+"), F.lit(" ")) if plus else c
-    return F.coalesce(run(F.when(text.contains("%"), text)), text)
+    run = F.lit("(?:%[0-9A-Fa-f]{2})+")
+    between, runs = F.split(text, "(?:%[0-9A-Fa-f]{2})+", -1), F.regexp_extract_all(text, run, F.lit(0))
+    plain = F.transform(runs, lambda r: F.call_function("make_valid_utf8", F.call_function("decode", F.unhex(F.replace(r, F.lit("%"), F.lit(""))), F.lit("utf-8"))))
+    whole = F.array_join(F.flatten(F.zip_with(between, plain, lambda b, p: F.array(b, F.coalesce(p, F.lit(""))))), "")
+    return F.when(text.contains("%"), whole).otherwise(text)
 
 
 def data_uri(c: Column) -> Column:
@@ -169,8 +178,11 @@ def data_uri(c: Column) -> Column:
 
 
 def timestamp_text(ts: Column, num: int = 1, den: int = 1) -> Column:
-    """Seconds of an integer time in base num/den with trailing zeros trimmed; NOPTS for null."""
-    seconds = F.format_string("%.6f", ts.cast("double") * num / den)
+    """Seconds of an integer time in base num/den with six significant decimals below one, six decimals else, and trailing zeros trimmed; NOPTS for null."""
+    v = ts.cast("double") * num / den
+    size = F.floor(F.log10(F.abs(F.nullif(v, F.lit(0.0)))))
+    places = F.when(size < 0, 5 - size).otherwise(6).cast("string")
+    seconds = F.call_function("format_string", F.concat(F.lit("%."), places, F.lit("f")), v)
     return F.when(ts.isNull(), "NOPTS").otherwise(F.regexp_replace(seconds, r"\.?0+$", ""))
 
 
@@ -191,9 +203,19 @@ def merged_error(a: Column, b: Column, eof: int) -> Column:
 
 
 def replay_gain(c: Column) -> Column:
-    """Text like '-7.50 dB' as hundred-thousandths of a decibel; null if it is none."""
-    number = F.regexp_extract(c, r"^\s*([+-]?[0-9]+(?:\.[0-9]+)?)", 1)
-    return (F.nullif(number, F.lit("")).cast("decimal(20,5)") * 100000).cast("long")
+    """Text like '-7.50 dB' as hundred-thousandths of a decibel.
+
+    The whole part is read as C does (a leading 0 means octal, 0x hexadecimal), of
+    the decimals five count and further ones are cut off. Text without a number is
+    0; null, and what passes 32 bits, gives null.
+    """
+    part = r"^\s*([+-]?)(0[xX][0-9A-Fa-f]+|0[0-7]*|[1-9][0-9]*)(?:\.([0-9]{1,5}))?"
+    g = lambda i: F.regexp_extract(c, part, i)
+    whole = F.when(g(2).rlike("^0[xX]"), F.conv(F.substr(g(2), F.lit(3)), 16, 10)).when(g(2).startswith("0"), F.conv(g(2), 8, 10)).otherwise(g(2)).try_cast("long")
+    cut = F.coalesce(F.rpad(F.nullif(F.when(g(2) != "", g(3)).otherwise(F.regexp_extract(c, r"^[ \t]*\.([0-9]{1,5})", 1)), F.lit("")), 5, "0").try_cast("long"), F.lit(0).cast("long"))
+    found = F.when(g(2) == "", F.lit(0).cast("long")).otherwise(whole)
+    sign = F.when(F.regexp_extract(c, r"^[ \t]*(-)", 1) == "-", -1).otherwise(1)
+    return F.when((found <= F.floor((F.lit(2147483647) - cut) / 100_000)) & c.isNotNull(), sign * (found * 100_000 + cut))
 
 
 def plain_text(markup: Column) -> Column:
@@ -224,34 +246,52 @@ def convert_keys(tags: Column, to_generic: dict[str, str], to_native: dict[str,
 
 
 def parse_dict(c: Column, assign: str = "=", between: str = ":") -> Column:
-    """A map from text like a=b:c=d, where a backslash takes the next character as it is."""
-
-    @F.pandas_udf("map<string,string>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> dict[str, str] | None:
-            if t is None:
-                return None
-            out: dict[str, str] = {}
-            parts, i = [""], 0
-            key: str | None = None
-            while i <= len(t):
-                ch = t[i] if i < len(t) else between
-                if i < len(t) and ch == "\\" and i + 1 < len(t):
-                    parts[0] += t[i + 1]
-                    i += 2
-                    continue
-                if ch == assign and key is None:
-                    key, parts[0] = parts[0], ""
-                elif ch == between:
-                    if key is not None:
-                        out[key] = parts[0]
-                    key, parts[0] = None, ""
-                else:
-                    parts[0] += ch
-                i += 1
-            return out
-
-        return pd.Series([one(t) for t in texts])
-
-    return run(c)
+    """A map from text like a=b:c=d, where a backslash takes the next character as it is.
+
+    Parts without an assignment are left out, of a repeated key the last counts,
+    and further assignments belong to the value. Null gives null.
+    """
+    import re
+
+    a, b = re.escape(assign), re.escape(between)
+    plain = lambda x: F.regexp_replace(x, r"\\(?s:(.))", "$1")
+    parts = F.regexp_extract_all(c, F.lit(rf"(?:^|{b})((?:[^\\{between}]|\\(?s:.)|\\$)*)"), F.lit(1))
+    cut = rf"^((?:[^\\{assign}]|\\(?s:.))*){a}((?s:.*))$"
+    pairs = F.filter(F.transform(parts, lambda p: F.struct(plain(F.regexp_extract(p, cut, 1)).alias("k"), plain(F.regexp_extract(p, cut, 2)).alias("v"), p.rlike(cut).alias("ok"))), lambda x: x["ok"])
+    last = F.filter(F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), i.alias("i"))), lambda x: ~F.exists(F.slice(pairs, x["i"] + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
+    return F.when(c.isNotNull(), F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"]))))
+
+
+def byte_swapped(c: Column, size: int) -> Column:
+    """Bytes with those of each word of `size` bytes reversed; a short last word too."""
+    step = 2 * size
+    words = F.regexp_extract_all(F.hex(as_bytes(c)), F.lit(f".{{1,{step}}}"), F.lit(0))
+    turned = F.transform(words, lambda w: F.array_join(F.reverse(F.regexp_extract_all(w, F.lit(".."), F.lit(0))), ""))
+    return F.unhex(F.array_join(turned, ""))
+
+
+def bit_reversed(c: Column) -> Column:
+    """An integer from 0 to 255 with its bits in reverse."""
+    return F.conv(F.reverse(F.lpad(F.bin(c.cast("long")), 8, "0")), 2, 10).cast("long")
+
+
+def exp10(c: Column) -> Column:
+    return F.pow(F.lit(10.0), c)
+
+
+def wide_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 of two decimals of up to 38 digits."""
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0).cast("int")
+
+
+def wide_shift_right(c: Column, bits: int) -> Column:
+    """A decimal of up to 38 digits by 2**bits, towards minus infinity."""
+    by = F.lit(str(2**bits)).cast("decimal(38,0)")
+    rest = F.pmod(c.cast("decimal(38,0)"), by)
+    return ((c.cast("decimal(38,0)") - rest) / by).cast("decimal(38,0)")
+
 
+def flipped_matrix(a: Column, b: Column, c: Column, d: Column, horizontal: bool, vertical: bool) -> Column:
+    """A 2 by 2 display matrix with its columns turned over: the first for a horizontal flip, the second for a vertical one."""
+    h, v = (-1 if horizontal else 1), (-1 if vertical else 1)
+    return F.struct((a * h).alias("a"), (b * v).alias("b"), (c * h).alias("c"), (d * v).alias("d"))

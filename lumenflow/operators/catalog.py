@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Lower-cased extensions by family, ranks, routes and thresholds.
-IMAGES = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".heic", ".heif", ".avif", ".jxl", ".bmp", ".tif", ".tiff")
-VIDEOS = (".mp4", ".mov", ".webm", ".mkv", ".avi")
+# Ranks, routes and thresholds by lower-cased extension.
 PRIORITY = {".jpg": 10, ".jpeg": 10, ".png": 7, ".gif": 5, ".webp": 4, ".heic": 3, ".heif": 3, ".avif": 3}
 ROUTES = {
     "jxl": (".jpg", ".jpeg", ".jpe", ".jfif", ".png", ".bmp", ".tiff", ".heif", ".heic"),
@@ -118,6 +116,12 @@ def unprocessed(source: DataFrame, log: DataFrame, key: str) -> DataFrame:
     return source.join(log.select(key).distinct(), key, "left_anti")
 
 
+def ratio_windows(spark: SparkSession) -> DataFrame:
+    """The accepted ratios as a table, which is a constant of the plan."""
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("target"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, t, lo, hi in RATIO_WINDOWS])
+    return spark.range(1).select(F.inline(rows))
+
+
 def ratio_verdicts(df: DataFrame, windows: DataFrame) -> DataFrame:
     """df(kind, target, ratio) by range join with windows(kind, target, lo, hi): the windows that each row's ratio lies in."""
     d, w = df.alias("d"), F.broadcast(windows).alias("w")  # the threshold table is a constant of this module
@@ -136,9 +140,11 @@ def exit_status(ok: Column, failed: Column) -> Column:
 
 
 def under_prefix(path: Column, prefixes: list[str]) -> Column:
+    """Whether a path is one of the folders or lies below one; media/src1 has media/src1/x but not media/src10."""
     out = F.lit(False)
     for p in prefixes:
-        out = out | path.startswith(p)
+        folder = p.rstrip("/")
+        out = out | (path == folder) | path.startswith(f"{folder}/")
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenflow.operators import catalog as C
+from lumenflow.operators import maintenance as M
 from lumenflow.registry import query
 from lumenflow.session import table
 
@@ -45,7 +46,7 @@ def url_ext_priority(spark, sf_dir):
 def filtered_scan(spark, sf_dir):
     """Files of a set of extensions outside one folder."""
     f = files(spark, sf_dir)
-    return f.where(_ext().isin(*C.IMAGES, *C.VIDEOS) & ~C.under_prefix(F.col("path"), ["media/src3/"])).select("doc_id", _ext().alias("ext"), C.priority(_ext()).cast("long").alias("priority"))
+    return f.where(M.is_media(_ext()) & ~C.under_prefix(F.col("path"), ["media/src3/"])).select("doc_id", _ext().alias("ext"), C.priority(_ext()).cast("long").alias("priority"))
 
 
 @query(
@@ -87,7 +88,7 @@ def savings_clamp(spark, sf_dir):
 
 @query(
     """SELECT source, count(*) AS attempted, count(*) FILTER (quality = 1) AS ok, count(*) FILTER (quality = 0) AS failed,
- count(*) FILTER (quality = 1) * 100.0::DOUBLE / count(*) AS ok_percent,
+ count(*) FILTER (quality = 1) * 100.0::DOUBLE / count(*) AS ok_percent, count(*) FILTER (quality = 0) * 100.0::DOUBLE / count(*) AS failed_percent,
  CASE WHEN count(*) FILTER (quality = 0) = 0 THEN 0 WHEN count(*) FILTER (quality = 1) > 0 THEN 3 ELSE 2 END::BIGINT AS exit_status
  FROM documents JOIN labels USING (doc_id) GROUP BY source"""
 )
@@ -95,12 +96,13 @@ def success_rate(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     ok, bad = F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)
     out = d.groupBy("source").agg(F.count(F.lit(1)).alias("attempted"), ok.alias("ok"), bad.alias("failed"))
-    return out.select("*", (F.col("ok") * F.lit(100.0) / F.col("attempted")).alias("ok_percent"), C.exit_status(F.col("ok"), F.col("failed")).cast("long").alias("exit_status"))
+    return out.select("*", (F.col("ok") * F.lit(100.0) / F.col("attempted")).alias("ok_percent"), (F.col("failed") * F.lit(100.0) / F.col("attempted")).alias("failed_percent"), C.exit_status(F.col("ok"), F.col("failed")).cast("long").alias("exit_status"))
 
 
 @query(f"WITH {_FILES_SQL} SELECT CASE WHEN {_E} IN ('.jpeg','.png','.gif','.heic','.tiff') THEN 'image' WHEN {_E} = '.mp4' THEN 'video' ELSE 'other' END AS family, count(*) AS n, sum(size_before)::BIGINT AS bytes FROM files GROUP BY 1")
 def media_families(spark, sf_dir):
-    family = F.when(_ext().isin(*C.IMAGES), "image").when(_ext().isin(*C.VIDEOS), "video").otherwise("other")
+    kind = M.family(_ext())
+    family = F.when(kind.isin("still", "animated"), "image").otherwise(F.coalesce(kind, F.lit("other")))
     return files(spark, sf_dir).groupBy(family.alias("family")).agg(F.count(F.lit(1)).alias("n"), F.sum("size_before").alias("bytes"))
 
 
@@ -146,8 +148,7 @@ SELECT doc_id, r.kind, w.target, ratio FROM r JOIN w ON r.kind = w.kind AND rati
 def ratio_windows(spark, sf_dir):
     kind = F.when(_ext() == ".png", "png").when(_ext() == ".gif", "gif").otherwise("any")
     rows = files(spark, sf_dir).select("doc_id", kind.alias("kind"), (F.col("size_after").cast("double") / F.nullif(F.col("size_before"), F.lit(0))).alias("ratio"))
-    w = spark.createDataFrame(list(C.RATIO_WINDOWS), "kind string, target string, lo double, hi double")
-    return C.ratio_verdicts(rows, w).select("doc_id", "d.kind", "target", "ratio")
+    return C.ratio_verdicts(rows, C.ratio_windows(spark)).select("doc_id", "d.kind", "target", "ratio")
 
 
 @query(
@@ -183,10 +184,10 @@ def content_sniff(spark, sf_dir):
     return p.select("page_id", C.sniffed(F.col("html").cast("binary")).alias("kind"), C.first_success(F.sha2(F.col("html").cast("binary"), 256), F.sha2(F.col("url").cast("binary"), 256)).alias("id"))
 
 
-@query(f"WITH {_FILES_SQL} SELECT doc_id, path FROM files WHERE (starts_with(path, 'media/src1') OR starts_with(path, 'media/src2')) AND NOT starts_with(path, 'media/src12')")
+@query(f"WITH {_FILES_SQL} SELECT doc_id, path FROM files WHERE (starts_with(path, 'media/src1/') OR starts_with(path, 'media/src12/') OR starts_with(path, 'media/src2/')) AND NOT starts_with(path, 'media/src12/')")
 def path_lists(spark, sf_dir):
     p = F.col("path")
-    return files(spark, sf_dir).where(C.under_prefix(p, ["media/src1", "media/src2"]) & ~C.under_prefix(p, ["media/src12"])).select("doc_id", "path")
+    return files(spark, sf_dir).where(C.under_prefix(p, ["media/src1", "media/src12", "media/src2"]) & ~C.under_prefix(p, ["media/src12"])).select("doc_id", "path")
 
 
 @query(

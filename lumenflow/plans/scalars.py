@@ -9,10 +9,10 @@ from lumenflow.registry import query
 from lumenflow.session import ship_package, table
 
 
-@query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, base64(encode(text[1:60])) AS head64 FROM documents")
+@query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, base64(encode(text)) AS text64 FROM documents")
 def digests(spark, sf_dir):
     d, t = table(spark, sf_dir, "documents"), F.col("text")
-    return d.select("doc_id", S.digest(t, "md5").alias("md5"), S.digest(t, "sha1").alias("sha1"), S.digest(t, "sha256").alias("sha256"), S.base64_line(F.substring(t, 1, 60)).alias("head64"))
+    return d.select("doc_id", S.digest(t, "md5").alias("md5"), S.digest(t, "sha1").alias("sha1"), S.digest(t, "sha256").alias("sha256"), S.base64_line(t).alias("text64"))
 
 
 @query("SELECT doc_id, base64(encode(text)) AS text64 FROM documents")
@@ -53,7 +53,7 @@ def data_uri(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.data_uri(uri).cast("string").alias("body"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'NOPTS' ELSE regexp_replace(printf('%.6f', (event_id * 1001)::DOUBLE / 30000), '\\.?0+$', '') END AS seconds, CASE WHEN event_id % 10 = 0 THEN NULL ELSE round((event_id::DECIMAL(20,0) * 90000) / 30000)::BIGINT END AS ticks, floor(log2(event_id + 1))::BIGINT AS bits FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'NOPTS' ELSE regexp_replace(printf('%.' || CASE WHEN event_id > 0 AND abs(event_id * 1001.0::DOUBLE / 30000) < 1 THEN 5 - floor(log10(event_id * 1001.0::DOUBLE / 30000))::BIGINT ELSE 6 END || 'f', (event_id * 1001)::DOUBLE / 30000), '\\.?0+$', '') END AS seconds, CASE WHEN event_id % 10 = 0 THEN NULL ELSE round((event_id::DECIMAL(20,0) * 90000) / 30000)::BIGINT END AS ticks, floor(log2(event_id + 1))::BIGINT AS bits FROM events")
 def timestamps(spark, sf_dir):
     ts = F.when(F.col("event_id") % 10 != 0, F.col("event_id"))
     return table(spark, sf_dir, "events").select("event_id", S.timestamp_text(ts * 1001, 1, 30000).alias("seconds"), S.rescale(ts, 90000, 30000).alias("ticks"), S.int_log2(F.col("event_id") + 1).alias("bits"))
@@ -66,13 +66,33 @@ def markup_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.plain_text(F.col("html")).alias("text"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE (CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END * round(l_quantity, 2)::DECIMAL(20,5) * 100000)::BIGINT END AS gain FROM lineitem")
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 0 THEN 0 ELSE CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END * (trunc(l_quantity)::BIGINT * 100000 + (l_orderkey % 100000)) END AS gain FROM lineitem"""
+)
 def replay_gain(spark, sf_dir):
+    """Seven decimals, of which the sixth and seventh are cut off; texts without a number are 0."""
     n = F.col("l_linenumber")
-    text = F.when(n % 4 == 0, "none").otherwise(F.concat(F.when(n % 2 == 0, "-").otherwise(""), F.format_string("%.2f dB", F.col("l_quantity"))))
+    text = F.when(n % 4 == 0, "none").otherwise(F.concat(F.when(n % 2 == 0, "-").otherwise(" "), F.col("l_quantity").cast("long").cast("string"), F.lit("."), F.lpad((F.col("l_orderkey") % 100000).cast("string"), 5, "0"), F.lit("99 dB")))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.replay_gain(text).alias("gain"))
 
 
+@query(
+    """SELECT event_id, upper(hex(list_aggregate(list_transform(range(0, (len(event_type) + 3) // 4), lambda k: reverse(event_type[k * 4 + 1 : k * 4 + 4])), 'string_agg', ''))) AS swapped,
+ list_sum(list_transform(range(0, 8), lambda i: ((event_id % 256) >> i & 1) << (7 - i)))::BIGINT AS reversed, round(pow(10, value / 100), 6) AS exp10,
+ CASE WHEN event_id::HUGEINT * 12345678901234567 < 98765432109876543 THEN -1 WHEN event_id::HUGEINT * 12345678901234567 > 98765432109876543 THEN 1 ELSE 0 END AS compared,
+ ((event_id::HUGEINT * 12345678901234567 - 98765432109876543) >> 20)::VARCHAR AS shifted, -value AS flipped FROM events"""
+)
+def bits_and_wide_integers(spark, sf_dir):
+    """Byte swap by words of four, bit reversal, powers of ten, comparison and shift of 128-bit integers, and a flipped display matrix."""
+    x = F.col("event_id").cast("decimal(19,0)") * F.lit("12345678901234567").cast("decimal(17,0)")
+    limit = F.lit("98765432109876543").cast("decimal(17,0)")
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.hex(S.byte_swapped(F.col("event_type"), 4)).alias("swapped"), S.bit_reversed(F.col("event_id") % 256).alias("reversed"), F.round(S.exp10(v / 100), 6).alias("exp10"),
+        S.wide_compare(x, limit).alias("compared"), S.wide_shift_right(x - limit, 20).cast("string").alias("shifted"), S.flipped_matrix(v, v, v, v, True, False)["a"].alias("flipped"),
+    )
+
+
 @query("SELECT event_id, round((-degrees(atan2(sin(value), cos(value)))), 6) + 0 AS degrees, CASE event_id % 3 WHEN 0 THEN -5 WHEN 1 THEN -9 ELSE 0 END::BIGINT AS error FROM events")
 def rotation_and_errors(spark, sf_dir):
     v, k = F.col("value"), F.col("event_id") % 3

@@ -56,7 +56,7 @@ def test_dictionary_escapes(spark):
 def test_numbers(spark):
     row = spark.range(1).select(S.int_log2(F.lit(2**40)), S.int_log2(F.lit(2**40 - 1)), S.rescale(F.lit(-3), 1, 2), S.timestamp_text(F.lit(3003), 1, 30000), S.timestamp_text(F.lit(None).cast("long"))).first()
     assert list(row) == [40, 39, -2, "0.1001", "NOPTS"]
-    assert one(spark, S.replay_gain(F.col("t")), ["-7.50 dB", "x", None]) == [-750000, None, None]
+    assert one(spark, S.replay_gain(F.col("t")), ["-7.50 dB", "x", None, "1.2345678", "010.5", "0x10", "-.5", " .5", "99999 dB"]) == [-750000, 0, None, 123456, 850000, 1600000, 0, 50000, None]
 
 
 def test_subtitles_round_trip(spark):
