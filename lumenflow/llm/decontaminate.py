@@ -148,3 +148,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """docs without the contaminated ones, with their columns; rows without an id stay."""
     bad = contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, F.col(id_col).cast("long") == F.col("__bad"), "left_anti")
+
+
+#: The same by all equal words and all alignments.
+SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+d AS (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS p FROM w),
+b AS (SELECT item_id, len(w) AS n, unnest(w) AS x, unnest(range(0, len(w))) AS q FROM v),
+m AS (SELECT doc_id, item_id, p - q AS diag, any_value(n) AS n, list(q) AS qs FROM d JOIN b USING (x) GROUP BY doc_id, item_id, diag HAVING count(*) >= CASE WHEN any_value(n) < 8 THEN any_value(n) ELSE ceil(least(any_value(n), 13) * 0.75) END),
+e AS (SELECT doc_id, item_id, n, list_max(list_transform(range(0, n - least(n, 13) + 1), lambda s: len(list_filter(qs, lambda q: q >= s AND q < s + least(n, 13))))) AS equal_words FROM m),
+f AS (SELECT doc_id, item_id, max(equal_words) AS equal_words FROM e WHERE equal_words >= CASE WHEN n < 8 THEN n ELSE ceil(least(n, 13) * 0.75) END GROUP BY doc_id, item_id)
+SELECT doc_id, true AS contaminated, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids, max(equal_words)::BIGINT AS most_equal_words FROM f GROUP BY doc_id
+"""

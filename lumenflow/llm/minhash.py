@@ -371,3 +371,17 @@ def near_duplicate_filter(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     """docs with one document, that of the smallest id, of each group of near-duplicates, with their columns; rows without an id stay."""
     gone = near_duplicates(docs, k, percent, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+
+
+#: The same by all pairs that share a shingle, for k = 4 and 80 per cent.
+SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+c AS MATERIALIZED (SELECT md5(array_to_string(list_sort(s), chr(10))) AS key, min(doc_id) AS rep, any_value(s) AS s FROM s WHERE len(s) > 0 GROUP BY key),
+g AS MATERIALIZED (SELECT rep, len(s) AS n, md5_number(unnest(s)) AS g FROM c),
+e AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM g a JOIN g b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(node, low) AS (SELECT rep, rep FROM c UNION SELECT x.b, r.low FROM r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) x ON x.a = r.node WHERE r.low < x.b),
+m AS (SELECT node, min(low) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(m.component_id, s.doc_id) AS kept
+FROM s LEFT JOIN c ON len(s.s) > 0 AND c.key = md5(array_to_string(list_sort(s.s), chr(10))) LEFT JOIN m ON m.node = c.rep
+"""

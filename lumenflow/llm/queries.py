@@ -79,4 +79,4 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_pii, op4_language_id, op5_minhash_near_dedup, op6_lm_scoring, op7_quality, op8_decontaminate, op9_sentencepiece, op10_suffix_array_dedup)}
-SQL = {"op1_exact_dedup": exact.SQL, "op3_pii": pii.SQL}
+SQL = {"op1_exact_dedup": exact.SQL, "op3_pii": pii.SQL, "op5_minhash_near_dedup": minhash.SQL, "op8_decontaminate": decontam.SQL, "op10_suffix_array_dedup": suffix_dedup.SQL}

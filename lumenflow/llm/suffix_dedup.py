@@ -465,3 +465,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def repeats_digest(done: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same by a table of all strings of LENGTH bytes, in hexadecimal.
+SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS MATERIALIZED (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+f AS MATERIALIZED (SELECT g, min(doc_id) AS low FROM p GROUP BY g HAVING min(doc_id) < max(doc_id)),
+x AS MATERIALIZED (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM p JOIN f USING (g) WHERE low < doc_id),
+y AS (SELECT doc_id, i, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM x),
+z AS MATERIALIZED (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM y GROUP BY doc_id, run),
+k AS (SELECT doc_id, run, b AS start, lead(a) OVER (PARTITION BY doc_id ORDER BY run) AS stop FROM (SELECT doc_id, run, a, b FROM z UNION ALL SELECT doc_id, 0, NULL, 0 FROM d)),
+t AS (SELECT k.doc_id, string_agg(substr(h, 2 * start + 1, 2 * (coalesce(stop, len(h) // 2) - start)), '' ORDER BY run) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id),
+n AS (SELECT doc_id, sum(b - a)::BIGINT AS removed, count(*) AS spans FROM z GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
