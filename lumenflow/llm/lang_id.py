@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from .common import LOWERED, raw, steps
 
 SLOTS = 1 << 14
+#: Slots that travel as one row, and groups that the tasks' sums of a language are added up in before they meet: with a
+#: million tasks a group has a few thousand rows of 8 KB.
+PART, GROUPS = 1 << 10, 256
 GRAMS = (1, 2, 3, 4)
 TURN = np.uint32(0x9E3779B1)
 _LETTER = np.zeros(256, bool)
@@ -112,27 +115,33 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 got = np.bincount(own[: len(slot)][inside] * SLOTS + slot[inside], minlength=len(names) * SLOTS).reshape(len(names), SLOTS)
                 for k, lang in enumerate(names):
                     total[lang] += got[k]
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["lang", "sums"])
+    rows = [(lang, k, v[k * PART : (k + 1) * PART].tobytes()) for lang, v in total.items() for k in range(SLOTS // PART)]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["lang", "part", "sums"])
 
 
 def _added(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    total = np.zeros(SLOTS, np.float64)
+    total = np.zeros(PART, np.float64)
     for part in table.column("sums"):
-        total += np.frombuffer(part.as_py(), np.float64)
-    return pa.table({"lang": [key[0].as_py()], "sums": pa.array([total.tobytes()], pa.binary())})
+        total += np.frombuffer(part.as_buffer(), np.float64)
+    return pa.table({"lang": [key[0].as_py()], "part": pa.array([key[1].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def train_language(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", smoothing: float = 0.5) -> LanguageModel | None:
     """A model from all rows with a language and a text; None if there are none."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sums = rows.mapInArrow(_sums, "lang string, sums binary").groupBy("lang").applyInArrow(_added, "lang string, sums binary").collect()
+    schema = "lang string, part int, sums binary"
+    some = rows.mapInArrow(_sums, schema).groupBy("lang", "part", F.pmod(F.spark_partition_id(), F.lit(GROUPS))).applyInArrow(_added, schema)
+    sums = some.groupBy("lang", "part").applyInArrow(_added, schema).collect()
     if not sums:
         return None
-    sums.sort(key=lambda r: r["lang"])
-    share = np.vstack([np.frombuffer(r["sums"], np.float64) + smoothing for r in sums])
+    of: dict[str, np.ndarray] = {}
+    for r in sums:
+        of.setdefault(r["lang"], np.zeros(SLOTS))[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["sums"], np.float64)
+    names = sorted(of)
+    share = np.vstack([of[x] + smoothing for x in names])
     share /= share.sum(1, keepdims=True)  # each language counts alike, however much text it has
-    code = codewords(len(sums))
+    code = codewords(len(names))
     weights = np.zeros((SLOTS, code.shape[1]), np.float32)
     for b in range(code.shape[1]):
         yes, no = share[code[:, b] > 0], share[code[:, b] < 0]
@@ -140,7 +149,7 @@ def train_language(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
             weights[:, b] = np.log(yes.mean(0)) - np.log(no.mean(0))
     margins = share @ weights  # of each language's own text
     lead = np.clip((margins * code).min(0), 1e-3, 1.0)
-    return LanguageModel(tuple(r["lang"] for r in sums), code, weights, (lead / lead.sum()).astype(np.float32) * min(4, code.shape[1]))
+    return LanguageModel(tuple(names), code, weights, (lead / lead.sum()).astype(np.float32) * min(4, code.shape[1]))
 
 
 def _predict(model: LanguageModel | None, least_lead: float):

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,13 +28,25 @@ from .common import shared_folder
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
+def _same_rules(spec: dict, ranks: dict[bytes, int]) -> bool:
+    """Whether a tokenizer file says just what merge ranks and the public pattern say: nothing is normalised, all added tokens are special ones that are matched as they stand, and the vocabulary is the ranks and these tokens."""
+    model, pre, added = spec.get("model") or {}, spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    plain = all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
+    rules = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    names = {t["content"] for t in added}
+    return plain and rules and merges and sorted(i for w, i in model["vocab"].items() if w not in names) == sorted(ranks.values())
+
+
 @lru_cache(2)
 def _encoder(json_path: str, ranks_path: str | None):
     """A function from a list of texts to their token counts, as the tokenizers library gives them.
 
     With ranks_path (the same vocabulary as merge ranks), texts whose characters
     are all below U+0250 go through tiktoken, which gives the same tokens several
-    times faster; any other text goes through the tokenizers library itself.
+    times faster: the two libraries split such texts alike, and the file is held
+    against the rules that tiktoken follows first. Any other text, and all texts if
+    the file has other rules, go through the tokenizers library itself.
     """
     import os
 
@@ -43,17 +56,18 @@ def _encoder(json_path: str, ranks_path: str | None):
     whole = Tokenizer.from_file(json_path)
     whole.no_truncation()
     whole.no_padding()
-    if ranks_path is None:
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))} if ranks_path else {}
+    spec = json.loads(Path(json_path).read_bytes())
+    if not ranks or not _same_rules(spec, ranks):
         return lambda texts: [len(e) for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
     import public_tokenizers
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
-    special = {t.content: i for i, t in whole.get_added_tokens_decoder().items() if t.special}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def count(texts: list[str]) -> list[int]:
-        return [len(fast.encode(t, allowed_special="all")) if t.isascii() or max(t) < "ɐ" else len(whole.encode(t, add_special_tokens=False)) for t in texts]
+        return [len(fast.encode(t, allowed_special="all")) if t.isascii() or max(t) < "\u0250" else len(whole.encode(t, add_special_tokens=False)) for t in texts]
 
     return count
 
@@ -105,3 +119,12 @@ def token_counts(docs: DataFrame, cache: str, json_path: str, ranks_path: str |
     counts = known(n + 1).select("digest", "n_tokens")
     sized = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
     return sized.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def merged_cache(spark, cache: str) -> str:
+    """A new cache whose one generation holds all that the given one does, for when generations have become many; the old one stays until no reader needs it."""
+    n = _generations(spark, cache)
+    new = new_cache(spark)
+    if n:
+        spark.read.schema(CACHE_SCHEMA).parquet(*[f"{cache}/{i:06d}" for i in range(n)]).write.mode("error").parquet(f"{new}/000000")
+    return new

@@ -134,6 +134,34 @@ def test_token_counts_and_cache(spark):
     assert spark.read.parquet(f"{cache}/000001").count() == len({x or "" for _, x in rows}) - len({x or "" for _, x in rows[:200]})
 
 
+def test_merged_cache_and_rules_of_the_file(spark):
+    import json
+
+    cache = token_counts.new_cache(spark)
+    for part in ([(1, "a b"), (2, "c")], [(3, "d e f"), (1, "a b")]):
+        token_counts.token_counts(frame(spark, part), cache, JSON, RANKS).collect()
+    one = token_counts.merged_cache(spark, cache)
+    assert spark.read.parquet(f"{one}/000000").count() == 3
+    token_counts.token_counts(frame(spark, [(9, "d e f")]), one, JSON, RANKS).collect()
+    assert spark.read.schema(token_counts.CACHE_SCHEMA).parquet(f"{one}/000001").count() == 0
+    assert token_counts.merged_cache(spark, token_counts.new_cache(spark))
+    spec = json.load(open(JSON))
+    names = {t["content"] for t in spec["added_tokens"]}
+    ranks = {w: i for w, i in spec["model"]["vocab"].items() if w not in names}
+    assert token_counts._same_rules(spec, ranks)
+    other = {**spec, "added_tokens": [{**spec["added_tokens"][0], "special": False}]}
+    assert not token_counts._same_rules(other, ranks) and not token_counts._same_rules({**spec, "normalizer": {"type": "NFC"}}, ranks)
+
+
+def test_token_counts_equal_the_library_on_all_documents(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: len(t.encode(r.text or "", add_special_tokens=False)) for r in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in queries.op2_token_counts(spark, "/root/testdata/sf0.01").collect()} == want
+
+
 # 3 ------------------------------------------------------------------------
 
 
