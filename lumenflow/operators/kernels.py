@@ -198,3 +198,10 @@ def principal_components(df: DataFrame, value: str, width: int) -> tuple[list[fl
         m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["cov"]
     values, vectors = np.linalg.eigh(m)
     return values[::-1].tolist(), vectors[:, ::-1].T.tolist()
+
+
+def tremolo_gain(n: Column, rate: int, freq: float, depth: float) -> Column:
+    """Gain of a sample by its number: a table of round(rate / freq + 0.5) places (halves to even) over and over."""
+    size, off = round(rate / freq + 0.5), 1 - depth / 2
+    turn = (F.lit(freq) * (n % size) / rate + 0.25) % 1
+    return F.sin(2 * F.pi() * turn) * (1 - abs(off)) + off

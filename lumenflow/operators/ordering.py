@@ -84,31 +84,31 @@ def annotated(df: DataFrame, keys: list[str], ts: str, ties: list[str], sums: di
     local: dict[str, Column] = {}
     edges: dict[str, Column] = {}
     between: dict[str, Column] = {}
-    df = df.withColumns({f"__v_{n}": v for n, (v, _) in sums.items()}) if sums else df
+    df = df.withColumns({f"__i_v_{n}": v for n, (v, _) in sums.items()}) if sums else df
     for n, (_, how) in sums.items():
         agg = _HOW[how][0]
-        local[f"__s_{n}"] = agg(f"__v_{n}").over(w.rowsBetween(Window.unboundedPreceding, 0))
-        edges[f"__t_{n}"] = agg(f"__v_{n}")
-        between[f"__o_{n}"] = agg(f"__t_{n}").over(line.rowsBetween(Window.unboundedPreceding, -1))
+        local[f"__i_s_{n}"] = agg(f"__i_v_{n}").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        edges[f"__i_t_{n}"] = agg(f"__i_v_{n}")
+        between[f"__i_o_{n}"] = agg(f"__i_t_{n}").over(line.rowsBetween(Window.unboundedPreceding, -1))
     depth = max((k for _, k in before.values()), default=0)
     here = F.struct(*[F.col(c).alias(c) for c in sorted({c for c, _ in before.values()})]) if before else None
     if before:
-        local["__row"] = F.row_number().over(w)
-        local |= {f"__b{k}": F.lag(here, k).over(w) for k in range(1, depth + 1)}
+        local["__i_row"] = F.row_number().over(w)
+        local |= {f"__i_b{k}": F.lag(here, k).over(w) for k in range(1, depth + 1)}
         # The last rows of a bucket, and then of those before it: the latest first.
-        edges["__last"] = F.max_by(F.array(here, *[F.col(f"__b{k}") for k in range(1, depth)]), F.struct(*order))
-        between["__ago"] = F.filter(F.flatten(F.reverse(F.collect_list("__last").over(line.rowsBetween(-depth, -1)))), lambda x: x.isNotNull())
+        edges["__last"] = F.max_by(F.array(here, *[F.col(f"__i_b{k}") for k in range(1, depth)]), F.struct(*order))
+        between["__i_ago"] = F.filter(F.flatten(F.reverse(F.collect_list("__last").over(line.rowsBetween(-depth, -1)))), lambda x: x.isNotNull())
     if behind:
         ahead = F.struct(*[F.col(c).alias(c) for c in sorted(set(behind.values()))])
-        local["__next"] = F.lead(ahead).over(w)
+        local["__i_next"] = F.lead(ahead).over(w)
         edges["__first"] = F.min_by(ahead, F.struct(*order))
-        between["__then"] = F.lead("__first").over(line)
+        between["__i_then"] = F.lead("__first").over(line)
     out = _pass(df, keys, ts, unit, local, edges, between)
-    made = {n: _HOW[how][1](F.col(f"__o_{n}"), F.col(f"__s_{n}")) for n, (_, how) in sums.items()}
+    made = {n: _HOW[how][1](F.col(f"__i_o_{n}"), F.col(f"__i_s_{n}")) for n, (_, how) in sums.items()}
     for n, (c, k) in before.items():
-        made[n] = F.when(F.col("__row") > k, F.col(f"__b{k}")[c]).otherwise(F.get("__ago", F.lit(k) - F.col("__row"))[c])
-    made |= {n: F.when(F.col("__next").isNotNull(), F.col("__next")[c]).otherwise(F.col("__then")[c]) for n, c in behind.items()}
-    return out.withColumns(made).drop(*local, *between, *[f"__v_{n}" for n in sums])
+        made[n] = F.when(F.col("__i_row") > k, F.col(f"__i_b{k}")[c]).otherwise(F.get("__i_ago", F.lit(k) - F.col("__i_row"))[c])
+    made |= {n: F.when(F.col("__i_next").isNotNull(), F.col("__i_next")[c]).otherwise(F.col("__i_then")[c]) for n, c in behind.items()}
+    return out.withColumns(made).drop(*local, *between, *[f"__i_v_{n}" for n in sums])
 
 
 def running(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: Column, name: str, how: str = "sum", unit: str = "day") -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenflow.operators import kernels as K
 from lumenflow.operators import streams as T
+from lumenflow.operators.timing import exact_quantiles
 from lumenflow.registry import query
 from lumenflow.session import table
 
@@ -18,12 +20,12 @@ def _events(spark, sf_dir):
     return table(spark, sf_dir, "events")
 
 
-@query(f"SELECT event_id, event_type FROM (SELECT *, {_N} AS n FROM events) WHERE n % 5 = 0")
+@query(f"SELECT event_id, event_type FROM (SELECT *, {_N} AS n FROM (SELECT * FROM events WHERE ts IS NOT NULL)) WHERE n % 5 = 0")
 def framestep(spark, sf_dir):
     return T.every_nth(_events(spark, sf_dir), BY_TYPE, 5).select("event_id", "event_type")
 
 
-@query(f"SELECT event_id, n FROM (SELECT *, {_N} AS n FROM events) WHERE n >= 100 AND n < 250")
+@query(f"SELECT event_id, n FROM (SELECT *, {_N} AS n FROM (SELECT * FROM events WHERE ts IS NOT NULL)) WHERE n >= 100 AND n < 250")
 def trim_index(spark, sf_dir):
     e = T.trim_index(_events(spark, sf_dir), BY_TYPE, 100, 250)
     return BY_TYPE.numbered(e, "n").select("event_id", (F.col("n") + 100).alias("n"))
@@ -34,13 +36,13 @@ def trim_time(spark, sf_dir):
     return T.trim_time(_events(spark, sf_dir), BY_TYPE, "2024-01-05 06:00:00", "2024-01-07 00:00:00").select("event_id", "event_type")
 
 
-@query(f"SELECT event_id, trunc({_N} * 28.93::DOUBLE)::BIGINT AS pts FROM events")
+@query(f"SELECT event_id, trunc({_N} * 28.93::DOUBLE)::BIGINT AS pts FROM (SELECT * FROM events WHERE ts IS NOT NULL)")
 def setpts(spark, sf_dir):
     return T.retimed(_events(spark, sf_dir), BY_TYPE, 28.93).select("event_id", "pts")
 
 
 @query(
-    """WITH p AS (SELECT user_id, event_id, ts, epoch_us(ts) // 1000000 AS pts FROM events),
+    """WITH p AS (SELECT user_id, event_id, ts, epoch_us(ts) // 1000000 AS pts FROM (SELECT * FROM events WHERE ts IS NOT NULL)),
 d AS (SELECT *, pts - lag(pts) OVER w AS delta FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 e AS (SELECT *, lag(delta) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pd FROM d WHERE delta IS NOT NULL),
 f AS (SELECT *, CASE WHEN pd IS NOT NULL AND delta <> pd THEN 1 ELSE 0 END AS chg FROM e)
@@ -59,25 +61,25 @@ def select_route(spark, sf_dir):
     return _events(spark, sf_dir).where("value <> 0").select("event_id", pad.cast("long").alias("out_pad"))
 
 
-@query(f"SELECT event_type, n // 7 AS chunk, count(*) AS rows, min(ts) AS first_ts FROM (SELECT *, {_N} AS n FROM events) GROUP BY ALL")
+@query(f"SELECT event_type, n // 7 AS chunk, count(*) AS rows, min(ts) AS first_ts FROM (SELECT *, {_N} AS n FROM (SELECT * FROM events WHERE ts IS NOT NULL)) GROUP BY ALL")
 def rechunk(spark, sf_dir):
     return T.chunked(_events(spark, sf_dir), BY_TYPE, 7).groupBy("event_type", "chunk").agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"))
 
 
-@query(f"SELECT event_type, n // 4 AS tile, string_agg(event_id::VARCHAR, ',' ORDER BY n) AS ids FROM (SELECT *, {_N} AS n FROM events) GROUP BY ALL")
+@query(f"SELECT event_type, n // 4 AS tile, string_agg(event_id::VARCHAR, ',' ORDER BY n) AS ids FROM (SELECT *, {_N} AS n FROM (SELECT * FROM events WHERE ts IS NOT NULL)) GROUP BY ALL")
 def tile(spark, sf_dir):
     t = T.tiled(_events(spark, sf_dir), BY_TYPE, 4, "event_id")
     return t.select("event_type", "tile", F.array_join(F.transform("tiles", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query(f"SELECT event_type, event_id, n // 4 AS tile, n % 4 AS pos FROM (SELECT *, {_N} AS n FROM events)")
+@query(f"SELECT event_type, event_id, n // 4 AS tile, n % 4 AS pos FROM (SELECT *, {_N} AS n FROM (SELECT * FROM events WHERE ts IS NOT NULL))")
 def untile(spark, sf_dir):
     t = T.untiled(T.tiled(_events(spark, sf_dir), BY_TYPE, 4, "event_id"), ["event_type"], "tiles", "event_id")
     return t.select("event_type", "event_id", "tile", F.col("pos").cast("long").alias("pos"))
 
 
 @query(
-    f"""WITH r AS (SELECT *, {_N} AS n, count(*) OVER (PARTITION BY event_type) AS total FROM events), o(i, o) AS (VALUES (0, 2), (1, 0), (2, 1), (3, 0))
+    f"""WITH r AS (SELECT *, {_N} AS n, count(*) OVER (PARTITION BY event_type) AS total FROM (SELECT * FROM events WHERE ts IS NOT NULL)), o(i, o) AS (VALUES (0, 2), (1, 0), (2, 1), (3, 0))
 SELECT event_id, (n // 3) * 4 + i AS n FROM r JOIN o ON n % 3 = o WHERE false
 UNION ALL SELECT event_id, (n // 3) * 3 + CASE n % 3 WHEN 2 THEN 0 WHEN 0 THEN 1 ELSE 2 END AS n FROM r WHERE (n // 3 + 1) * 3 <= total"""
 )
@@ -86,20 +88,20 @@ def shuffleframes(spark, sf_dir):
 
 
 @query(
-    f"""WITH r AS (SELECT *, {_N} AS n FROM events), t AS (SELECT *, unnest(CASE WHEN n BETWEEN 5 AND 9 THEN range(0, 3) ELSE [0] END) AS k FROM r)
+    f"""WITH r AS (SELECT *, {_N} AS n FROM (SELECT * FROM events WHERE ts IS NOT NULL)), t AS (SELECT *, unnest(CASE WHEN n BETWEEN 5 AND 9 THEN range(0, 3) ELSE [0] END) AS k FROM r)
 SELECT event_type, event_id, CASE WHEN n BETWEEN 5 AND 9 THEN n + k * 5 WHEN n >= 10 THEN n + 10 ELSE n END AS n FROM t"""
 )
 def loop(spark, sf_dir):
     return T.looped(_events(spark, sf_dir), BY_TYPE, 5, 5, 2).select("event_type", "event_id", "n")
 
 
-@query(f"WITH r AS (SELECT *, {_N} AS n FROM events) SELECT event_type, event_id, n + k AS n FROM (SELECT *, unnest(CASE WHEN n = 0 THEN range(0, 4) ELSE [3] END) AS k FROM r)")
+@query(f"WITH r AS (SELECT *, {_N} AS n FROM (SELECT * FROM events WHERE ts IS NOT NULL)) SELECT event_type, event_id, n + k AS n FROM (SELECT *, unnest(CASE WHEN n = 0 THEN range(0, 4) ELSE [3] END) AS k FROM r)")
 def pad_start(spark, sf_dir):
     return T.padded(_events(spark, sf_dir), BY_TYPE, 3).select("event_type", "event_id", "n")
 
 
 @query(
-    """WITH p AS (SELECT event_id, event_type, epoch_us(ts) AS pts FROM events), s AS (SELECT event_type, min(pts) AS a, max(pts) - min(pts) AS len FROM p GROUP BY event_type),
+    """WITH p AS (SELECT event_id, event_type, epoch_us(ts) AS pts FROM (SELECT * FROM events WHERE ts IS NOT NULL)), s AS (SELECT event_type, min(pts) AS a, max(pts) - min(pts) AS len FROM p GROUP BY event_type),
 o AS (SELECT event_type, a, coalesce(sum(len) OVER (ORDER BY event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s)
 SELECT event_id, (pts - a + off)::BIGINT AS out_pts FROM p JOIN o USING (event_type)"""
 )
@@ -109,7 +111,7 @@ def concat(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS n, value FROM events WHERE event_type = 'click'), b AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS n, value FROM events WHERE event_type = 'view')
+    """WITH a AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS n, value FROM (SELECT * FROM events WHERE ts IS NOT NULL) WHERE event_type = 'click'), b AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS n, value FROM (SELECT * FROM events WHERE ts IS NOT NULL) WHERE event_type = 'view')
 SELECT a.n, a.value AS first, b.value AS second FROM a JOIN b USING (n)"""
 )
 def hstack(spark, sf_dir):
@@ -118,8 +120,8 @@ def hstack(spark, sf_dir):
 
 
 @query(
-    """SELECT m.event_id, s.value AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') m
-ASOF LEFT JOIN (SELECT user_id, ts, max_by(value, event_id) AS value FROM events WHERE event_type = 'view' GROUP BY user_id, ts) s ON m.user_id = s.user_id AND m.ts >= s.ts"""
+    """SELECT m.event_id, s.value AS last_view FROM (SELECT * FROM (SELECT * FROM events WHERE ts IS NOT NULL) WHERE event_type = 'purchase') m
+ASOF LEFT JOIN (SELECT user_id, ts, max_by(value, event_id) AS value FROM (SELECT * FROM events WHERE ts IS NOT NULL) WHERE event_type = 'view' GROUP BY user_id, ts) s ON m.user_id = s.user_id AND m.ts >= s.ts"""
 )
 def overlay_asof(spark, sf_dir):
     e = _events(spark, sf_dir)
@@ -140,7 +142,7 @@ def fps_resample(spark, sf_dir):
 
 
 @query(
-    f"""WITH a AS (SELECT *, abs(value - lag(value) {_W}) AS mafd FROM events), b AS (SELECT *, lag(mafd) {_W} AS pm FROM a)
+    f"""WITH a AS (SELECT *, abs(value - lag(value) {_W}) AS mafd FROM (SELECT * FROM events WHERE ts IS NOT NULL)), b AS (SELECT *, lag(mafd) {_W} AS pm FROM a)
 SELECT event_id, mafd, CASE WHEN pm IS NOT NULL THEN least(mafd, abs(mafd - pm)) END AS score FROM b"""
 )
 def scdet(spark, sf_dir):
@@ -148,7 +150,7 @@ def scdet(spark, sf_dir):
 
 
 @query(
-    f"""WITH s AS (SELECT *, value < 15 AS q FROM events), g AS (SELECT *, row_number() {_W} - row_number() OVER (PARTITION BY event_type, q ORDER BY ts, event_id) AS grp FROM s)
+    f"""WITH s AS (SELECT *, value < 15 AS q FROM (SELECT * FROM events WHERE ts IS NOT NULL)), g AS (SELECT *, row_number() {_W} - row_number() OVER (PARTITION BY event_type, q ORDER BY ts, event_id) AS grp FROM s)
 SELECT event_type, min(ts) AS start, max(ts) AS "end", count(*) AS rows FROM g WHERE q GROUP BY event_type, grp HAVING count(*) >= 3"""
 )
 def silencedetect(spark, sf_dir):
@@ -156,7 +158,7 @@ def silencedetect(spark, sf_dir):
 
 
 @query(
-    f"""WITH a AS (SELECT *, CASE WHEN abs(value - lag(value) {_W}) <= 5 THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) {_W} AS grp FROM a)
+    f"""WITH a AS (SELECT *, CASE WHEN abs(value - lag(value) {_W}) <= 5 THEN 0 ELSE 1 END AS new FROM (SELECT * FROM events WHERE ts IS NOT NULL)), g AS (SELECT *, sum(new) {_W} AS grp FROM a)
 SELECT event_type, min(ts) AS start, max(ts) AS "end", count(*) AS rows FROM g GROUP BY event_type, grp HAVING count(*) >= 2"""
 )
 def freezedetect(spark, sf_dir):
@@ -164,7 +166,7 @@ def freezedetect(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    """WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM (SELECT * FROM events WHERE ts IS NOT NULL) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM a)
 SELECT user_id, session, min(ts) AS start, max(ts) AS "end", count(*) AS rows FROM g GROUP BY user_id, session"""
 )
@@ -173,27 +175,27 @@ def discontinuity_sessions(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    """WITH a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM (SELECT * FROM events WHERE ts IS NOT NULL) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS run FROM a) SELECT user_id, run, min(event_type) AS event_type, count(*) AS length FROM g GROUP BY user_id, run"""
 )
 def run_lengths(spark, sf_dir):
     return T.run_lengths(_events(spark, sf_dir), BY_USER, "event_type")
 
 
-@query(f"SELECT event_id, min(value) {_W} AS low, max(value) {_W} AS high FROM events")
+@query(f"SELECT event_id, min(value) {_W} AS low, max(value) {_W} AS high FROM (SELECT * FROM events WHERE ts IS NOT NULL)")
 def cropdetect(spark, sf_dir):
     """The running bounds of a stream's values."""
     return BY_TYPE.annotated(_events(spark, sf_dir), sums={"low": (F.col("value"), "min"), "high": (F.col("value"), "max")}).select("event_id", "low", "high")
 
 
-@query(f"SELECT event_id, sum(value::DECIMAL(18,4)) {_W}::DOUBLE AS total FROM events")
+@query(f"SELECT event_id, sum(value::DECIMAL(18,4)) {_W}::DOUBLE AS total FROM (SELECT * FROM events WHERE ts IS NOT NULL)")
 def running_total(spark, sf_dir):
     out = BY_TYPE.running(_events(spark, sf_dir), F.col("value").cast("decimal(18,4)"), "total")
     return out.select("event_id", F.col("total").cast("double").alias("total"))
 
 
 @query(
-    f"""WITH r AS (SELECT *, {_N} // 100 AS chunk FROM events), m AS (SELECT event_type, chunk, avg(value) AS m FROM r GROUP BY ALL)
+    f"""WITH r AS (SELECT *, {_N} // 100 AS chunk FROM (SELECT * FROM events WHERE ts IS NOT NULL)), m AS (SELECT event_type, chunk, avg(value) AS m FROM r GROUP BY ALL)
 SELECT event_type, chunk, min_by(event_id, (round(abs(value - m), 9), event_id)) AS event_id FROM r JOIN m USING (event_type, chunk) GROUP BY ALL"""
 )
 def thumbnail(spark, sf_dir):
@@ -227,7 +229,10 @@ def timeline_enable(spark, sf_dir):
 
 @query("SELECT event_type, min(value) AS low, quantile_cont(value, 0.1) AS p10, avg(value) AS mean, quantile_cont(value, 0.9) AS p90, max(value) AS high FROM events GROUP BY event_type")
 def signalstats(spark, sf_dir):
-    return _events(spark, sf_dir).groupBy("event_type").agg(F.min("value").alias("low"), F.percentile("value", 0.1).alias("p10"), F.avg("value").alias("mean"), F.percentile("value", 0.9).alias("p90"), F.max("value").alias("high"))
+    """Exact quantiles by two counts, as no task may hold all values of a stream."""
+    e = _events(spark, sf_dir)
+    plain = e.groupBy("event_type").agg(F.min("value").alias("low"), F.avg("value").alias("mean"), F.max("value").alias("high"))
+    return plain.join(exact_quantiles(e, "event_type", "value", {"p10": 0.1, "p90": 0.9}), "event_type")
 
 
 @query("SELECT event_type, least(greatest(floor(value / 10), 0), 15)::BIGINT AS bin, count(*) AS n FROM events GROUP BY ALL")
@@ -268,7 +273,7 @@ def channel_pan(spark, sf_dir):
 
 
 @query(
-    f"""WITH a AS (SELECT *, value + 0.5 * coalesce(lag(value) {_W}, 0) AS echo, {_N} AS n FROM events)
+    f"""WITH a AS (SELECT *, value + 0.5 * coalesce(lag(value) {_W}, 0) AS echo, {_N} AS n FROM (SELECT * FROM events WHERE ts IS NOT NULL))
 SELECT event_id, echo, CASE WHEN abs(value) < 10 THEN 0 ELSE value END AS gated, least(greatest(value, -80.0), 80.0)::DOUBLE AS limited, value * least(n / 100.0::DOUBLE, 1.0) AS faded FROM a"""
 )
 def dynamics(spark, sf_dir):
@@ -278,14 +283,14 @@ def dynamics(spark, sf_dir):
     return e.select("event_id", (v + 0.5 * F.coalesce("before", F.lit(0.0))).alias("echo"), F.when(F.abs(v) < 10, 0.0).otherwise(v).alias("gated"), F.least(F.greatest(v, F.lit(-80.0)), F.lit(80.0)).alias("limited"), (v * F.least(F.col("n") / F.lit(100.0), F.lit(1.0))).alias("faded"))
 
 
-@query("SELECT user_id, max(delta) AS longest, min(delta) AS shortest FROM (SELECT user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS delta FROM events) WHERE delta > 0 GROUP BY user_id")
+@query("SELECT user_id, max(delta) AS longest, min(delta) AS shortest FROM (SELECT user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS delta FROM (SELECT * FROM events WHERE ts IS NOT NULL)) WHERE delta > 0 GROUP BY user_id")
 def latency(spark, sf_dir):
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     d = BY_USER.previous(_events(spark, sf_dir), before="ts").withColumn("delta", us("ts") - us("before")).where("delta > 0")
     return d.groupBy("user_id").agg(F.max("delta").alias("longest"), F.min("delta").alias("shortest"))
 
 
-@query(f"SELECT event_id, n % 2 = 0 AS top_field, total - 1 - n AS flipped FROM (SELECT *, {_N} AS n, count(*) OVER (PARTITION BY event_type) AS total FROM events)")
+@query(f"SELECT event_id, n % 2 = 0 AS top_field, total - 1 - n AS flipped FROM (SELECT *, {_N} AS n, count(*) OVER (PARTITION BY event_type) AS total FROM (SELECT * FROM events WHERE ts IS NOT NULL))")
 def fields_and_flip(spark, sf_dir):
     """Which field a row belongs to, and its place in the reversed stream."""
     e = BY_TYPE.numbered(_events(spark, sf_dir), "n")
@@ -293,10 +298,8 @@ def fields_and_flip(spark, sf_dir):
     return e.join(total, "event_type").select("event_id", (F.col("n") % 2 == 0).alias("top_field"), (F.col("total") - 1 - F.col("n")).alias("flipped"))
 
 
-@query("SELECT range AS n, round(sin(2 * pi() * 440 * range / 8000), 9) + 0 AS sample, round((sin(2 * pi() * ((5.0::DOUBLE * (range % 1601) / 8000 + 0.25) % 1)) * 0.25 + 0.75), 9) AS tremolo FROM range(2000)")
+@query("SELECT range AS n, round(sin(2 * pi() * 440 * range / 8000), 9) + 0 AS sample, round((sin(2 * pi() * ((5.0::DOUBLE * (range % 1600) / 8000 + 0.25) % 1)) * 0.25 + 0.75), 9) AS tremolo FROM range(2000)")
 def generated_wave(spark, sf_dir):
     """A sine source and a tremolo's gain table (5 Hz, depth a half)."""
     n = F.col("id")
-    off = 1 - 0.5 / 2
-    gain = F.sin(2 * F.pi() * (((F.lit(5.0) * (n % 1601) / 8000) + 0.25) % 1)) * (1 - abs(off)) + off
-    return spark.range(2000).select(n.alias("n"), (F.round(F.sin(2 * F.pi() * 440 * n / 8000), 9) + 0).alias("sample"), F.round(gain, 9).alias("tremolo"))
+    return spark.range(2000).select(n.alias("n"), (F.round(F.sin(2 * F.pi() * 440 * n / 8000), 9) + 0).alias("sample"), F.round(K.tremolo_gain(n, 8000, 5.0, 0.5), 9).alias("tremolo"))
