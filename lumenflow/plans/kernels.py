@@ -58,22 +58,13 @@ def transpose(spark, sf_dir):
     return out.select("vec_id", F.col("pos").cast("long").alias("pos"), "value")
 
 
-@query(
-    f"""WITH c AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, e[i + 1] AS v FROM (SELECT *, unnest(range(0, 64)) AS i FROM {_E} WHERE vec_id % 10 = 0)),
+_INTEGRAL = f"""WITH c AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, e[i + 1] AS v FROM (SELECT *, unnest(range(0, 64)) AS i FROM {_E})),
 r AS (SELECT *, sum(v) OVER (PARTITION BY vec_id, y ORDER BY x) AS s FROM c) SELECT vec_id, y * 8 + x AS pos, round(sum(s) OVER (PARTITION BY vec_id, x ORDER BY y), 9) + 0 AS total FROM r"""
-)
-def integral_image(spark, sf_dir):
-    """Every tenth vector as a plane, as its SQL says; integral_image_whole has them all."""
-    v = _vectors(spark, sf_dir).where("vec_id % 10 = 0")
-    out = v.select("vec_id", F.posexplode(K.integral_image(F.col("e"), 8)).alias("pos", "total"))
-    return out.select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round("total", 9) + 0).alias("total"))
 
 
-@query(
-    f"""WITH c AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, e[i + 1] AS v FROM (SELECT *, unnest(range(0, 64)) AS i FROM {_E})),
-r AS (SELECT *, sum(v) OVER (PARTITION BY vec_id, y ORDER BY x) AS s FROM c) SELECT vec_id, y * 8 + x AS pos, round(sum(s) OVER (PARTITION BY vec_id, x ORDER BY y), 9) + 0 AS total FROM r"""
-)
-def integral_image_whole(spark, sf_dir):
+@query(_INTEGRAL)
+@query(_INTEGRAL, "integral_image_whole")
+def integral_image(spark, sf_dir):
     """Every vector as a plane."""
     out = _vectors(spark, sf_dir).select("vec_id", F.posexplode(K.integral_image(F.col("e"), 8)).alias("pos", "total"))
     return out.select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round("total", 9) + 0).alias("total"))
@@ -85,27 +76,110 @@ def bounding_box(spark, sf_dir):
     return b.select("vec_id", F.col("b.first").cast("long").alias("first"), F.col("b.last").cast("long").alias("last"))
 
 
+_BLEND_SQL = {
+    "average": "(a + b) / 2", "multiply": "a * b", "screen": "1 - (1 - a) * (1 - b)", "difference": "abs(a - b)", "overlay": "CASE WHEN a < 0.5 THEN 2 * a * b ELSE 1 - 2 * (1 - a) * (1 - b) END", "addition": "least(a + b, 1)", "subtract": "greatest(a - b, 0)",
+    "negation": "1 - abs(1 - a - b)", "exclusion": "a + b - 2 * a * b", "darken": "least(a, b)", "phoenix": "least(a, b) - greatest(a, b) + 1", "hardlight": "CASE WHEN b < 0.5 THEN 2 * a * b ELSE 1 - 2 * (1 - a) * (1 - b) END",
+    "burn": "CASE WHEN a = 0 THEN a ELSE greatest(0, 1 - (1 - b) / a) END", "dodge": "CASE WHEN a >= 1 THEN a ELSE least(1, b / (1 - a)) END", "divide": "CASE WHEN b = 0 THEN 1 ELSE least(a / b, 1) END", "grainextract": "least(greatest(a - b + 0.5, 0), 1)", "grainmerge": "least(greatest(a + b - 0.5, 0), 1)",
+    "pinlight": "CASE WHEN b < 0.5 THEN least(a, 2 * b) ELSE greatest(a, 2 * (b - 0.5)) END", "reflect": "CASE WHEN b >= 1 THEN b ELSE least(1, a * a / (1 - b)) END", "glow": "CASE WHEN a >= 1 THEN a ELSE least(1, b * b / (1 - a)) END",
+    "softlight": "CASE WHEN a > 0.5 THEN b + (1 - b) * (a - 0.5) / 0.5 * (0.5 - abs(b - 0.5)) ELSE b - b * ((0.5 - a) / 0.5) * (0.5 - abs(b - 0.5)) END", "linearlight": "least(greatest(CASE WHEN b < 0.5 THEN b + 2 * a - 1 ELSE b + 2 * (a - 0.5) END, 0), 1)",
+    "vividlight": "CASE WHEN a < 0.5 THEN CASE WHEN 2 * a = 0 THEN 0 ELSE greatest(0, 1 - (1 - b) / (2 * a)) END ELSE CASE WHEN 2 * (a - 0.5) >= 1 THEN 1 ELSE least(1, b / (1 - 2 * (a - 0.5))) END END", "hardmix": "CASE WHEN a < 1 - b THEN 0 ELSE 1 END",
+    "multiply128": "least(greatest((a - 0.5) * b / 0.125 + 0.5, 0), 1)", "heat": "CASE WHEN a = 0 THEN 0 ELSE 1 - least((1 - b) * (1 - b) / a, 1) END", "freeze": "CASE WHEN b = 0 THEN 0 ELSE 1 - least((1 - a) * (1 - a) / b, 1) END", "extremity": "abs(1 - a - b)",
+    "softdifference": "least(greatest(CASE WHEN a > b THEN CASE WHEN b >= 1 THEN 0 ELSE (a - b) / (1 - b) END ELSE CASE WHEN b = 0 THEN 0 ELSE (b - a) / b END END, 0), 1)", "geometric": "sqrt(a * b)", "harmonic": "CASE WHEN a = 0 AND b = 0 THEN 0 ELSE 2 * a * b / (a + b) END",
+    "bleach": "(1 - b) + (1 - a) - 1", "stain": "2 - a - b", "interpolate": "(2 - cos(a * pi()) - cos(b * pi())) * 0.25", "hardoverlay": "CASE WHEN a >= 1 THEN 1 WHEN a > 0.5 THEN least(1, b / (2 - 2 * a)) ELSE least(1, 2 * a * b) END",
+    "and": "(round(a * 255)::INT & round(b * 255)::INT) / 255.0::DOUBLE", "or": "(round(a * 255)::INT | round(b * 255)::INT) / 255.0::DOUBLE", "xor": "xor(round(a * 255)::INT, round(b * 255)::INT) / 255.0::DOUBLE", "normal": "b",
+}
+
+
 @query(
-    f"""WITH p AS (SELECT vec_id, abs(e[1]) AS a, abs(e[2]) AS b FROM {_E})
-SELECT vec_id, round((a + b) / 2, 9) AS average, round(a * b, 9) AS multiply, round(1 - (1 - a) * (1 - b), 9) AS screen, round(abs(a - b), 9) AS difference, round(CASE WHEN a < 0.5 THEN 2 * a * b ELSE 1 - 2 * (1 - a) * (1 - b) END, 9) AS overlay,
- round(a + (greatest(a, b) - a) * 0.5, 9) AS lighten_half FROM p"""
+    f"WITH p AS (SELECT vec_id, i AS pos, abs(e[i + 1]) AS a, abs(e[i + 2]) AS b FROM (SELECT *, unnest(range(0, 63)) AS i FROM {_E})) SELECT vec_id, pos, round(a + (greatest(a, b) - a) * 0.5, 9) AS lighten_half, "
+    + ", ".join(f'round(({x})::DOUBLE, 9) + 0 AS "{m}"' for m, x in _BLEND_SQL.items())
+    + " FROM p"
 )
 def blend_modes(spark, sf_dir):
-    v = _vectors(spark, sf_dir).select("vec_id", F.abs(F.get("e", F.lit(0))).alias("a"), F.abs(F.get("e", F.lit(1))).alias("b"))
+    """All forty modes on each component and the next, one of them at half opacity."""
+    shifted = F.arrays_zip(F.slice("e", 1, 63).alias("a"), F.slice("e", 2, 63).alias("b"))
+    v = _vectors(spark, sf_dir).select("vec_id", F.posexplode(shifted).alias("pos", "p")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.abs("p.a").alias("a"), F.abs("p.b").alias("b"))
     a, b = F.col("a"), F.col("b")
-    modes = [F.round(K.blended(m, a, b), 9).alias(m) for m in ("average", "multiply", "screen", "difference", "overlay")]
-    return v.select("vec_id", *modes, F.round(K.blended("lighten", a, b, 0.5), 9).alias("lighten_half"))
+    return v.select("vec_id", "pos", F.round(K.blended("lighten", a, b, 0.5), 9).alias("lighten_half"), *[(F.round(K.blended(m, a, b).cast("double"), 9) + 0).alias(m) for m in _BLEND_SQL])
+
+
+@query(f"SELECT a.vec_id, round((2 * ma * mb + 0.0004) * (2 * (ab - ma * mb) + 0.0036) / ((ma * ma + mb * mb + 0.0004) * (aa - ma * ma + bb - mb * mb + 0.0036)), 9) AS ssim FROM (SELECT a.vec_id, list_avg(a.e) AS ma, list_avg(b.e) AS mb, list_avg(list_transform(a.e, lambda x: x * x)) AS aa, list_avg(list_transform(b.e, lambda x: x * x)) AS bb, list_avg(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) AS ab FROM {_PAIR}) a")
+def ssim(spark, sf_dir):
+    """Each vector as a block beside the next."""
+    return _pairs(spark, sf_dir).select("vec_id", F.round(K.ssim(F.col("e"), F.col("f"), 2.0), 9).alias("ssim"))
+
+
+@query(
+    f"""WITH c AS (SELECT vec_id, i % 8 AS x, i // 8 AS y FROM (SELECT *, unnest(range(0, 64)) AS i FROM {_E}) WHERE e[i + 1] > 0.2), b AS (SELECT vec_id, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM c GROUP BY vec_id)
+SELECT vec_id, x1, y1, x2, y2 FROM embeddings LEFT JOIN b USING (vec_id)"""
+)
+def plane_box(spark, sf_dir):
+    b = _vectors(spark, sf_dir).select("vec_id", K.bounding_box(F.col("e"), 8, 0.2).alias("b"))
+    return b.select("vec_id", *[F.col(f"b.{c}").cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 @query(
-    f"""WITH p AS (SELECT vec_id, e[1] AS l, e[2] AS r, e[3] AS b FROM {_E})
-SELECT vec_id, least(greatest((l + r) / 2 + 2.5 * (l - (l + r) / 2), -1), 1)::DOUBLE AS "left", least(greatest((l + r) / 2 + 2.5 * (r - (l + r) / 2), -1), 1)::DOUBLE AS "right",
+    f"""WITH w AS (SELECT *, e[greatest(i - 1, 1) : i + 1] AS w FROM (SELECT *, unnest(range(1, 65)) AS i FROM {_E}))
+SELECT vec_id, i - 1 AS pos, least(list_max(w), e[i] + 0.05::DOUBLE) AS dilated, greatest(list_min(w), e[i] - 0.05::DOUBLE) AS eroded FROM w"""
+)
+def limited_morphology(spark, sf_dir):
+    """Dilation and erosion that change a value by 0.05 at most."""
+    e = F.col("e")
+    out = _vectors(spark, sf_dir).select("vec_id", F.posexplode(F.arrays_zip(K.box_extreme(e, 1, True, 0.05).alias("d"), K.box_extreme(e, 1, False, 0.05).alias("m"))).alias("pos", "z"))
+    return out.select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("z.d").alias("dilated"), F.col("z.m").alias("eroded"))
+
+
+@query(
+    """WITH t AS (SELECT range AS n, (range + 25) % 100 / 100.0::DOUBLE AS t FROM range(300)), d AS (SELECT n, (sin(t * 2 * pi()) + 1) / 2 * 30 - 10 AS s, CASE floor(4 * t) WHEN 0 THEN 2 * t + 0.5 WHEN 3 THEN 2 * t - 1.5 ELSE 1.5 - 2 * t END * 30 - 10 AS tri FROM t)
+SELECT n, round(s, 9) AS sine, round(tri, 9) AS triangle, (trunc(round(tri, 9) + CASE WHEN tri < 0 THEN -0.5 ELSE 0.5 END))::BIGINT AS whole, n % 16 * 4 AS box_x, (n // 16) * 4 AS box_y FROM d"""
+)
+def wave_tables(spark, sf_dir):
+    """Tables of a sine and a triangle a quarter turn on, whole numbers of the latter, and the places of palette boxes."""
+    import math
+
+    n, args = F.col("id"), (100, -10.0, 20.0, math.pi / 2)
+    box = K.palette_box(n, 4)
+    return spark.range(300).select(n.alias("n"), F.round(K.wave_table(n, *args), 9).alias("sine"), F.round(K.wave_table(n, *args, kind="tri"), 9).alias("triangle"), K.wave_table(n, *args, kind="tri", whole=True).alias("whole"), box["x"].alias("box_x"), box["y"].alias("box_y"))
+
+
+@query(
+    """SELECT p_partkey, p_size * 10 AS width, p_size * 7 + 3 AS height, (round((p_size * 7 + 3) * 640.0::DOUBLE / (p_size * 10) / 2) * 2)::BIGINT AS even_height,
+ CASE WHEN p_size > 1.04::DOUBLE * 25 THEN 'tff' WHEN 25 > 1.04::DOUBLE * p_size THEN 'bff' WHEN p_retailprice > 1.5::DOUBLE * greatest(p_size, 25) THEN 'progressive' ELSE 'undetermined' END AS field_order,
+ round(least(pow(10, p_size / 20.0::DOUBLE), 1 / (0.01::DOUBLE * p_size)) * p_retailprice, 4) AS loud, p_size + 2 AS qp_last FROM part"""
+)
+def plane_arithmetic(spark, sf_dir):
+    """Scaling to a width with an even height, field order, volume under a peak, and the last value of a table of quantisers."""
+    p, size = table(spark, sf_dir, "part"), F.col("p_size")
+    to = K.scaled_size(size * 10, size * 7 + 3, 640, -2)
+    qp = K.qp_table(size, F.array(*[F.lit(i % 4) for i in range(15)]), 80, 48)
+    loud = K.volume(F.col("p_retailprice"), size.cast("double"), None, 0.01 * size.cast("double"))
+    return p.select("p_partkey", (size * 10).alias("width"), (size * 7 + 3).alias("height"), to["height"].alias("even_height"), K.field_order(size, F.lit(25), F.col("p_retailprice")).alias("field_order"), F.round(loud, 4).alias("loud"), F.element_at(qp, -1).alias("qp_last"))
+
+
+@query(
+    """WITH p AS (SELECT event_id, value, lag(value, 1) OVER w AS p1, lag(value, 2) OVER w AS p2 FROM (SELECT * FROM events WHERE ts IS NOT NULL) WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+d AS (SELECT *, abs(p1 - value) <= 20 AS ok1, abs(p1 - value) <= 20 AND abs(p2 - value) <= 20 AND abs(p1 - value) + abs(p2 - value) <= 30 AS ok2 FROM p WHERE p2 IS NOT NULL)
+SELECT event_id, round((value + CASE WHEN ok1 THEN p1 ELSE 0 END + CASE WHEN ok2 THEN p2 ELSE 0 END) / (1 + ok1::INT + ok2::INT), 9) AS value FROM d"""
+)
+def temporal_denoise(spark, sf_dir):
+    """A row averaged with the two before it while they differ by little."""
+    from lumenflow.plans.streams import BY_TYPE
+
+    e = BY_TYPE.annotated(table(spark, sf_dir, "events"), before={"p1": ("value", 1), "p2": ("value", 2)}).where("p2 IS NOT NULL")
+    return e.select("event_id", F.round(K.denoised(F.array("value", "p1", "p2"), 0, 20.0, 30.0), 9).alias("value"))
+
+
+@query(
+    f"""WITH p AS (SELECT vec_id, i AS pos, e[i + 1] AS l, e[i + 2] AS r, e[i + 3] AS b FROM (SELECT *, unnest(range(0, 62)) AS i FROM {_E}))
+SELECT vec_id, pos, least(greatest((l + r) / 2 + 2.5 * (l - (l + r) / 2), -1), 1)::DOUBLE AS "left", least(greatest((l + r) / 2 + 2.5 * (r - (l + r) / 2), -1), 1)::DOUBLE AS "right",
  greatest(l, r, b) AS max_norm, sqrt(l * l + r * r + b * b) AS l2, 0.2126::DOUBLE * l + 0.7152::DOUBLE * r + 0.0722::DOUBLE * b AS luminance FROM p"""
 )
 def extrastereo_norms(spark, sf_dir):
-    v = _vectors(spark, sf_dir).select("vec_id", *[F.get("e", F.lit(i)).alias(n) for i, n in enumerate("lrb")])
+    """On each component and the two behind it."""
+    three = F.arrays_zip(*[F.slice("e", i + 1, 62).alias(n) for i, n in enumerate("lrb")])
+    v = _vectors(spark, sf_dir).select("vec_id", F.posexplode(three).alias("pos", "p")).select("vec_id", F.col("pos").cast("long").alias("pos"), "p.*")
     s, n = K.stereo_widened(F.col("l"), F.col("r")), K.colour_norms(F.col("l"), F.col("r"), F.col("b"))
-    return v.select("vec_id", s.alias("s"), n.alias("n")).select("vec_id", F.col("s.left").alias("left"), F.col("s.right").alias("right"), F.col("n.max").alias("max_norm"), F.col("n.l2").alias("l2"), F.col("n.luminance").alias("luminance"))
+    return v.select("vec_id", "pos", s.alias("s"), n.alias("n")).select("vec_id", "pos", F.col("s.left").alias("left"), F.col("s.right").alias("right"), F.col("n.max").alias("max_norm"), F.col("n.l2").alias("l2"), F.col("n.luminance").alias("luminance"))
 
 
 @query(
@@ -133,18 +207,23 @@ def lls_2var(spark, sf_dir):
     return out.select("l_returnflag", F.round("c_l_quantity", 4).alias("c_l_quantity"), F.round("c_l_discount", 4).alias("c_l_discount"))
 
 
-@query(f"SELECT i, j, round(covar_pop(e[i + 1], e[j + 1]), 9) + 0 AS cov FROM {_E}, range(8) a(i), range(8) b(j) WHERE i <= j GROUP BY i, j")
-def covariance(spark, sf_dir):
-    v = _vectors(spark, sf_dir).select(F.slice("e", 1, 8).alias("e"))
-    return K.covariance(v, "e", 8).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.round("cov", 9) + 0).alias("cov"))
+_COVARIANCE = f"SELECT i, j, round(covar_pop(e[i + 1], e[j + 1]), 9) + 0 AS cov FROM {_E}, range(64) a(i), range(64) b(j) WHERE i <= j GROUP BY i, j"
 
 
-@query(f"SELECT i, j, round(covar_pop(e[i + 1], e[j + 1]), 9) + 0 AS cov FROM {_E}, range(64) a(i), range(64) b(j) WHERE i <= j GROUP BY i, j")
-def covariance_whole(spark, sf_dir):
+@query(_COVARIANCE)
+@query(_COVARIANCE, "covariance_whole")
+def covariance(spark, sf_dir):
     """Over all 64 components."""
     return K.covariance(_vectors(spark, sf_dir), "e", 64).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.round("cov", 9) + 0).alias("cov"))
 
 
+@query()
+def principal_components(spark, sf_dir):
+    """The components of all vectors by size; their signs are free, so there is no SQL: tests hold them against the covariance matrix."""
+    values, vectors = K.principal_components(_vectors(spark, sf_dir), "e", 64)
+    return spark.createDataFrame([(i, float(v), list(map(float, x))) for i, (v, x) in enumerate(zip(values, vectors, strict=True))], "component int, variance double, vector array<double>")
+
+
 @query(f"SELECT a.vec_id, round(sqrt(list_sum(list_transform(a.e, lambda x: x * x)) / 64 - (list_sum(a.e) / 64) ** 2), 9) AS si, round(sqrt(greatest(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[2] - p[1]) ** 2)) / 64 - (list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[2] - p[1])) / 64) ** 2, 0)), 9) AS ti FROM {_PAIR}")
 def siti(spark, sf_dir):
     """Spread of a plane, and of its change to the next."""
