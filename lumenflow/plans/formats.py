@@ -40,19 +40,30 @@ def microdvd_round_trip(spark, sf_dir):
     return X.parse_subtitles(X.microdvd_lines(cues, 25.0), "microdvd", 25.0)
 
 
-@query("SELECT event_id::INTEGER % 3 AS stream_index, event_id AS dts, event_id + 1 AS pts, 1::BIGINT AS duration, len(props)::BIGINT AS size FROM events")
+_ADLER = "(list_reduce(list_prepend(0, list_transform(range(1, len(b) + 1), lambda i: b[i] * (len(b) - i + 1))), lambda x, y: x + y) % 65521 * 65536 + list_sum(b) % 65521)::BIGINT"
+
+
+@query(
+    f"""SELECT event_id::INTEGER % 3 AS stream_index, event_id AS dts, event_id + 1 AS pts, 1::BIGINT AS duration, len(props)::BIGINT AS size, {_ADLER} AS adler,
+ event_id % 3 || ', ' || lpad(event_id::VARCHAR, 10, ' ') || ', ' || lpad((event_id + 1)::VARCHAR, 10, ' ') || ',        1, ' || lpad(len(props)::VARCHAR, 8, ' ') || ', 0x' || lower(lpad(to_hex({_ADLER}), 8, '0')) AS line
+FROM (SELECT *, list_transform(string_split(props, ''), lambda c: ascii(c)) AS b FROM events)"""
+)
 def framecrc_round_trip(spark, sf_dir):
+    """Lines and what is read back from them, checksum and all."""
     ship_package(spark)
     e = table(spark, sf_dir, "events")
     rows = e.select((F.col("event_id") % 3).cast("int").alias("stream_index"), F.col("event_id").alias("dts"), (F.col("event_id") + 1).alias("pts"), F.lit(1).cast("long").alias("duration"), F.length("props").cast("long").alias("size"), "props")
-    return X.parse_framecrc(X.framecrc_lines(rows, S.adler32(F.col("props"), 0))).drop("adler")
+    lines = X.framecrc_lines(rows, S.adler32(F.col("props"), 0))
+    return X.parse_framecrc(lines).join(lines.select("dts", F.col("value").alias("line")), "dts")
+
+
+_METADATA = "SELECT 'k=' || chr(10) || doc_id AS key, text || ';#\\' AS value FROM documents"
 
 
-@query("SELECT 'k=' || doc_id AS key, replace(left(text, 80), chr(10), ' ') || ';#\\' AS value FROM documents")
+@query(_METADATA)
 def metadata_round_trip(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    rows = d.select(F.concat(F.lit("k="), F.col("doc_id").cast("string")).alias("k"), F.concat(F.replace(F.substring("text", 1, 80), F.lit("\n"), F.lit(" ")), F.lit(";#\\")).alias("v"))
-    return X.parse_metadata(X.metadata_lines(rows, "k", "v"))
+    """Whole texts with their line ends, and a line end in each key."""
+    return metadata_round_trip_whole(spark, sf_dir)
 
 
 @query("SELECT 'k=' || chr(10) || doc_id AS key, text || ';#\\' AS value FROM documents")
@@ -65,7 +76,7 @@ def metadata_round_trip_whole(spark, sf_dir):
 
 @query("WITH e AS (SELECT * FROM (VALUES (0, 'view', 100, 500), (1, 'click', 0, 300), (2, 'view', 600, 900)) t(ord, event_type, inpoint, outpoint)), c AS (SELECT ord, event_id FROM events JOIN e USING (event_type) WHERE event_id >= inpoint AND event_id < outpoint), s AS (SELECT ord, min(event_id) AS f, max(event_id) - min(event_id) + 1 AS len FROM c GROUP BY ord), o AS (SELECT ord, f, coalesce(sum(len) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s) SELECT ord, event_id, (event_id - f + off)::BIGINT AS out_pts FROM c JOIN o USING (ord)")
 def concat_list(spark, sf_dir):
-    entries = spark.createDataFrame([(0, "view", 100, 500), (1, "click", 0, 300), (2, "view", 600, 900)], "ord int, event_type string, inpoint long, outpoint long")
+    entries = spark.sql("SELECT * FROM VALUES (0, 'view', 100L, 500L), (1, 'click', 0L, 300L), (2, 'view', 600L, 900L) AS t(ord, event_type, inpoint, outpoint)")
     return X.concat_list(entries, table(spark, sf_dir, "events").select("event_type", "event_id"), "event_type", "event_id").select("ord", "event_id", "out_pts")
 
 
@@ -74,3 +85,100 @@ def probe_rows(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     rows = X.probe_rows(e.select(F.length("props").alias("size")), e.select(F.col("event_type").alias("codec")).distinct())
     return rows.groupBy("row_type").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.count("codec").alias("codecs"))
+
+
+def _sql_short(ms: str) -> str:
+    return f"CASE WHEN ({ms}) >= 3600000 THEN printf('%02d:%02d:%02d.%03d', ({ms}) // 3600000, ({ms}) // 60000 % 60, ({ms}) // 1000 % 60, ({ms}) % 1000) ELSE printf('%02d:%02d.%03d', ({ms}) // 60000 % 60, ({ms}) // 1000 % 60, ({ms}) % 1000) END"
+
+
+@query(f"SELECT event_id AS n, {_sql_short(_MS)} || ' --> ' || {_sql_short(_MS + ' + 1500')} || chr(10) || event_type || chr(10) || props || chr(10) AS value FROM events")
+def webvtt_sink(spark, sf_dir):
+    return X.webvtt_blocks(_cues(spark, sf_dir))
+
+
+@query(f"SELECT event_id::VARCHAR AS file, ({_MS}) AS start_ms, ({_MS} + 1500) AS end_ms, event_type || chr(10) || props AS text FROM events")
+def webvtt_round_trip(spark, sf_dir):
+    files = X.webvtt_blocks(_cues(spark, sf_dir)).select(F.col("n").cast("string").alias("file"), F.concat(F.lit("WEBVTT\n\n"), "value").alias("value"))
+    return X.webvtt_cues(files)
+
+
+@query("SELECT '# timecode format v2' AS value UNION ALL SELECT printf('%.6f', event_id * 40.04::DOUBLE) FROM events")
+def timecode_sink(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("event_id") * F.lit(40.04)).alias("ms"))
+    return X.timecode_lines(e, "ms").select("value")
+
+
+@query(
+    """SELECT 'pjs' AS kind, event_id * 10 * 100 AS start_ms, (event_id * 10 + 7) * 100 AS end_ms, event_type || chr(10) || 'x' AS text FROM events
+UNION ALL SELECT 'stl', (event_id % 86400 * 1000 + event_id % 100 * 10), ((event_id + 2) % 86400 * 1000 + event_id % 100 * 10), event_type || chr(10) || 'x' FROM events
+UNION ALL SELECT 'vplayer', event_id % 86400 * 1000, NULL, event_type || chr(10) || 'x' FROM events"""
+)
+def subtitle_lines(spark, sf_dir):
+    """One-line subtitle formats read from lines as their programs write them."""
+    e = table(spark, sf_dir, "events")
+    clock = lambda s: F.format_string("%02d:%02d:%02d", F.expr(f"({s}) div 3600"), F.expr(f"({s}) div 60 % 60"), F.expr(f"({s}) % 60"))
+    text, cents = F.concat("event_type", F.lit("|x")), F.format_string("%02d", F.col("event_id") % 100)
+    one, two = "event_id % 86400", "(event_id + 2) % 86400"
+    lines = {
+        "pjs": F.concat((F.col("event_id") * 10).cast("string"), F.lit(","), (F.col("event_id") * 10 + 7).cast("string"), F.lit(',"'), text, F.lit('"')),
+        "stl": F.concat(clock(one), F.lit(":"), cents, F.lit(" , "), clock(two), F.lit(":"), cents, F.lit(" , "), text),
+        "vplayer": F.concat(clock(one), F.lit(":"), text),
+    }
+    out = [X.parse_subtitles(e.select(line.alias("value")), kind).select(F.lit(kind).alias("kind"), "start_ms", "end_ms", "text") for kind, line in lines.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(
+    """SELECT 'subviewer1' AS kind, event_id AS id, ((event_id % 1000) + 5) * 1000 AS start_ms, ((event_id % 1000) + 8) * 1000 AS end_ms, event_type || chr(10) || 'x' AS text FROM events
+UNION ALL SELECT 'sami', event_id, event_id * 10, event_id * 10 + 25, event_type || chr(10) || 'x y' FROM events"""
+)
+def subtitle_blocks(spark, sf_dir):
+    """Block formats: a cue lasts until the next time, and an empty one ends it."""
+    e = table(spark, sf_dir, "events")
+    clock = lambda s: F.format_string("[%02d:%02d:%02d]", F.expr(f"({s}) div 3600"), F.expr(f"({s}) div 60 % 60"), F.expr(f"({s}) % 60"))
+    id_ = F.col("event_id").cast("string").alias("file")
+    one = F.concat(F.lit("[DELAY]\n5\n"), clock("event_id % 1000"), F.lit("\n"), "event_type", F.lit("|x\n"), clock("event_id % 1000 + 3"), F.lit("\n\n"))
+    two = F.concat(F.lit("<SAMI><BODY>\n<SYNC Start="), (F.col("event_id") * 10).cast("string"), F.lit("><P Class=EN>"), "event_type", F.lit("<br>x&nbsp;y</P>\n<SYNC Start="), (F.col("event_id") * 10 + 25).cast("string"), F.lit("><P>&nbsp;</P>\n</BODY></SAMI>"))
+    out = [X.parse_subtitle_blocks(e.select(id_, v.alias("value")), k).select(F.lit(k).alias("kind"), F.col("file").cast("long").alias("id"), "start_ms", "end_ms", "text") for k, v in (("subviewer1", one), ("sami", two))]
+    return out[0].unionByName(out[1])
+
+
+@query(
+    """WITH l AS (SELECT unnest(CASE WHEN n_nationkey % 2 = 0 THEN ['#tb ' || n_nationkey || ': 1/25', '#media_type ' || n_nationkey || ': video', '#codec_id ' || n_nationkey || ': rawvideo', '#dimensions ' || n_nationkey || ': 352x' || (200 + n_regionkey), '#sar ' || n_nationkey || ': 0/1']
+ ELSE ['#tb ' || n_nationkey || ': 1/44100', '#media_type ' || n_nationkey || ': audio', '#codec_id ' || n_nationkey || ': pcm_s16le', '#sample_rate ' || n_nationkey || ': 44100', '#channel_layout_name ' || n_nationkey || ': stereo'] END) AS value FROM nation) SELECT value FROM l"""
+)
+def hash_header(spark, sf_dir):
+    """A hash file's header with nations as streams, of video and audio in turn."""
+    n, video = table(spark, sf_dir, "nation"), F.col("n_nationkey") % 2 == 0
+    pick = lambda a, b: F.when(video, a).otherwise(b)
+    streams = n.select(
+        F.col("n_nationkey").alias("stream_index"), F.lit(1).alias("tb_num"), pick(25, 44100).alias("tb_den"), pick("video", "audio").alias("media_type"), pick("rawvideo", "pcm_s16le").alias("codec_id"),
+        F.lit(44100).alias("sample_rate"), F.lit("stereo").alias("channel_layout"), F.lit(352).alias("width"), (F.col("n_regionkey") + 200).alias("height"), F.lit("0/1").alias("sar"),
+    )
+    return X.hash_header(streams).select("value")
+
+
+@query(
+    """WITH b AS (SELECT event_type, ts, event_id, list_transform(string_split(props, ''), lambda c: ascii(c)) AS b FROM events WHERE ts IS NOT NULL), w AS (SELECT event_type, flatten(list(b ORDER BY ts, event_id)) AS b FROM b GROUP BY event_type),
+x AS (SELECT event_type, unnest(b)::BIGINT AS v, unnest(range(0, len(b)))::BIGINT AS i, len(b)::BIGINT AS n FROM w)
+SELECT event_type, ((any_value(n) + sum(v * (n - i)))::HUGEINT % 65521 * 65536 + (1 + sum(v)) % 65521)::BIGINT AS adler FROM x GROUP BY event_type"""
+)
+def stream_checksum(spark, sf_dir):
+    """One Adler-32 over all bytes of each stream in order, as a checksum sink gives it."""
+    ship_package(spark)
+    e = table(spark, sf_dir, "events")
+    return X.stream_checksum(e, ["event_type"], "ts", ["event_id"], S.adler32(F.col("props"), 0), F.octet_length("props"))
+
+
+@query("SELECT '<Representation><id>' || l_orderkey || '-' || l_linenumber || '</id><bandwidth>' || l_quantity::BIGINT || '</bandwidth><lang>' || l_returnflag || '</lang></Representation>' AS value FROM lineitem")
+def manifest_xml(spark, sf_dir):
+    """Elements of a manifest."""
+    rows = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_quantity").cast("long").alias("bandwidth"), F.col("l_returnflag").alias("lang"))
+    return X.manifest_xml(rows, "Representation", "id", "bandwidth", "lang").select(F.regexp_replace(F.regexp_replace("value", r">\s+<", "><"), r"\s+$", "").alias("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_tax AS l_discount, l_discount AS l_tax FROM lineitem")
+def swapped_planes(spark, sf_dir):
+    from lumenflow.operators.kernels import swapped_planes as swapped
+
+    return swapped(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax"), "l_discount", "l_tax")

@@ -27,11 +27,13 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, kind: str) -> None:
-    """A report as JSON lines or CSV with a header, replacing what is there; an empty path does nothing."""
+    """A report as JSON lines, one JSON array (json-array) or CSV with a header, replacing what is there; an empty path does nothing."""
     if not path:
         return
     if kind == "json":
         df.write.mode("overwrite").json(path)
+    elif kind == "json-array":  # one document, written by one task: for reports, whose rows are few
+        df.agg(F.to_json(F.coalesce(F.collect_list(F.struct(*df.columns)), F.array())).alias("value")).write.mode("overwrite").text(path)
     elif kind == "csv":
         df.write.mode("overwrite").option("header", True).csv(path)
     else:
@@ -100,14 +102,25 @@ SUBTITLES = {
     "mpl2": (r"^\[(\d+)\]\[(\d*)\](.*)$", 100),
     "vplayer": (r"^(\d+):(\d+):(\d+)[ :=](.*)$", 1000),
     "microdvd": (r"^\{(\d+)\}\{(\d*)\}(.*)$", 0),
+    "pjs": (r'^\s*(\d+),\s*(\d+),"?([^"]*)"?.*$', 100),
+    "stl": (r"^(\d+):(\d+):(\d+):(\d+)\s*,\s*(\d+):(\d+):(\d+):(\d+)\s*,\s*(.*)$", 10),
+}
+BLOCK_SUBTITLES = {
+    "subviewer1": r"(?m)^\[(\d+):(\d+):(\d+)\][ \t]*\r?\n([^\r\n]*)",
+    "sami": r"(?is)<SYNC\s+Start\s*=\s*\"?(\d+)\"?[^>]*>(.*?)(?=<SYNC\b|</BODY>|$)",
 }
 
 
 def parse_subtitles(df: DataFrame, kind: str, fps: float = 25.0) -> DataFrame:
-    """start_ms, end_ms and text of one-line formats (mpl2, microdvd, vplayer, whose end is null); other lines are left out."""
+    """start_ms, end_ms and text of one-line formats (mpl2, microdvd, pjs, stl, vplayer, whose end is null); other lines, and pjs lines that end before they start, are left out."""
     pattern, unit = SUBTITLES[kind]
     g = lambda i: F.regexp_extract("value", pattern, i)
     rows = df.where(F.col("value").rlike(pattern))
+    if kind == "stl":
+        at = lambda i: (g(i).cast("long") * 3600 + g(i + 1).cast("long") * 60 + g(i + 2).cast("long")) * 1000 + g(i + 3).cast("long") * unit
+        return rows.select(at(1).alias("start_ms"), at(5).alias("end_ms"), F.replace(g(9), F.lit("|"), F.lit("\n")).alias("text"))
+    if kind == "pjs":
+        rows = rows.where(g(2).cast("long") >= g(1).cast("long"))
     if kind == "vplayer":
         ms = (g(1).cast("long") * 3600 + g(2).cast("long") * 60 + g(3).cast("long")) * unit
         return rows.select(ms.alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), F.replace(g(4), F.lit("|"), F.lit("\n")).alias("text"))
@@ -128,6 +141,77 @@ def parse_srt(df: DataFrame) -> DataFrame:
     return blocks.where(F.col("block").rlike(p)).select("file", g(1).cast("long").alias("n"), at(2).alias("start_ms"), at(6).alias("end_ms"), g(10).alias("text"))
 
 
+def parse_subtitle_blocks(df: DataFrame, kind: str) -> DataFrame:
+    """file, start_ms, end_ms and text of subviewer1 and sami in df(file, value), where value is a whole file.
+
+    A cue lasts until the next time of its file, the last one has no end (null); an
+    empty cue only ends the one before. Times of subviewer1 are later by a [DELAY] that stands before them.
+    """
+    pattern = BLOCK_SUBTITLES[kind]
+    found = df.select("file", "value", F.posexplode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("n", "m"))
+    g = lambda i: F.regexp_extract("m", pattern, i)
+    if kind == "subviewer1":
+        late = F.coalesce(F.nullif(F.regexp_extract("value", r"\[DELAY\][ \t]*\r?\n[ \t]*(-?\d+)", 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
+        start = (g(1).cast("long") * 3600 + g(2).cast("long") * 60 + g(3).cast("long") + late) * 1000
+        text = F.replace(g(4), F.lit("|"), F.lit("\n"))
+    else:
+        start = g(1).cast("long")
+        text = F.trim(F.regexp_replace(F.replace(F.regexp_replace(F.regexp_replace(g(2), r"(?i)<br\s*/?>", "\n"), "<[^>]*>", ""), F.lit("&nbsp;"), F.lit(" ")), r"^\s+|\s+$", ""))
+    rows = found.select("file", "n", start.alias("start_ms"), text.alias("text"))
+    end = F.lead("start_ms").over(Window.partitionBy("file").orderBy("n"))  # a file is one row already
+    return rows.select("file", "start_ms", end.alias("end_ms"), "text").where("text <> ''")
+
+
+def webvtt_cues(df: DataFrame) -> DataFrame:
+    """file, start_ms, end_ms and text of the cues in df(file, value), where value is a whole WebVTT file."""
+    p = r"(?m)^(?:(\d+):)?(\d{2}):(\d{2})\.(\d{3}) --> (?:(\d+):)?(\d{2}):(\d{2})\.(\d{3})[^\n]*\n((?:[^\n]+(?:\n|$))*)"
+    found = df.select("file", F.explode(F.regexp_extract_all("value", F.lit(p), F.lit(0))).alias("m"))
+    g = lambda i: F.regexp_extract("m", p, i)
+    n = lambda i: F.coalesce(F.nullif(g(i), F.lit("")).cast("long"), F.lit(0).cast("long"))
+    at = lambda i: ((n(i) * 3600 + n(i + 1) * 60 + n(i + 2)) * 1000 + n(i + 3))
+    return found.select("file", at(1).alias("start_ms"), at(5).alias("end_ms"), F.regexp_replace(g(9), r"\n$", "").alias("text"))
+
+
+def hash_header(streams: DataFrame) -> DataFrame:
+    """Lines '#name i: value' of df(stream_index, tb_num, tb_den, media_type, codec_id, sample_rate, channel_layout, width, height, sar), in order of ord."""
+    i = F.col("stream_index").cast("string")
+    line = lambda name, value: F.concat(F.lit(f"#{name} "), i, F.lit(": "), value)
+    audio, video = F.col("media_type") == "audio", F.col("media_type") == "video"
+    all_ = F.array_compact(F.array(
+        line("tb", F.concat_ws("/", F.col("tb_num").cast("string"), F.col("tb_den").cast("string"))),
+        line("media_type", F.col("media_type")),
+        line("codec_id", F.col("codec_id")),
+        F.when(audio, line("sample_rate", F.col("sample_rate").cast("string"))),
+        F.when(audio, line("channel_layout_name", F.col("channel_layout"))),
+        F.when(video, line("dimensions", F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string")))),
+        F.when(video, line("sar", F.col("sar"))),
+    ))
+    return streams.select("stream_index", F.posexplode(all_).alias("at", "value")).select((F.col("stream_index") * 10 + F.col("at")).alias("ord"), "value")
+
+
+def stream_checksum(df: DataFrame, keys: list[str], ts: str, ties: list[str], adler0: Column, size: Column, seed: int = 1, name: str = "adler") -> DataFrame:
+    """Adler-32 of all bytes of each stream in order, from each row's own sum with seed 0 and its size.
+
+    A row's share of the second sum is its own plus its first sum for each byte
+    behind it, so rows are only added up; a stream needs no task of its own.
+    """
+    from lumenflow.operators.ordering import running
+
+    m = 65521
+    rows = df.withColumns({"__a": adler0.bitwiseAND(F.lit(0xFFFF)), "__b": F.shiftrightunsigned(adler0, 16), "__n": size.cast("long")})
+    rows = running(rows, keys, ts, ties, F.col("__n"), "__upto")
+    # Bytes behind a row are the stream's bytes less those up to it: the sum falls apart into parts that need no second pass.
+    out = rows.groupBy(*keys).agg(F.sum("__a").alias("a"), F.sum("__n").alias("n"), F.sum("__b").alias("b"), F.sum((F.col("__a") * (F.col("__upto") % m)) % m).alias("before"))
+    first = (F.col("a") + (seed & 0xFFFF)) % m
+    second = F.pmod((seed >> 16) + (seed & 0xFFFF) * (F.col("n") % m) + F.col("b") + (F.col("a") % m) * (F.col("n") % m) - F.col("before"), F.lit(m))
+    return out.select(*keys, (second * 65536 + first).cast("long").alias(name))
+
+
+def manifest_xml(df: DataFrame, row: str, *columns: str) -> DataFrame:
+    """One element of XML for each row, with the columns as its children."""
+    return df.select(F.to_xml(F.struct(*columns), {"rowTag": row, "declaration": "", "indent": ""}).alias("value"))
+
+
 def timecode_lines(df: DataFrame, dts_ms: str) -> DataFrame:
     """'# timecode format v2' and one time a line."""
     head = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("at"), F.lit("# timecode format v2").alias("value"))
@@ -143,12 +227,11 @@ def concat_list(entries: DataFrame, data: DataFrame, key: str, pts: str) -> Data
 
 
 def write_segments(df: DataFrame, path: str, seconds: int, ts: str) -> DataFrame:
-    """Writes df as one folder for each segment of time, and gives the manifest."""
+    """Writes df as one folder for each segment of time, and gives the manifest, which is taken from df itself."""
     seg = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / seconds).cast("long")
     out = df.withColumn("segment", seg)
     out.write.mode("overwrite").partitionBy("segment").parquet(path)
-    written = df.sparkSession.read.parquet(path)
-    return written.groupBy("segment").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("rows"))
+    return out.groupBy("segment").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("rows"))
 
 
 def probe_rows(packets: DataFrame, streams: DataFrame) -> DataFrame:

@@ -111,6 +111,59 @@ class KeepChanged(StatefulProcessor):
         pass
 
 
+class FirstRows(StatefulProcessor):
+    """The first `most` rows of a key, in the order in which they come."""
+
+    most = 5
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("seen", "rows long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen = self.state.get()[0] if self.state.exists() else 0
+        kept = []
+        for b in rows:
+            part = b["event_id"].iloc[: max(self.most - seen, 0)]
+            kept += [(key[0], seen + n, int(i)) for n, i in enumerate(part)]
+            seen = min(seen + len(b), self.most)
+        self.state.update((seen,))
+        yield pd.DataFrame(kept, columns=["key", "n", "event_id"])
+
+    def close(self) -> None:
+        pass
+
+
+class LookAhead(StatefulProcessor):
+    """Each row with the largest value of the `reach` rows behind it, once these have come; a key's state is never more than `reach` rows."""
+
+    reach = 3
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getListState("waiting", "event_id long, value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        waiting = [(int(r[0]), float(r[1])) for r in self.state.get()] if self.state.exists() else []
+        for b in rows:
+            waiting += zip(b["event_id"].astype(int).tolist(), b["value"].astype(float).tolist(), strict=True)
+            ready = len(waiting) - self.reach
+            if ready > 0:
+                values = pd.Series([v for _, v in waiting])
+                ahead = values[::-1].rolling(self.reach).max()[::-1].shift(-1)
+                yield pd.DataFrame({"key": key[0], "event_id": [i for i, _ in waiting[:ready]], "ahead": ahead[:ready].to_numpy()})
+                waiting = waiting[ready:]
+        self.state.put(waiting)
+
+    def close(self) -> None:
+        pass
+
+
+def queue_statistics(df: DataFrame, keys: list[str], ts: str, size: str, arrived: str, left: str) -> DataFrame:
+    """What waits in a queue by windows of time: rows that came, rows that left, and how many more came than left."""
+    w = F.window(ts, size).alias("w")
+    came, gone = F.count_if(F.expr(arrived)), F.count_if(F.expr(left))
+    return df.groupBy(*keys, w).agg(came.alias("came"), gone.alias("gone"), (came - gone).alias("waiting")).select(*keys, F.col("w.start").alias("start"), "came", "gone", "waiting")
+
+
 def stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
     """A stateful operator over each key; needs the RocksDB state store."""
     return df.withColumn("key", F.col(key)).groupBy("key").transformWithStateInPandas(processor, schema, "append", "none")
