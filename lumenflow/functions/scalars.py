@@ -166,7 +166,7 @@ def url_decode(c: Column, plus: bool = False) -> Column:
     text = F.replace(c, F.lit("+"), F.lit(" ")) if plus else c
     run = F.lit("(?:%[0-9A-Fa-f]{2})+")
     between, runs = F.split(text, "(?:%[0-9A-Fa-f]{2})+", -1), F.regexp_extract_all(text, run, F.lit(0))
-    plain = F.transform(runs, lambda r: F.call_function("make_valid_utf8", F.call_function("decode", F.unhex(F.replace(r, F.lit("%"), F.lit(""))), F.lit("utf-8"))))
+    plain = F.transform(runs, lambda r: F.make_valid_utf8(F.unhex(F.replace(r, F.lit("%"), F.lit(""))).cast("string")))
     whole = F.array_join(F.flatten(F.zip_with(between, plain, lambda b, p: F.array(b, F.coalesce(p, F.lit(""))))), "")
     return F.when(text.contains("%"), whole).otherwise(text)
 

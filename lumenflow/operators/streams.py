@@ -218,38 +218,41 @@ def representatives(df: DataFrame, s: Stream, size: int, value: str, id_: str) -
     return c.join(mean, [*s.keys, "chunk"]).groupBy(*s.keys, "chunk").agg(F.min(near).alias("__b")).select(*s.keys, "chunk", F.col("__b.i").alias(id_))
 
 
-def sequential(df: DataFrame, s: Stream, init, step, schema: str) -> DataFrame:
-    """Order-dependent recursion: step(state, row) -> (state, output row or None) over each stream in order.
+def sequential(df: DataFrame, s: Stream, init: Callable, step: Callable, schema: str) -> DataFrame:
+    """Order-dependent recursion: step(state, part) -> (state, made), where part is a stretch of one stream in order and made what it gives, as columns.
 
     Streams are sorted inside partitions and read batch by batch, so memory
-    doesn't grow with a stream; the recursion itself can't be split.
+    doesn't grow with a stream; the recursion itself can't be split, and rows are
+    gone through as columns of numbers.
     """
-    order = [*s.keys, s.ts, *s.ties]
-    keys = [*s.keys]
+    keys, names = [*s.keys], [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
         for b in batches:
-            out = []
-            for row in b.to_dict("records"):
-                k = tuple(row[c] for c in keys)
-                if k != key:
-                    key, state = k, init()
-                state, made = step(state, row)
-                if made is not None:
-                    out.append(made)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+            if not len(b):
+                continue
+            own = list(zip(*(b[k].tolist() for k in keys), strict=True))
+            cut = [0, *[i for i in range(1, len(own)) if own[i] != own[i - 1]], len(own)]
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                if own[i] != key:
+                    key, state = own[i], init()
+                state, made = step(state, b.iloc[i:j])
+                yield pd.DataFrame(made, columns=names)
 
-    return df.where(F.col(s.ts).isNotNull()).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*order).mapInPandas(run, schema)
+    return df.where(F.col(s.ts).isNotNull()).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, s.ts, *s.ties).mapInPandas(run, schema)
 
 
 def decimated(df: DataFrame, s: Stream, value: str, id_: str, threshold: float) -> DataFrame:
-    """Ids of rows that differ from the last kept row by more than threshold."""
+    """Ids of rows that differ from the last kept row by more than threshold; rows without a value are never kept."""
 
-    def step(last, row):
-        if last is None or abs(row[value] - last) > threshold:
-            return row[value], {id_: row[id_]}
-        return last, None
+    def step(last, part):
+        kept = []
+        for i, v in enumerate(part[value].tolist()):
+            if (last is None or abs(v - last) > threshold) and v == v:
+                last = v
+                kept.append(i)
+        return last, {id_: part[id_].to_numpy()[kept]}
 
     return sequential(df.select(*s.keys, s.ts, *s.ties, value), s, lambda: None, step, f"{id_} long")
 
@@ -257,16 +260,19 @@ def decimated(df: DataFrame, s: Stream, value: str, id_: str, threshold: float)
 def clock_filtered(df: DataFrame, s: Stream, pts: str, id_: str, period: float, feedback2: float, feedback3: float) -> DataFrame:
     """A delay-locked loop over noisy times: the smoothed time of each row."""
 
-    def step(state, row):
+    def step(state, part):
         count, cycle, duration = state
-        t = float(row[pts])
-        if count == 0:
-            cycle = t
-        else:
-            cycle += duration
-            error = t - cycle
-            cycle += max(feedback2, 1.0 / (count + 1)) * error
-            duration += feedback3 * error
-        return (count + 1, cycle, duration), {id_: row[id_], "smoothed": cycle}
-
-    return sequential(df.select(*s.keys, s.ts, *s.ties, pts), s, lambda: (0, 0.0, period), step, f"{id_} long, smoothed double")
+        smoothed = []
+        for t in part[pts].tolist():
+            if count == 0:
+                cycle = t
+            else:
+                cycle += duration
+                error = t - cycle
+                cycle += max(feedback2, 1.0 / (count + 1)) * error
+                duration += feedback3 * error
+            count += 1
+            smoothed.append(cycle)
+        return (count, cycle, duration), {id_: part[id_].to_numpy(), "smoothed": smoothed}
+
+    return sequential(df.select(*s.keys, s.ts, *s.ties, F.col(pts).cast("double").alias(pts)), s, lambda: (0, 0.0, period), step, f"{id_} long, smoothed double")

@@ -202,23 +202,34 @@ def thumbnail(spark, sf_dir):
     return T.representatives(_events(spark, sf_dir), BY_TYPE, 100, "value", "event_id")
 
 
-@query()
+_ORDERED = "n AS MATERIALIZED (SELECT user_id, event_id, value, epoch_us(ts) / 1e6 AS pts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts IS NOT NULL)"
+
+
+@query(
+    f"""WITH RECURSIVE {_ORDERED}, r AS (SELECT user_id, n, event_id, value AS last, true AS kept FROM n WHERE n = 1
+UNION ALL SELECT n.user_id, n.n, n.event_id, CASE WHEN abs(n.value - r.last) > 20 THEN n.value ELSE r.last END, abs(n.value - r.last) > 20 FROM r JOIN n ON n.user_id = r.user_id AND n.n = r.n + 1)
+SELECT event_id FROM r WHERE kept"""
+)
 def mpdecimate(spark, sf_dir):
-    """Rows unlike the last kept row; the state runs through each user's stream, so there is no SQL for it."""
+    """Rows unlike the last kept row; the state runs through each user's stream."""
     from lumenflow.session import ship_package
 
     ship_package(spark)
     return T.decimated(_events(spark, sf_dir), BY_USER, "value", "event_id", 20.0)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_ORDERED}, r AS (SELECT user_id, n, event_id, pts AS cycle, 3600.0::DOUBLE AS duration FROM n WHERE n = 1
+UNION ALL SELECT n.user_id, n.n, n.event_id, r.cycle + r.duration + greatest(0.1::DOUBLE, 1.0::DOUBLE / n.n) * (n.pts - (r.cycle + r.duration)), r.duration + 0.01::DOUBLE * (n.pts - (r.cycle + r.duration)) FROM r JOIN n ON n.user_id = r.user_id AND n.n = r.n + 1)
+SELECT event_id, round(cycle, 3) AS smoothed FROM r"""
+)
 def clock_filter(spark, sf_dir):
     """A delay-locked loop over each user's times in seconds."""
     from lumenflow.session import ship_package
 
     ship_package(spark)
     e = _events(spark, sf_dir).withColumn("pts", F.expr("unix_micros(cast(ts as timestamp)) / 1e6"))
-    return T.clock_filtered(e, BY_USER, "pts", "event_id", 3600.0, 0.1, 0.01)
+    return T.clock_filtered(e, BY_USER, "pts", "event_id", 3600.0, 0.1, 0.01).withColumn("smoothed", F.round("smoothed", 3))
 
 
 @query("SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' THEN value * 2 ELSE value END AS value FROM events")

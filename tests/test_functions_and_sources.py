@@ -109,3 +109,88 @@ def test_metadata_keeps_line_ends_and_long_values(spark):
     rows = [("a\nb=" + "long key " * 3000, "first\nsecond = #;\\\n" + "x" * 50_000 + "\n"), ("k", "\n")]
     out = X.parse_metadata(X.metadata_lines(spark.createDataFrame(rows, "k string, v string"), "k", "v"))
     assert sorted(map(tuple, out.collect())) == sorted(rows)
+
+
+def test_principal_components_diagonalise_the_covariance(spark, data):
+    import numpy as np
+
+    from lumenflow.operators import kernels as K
+
+    v = spark.read.parquet(f"{data}/embeddings.parquet").select(F.col("embedding").cast("array<double>").alias("e"))
+    values, vectors = K.principal_components(v, "e", 64)
+    x = np.array([r.e for r in v.collect()])
+    cov, w = np.cov(x.T, bias=True), np.array(vectors)
+    assert np.allclose(w @ w.T, np.eye(64), atol=1e-8) and np.allclose(w @ cov @ w.T, np.diag(values), atol=1e-8)
+    assert values == sorted(values, reverse=True)
+
+
+def test_least_squares_of_many_variables(spark):
+    import numpy as np
+
+    from lumenflow.operators import kernels as K
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5))
+    y = x @ [1, -2, 3, 0.5, -0.25] + rng.normal(size=300) * 0.01
+    df = spark.createDataFrame([(1, *map(float, r), float(t)) for r, t in zip(x, y, strict=True)], "k int, a double, b double, c double, d double, e double, y double")
+    row = K.least_squares(df, "y", list("abcde"), ["k"]).first()
+    assert np.allclose([row[f"c_{n}"] for n in "abcde"], np.linalg.lstsq(x, y, rcond=None)[0], atol=1e-9)
+
+
+def test_digests_against_plain_versions(spark):
+    import hashlib
+    import hmac
+    import zlib
+
+    texts = ["", "a", "hello world", "é" * 40, "x" * 1000, None]
+    raw = [t.encode() if t is not None else None for t in texts]
+    for algorithm in ("md5", "sha1", "sha256", "sha512"):
+        for key in (b"key", b"k" * 200):
+            assert one(spark, S.hmac(F.col("t"), key, algorithm), texts) == [hmac.new(key, t, algorithm).hexdigest() if t is not None else None for t in raw]
+    for name in ("sha512_224", "sha512_256"):
+        assert one(spark, S.digest(F.col("t"), name), texts) == [hashlib.new(name, t).hexdigest() if t is not None else None for t in raw]
+
+    def plain(data, bits, poly, low, seed=0):
+        v = seed
+        for b in data:
+            if low:
+                v ^= b
+                for _ in range(8):
+                    v = v >> 1 ^ (poly if v & 1 else 0)
+            else:
+                v ^= b << (bits - 8)
+                for _ in range(8):
+                    v = (v << 1 ^ (poly if v >> (bits - 1) & 1 else 0)) & ((1 << bits) - 1)
+        return v
+
+    for kind, (bits, poly, low) in S.CRCS.items():
+        assert one(spark, S.crc(F.col("t"), kind), texts) == [plain(t, bits, poly, low) if t is not None else None for t in raw]
+    assert one(spark, S.crc(F.col("t"), "CRC32_IEEE_LE", 0xFFFFFFFF), texts) == [zlib.crc32(t) ^ 0xFFFFFFFF if t is not None else None for t in raw]
+
+
+def test_noise_depends_on_ids_alone(spark):
+    from lumenflow.operators import kernels as K
+
+    df = spark.range(20_000).repartition(7)
+    row = df.select(F.avg(K.uniform_noise(F.col("id"), 3)), F.avg(K.gaussian_noise(F.col("id"), 3)), F.stddev_pop(K.gaussian_noise(F.col("id"), 3)), F.min(K.uniform_noise(F.col("id"), 3)), F.max(K.uniform_noise(F.col("id"), 3))).first()
+    assert abs(row[0] - 0.5) < 0.01 and abs(row[1]) < 0.03 and abs(row[2] - 1) < 0.03 and 0 <= row[3] and row[4] < 1
+    again = spark.range(5).select(K.uniform_noise(F.col("id"), 3).alias("u")).collect()
+    assert [r.u for r in again] == [r.u for r in df.where("id < 5").orderBy("id").select(K.uniform_noise(F.col("id"), 3).alias("u")).collect()]
+
+
+def test_escaped_dictionaries_and_escapes(spark):
+    cases = {"a=b:c=d": {"a": "b", "c": "d"}, r"a=x\:y:b=1=2": {"a": "x:y", "b": "1=2"}, "plain": {}, "a=1:a=2": {"a": "2"}, r"k\=1=v": {"k=1": "v"}, "": {}, "a=": {"a": ""}}
+    assert one(spark, S.parse_dict(F.col("t")), [*cases, None]) == [*cases.values(), None]
+    urls = {"a%20b": "a b", "%zz%4": "%zz%4", "%E2%82%AC": "\u20ac", "%41%": "A%", "plain": "plain", "%ff!": "\ufffd!"}
+    assert one(spark, S.url_decode(F.col("t")), [*urls, None]) == [*urls.values(), None]
+    assert one(spark, S.url_decode(F.col("t"), plus=True), ["a+b"]) == ["a b"]
+
+
+def test_reports_as_one_array(spark, tmp_path):
+    import json
+
+    from lumenflow.sources import formats as X
+
+    X.write_report(spark.createDataFrame([(1, "a"), (2, None)], "id int, name string"), str(tmp_path / "r"), "json-array")
+    text = "".join(p.read_text() for p in (tmp_path / "r").glob("part-*"))
+    assert json.loads(text) == [{"id": 1, "name": "a"}, {"id": 2}]

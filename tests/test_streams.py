@@ -131,3 +131,12 @@ def test_clock_filter_follows_a_steady_clock(spark):
     data = [("a", t0 + dt.timedelta(seconds=i), i, float(i)) for i in range(200)]
     out = {r.event_id: r.smoothed for r in T.clock_filtered(spark.createDataFrame(data, SCHEMA), S, "value", "event_id", 1.0, 0.1, 0.01).collect()}
     assert all(abs(out[i] - i) < 1e-9 for i in range(200))
+
+
+def test_clock_filter_smooths_a_noisy_clock(spark):
+    rng = random.Random(123)
+    t0 = dt.datetime(2024, 1, 1)
+    data = [("a", t0 + dt.timedelta(seconds=i), i, i + rng.uniform(-0.3, 0.3)) for i in range(1000)]
+    out = {r.event_id: r.smoothed for r in T.clock_filtered(spark.createDataFrame(data, SCHEMA), S, "value", "event_id", 1.0, 0.05, 0.002).collect()}
+    noise = sum(abs(v - i) for _, _, i, v in data[200:]) / 800
+    assert sum(abs(out[i] - i) for i in range(200, 1000)) / 800 < noise / 2
