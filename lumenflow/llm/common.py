@@ -35,9 +35,33 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
+#: Scratch tables that this process has written and not yet removed.
+_scratch: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place for a scratch table in the shared folder."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def scratch_tables() -> list[str]:
+    return list(_scratch)
+
+
+def remove_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables, for when what was made from them is written."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in _scratch:
+            _scratch.remove(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read back: computed once, and safe when executors are lost."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df written to the shared folder as Parquet and read back: computed once, and safe when executors are lost. It stays until remove_scratch."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -189,17 +189,27 @@ class NgramTrie:
     def query(self, context: np.ndarray, successor: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """Log10 probabilities: of the pair if the trie has it, else the context's weight of the lower order; the lower order alone for a new context."""
         out = lower.copy()
-        at, same = self.contexts.successor(context)
-        known = np.flatnonzero(same)
-        if not len(known):
-            return out
-        c = at[known]
-        out[known] += restored(self.backoff[c])
+        for at in range(0, len(out), 1 << 18):
+            part = slice(at, at + (1 << 18))
+            self._query(context[part], successor[part], out[part])
+        return out
+
+    def _query(self, context: np.ndarray, successor: np.ndarray, out: np.ndarray) -> None:
+        # Pairs come in order of context, so a context is looked up once for all its successors.
+        begins = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
+        at, same = self.contexts.successor(context[begins])
+        if not same.any():
+            return
+        found = np.flatnonzero(same)
+        c = at[found]
         lo, hi = self.pointers.get(c).astype(np.int64), self.pointers.get(c + 1).astype(np.int64)
-        s, same = self.successors.successor(successor[known].astype(np.uint64) + (c.astype(np.uint64) << np.uint64(32)))
-        inside = np.flatnonzero(same & (lo <= s) & (s < hi))
+        many = np.diff(np.append(begins, len(context)))[found]
+        own = np.repeat(np.arange(len(found)), many)
+        known = begins[found][own] + np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+        out[known] += restored(self.backoff[c])[own]
+        s, same = self.successors.successor(successor[known].astype(np.uint64) + (c[own].astype(np.uint64) << np.uint64(32)))
+        inside = np.flatnonzero(same & (lo[own] <= s) & (s < hi[own]))
         out[known[inside]] = restored(self.probs[s[inside]])
-        return out
 
     def save(self, path: str) -> None:
         arrays = [*self.contexts.arrays(), *self.pointers.arrays(), *self.successors.arrays(), self.backoff.view(np.uint8), self.probs.view(np.uint8)]
