@@ -19,12 +19,10 @@ near-dedup nor contaminated, and an empty table gives no rows.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenflow.llm import decontaminate, exact_dedup, minhash, quality, queries, sentencepiece_codec
-from lumenflow.llm.common import shared_folder
+from lumenflow.llm.common import remove_scratch, scratch_tables, stored
 from lumenflow.session import ship_package
 
 
@@ -63,11 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each one's scratch tables, and the table before it, go once its own is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (_, stage) in enumerate(STAGES):
+        older = scratch_tables()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            path = f"{shared_folder(spark)}/pipeline-{k}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = stored(docs, f"pipeline-{k}")
+            made = [path for path in scratch_tables() if path not in older]
+            remove_scratch(spark, before + made[:-1])
+            before = made[-1:]
     return docs
