@@ -145,6 +145,20 @@ def hash_spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mixed((sums[end] - sums[start]) * _powers[1][start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+def hash_grams(sums: np.ndarray, width: int) -> np.ndarray:
+    """hash_spans of every span of `width` bytes, by slices in place of lookups."""
+    n = len(sums) - width
+    h = sums[width:] - sums[:n]
+    h *= _powers[1][:n]
+    h += np.uint64(width * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word; data and offs as from raw()."""
     if not len(data):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, WIRE, block_count, cuts, grouped, in_blocks, is_in, joined, number, wire
-from .common import hash_spans, prefix_sums, raw, steps
+from .common import hash_grams, hash_spans, prefix_sums, raw, steps
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1  # grams in a window
@@ -51,11 +51,12 @@ def two_stage_sort(t: np.ndarray, depth: int = 56) -> tuple[np.ndarray, np.ndarr
     if n < 2:
         return np.arange(n), word
     # Type B: smaller than its successor; equal neighbours have the type of what follows them.
-    change = np.flatnonzero(t[:-1] != t[1:])
-    at = np.searchsorted(change, np.arange(n), "left")
+    changes = t[:-1] != t[1:]
+    change = np.flatnonzero(changes)
+    at = np.append(0, np.cumsum(changes))  # changes before each place
     smaller = np.append(t[change] < t[change + 1], False)[at]  # beyond the last change: larger than the shorter rest
     direct = np.flatnonzero(smaller)
-    order = direct[np.argsort(word[direct], kind="stable")]
+    order = direct[np.argsort(word[direct])]
     tied = np.arange(len(order))
     same = np.zeros(len(order), bool)
     same[1:] = word[order[1:]] == word[order[:-1]]
@@ -158,16 +159,23 @@ class Block:
             if len(data) < LENGTH:
                 continue
             sums = prefix_sums(data)
-            at = np.arange(len(data) - GRAM + 1)
-            least = _slide_min(hash_spans(sums, at, at + GRAM), REACH)
-            row = np.repeat(np.arange(i, j), np.diff(self.offs[i : j + 1]))
-            valid = np.flatnonzero((row[: len(least)] == row[LENGTH - 1 :]) & self.known[row[: len(least)]])
-            if not len(valid):
+            least = _slide_min(hash_grams(sums, GRAM), REACH)
+            # Windows of a row are those that begin in it and end in it; a run goes on while the anchor stays and the row does.
+            start, end = self.offs[i:j] - base, self.offs[i + 1 : j + 1] - base - LENGTH + 1
+            has = np.flatnonzero((end > start) & self.known[i:j])
+            if not len(has):
                 continue
-            value = least[valid]
-            new = np.append(True, (value[1:] != value[:-1]) | (np.diff(valid) != 1) | (row[valid[1:]] != row[valid[:-1]]))
-            k = np.flatnonzero(new)
-            yield sums, base, value[k] >> np.uint64(16), valid[k], valid[np.append(k[1:], len(valid)) - 1], row[valid[k]]
+            new = np.append(True, least[1:] != least[:-1])
+            new[start[has]] = True
+            outside = np.zeros(len(least) + 1, np.int8)  # 1 from a row's last window on, 0 again from the next one's first
+            outside[0] = 1
+            np.add.at(outside, start[has], -1)
+            np.add.at(outside, end[has], 1)
+            inside = np.cumsum(outside[:-1], dtype=np.int8) == 0
+            k = np.flatnonzero(new & inside)
+            row = has[np.searchsorted(start[has], k, "right") - 1]
+            nxt = np.append(k[1:], len(least))
+            yield sums, base, least[k] >> np.uint64(16), k, np.minimum(nxt, end[row]) - 1, i + row
 
 
 def packed(x: np.ndarray) -> bytes:
