@@ -70,6 +70,19 @@ def test_awkward_and_empty_tables(spark, model, name):
     assert op(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_very_long_texts(spark, model, name):
+    """A megabyte of words, a megabyte without a space, and a copy of the first with another end are each one row like others."""
+    words_ = " ".join(f"w{i % 5000}x{i // 5000}" for i in range(120_000))
+    docs = frame(spark, [(1, words_), (2, "ab" * 500_000), (3, words_ + " and an end"), (4, "short"), (5, words_ + " eight nine ten eleven twelve thirteen fourteen fifteen sixteen")])
+    out = operators(spark, model)[name](docs).collect()
+    assert {r.doc_id for r in out} == ({5} if name == "leaks" else {1, 2, 3, 4, 5})
+    if name == "near":
+        assert {r.doc_id: r.component_id for r in out} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 1}
+    if name == "repeats":
+        assert {r.doc_id: r.n_removed for r in out} == {1: 0, 2: 0, 3: len(words_), 4: 0, 5: len(words_) + 1}
+
+
 # 1 ------------------------------------------------------------------------
 
 

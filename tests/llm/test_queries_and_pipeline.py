@@ -49,3 +49,24 @@ def test_stages(spark, data):
     assert {i for i, _ in rows["benchmark decontamination"]} & first == first - bad
     last = seen["SentencePiece encoding and decoding"]
     assert {r.doc_id for r in last.collect()} == {i for i, _ in rows["benchmark decontamination"]}
+
+
+def test_stages_on_awkward_and_empty_tables(spark, data):
+    """Nulls in any column, repeated rows, ties and columns with names that stages use themselves; and no rows at all."""
+    rows = [(1, "Same words as these here", "en"), (2, "same words as THESE here", None), (2, "same words as THESE here", None), (3, None, None), (4, "", "en"), (None, "no id", "x"), (None, "no id", "x"), (None, None, None), (5, "y" * 200_000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"norm": F.lit(1), "row": F.lit("r"), "kept": F.lit(None).cast("boolean"), "words": F.lit("w"), "score": F.lit(0.1), "mix": F.lit(2), "__kept": F.lit(1)})
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality classifier"](spark, docs, data)
+    assert kept.columns == docs.columns and kept.count() <= len(rows)
+    exact = stages["exact dedup"](spark, docs, data)
+    assert exact.columns == docs.columns
+    assert sorted(((r.doc_id or 0), (r.text or "")[:9]) for r in exact.collect()) == [(0, "no id"), (2, "same word"), (4, ""), (5, "yyyyyyyyy")]
+    near = stages["MinHash near-dedup"](spark, docs, data)
+    assert near.columns == docs.columns
+    assert sorted((r.doc_id or 0) for r in near.collect()) == [0, 0, 0, 1, 3, 4, 5]
+    clean = stages["benchmark decontamination"](spark, docs, data)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    assert stages["SentencePiece encoding and decoding"](spark, docs, data).count() == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.where("false"), data)
+        assert out.count() == 0, name
