@@ -36,3 +36,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     top = stored(top, "roots") if len(levels) == 1 else top
     lowest = stored(top.groupBy("root").agg(F.least(F.min("node"), F.col("root")).alias("component")), "lowest")
     return top.join(lowest, "root").select("node", "component")
+
+
+def extended(known: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """components() of a graph whose components are known, with more edges: only edges between different components are gone through.
+
+    known(node, component), where a component is named by its smallest node; so is the result.
+    """
+    of = lambda end, name: known.select(F.col("node").alias(end), F.col("component").alias(name))
+    lifted = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
+    lifted = stored(lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct(), "between")
+    if not lifted.take(1):
+        return known
+    up = stored(components(lifted), "joined")
+    old = known.join(up.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    new = up.join(known.select("node"), "node", "left_anti").select("node", "component")
+    return stored(old.unionByName(new), "components")

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mixed, raw, shingles, steps, stored, word_hashes
-from .graph import components
+from .graph import components, extended
 
 BANDS, ROWS, BATCH = 40, 6, 40
 #: Members of a part of a bucket at least, and at least so many times the root of all members: the rows sent to tasks
@@ -321,18 +321,16 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
     clusters = stored(components(found, "x", "p"), "clusters")
     more = _remaining(members, clusters, sigs, percent / 100, miss)
     if more.take(1):
-        clusters = stored(components(found.select("x", "p").unionByName(more), "x", "p"), "clusters")
+        clusters = extended(clusters, more, "x", "p")
     texts = _picked(base, both(found.select("x", "p").unionByName(more)))
     best = found.groupBy("x").agg(F.max(F.struct("equal", (-F.col("p")).alias("p"))).alias("top")).select("x", (-F.col("top.p")).alias("p"))
     links = verified(best, texts)
     comps = stored(components(links), "components")
     rest = stored(across(found.join(best, ["x", "p"], "left_anti"), comps, "x", "p"), "rest")
     if rest.take(1):
-        links = links.unionByName(verified(rest, texts))
-        comps = stored(components(links), "components")
+        comps = extended(comps, verified(rest, texts))
     nodes = clusters.withColumnRenamed("component", "cluster").join(comps, "node", "left").select(F.col("node").alias("rep"), "cluster", F.coalesce("component", "node").alias("c"))
-    links = links.unionByName(_cluster_links(stored(nodes, "nodes"), texts, sigs, k, percent, miss))
-    comps = stored(components(links), "components")
+    comps = extended(comps, _cluster_links(stored(nodes, "nodes"), texts, sigs, k, percent, miss))
     named = stored(reps.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component")), "named")
     out = signed.select("doc_id", "n_shingles", "key").join(named, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

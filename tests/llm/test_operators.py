@@ -297,6 +297,17 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 100 for i in range(100, 161)}, 5: 5, **{i: 5 for i in range(200, 260)}}
 
 
+def test_components_with_more_edges(spark):
+    rng = random.Random(5)
+    edge = lambda n: [(rng.randrange(80), rng.randrange(80)) for _ in range(n)]
+    some, more = edge(40), edge(15)
+    frame_ = lambda e: spark.createDataFrame(e, "a long, b long")
+    known = graph.components(frame_(some))
+    assert named(graph.extended(known, frame_(more))) == named(graph.components(frame_(some + more)))
+    assert named(graph.extended(known, frame_(some[:9]))) == named(known)
+    assert named(graph.extended(graph.components(frame_([])), frame_(more))) == named(graph.components(frame_(more)))
+
+
 # 6 ------------------------------------------------------------------------
 
 
