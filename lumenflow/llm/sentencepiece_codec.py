@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 WORD = re.compile(r"\n|▁+[^▁\n]*|[^▁\n]+")
-#: Words and their ids that a Python worker remembers; beyond it, it begins anew.
-REMEMBERED = 400_000
+#: Words of up to so many characters that a Python worker remembers with their ids, and pairs of tokens whose fit it
+#: remembers; beyond either it begins anew. Together they stay below about 150 MB.
+REMEMBERED, WORD_CHARS, FITS = 150_000, 48, 400_000
 
 
 class PieceCodec:
@@ -104,6 +105,8 @@ class PieceCodec:
 
     def _fit(self, a: int, b: int) -> bool:
         if (known := self.fits.get((a, b))) is None:
+            if len(self.fits) >= FITS:
+                self.fits.clear()
             known = self.fits[a, b] = self._merge(self.pieces[a] + self.pieces[b]) == [a, b]
         return known
 
@@ -149,13 +152,15 @@ class PieceCodec:
         Decoding goes word by word too: no run of bytes of one character crosses words.
         """
         remembered = self.words
-        if len(remembered) > REMEMBERED:
-            remembered.clear()
         out, n, texts = [], 0, []
         for w in WORD.findall(self.normalised(text)):
             if (known := remembered.get(w)) is None:
                 ids = self.word_ids(w)
-                known = remembered[w] = (" ".join(map(str, ids)), len(ids), self.decode(ids, False))
+                known = (" ".join(map(str, ids)), len(ids), self.decode(ids, False))
+                if len(w) <= WORD_CHARS:
+                    if len(remembered) >= REMEMBERED:
+                        remembered.clear()
+                    remembered[w] = known
             out.append(known[0])
             n += known[1]
             texts.append(known[2])
