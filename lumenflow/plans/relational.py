@@ -55,10 +55,10 @@ def semi_join(spark, sf_dir):
     return c.join(o.where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def anti_join(spark, sf_dir):
     c, o = _t(spark, sf_dir, "customer", "orders")
-    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return c.join(o.where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier)")
