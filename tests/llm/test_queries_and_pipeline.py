@@ -12,7 +12,8 @@ from lumenflow.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_as_oracle(spark, data, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for name_ in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name_} AS SELECT * FROM '{data}/{name_}.parquet'")
     df, ref = queries.QUERIES[name](spark, data), con.sql(queries.SQL[name])
     cols = sorted(df.columns)
     assert cols == sorted(ref.columns)
