@@ -28,7 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which driver and executors share. Where it is unset a local session gets a temporary folder; on a cluster that is an error."""
     if set_ := spark.conf.get("spark.checkpoint.dir", ""):
         return set_.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="lumenflow-"))
