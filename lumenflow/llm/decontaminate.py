@@ -37,8 +37,9 @@ SPAN = max(map(len, (*MASKS, *SHORT_MASKS)))
 SEGMENT = 512
 #: Seeds of a benchmark up to this many words of text are sent to all executors; beyond it both sides are dealt by seed.
 BROADCAST_WORDS = 2_000_000
-#: Places of hits up to which their list is sent to where the texts are; beyond it both are dealt by document.
-SENT_HITS = 500_000
+#: Documents with hits up to which their ids are sent to where the texts are, and places of hits up to which these are
+#: sent to the documents so found; beyond either both sides are dealt by document.
+SENT_IDS, SENT_HITS = 2_000_000, 100_000
 
 
 def masks_of(n: int) -> tuple[str, ...]:
@@ -117,7 +118,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     few = (hits.agg(F.sum(F.size("hits"))).first()[0] or 0) <= SENT_HITS
     near = F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), h["seed"].alias("seed"), _around(F.col("words"), h["pos"] - F.col("first"), reach).alias("near")))
     found = hits.select(F.col("doc_id").alias("__found")).distinct()
-    asked = docs.join(F.broadcast(found) if few else found, F.col(id_col).cast("long") == F.col("__found"), "left_semi")  # before words are cut
+    asked = docs.join(F.broadcast(found) if hits.count() <= SENT_IDS else found, F.col(id_col).cast("long") == F.col("__found"), "left_semi")  # before words are cut
     laid = _segments(_words(asked, id_col, text_col), reach).join(F.broadcast(hits) if few else hits, key).select("doc_id", F.inline(near))
     laid = laid.join(small(seeds), "seed").join(small(items), "item")
     equal = F.zip_with("near", _around(F.col("item_words"), F.col("item_pos"), reach), lambda a, b: F.when(a == b, 1).otherwise(0))
@@ -146,8 +147,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the contaminated ones, with their columns; rows without an id stay."""
-    bad = contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("__bad"), "left_anti")
+    bad = stored(contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    return docs.join(F.broadcast(bad) if bad.count() <= SENT_IDS else bad, F.col(id_col).cast("long") == F.col("__bad"), "left_anti")
 
 
 #: The same by all equal words and all alignments.

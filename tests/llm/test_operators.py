@@ -442,10 +442,11 @@ def test_masks_hit_every_window_with_as_many_substitutions_as_allowed():
                 assert any(all(at + k not in gone for k, c in enumerate(m) if c == "1") for m in decontaminate.masks_of(words) for at in range(size - len(m) + 1))
 
 
-@pytest.mark.parametrize("sent", [500_000, 0])
+@pytest.mark.parametrize("sent", [(10**6, 10**6), (10**6, 0), (0, 0)])
 def test_decontamination(spark, monkeypatch, sent):
-    """Equal to brute force for items of all lengths, also with a phrase that many items and documents share."""
-    monkeypatch.setattr(decontaminate, "SENT_HITS", sent)
+    """Equal to brute force for items of all lengths, also with a phrase that many items and documents share, and however hits reach the texts."""
+    monkeypatch.setattr(decontaminate, "SENT_IDS", sent[0])
+    monkeypatch.setattr(decontaminate, "SENT_HITS", sent[1])
     rng = random.Random(8)
     vocab = [f"v{i}" for i in range(400)]
     items = [(j, " ".join(rng.choice(vocab) for _ in range(n))) for j, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 8, 9, 9, 10, 10, 11, 11, 12, 12, 13, 13, 14, 20, 40])]
