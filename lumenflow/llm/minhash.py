@@ -367,8 +367,8 @@ def _remaining(members: DataFrame, clusters: DataFrame, sigs: DataFrame, thresho
 
 def near_duplicate_filter(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document, that of the smallest id, of each group of near-duplicates, with their columns; rows without an id stay."""
-    gone = near_duplicates(docs, k, percent, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone = stored(near_duplicates(docs, k, percent, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
 
 
 #: The same by all pairs that share a shingle, for k = 4 and 80 per cent.
