@@ -414,7 +414,9 @@ def _scored_pairs(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table)
     for block, a, b, c, d in zip(*(table.column(x).to_pylist() for x in ("block", "a", "b", "c", "d")), strict=True):
         context, total, n = np.frombuffer(a, np.int64).reshape(3, -1)
         parts.append((block, np.repeat(context.view(np.uint64), n), np.repeat(total, n), np.frombuffer(b, np.uint32), unpacked(c), np.frombuffer(d, np.uint32)))
+    blocks, ends = [p[0] for p in parts], np.cumsum([len(p[1]) for p in parts])
     context, total, successor, low, count = (np.concatenate([p[i] for p in parts]) for i in range(1, 6))
+    del parts  # all that follows takes slices of the joined arrays
     trained = np.flatnonzero(count)
     o = trained[np.lexsort((successor[trained], context[trained]))]
     begins = np.flatnonzero(np.append(True, (context[o[1:]] != context[o[:-1]]) | (successor[o[1:]] != successor[o[:-1]]))) if len(o) else np.zeros(0, np.int64)
@@ -429,11 +431,13 @@ def _scored_pairs(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table)
         known = np.where(dealt[at] == context[first], kinds[at], 0)
     bare = ~is_in(dealt, context[first])
     trie = NgramTrie.build(context[first], successor[first], counts, total[first], restored(low[first]), known, (dealt[bare], dealt_total[bare], kinds[bare]))
+    del total, count, trained, begins, first, counts, known, bare
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "shard.trie")
         trie.save(path)
         trie = NgramTrie.open(path)
-        rows = [(number(key), p[0], packed(quantised(trie.query(p[1], p[3], restored(p[4])))), b"scores", None, None) for p in parts]
+        own = [slice(int(i), int(j)) for i, j in zip(np.append(0, ends[:-1]), ends, strict=True)]
+        rows = [(number(key), block, packed(quantised(trie.query(context[s], successor[s], restored(low[s])))), b"scores", None, None) for block, s in zip(blocks, own, strict=True)]
     return wire(rows)
 
 
