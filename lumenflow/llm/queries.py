@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries over the tables of a folder."""
+"""The operators and the pipeline as queries over the tables of a folder."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from lumenflow.session import ship_package
 
+from . import ball_kmeans as balls
 from . import decontaminate as decontam
 from . import exact_dedup as exact
-from . import lang_id, lm_scoring, minhash, pii, suffix_dedup
+from . import fill_in_middle as fim
+from . import lang_id, lm_scoring, minhash, pii, secret_scan, suffix_dedup
 from . import quality as quality_
 from . import sentencepiece_codec as pieces
 from . import token_counts as tokens
@@ -78,5 +80,20 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats_digest(suffix_dedup.remove_repeats(_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_pii, op4_language_id, op5_minhash_near_dedup, op6_lm_scoring, op7_quality, op8_decontaminate, op9_sentencepiece, op10_suffix_array_dedup)}
-SQL = {"op1_exact_dedup": exact.SQL, "op3_pii": pii.SQL, "op5_minhash_near_dedup": minhash.SQL, "op8_decontaminate": decontam.SQL, "op10_suffix_array_dedup": suffix_dedup.SQL}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digest(_documents(spark, sf_dir))
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    vectors = balls.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return balls.cluster_digest(*balls.ball_kmeans(vectors, k=40, rounds=5))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets_digest(secret_scan.find_secrets(_documents(spark, sf_dir)))
+
+
+_ALL = (op1_exact_dedup, op2_token_counts, op3_pii, op4_language_id, op5_minhash_near_dedup, op6_lm_scoring, op7_quality, op8_decontaminate, op9_sentencepiece, op10_suffix_array_dedup, op11_fill_in_middle, op12_ball_kmeans, op13_secret_scan)
+QUERIES = {f.__name__: f for f in _ALL}
+SQL = {"op1_exact_dedup": exact.SQL, "op3_pii": pii.SQL, "op5_minhash_near_dedup": minhash.SQL, "op8_decontaminate": decontam.SQL, "op10_suffix_array_dedup": suffix_dedup.SQL, "op11_fill_in_middle": fim.SQL, "op12_ball_kmeans": balls.SQL}
