@@ -218,6 +218,10 @@ def _bar(stratum: Column, least: dict[int, int]) -> Column:
     return out
 
 
+def _count(kind: int) -> Column:
+    return F.size(F.filter("base", lambda x: x["k"] == kind)).cast("long")
+
+
 def secrets_digest(found: DataFrame) -> DataFrame:
     """The counts, digest and listing of find_secrets's spans, by start and then by kind."""
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -225,7 +229,7 @@ def secrets_digest(found: DataFrame) -> DataFrame:
     listed = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
     return found.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda x, i=i: x["k"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)],
+        *[_count(i).alias(f"n_{k}") for i, k in enumerate(BASE)],
         F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         listed(F.concat("base", random_)).alias("spans"),
         F.size("random").cast("long").alias("n_random"),
