@@ -308,6 +308,6 @@ def test_secrets_in_a_very_long_text(spark):
 
 
 def test_thresholds_go_by_stratum():
-    assert secrets_.thresholds({(0, 0): 1000, (0, 80): 10, (1, 0): 1, (1, 50): 30}) == {0: 80, 1: 50}
+    assert secrets_.thresholds({(0, 0): 1000, (0, 80): 11, (1, 0): 1, (1, 50): 30}) == {0: 80, 1: 50}
     assert secrets_.thresholds({(0, 0): 1000, (0, 60): 3}) == {}
     assert secrets_.thresholds({}) == {}
