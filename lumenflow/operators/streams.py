@@ -255,24 +255,3 @@ def decimated(df: DataFrame, s: Stream, value: str, id_: str, threshold: float)
         return last, {id_: part[id_].to_numpy()[kept]}
 
     return sequential(df.select(*s.keys, s.ts, *s.ties, value), s, lambda: None, step, f"{id_} long")
-
-
-def clock_filtered(df: DataFrame, s: Stream, pts: str, id_: str, period: float, feedback2: float, feedback3: float) -> DataFrame:
-    """A delay-locked loop over noisy times: the smoothed time of each row."""
-
-    def step(state, part):
-        count, cycle, duration = state
-        smoothed = []
-        for t in part[pts].tolist():
-            if count == 0:
-                cycle = t
-            else:
-                cycle += duration
-                error = t - cycle
-                cycle += max(feedback2, 1.0 / (count + 1)) * error
-                duration += feedback3 * error
-            count += 1
-            smoothed.append(cycle)
-        return (count, cycle, duration), {id_: part[id_].to_numpy(), "smoothed": smoothed}
-
-    return sequential(df.select(*s.keys, s.ts, *s.ties, F.col(pts).cast("double").alias(pts)), s, lambda: (0, 0.0, period), step, f"{id_} long, smoothed double")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenflow.operators import kernels as K
 from lumenflow.operators import streams as T
+from lumenflow.operators.signals import clock_filtered
 from lumenflow.operators.timing import exact_quantiles
 from lumenflow.registry import query
 from lumenflow.session import table
@@ -229,7 +230,7 @@ def clock_filter(spark, sf_dir):
 
     ship_package(spark)
     e = _events(spark, sf_dir).withColumn("pts", F.expr("unix_micros(cast(ts as timestamp)) / 1e6"))
-    return T.clock_filtered(e, BY_USER, "pts", "event_id", 3600.0, 0.1, 0.01).withColumn("smoothed", F.round("smoothed", 3))
+    return clock_filtered(e, BY_USER, "pts", 3600.0, 0.1, 0.01).select("event_id", F.round("smoothed", 3).alias("smoothed"))
 
 
 @query("SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' THEN value * 2 ELSE value END AS value FROM events")
@@ -275,14 +276,6 @@ def sliding_energy(spark, sf_dir):
     return e.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("value") * F.col("value")).cast("decimal(28,6)")).cast("double").alias("energy")).select("event_type", F.col("w.start").alias("start"), "rows", "energy")
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, coalesce(avg(value) FILTER (event_type = 'click'), 0) * 0.7 + coalesce(avg(value) FILTER (event_type = 'view'), 0) * 0.3 AS \"left\", coalesce(avg(value) FILTER (event_type = 'view'), 0) * 0.7 - coalesce(avg(value) FILTER (event_type = 'click'), 0) * 0.3 AS \"right\" FROM events GROUP BY 1")
-def channel_pan(spark, sf_dir):
-    """Two output channels as mixes of two input channels."""
-    mean = lambda t: F.coalesce(F.avg(F.when(F.col("event_type") == t, F.col("value"))), F.lit(0.0))
-    c, v = mean("click"), mean("view")
-    return _events(spark, sf_dir).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg((c * 0.7 + v * 0.3).alias("left"), (v * 0.7 - c * 0.3).alias("right"))
-
-
 @query(
     f"""WITH a AS (SELECT *, value + 0.5 * coalesce(lag(value) {_W}, 0) AS echo, {_N} AS n FROM (SELECT * FROM events WHERE ts IS NOT NULL))
 SELECT event_id, echo, CASE WHEN abs(value) < 10 THEN 0 ELSE value END AS gated, least(greatest(value, -80.0), 80.0)::DOUBLE AS limited, value * least(n / 100.0::DOUBLE, 1.0) AS faded FROM a"""
