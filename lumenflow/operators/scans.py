@@ -128,8 +128,10 @@ class Envelope:
             for v in x[i:j]:
                 if v != v:
                     continue
+                if slope < 1e-30:  # no level that a stream may have gets here
+                    slope = 0.0
                 if v > levels[-1]:
-                    if slope > 0:
+                    if slope:
                         places.append(places[-1] + (v - levels[-1]) / slope)
                         levels.append(v)
                 elif v > levels[0]:

@@ -87,13 +87,12 @@ def sliding_extreme(df: DataFrame, keys: Sequence[str], place: str, value: str,
     block = Window.partitionBy(*keys, axis.tile, "__block").orderBy(place)
     rows = rows.withColumns({"__from": agg(value).over(block.rowsBetween(Window.unboundedPreceding, 0)), "__to": agg(value).over(block.rowsBetween(0, Window.unboundedFollowing))})
     w = line(keys, [axis], place)
+    all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # Where the line ends earlier: what is left of the row's block, and the whole of the next one if there is one.
     if ahead:
-        last = F.last("__from").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        # Where the line ends early, what is left of the row's block and the whole of the next one.
-        far = F.coalesce(F.lead("__from", reach).over(w), F.when(F.col("__block") < F.max("__block").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), last)) if reach else F.col("__from")
-        rows = rows.withColumn(name, pick("__to", far))
+        far = F.when(F.lead("__block", reach).over(w).isNotNull(), F.lead("__from", reach).over(w)).when(F.col("__block") < F.max("__block").over(all_), F.last("__from").over(all_))
+        rows = rows.withColumn(name, pick("__to", far if reach else F.col("__to")))
     else:
-        first = F.first("__to").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        far = F.coalesce(F.lag("__to", reach).over(w), F.when(F.col("__block") > F.min("__block").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), first)) if reach else F.col("__to")
-        rows = rows.withColumn(name, pick("__from", far))
+        far = F.when(F.lag("__block", reach).over(w).isNotNull(), F.lag("__to", reach).over(w)).when(F.col("__block") > F.min("__block").over(all_), F.first("__to").over(all_))
+        rows = rows.withColumn(name, pick("__from", far if reach else F.col("__from")))
     return owned(rows.drop("__block", "__from", "__to"), [axis])

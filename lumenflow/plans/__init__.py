@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("catalogue", "streams", "kernels", "scalars", "formats", "relational", "maintenance", "timing", "signals")
+MODULES = ("catalogue", "streams", "kernels", "scalars", "formats", "relational", "maintenance", "timing", "signals", "planes")
 
 
 def load_all() -> None:
