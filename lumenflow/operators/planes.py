@@ -96,7 +96,7 @@ def remapped(planes: DataFrame, places: DataFrame, keys: Sequence[str], value: s
     cells = owned(cells.withColumns({"__d": neighbour(value, down, 1), "__e": neighbour("__r", down, 1)}), axes)
     source = cells.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("x").cast("long").alias("__cx"), F.col("y").cast("long").alias("__cy"), F.col(value).alias("__v"), "__r", "__d", "__e")
     at = lambda c, top: F.least(F.greatest(F.col(c) - 0.5, F.lit(0.0)), (F.col(top) - 1).cast("double"))
-    asked = asked.withColumns({"__u": at("sx", "width"), "__w": at("sy", "height")})  # used only where __in holds, so never of a null.withColumns({"__ax": F.when(F.col("__in"), F.floor("__u")), "__ay": F.when(F.col("__in"), F.floor("__w"))})
+    asked = asked.withColumns({"__u": at("sx", "width"), "__w": at("sy", "height")}).withColumns({"__ax": F.when(F.col("__in"), F.floor("__u")), "__ay": F.when(F.col("__in"), F.floor("__w"))})
     out = asked.join(source, _same(keys, "__k_") & (F.col("__ax") == F.col("__cx")) & (F.col("__ay") == F.col("__cy")), "left")
     p, q = F.col("__u") - F.col("__ax"), F.col("__w") - F.col("__ay")
     mean = (F.col("__v") * (1 - p) + F.col("__r") * p) * (1 - q) + (F.col("__d") * (1 - p) + F.col("__e") * p) * q
