@@ -152,14 +152,16 @@ def looked_up(rows: DataFrame, lut: DataFrame, size: int, colours: Sequence[str]
 
 
 def _box(cuts: list[dict[int, tuple[int, int]]], colours: Sequence[str]) -> Column:
-    """A colour's box: for each level its box doubles, plus one where the colour lies beyond the box's cut."""
-    box = F.lit(1).cast("long")
-    for level in cuts:
-        beyond = F.lit(0)
-        for b, (axis, cut) in level.items():
-            beyond = F.when((box == b) & (F.col(colours[axis]) > cut), 1).otherwise(beyond)
-        box = box * 2 + beyond
-    return box
+    """A colour's box, by a tree of one comparison for each cut: a box's number doubles at each level, plus one beyond the cut."""
+
+    def node(box: int, level: int) -> Column:
+        if level == len(cuts):
+            return F.lit(box).cast("long")
+        if (cut := cuts[level].get(box)) is None:
+            return node(2 * box, level + 1)
+        return F.when(F.col(colours[cut[0]]) > cut[1], node(2 * box + 1, level + 1)).otherwise(node(2 * box, level + 1))
+
+    return node(1, 0)
 
 
 def median_cuts(rows: DataFrame, colours: Sequence[str], levels: int) -> list[dict[int, tuple[int, int]]]:
@@ -226,8 +228,8 @@ def blockiness(planes: DataFrame, keys: Sequence[str], value: str, least: int =
     step = lambda along, fixed: F.abs(F.col(value) - F.lag(value).over(line(keys, axes, along, fixed)))
     rows = owned(rows.withColumns({"__gx": step("x", "y"), "__gy": step("y", "x")}), axes)
     # Steps by place first: what periods and phases need is a sum over the places of a line only.
-    each = rows.select(*keys, F.explode(F.array(F.struct(F.lit("x").alias("d"), F.col("x").alias("at"), F.col("__gx").alias("g")), F.struct(F.lit("y").alias("d"), F.col("y").alias("at"), F.col("__gy").alias("g")))).alias("p"))
-    places = each.where("p.g IS NOT NULL").groupBy(*keys, F.col("p.d").alias("d"), F.col("p.at").alias("at")).agg(F.sum("p.g").alias("g"), F.count(F.lit(1)).alias("n"))
+    each = rows.select(*keys, F.explode(F.array(F.struct(F.lit("x").alias("d"), F.col("x").alias("at"), F.col("__gx").alias("g")), F.struct(F.lit("y").alias("d"), F.col("y").alias("at"), F.col("__gy").alias("g")))).alias("__p"))
+    places = each.where("__p.g IS NOT NULL").groupBy(*keys, F.col("__p.d").alias("d"), F.col("__p.at").alias("at")).agg(F.sum("__p.g").alias("g"), F.count(F.lit(1)).alias("n"))
     places = places.withColumn("period", F.explode(F.sequence(F.lit(least), F.lit(most)))).withColumn("phase", (F.col("at") % F.col("period")).cast("int"))
     phases = places.groupBy(*keys, "d", "period", "phase").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
     all_ = Window.partitionBy(*keys, "d", "period")  # `most` rows
