@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 # CRC variants as (bits, polynomial, bytes are fed low bit first).
-CRCS = {"CRC8": (8, 0x07, False), "CRC16_ANSI": (16, 0x8005, False), "CRC16_CCITT": (16, 0x1021, False), "CRC24": (24, 0x864CFB, False), "CRC32_IEEE": (32, 0x04C11DB7, False), "CRC32_IEEE_LE": (32, 0xEDB88320, True)}
+CRCS = {"CRC8": (8, 0x07, False), "CRC16_ANSI": (16, 0x8005, False), "CRC16_CCITT": (16, 0x1021, False), "CRC24": (24, 0x864CFB, False), "CRC32_IEEE": (32, 0x04C11DB7, False), "CRC32_IEEE_LE": (32, 0xEDB88320, True), "CRC16_ANSI_LE": (16, 0xA001, True), "CRC8_EBU": (8, 0x1D, False)}
 
 
 def as_bytes(c: Column) -> Column:
@@ -89,6 +89,61 @@ def crc_of(data: list[bytes | None], bits: int, poly: int, low_first: bool, seed
     return out
 
 
+def _times(a: int, b: int, bits: int, poly: int, low_first: bool) -> int:
+    """The product of two remainders, as polynomials over two elements modulo the CRC's; the coefficient of the highest power is the top bit, or the lowest bit if low_first."""
+    out = 0
+    for k in range(bits):
+        # b's coefficients from the highest power down, with out times x before each.
+        if low_first:
+            out = out >> 1 ^ (poly if out & 1 else 0)
+            out ^= a if b >> k & 1 else 0
+        else:
+            out = (out << 1 ^ (poly if out >> (bits - 1) & 1 else 0)) & ((1 << bits) - 1)
+            out ^= a if b >> (bits - 1 - k) & 1 else 0
+    return out
+
+
+def byte_powers(kind: str, back: bool, upto: int = 48) -> list[int]:
+    """x ** (8 * 2 ** k) modulo the CRC's polynomial for each k, or its inverse if back; x has one, as these polynomials have a constant term."""
+    bits, poly, low = CRCS[kind]
+    one = 1 << (bits - 1) if low else 1
+    if back:
+        # x times this is 1: the polynomial less its constant term, divided by x.
+        step = ((poly << 1 & ((1 << bits) - 1)) | 1) if low else (poly >> 1 | 1 << (bits - 1))
+    else:
+        step = one >> 1 if low else 2
+    for _ in range(3):
+        step = _times(step, step, bits, poly, low)
+    out = [step]
+    for _ in range(upto - 1):
+        out.append(_times(out[-1], out[-1], bits, poly, low))
+    return out
+
+
+def crc_moved(c: Column, n_bytes: Column, kind: str, back: bool = False) -> Column:
+    """A CRC (with seed 0) times x ** (8 * n_bytes): what it adds to the CRC of bytes of which n_bytes come behind its own; or divided by that."""
+    bits, poly, low = CRCS[kind]
+    powers = byte_powers(kind, back)
+    # Multiplying by a constant is linear: the products of each byte's values, which are joined by exclusive or.
+    tables = [np.array([[_times(b << 8 * j, p, bits, poly, low) for b in range(256)] for j in range((bits + 7) // 8)], np.int64) for p in powers]
+
+    @F.pandas_udf("long")
+    def run(v: pd.Series, n: pd.Series) -> pd.Series:
+        known = (v.notna() & n.notna()).to_numpy()
+        x, left = v.fillna(0).to_numpy(np.int64), n.fillna(0).to_numpy(np.int64)
+        for k, t in enumerate(tables):
+            on = (left >> k & 1).astype(bool)
+            if on.any():
+                y, own = np.zeros(int(on.sum()), np.int64), x[on]
+                for j, row in enumerate(t):
+                    y ^= row[own >> 8 * j & 255]
+                x = x.copy()
+                x[on] = y
+        return pd.Series(x, dtype="Int64").where(known)
+
+    return run(c.cast("long"), n_bytes.cast("long"))
+
+
 def _rotl(x: int, r: int) -> int:
     return (x << r | x >> (64 - r)) & 0xFFFFFFFFFFFFFFFF
 

@@ -170,6 +170,27 @@ def stream_checksum(spark, sf_dir):
     return X.stream_checksum(e, ["event_type"], "ts", ["event_id"], S.adler32(F.col("props"), 0), F.octet_length("props"))
 
 
+def _crc_sql(kind: str) -> str:
+    """A CRC over w(event_type, b), byte by byte over each stream."""
+    bits, poly, low = S.CRCS[kind]
+    mask = (1 << bits) - 1
+    table_ = f"[{', '.join(map(str, S.crc_table(bits, poly, low)))}]"
+    step = f"xor(a >> 8, {table_}[(xor(a, x) & 255) + 1])" if low else f"xor((a << 8) & {mask}, {table_}[(xor(a >> {bits - 8}, x) & 255) + 1])"
+    return f"list_reduce(list_prepend(0::BIGINT, b), lambda a, x: {step}) AS {kind.lower()}"
+
+
+@query(
+    "WITH b AS (SELECT event_type, ts, event_id, list_transform(string_split(event_id || ',' || user_id || ';', ''), lambda c: ascii(c)::BIGINT) AS b FROM events WHERE ts IS NOT NULL), w AS (SELECT event_type, flatten(list(b ORDER BY ts, event_id)) AS b FROM b GROUP BY event_type) SELECT event_type, "
+    + ", ".join(_crc_sql(k) for k in S.CRCS)
+    + " FROM w"
+)
+def stream_crcs(spark, sf_dir):
+    """One CRC of each kind over all bytes of each stream in order."""
+    ship_package(spark)
+    e = table(spark, sf_dir, "events").withColumn("line", F.concat(F.col("event_id").cast("string"), F.lit(","), F.col("user_id").cast("string"), F.lit(";")))
+    return X.stream_crcs(e, ["event_type"], "ts", ["event_id"], F.col("line"), {k.lower(): k for k in S.CRCS})
+
+
 @query("SELECT '<Representation><id>' || l_orderkey || '-' || l_linenumber || '</id><bandwidth>' || l_quantity::BIGINT || '</bandwidth><lang>' || l_returnflag || '</lang></Representation>' AS value FROM lineitem")
 def manifest_xml(spark, sf_dir):
     """Elements of a manifest."""

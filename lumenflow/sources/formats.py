@@ -207,6 +207,26 @@ def stream_checksum(df: DataFrame, keys: list[str], ts: str, ties: list[str], ad
     return out.select(*keys, (second * 65536 + first).cast("long").alias(name))
 
 
+def stream_crcs(df: DataFrame, keys: list[str], ts: str, ties: list[str], data: Column, kinds: dict[str, str], seed: int = 0) -> DataFrame:
+    """CRCs of all bytes of each stream in order, without final inversion: kinds maps a column's name to a kind of functions.scalars.CRCS.
+
+    A row's CRC counts times x to the number of bits behind it. That is x to all the
+    stream's bits, over x to the bits up to the row: so each row is divided by what is
+    known of it, rows are joined by exclusive or in any order, and the whole is
+    multiplied once. Null data add no bytes; rows without a time belong to no stream.
+    """
+    from lumenflow.functions.scalars import CRCS, crc, crc_moved
+    from lumenflow.operators.ordering import running
+
+    rows = df.withColumn("__data", F.coalesce(data.cast("binary"), F.lit(b"")))
+    rows = rows.select(*dict.fromkeys([*keys, ts, *ties]), F.octet_length("__data").cast("long").alias("__n"), *[crc(F.col("__data"), k).alias(f"__c_{n}") for n, k in kinds.items()])
+    rows = running(rows, keys, ts, ties, F.col("__n"), "__upto")
+    parts = rows.select(*keys, "__n", *[crc_moved(F.col(f"__c_{n}"), F.col("__upto"), k, back=True).alias(f"__c_{n}") for n, k in kinds.items()])
+    out = parts.groupBy(*keys).agg(F.sum("__n").alias("__n"), *[F.bit_xor(f"__c_{n}").alias(f"__c_{n}") for n in kinds])
+    begun = lambda n, k: F.col(f"__c_{n}").bitwiseXOR(F.lit(seed & ((1 << CRCS[k][0]) - 1)).cast("long"))
+    return out.select(*keys, *[crc_moved(begun(n, k), F.col("__n"), k).alias(n) for n, k in kinds.items()])
+
+
 def manifest_xml(df: DataFrame, row: str, *columns: str) -> DataFrame:
     """One element of XML for each row, with the columns as its children."""
     return df.select(F.to_xml(F.struct(*columns), {"rowTag": row, "declaration": "", "indent": ""}).alias("value"))
