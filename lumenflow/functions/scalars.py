@@ -123,9 +123,13 @@ def byte_powers(kind: str, back: bool, upto: int = 48) -> list[int]:
 def crc_moved(c: Column, n_bytes: Column, kind: str, back: bool = False) -> Column:
     """A CRC (with seed 0) times x ** (8 * n_bytes): what it adds to the CRC of bytes of which n_bytes come behind its own; or divided by that."""
     bits, poly, low = CRCS[kind]
-    powers = byte_powers(kind, back)
-    # Multiplying by a constant is linear: the products of each byte's values, which are joined by exclusive or.
-    tables = [np.array([[_times(b << 8 * j, p, bits, poly, low) for b in range(256)] for j in range((bits + 7) // 8)], np.int64) for p in powers]
+    # Multiplying by a constant is linear: the products of each byte's values, from those of its bits by exclusive or.
+    tables, values = [], np.arange(256)
+    for p in byte_powers(kind, back):
+        t = np.zeros((-(-bits // 8), 256), np.int64)
+        for k in range(bits):
+            t[k // 8] ^= np.where(values >> k % 8 & 1, _times(1 << k, p, bits, poly, low), 0)
+        tables.append(t)
 
     @F.pandas_udf("long")
     def run(v: pd.Series, n: pd.Series) -> pd.Series:
