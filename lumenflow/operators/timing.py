@@ -128,3 +128,28 @@ def exact_quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float
     low, high = (lambda q: F.max(F.when(has(F.floor(at(q))), F.col("v")))), (lambda q: F.max(F.when(has(F.ceil(at(q))), F.col("v"))))
     share = lambda q: F.max(at(q) - F.floor(at(q)))
     return ranked.groupBy(F.col("k").alias(key)).agg(*[(low(q) + (high(q) - low(q)) * share(q)).alias(n) for n, q in shares.items()])
+
+
+def drained(df: DataFrame, s: Stream, size: Column, seconds: int, most: int) -> DataFrame:
+    """keys, tick, came, gone and waiting: a queue that lets out up to `most` of what has come by each tick of so many seconds.
+
+    Rows count for the first tick at or after them. What has gone by a tick is the least,
+    over the ticks up to it, of what had come by then plus `most` for each tick since: a
+    running minimum, so no stream is in one task. Ticks run from a stream's first to the
+    one that empties the queue; rows without a time belong to none.
+    """
+    step = seconds * 1_000_000
+    came = df.where(F.col(s.ts).isNotNull()).groupBy(*s.keys, F.ceil(_us(F.col(s.ts)) / step).cast("long").alias("tick")).agg(F.sum(F.coalesce(size, F.lit(0)).cast("long")).alias("came"))
+    at = F.timestamp_micros(F.col("tick") * step)
+    t = Stream(s.keys, "__at", ("tick",), s.unit)
+    rows = t.annotated(came.withColumn("__at", at), sums={"__total": (F.col("came"), "sum")}, behind={"__next": "tick"})
+    # Before a tick with arrivals the queue holds at most what came until the one before.
+    rows = t.annotated(rows, sums={"__low": (F.col("__total") - F.col("came") - (F.col("tick") - 1) * most, "min")})
+    # Gone by tick k: the least of all that has come, and (k - j) * most more than had come before tick j, for each j up to k with arrivals.
+    gone = lambda k: F.least(F.col("__total"), F.col("__low") + k * most)
+    last = F.least(F.coalesce(F.col("__next") - 1, F.col("tick") + (1 << 40)), F.greatest(F.col("tick"), F.ceil((F.col("__total") - F.col("__low")) / most).cast("long")))
+    blocks = rows.withColumn("__from", F.explode(F.sequence(F.col("tick"), last, F.lit(1000).cast("long"))))
+    ticks = blocks.withColumn("__k", F.explode(F.sequence("__from", F.least(F.col("__from") + 999, last))))
+    k = F.col("__k")
+    before = F.when(k == F.col("tick"), F.least(F.col("__total") - F.col("came"), F.col("__low") + (k - 1) * most)).otherwise(gone(k - 1))
+    return ticks.select(*s.keys, k.alias("tick"), F.when(k == F.col("tick"), F.col("came")).otherwise(0).alias("came"), (gone(k) - before).alias("gone"), (F.col("__total") - gone(k)).alias("waiting"))

@@ -96,3 +96,17 @@ def sliding_median(spark, sf_dir):
 @query("SELECT event_type, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def exact_quantiles(spark, sf_dir):
     return X.exact_quantiles(_events(spark, sf_dir), "event_type", "value", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT event_type, ceil(epoch_us(ts) / 3600000000.0::DOUBLE)::BIGINT AS tick, sum(length(event_id || props))::BIGINT AS came FROM {_E} GROUP BY ALL),
+b AS (SELECT event_type, min(tick) AS a, max(tick) AS z, sum(came) AS total FROM c GROUP BY 1), t AS MATERIALIZED (SELECT b.event_type, k AS tick, coalesce(came, 0) AS came FROM (SELECT *, unnest(range(a, z + total::BIGINT // 24 + 2)) AS k FROM b) b LEFT JOIN c ON c.event_type = b.event_type AND c.tick = b.k),
+r AS (SELECT event_type, tick, came, least(came, 24) AS gone, came - least(came, 24) AS waiting FROM t JOIN b USING (event_type) WHERE tick = a
+UNION ALL SELECT t.event_type, t.tick, t.came, least(r.waiting + t.came, 24), r.waiting + t.came - least(r.waiting + t.came, 24) FROM r JOIN t ON t.event_type = r.event_type AND t.tick = r.tick + 1)
+SELECT event_type, tick, came::BIGINT AS came, gone::BIGINT AS gone, waiting::BIGINT AS waiting FROM r WHERE came > 0 OR gone > 0"""
+)
+def byte_queue(spark, sf_dir):
+    """Bytes of events let out at 24 an hour: what came, went and waits at each hour that has any."""
+    e = _events(spark, sf_dir)
+    size = F.octet_length(F.concat(F.col("event_id").cast("string"), F.col("props")))
+    return X.drained(e, BY_TYPE, size, 3600, 24).where("came > 0 OR gone > 0")
