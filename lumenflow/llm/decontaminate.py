@@ -26,7 +26,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR_PATTERN, lower_ascii, size_mb, stored
+from .common import SEPARATOR_PATTERN, lower_ascii, size_mb, stored, unused
 
 #: 1 keeps a word, 0 ignores it. The second row is for items shorter than LONG words as well.
 MASKS = ("11011", "110101")
@@ -117,8 +117,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = stored(places.groupBy("doc_id", F.floor(F.col("pos") / SEGMENT).cast("int").alias("seg")).agg(F.collect_set(F.struct("pos", "seed")).alias("hits")), "hits")
     few = (hits.agg(F.sum(F.size("hits"))).first()[0] or 0) <= SENT_HITS
     near = F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), h["seed"].alias("seed"), _around(F.col("words"), h["pos"] - F.col("first"), reach).alias("near")))
-    found = hits.select(F.col("doc_id").alias("__found")).distinct()
-    asked = docs.join(F.broadcast(found) if hits.count() <= SENT_IDS else found, F.col(id_col).cast("long") == F.col("__found"), "left_semi")  # before words are cut
+    own = unused(docs, "found")
+    found = hits.select(F.col("doc_id").alias(own)).distinct()
+    asked = docs.join(F.broadcast(found) if hits.count() <= SENT_IDS else found, F.col(id_col).cast("long") == F.col(own), "left_semi")  # before words are cut
     laid = _segments(_words(asked, id_col, text_col), reach).join(F.broadcast(hits) if few else hits, key).select("doc_id", F.inline(near))
     laid = laid.join(small(seeds), "seed").join(small(items), "item")
     equal = F.zip_with("near", _around(F.col("item_words"), F.col("item_pos"), reach), lambda a, b: F.when(a == b, 1).otherwise(0))
@@ -146,9 +147,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the contaminated ones, with their columns; rows without an id stay."""
-    bad = stored(contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(F.broadcast(bad) if bad.count() <= SENT_IDS else bad, F.col(id_col).cast("long") == F.col("__bad"), "left_anti")
+    """docs without the contaminated ones, with their columns, which may have any names; rows without an id stay."""
+    own = unused(docs, "bad")
+    bad = stored(contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(own)).distinct(), "contaminated")
+    return docs.join(F.broadcast(bad) if bad.count() <= SENT_IDS else bad, F.col(id_col).cast("long") == F.col(own), "left_anti")
 
 
 #: The same by all equal words and all alignments.

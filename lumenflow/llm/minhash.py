@@ -38,10 +38,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, raw, shingles, steps, stored, word_hashes
+from .common import mixed, raw, shingles, steps, stored, unused, word_hashes
 from .graph import components, extended
 
 BANDS, ROWS, BATCH = 40, 6, 40
@@ -82,7 +82,7 @@ def _signed(k: int):
                 n.append(len(s))
                 key.append(np.array([len(s), mixed(s).sum(), mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum()], np.uint64).tobytes() if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "digest", "n_shingles", "key", "sig"])
 
     return run
 
@@ -262,20 +262,25 @@ def _cluster_links(nodes: DataFrame, texts: DataFrame, sigs: DataFrame, k: int,
     task = F.xxhash64("cluster", "own", "cls", "part", "own2", "cls2", "part2").alias("task")
     first = pairs.join(rows, ["cluster", "own", "cls", "part"]).select(task, "rep", "c", F.lit(0).alias("side"))
     second = pairs.where(one != two).join(rows.withColumnsRenamed({"own": "own2", "cls": "cls2", "part": "part2"}), ["cluster", "own2", "cls2", "part2"]).select(task, "rep", "c", F.lit(1).alias("side"))
-    full = rows.select("rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep").join(sigs.select("rep", "sig"), "rep")
+    full = rows.select("rep").join(texts, "rep").join(sigs.select("rep", "sig"), "rep")
     work = first.unionByName(second).join(stored(full, "chunk-texts"), "rep")
     return stored(work.groupBy("task").applyInArrow(_chunk_links(k, percent, miss), "a long, b long"), "links")
 
 
+def _digest(text: Column) -> Column:
+    """Tells the texts of one id apart, where rows repeat it."""
+    return F.xxhash64(text.cast("string"))
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _digest(F.col(text_col)).alias("digest"))
 
 
-def _picked(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of some ids. A short list goes to where the texts are; beyond that both are dealt by id."""
-    ids = stored(ids, "ids")
+def _picked(base: DataFrame, wanted: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep and text of some classes, each by the row that stands for it. A short list goes to where the texts are; beyond that both are dealt by id."""
+    ids = stored(reps.join(wanted, "rep").select("rep", "own.doc_id", "own.digest"), "ids")
     ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    return stored(base.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    return stored(base.join(ids, ["doc_id", "digest"]).dropDuplicates(["rep"]).select("rep", "text"), "texts")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,18 +290,26 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
     sequence is its one shingle; a text without words (null, empty, blank) has the
     empty set and is linked with nothing. Documents are linked when
     100 * intersection >= percent * union, and component_id is the smallest
-    doc_id reachable. Repeated rows each get the same row. Rows without an id can
-    neither be named nor name a group: they are linked with nothing, their
-    component_id is null and they are kept. An empty table gives no rows; other
-    columns are ignored. Texts are taken whole, one at a time where they are long.
-    Shingles are told apart by 64-bit hashes.
+    doc_id reachable. Repeated rows each get the same row. Rows that repeat an id with
+    another text are one document with several sets: it is linked with what any of
+    them is linked with, but a row of it without words with nothing. Rows without an id can neither be named nor name a
+    group: they are linked with nothing, their component_id is null and they are kept.
+    An empty table gives no rows; other columns are ignored. Texts are taken whole, one
+    at a time where they are long. Shingles are told apart by 64-bit hashes.
     """
+    return _grouped(docs, k, percent, miss, id_col, text_col).drop("digest")
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates with the digest of each row's text."""
     base = _texts(docs, id_col, text_col)
-    signed = stored(base.mapInArrow(_signed(k), "doc_id long, n_shingles long, key binary, sig binary"), "signed")
+    signed = stored(base.mapInArrow(_signed(k), "doc_id long, digest long, n_shingles long, key binary, sig binary"), "signed")
     named_ = signed.where("key IS NOT NULL AND doc_id IS NOT NULL")
     # Sets of similar size are in the same or in neighbouring classes.
     cls = F.floor(F.log(F.first("n_shingles")) / float(np.log(100 / percent) * 1.0001)).alias("cls")
-    reps = stored(named_.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), cls), "classes")
+    # A class is a set, with a number of its own and a row that stands for it; an id may stand for several.
+    reps = named_.groupBy("key").agg(F.min(F.struct("doc_id", "digest")).alias("own"), F.first("sig").alias("sig"), cls)
+    reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
     sigs = reps.select("rep", "sig", "cls")
     bands = sigs.select("rep", "sig").mapInArrow(_banded, "band long, rep long")
     buckets = stored(bands.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi"), "buckets")
@@ -307,7 +320,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
         return stored(both.select("x", "p", "sx", "sp").mapInArrow(_pruned(percent / 100, miss), "x long, p long, equal long"), "survivors")
 
     def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        both = pairs.select("x", "p").join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("doc_id").alias("p"), F.col("text").alias("tp")), "p")
+        both = pairs.select("x", "p").join(texts.select(F.col("rep").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("rep").alias("p"), F.col("text").alias("tp")), "p")
         return stored(both.select("x", "p", "tx", "tp").mapInArrow(_verified(k, percent), "a long, b long"), "links")
 
     def across(pairs: DataFrame, comps: DataFrame, x: str, p: str) -> DataFrame:
@@ -317,23 +330,39 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
 
     ends = members.select(F.col("rep").alias("x"), F.explode(F.array("lo", "hi")).alias("p")).where("x <> p")
     found = pruned(ends.select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct())
-    both = lambda pairs: pairs.select(F.explode(F.array("x", "p")).alias("doc_id")).distinct()
+    both = lambda pairs: pairs.select(F.explode(F.array("x", "p")).alias("rep")).distinct()
     clusters = stored(components(found, "x", "p"), "clusters")
     more = _remaining(members, clusters, sigs, percent / 100, miss)
     if more.take(1):
         clusters = extended(clusters, more, "x", "p")
-    texts = _picked(base, both(found.select("x", "p").unionByName(more)))
+    texts = _picked(base, both(found.select("x", "p").unionByName(more)), reps)
     best = found.groupBy("x").agg(F.max(F.struct("equal", (-F.col("p")).alias("p"))).alias("top")).select("x", (-F.col("top.p")).alias("p"))
     links = verified(best, texts)
     comps = stored(components(links), "components")
     rest = stored(across(found.join(best, ["x", "p"], "left_anti"), comps, "x", "p"), "rest")
     if rest.take(1):
         comps = extended(comps, verified(rest, texts))
+    same = stored(_same_document(named_, reps), "same-document")
+    if same.take(1):
+        comps = extended(comps, same)
     nodes = clusters.withColumnRenamed("component", "cluster").join(comps, "node", "left").select(F.col("node").alias("rep"), "cluster", F.coalesce("component", "node").alias("c"))
     comps = extended(comps, _cluster_links(stored(nodes, "nodes"), texts, sigs, k, percent, miss))
-    named = stored(reps.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component")), "named")
-    out = signed.select("doc_id", "n_shingles", "key").join(named, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = stored(reps.select("key", "rep", F.col("own.doc_id").alias("least")).join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "least", F.coalesce("component", "rep").alias("component")), "named")
+    lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(lowest, "component").select("key", "component_id")
+    rows = signed.select("doc_id", "digest", "n_shingles", "key")
+    has = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
+    # Rows without a set or an id need no name, and would meet in one task.
+    out = rows.where(has).join(named, "key").drop("key").unionByName(rows.where(~has).select("doc_id", "digest", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", "digest", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _same_document(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links a, b between the classes of ids that stand for several sets; rows(doc_id, key)."""
+    several = rows.groupBy("doc_id").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 < k1").select("doc_id")
+    sets = rows.join(several, "doc_id").select("doc_id", "key").distinct().join(reps.select("key", "rep"), "key")
+    first = sets.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    return sets.join(first, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
 
 
 def _remaining(members: DataFrame, clusters: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -366,9 +395,16 @@ def _remaining(members: DataFrame, clusters: DataFrame, sigs: DataFrame, thresho
 
 
 def near_duplicate_filter(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document, that of the smallest id, of each group of near-duplicates, with their columns; rows without an id stay."""
-    gone = stored(near_duplicates(docs, k, percent, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """docs with one document, that of the smallest id, of each group of near-duplicates, with their columns; rows without an id stay.
+
+    Rows that repeat an id with another text are judged one by one. Columns of docs may
+    have any names.
+    """
+    gone, text = unused(docs, "gone"), unused(docs, "text_digest")
+    grouped = _grouped(docs, k, percent, 1e-6, id_col, text_col).where(~F.col("kept"))
+    ids = stored(grouped.select(F.col("doc_id").alias(gone), F.col("digest").alias(text)).distinct(), "gone")
+    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    return docs.join(ids, (F.col(id_col).cast("long") == F.col(gone)) & (_digest(F.col(text_col)) == F.col(text)), "left_anti")
 
 
 #: The same by all pairs that share a shingle, for k = 4 and 80 per cent.
