@@ -180,8 +180,8 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, id_col: str
     """doc_id, lang_pred, score, ambiguous for every row of docs, taken one by one.
 
     Null texts and texts without a letter give und with score 0, flagged; so do
-    all rows without a model. An empty table gives no rows; repeated rows each
-    get their row; other columns are ignored.
+    all rows without a model. Very long texts are counted whole. An empty table gives
+    no rows; repeated rows each get their row; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_predict(model, least_lead), "doc_id long, lang_pred string, score double, ambiguous boolean")

@@ -6,10 +6,11 @@ either dictionary, and the difference of the two sizes over the text's size,
 with the sizes themselves, is turned into a score by a logistic calibration.
 
 Dictionaries and calibration are fitted on a bounded sample of labelled rows, at
-most `per_class` of each label, whose whole texts are used and stay in Spark: what
-comes to the driver are at most `dict_blocks` blocks of each label, taken by hash
-from all over the texts, and the features of the calibration rows, which are
-computed in tasks. Scoring covers whole texts.
+most `per_class` of each label, whose whole texts are used and stay in Spark.
+Dictionaries are trained in tasks, each from a slice of blocks; those of several
+slices are cut into blocks and trained from in turn, until one is left. What comes
+to the driver are two dictionaries and the features of the calibration rows, which
+are computed in tasks. Scoring covers whole texts.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import stored
 #: Bytes of a block: short enough for a dictionary to matter in each.
 BLOCK = 2048
 LEVEL = 3
+#: Blocks that one task trains a dictionary from, at most about twice as many.
+SLICE = 3000
 
 
 @dataclass(frozen=True)
@@ -92,7 +95,39 @@ def _own_blocks(texts: DataFrame, made_from: DataFrame) -> DataFrame:
     )
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = 3000, dict_blocks: int = 3000, dict_bytes: int = 65536, seed: int = 7) -> QualityModel:
+def _trained(dict_bytes: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        import zstandard as zstd
+
+        parts = [bytes(b) for _, b in sorted(zip(table.column("o").to_pylist(), table.column("block").to_pylist(), strict=True))]
+        parts = parts * (1 + 200 // len(parts))
+        try:
+            made = zstd.train_dictionary(dict_bytes, parts, level=LEVEL).as_bytes()
+        except zstd.ZstdError:  # too little text for training: the text itself is the dictionary
+            made = b"".join(parts)[-dict_bytes:]
+        return pa.table({"quality": pa.array([key[0].as_py()], pa.int32()), "slice": pa.array([key[1].as_py()], pa.int64()), "made": pa.array([made], pa.binary())})
+
+    return run
+
+
+def _dictionaries(blocks: DataFrame, dict_bytes: int) -> dict[int, bytes]:
+    """A dictionary for each label from all of blocks(quality, o, block), slice by slice and then from the slices' dictionaries."""
+    if SLICE * BLOCK < 4 * dict_bytes:
+        raise ValueError("a slice must be several times larger than its dictionary")
+    while True:
+        counts = {r.quality: r.n for r in blocks.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+        slices = {q: -(-n // SLICE) for q, n in counts.items()}
+        number = F.lit(0).cast("long")
+        for q, n in slices.items():
+            number = F.when(F.col("quality") == q, F.pmod("o", F.lit(n).cast("long"))).otherwise(number)
+        made = stored(blocks.groupBy(F.col("quality").cast("int").alias("quality"), number.alias("slice")).applyInArrow(_trained(dict_bytes), "quality int, slice long, made binary"), "dictionaries")
+        if all(n <= 1 for n in slices.values()):
+            return {r.quality: bytes(r.made) for r in made.collect()}
+        cut = made.select("quality", "slice", "made", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("made") - 1) / BLOCK).cast("int"))).alias("at"))
+        blocks = cut.select("quality", F.xxhash64("slice", "at").alias("o"), F.substring(F.col("made"), F.col("at") * BLOCK + 1, F.lit(BLOCK)).alias("block"))
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = 3000, dict_bytes: int = 65536, seed: int = 7) -> QualityModel:
     """A model from docs(doc_id, text) and labels(doc_id, quality), where quality is 0 or 1.
 
     The sample is the per_class rows of each label with the smallest hash of
@@ -102,8 +137,6 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = 3000, dic
     text counts, of labels the smallest. Texts are used whole, however long. Without
     a few rows of both labels the score is the rate of label 1 (one half without any).
     """
-    import zstandard as zstd
-
     known = labels.select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64("doc_id", F.lit(seed))
@@ -116,21 +149,13 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = 3000, dic
     texts = stored(rows, "quality-sample")
     turn = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2))
     blocks = stored(_own_blocks(texts, texts.where(turn == 0)), "quality-blocks")
-    taken = {q: [bytes(r["block"]) for r in blocks.where(F.col("quality") == q).orderBy("o", "block").limit(dict_blocks).select("block").collect()] for q in (0, 1)}
+    made = _dictionaries(blocks, dict_bytes)
     rate = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
     bias = float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
     constant = QualityModel(b"good", b"bad", (bias, 0, 0, 0, 0, 0, 0))
-    if not (taken[0] and taken[1]):
+    if not (made.get(0) and made.get(1)):
         return constant
-
-    def dictionary(parts: list[bytes]) -> bytes:
-        parts = parts * (1 + 200 // len(parts))
-        try:
-            return zstd.train_dictionary(dict_bytes, parts, level=LEVEL).as_bytes()
-        except zstd.ZstdError:  # too little text for training: the text itself is the dictionary
-            return b"".join(parts)[-dict_bytes:]
-
-    model = QualityModel(dictionary(taken[1]), dictionary(taken[0]), ())
+    model = QualityModel(made[1], made[0], ())
     fitted = texts.where(turn == 1).select("doc_id", "quality", "text").mapInArrow(_featured(model), "doc_id long, quality int, d double, g double, b double").collect()
     fitted.sort(key=lambda r: r["doc_id"])
     y = np.array([r["quality"] for r in fitted], float)
@@ -162,8 +187,9 @@ def _scores(model: QualityModel):
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted for every row of docs, taken one by one.
 
-    Null counts as the empty text, which has a score too. An empty table gives
-    no rows; other columns are ignored; repeated rows each get their row.
+    Null counts as the empty text, which has a score too. Very long texts are
+    compressed whole, block by block. An empty table gives no rows; other columns are
+    ignored; repeated rows each get their row.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(_scores(model), "doc_id long, score double")

@@ -15,7 +15,7 @@ from . import lang_id, lm_scoring, minhash, pii, secret_scan, suffix_dedup
 from . import quality as quality_
 from . import sentencepiece_codec as pieces
 from . import token_counts as tokens
-from .common import fold
+from .common import fold, scratch_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Begins with an empty cache, so that each run does the whole work."""
-    return tokens.token_counts(_documents(spark, sf_dir), tokens.new_cache(spark), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+    return tokens.token_counts(_documents(spark, sf_dir), scratch_path(spark, "token-cache"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

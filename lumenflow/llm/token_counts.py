@@ -28,14 +28,30 @@ from .common import shared_folder
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
+def _bytes_of(token: str) -> bytes:
+    """A byte-level token's bytes: printable Latin-1 characters stand for themselves, the other bytes, in order, for U+0100 and on."""
+    return bytes(_BYTES[c] for c in token)
+
+
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {chr(b): b for b in _PLAIN} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
+
+
 def _same_rules(spec: dict, ranks: dict[bytes, int]) -> bool:
-    """Whether a tokenizer file says just what merge ranks and the public pattern say: nothing is normalised, all added tokens are special ones that are matched as they stand, and the vocabulary is the ranks and these tokens."""
+    """Whether a tokenizer file says just what merge ranks and the public pattern say: nothing is normalised, all added tokens are special ones that are matched as they stand, the vocabulary is the ranks, byte string by byte string, and these tokens, and merges come in the order of the ranks that they make."""
     model, pre, added = spec.get("model") or {}, spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
     plain = all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
     rules = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-    merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or not rules or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
     names = {t["content"] for t in added}
-    return plain and rules and merges and sorted(i for w, i in model["vocab"].items() if w not in names) == sorted(ranks.values())
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    try:
+        vocabulary = {_bytes_of(w): i for w, i in model["vocab"].items() if w not in names}
+        made = [ranks[_bytes_of(a) + _bytes_of(b)] for a, b in merges]
+    except (KeyError, ValueError):  # a character that stands for no byte, or a merge that makes no token
+        return False
+    return vocabulary == ranks and made == sorted(set(made)) and len(made) == len(ranks) - 256
 
 
 @lru_cache(2)
@@ -100,8 +116,8 @@ def _generations(spark, cache: str) -> int:
 def token_counts(docs: DataFrame, cache: str, json_path: str, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs; counts not yet in the cache are added to it.
 
-    Null counts as the empty text (0 bytes, 0 tokens). Repeated rows each get
-    their row. The order of rows is free. An empty table gives no rows, and adds
+    Null counts as the empty text (0 bytes, 0 tokens). Very long texts are encoded
+    whole. Repeated rows each get their row. The order of rows is free. An empty table gives no rows, and adds
     nothing. Generations are numbered: a second writer at the same time fails on
     writing its generation, and may run again.
     """
