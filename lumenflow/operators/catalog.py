@@ -86,15 +86,24 @@ def normalise_input(input_: Column, dir_: Column) -> Column:
     return F.struct(F.coalesce(F.nullif(input_, F.lit("")), F.nullif(dir_, F.lit(""))).alias("root"), (F.nullif(input_, F.lit("")).isNull() & F.nullif(dir_, F.lit("")).isNotNull()).alias("deprecated"))
 
 
-def mark_duplicates(df: DataFrame, content: str, id_: str) -> DataFrame:
-    """id, dup_of, is_dup: equal contents by SHA-256, the smallest id first.
+#: Contents with more copies than this, and than a 50,000th of all rows, are told to the tasks: so these are fewer than 50,000.
+HOT_COPIES, HOT_CONTENTS = 10_000, 50_000
 
-    Hashes are folded before the shuffle and joined back, so that a content with
-    very many copies doesn't meet in one task.
+
+def mark_duplicates(df: DataFrame, content: str, id_: str, hot: int = HOT_COPIES) -> DataFrame:
+    """id, dup_of, is_dup: equal contents by SHA-256, the smallest id first; null counts as empty.
+
+    Digests are folded before the shuffle. The few with very many copies are broadcast,
+    so their rows stay where they are; all others meet their digest's first row in a
+    join whose groups are small.
     """
     hashed = df.select(F.col(id_), F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256).alias("sha"))
-    first = hashed.groupBy("sha").agg(F.min(id_).alias("dup_of"))
-    return hashed.join(first, "sha").select(id_, "dup_of", (F.col(id_) != F.col("dup_of")).alias("is_dup"))
+    first = hashed.groupBy("sha").agg(F.min(id_).alias("dup_of"), F.count(F.lit(1)).alias("copies"))
+    most = max(hot, df.count() // HOT_CONTENTS)
+    many = F.broadcast(first.where(F.col("copies") > most).drop("copies"))  # fewer than HOT_CONTENTS rows of a digest and an id
+    few = first.where(F.col("copies") <= most).drop("copies")
+    marked = hashed.join(many, "sha").unionByName(hashed.join(many.select("sha"), "sha", "left_anti").join(few, "sha"))
+    return marked.select(id_, "dup_of", (F.col(id_) != F.col("dup_of")).alias("is_dup"))
 
 
 def pair_sidecars(media: DataFrame, sidecars: DataFrame, key: str) -> DataFrame:

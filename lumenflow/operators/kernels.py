@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -231,16 +232,57 @@ def least_squares(df: DataFrame, y: str, xs: list[str], keys: list[str], pivot:
     return out.select(*keys, ((ay * bb - by * ab) / det).alias(f"c_{a}"), ((by * aa - ay * ab) / det).alias(f"c_{b}"))
 
 
+def _merged_moments(a: tuple, b: tuple) -> tuple:
+    """Number, mean and centred products of two sets together."""
+    (n, mean, c), (m, other, d) = a, b
+    if not n or not m:
+        return b if not n else a
+    off = other - mean
+    return n + m, mean + off * (m / (n + m)), c + d + (off[:, None] * off) * (n * m / (n + m))
+
+
 def covariance(df: DataFrame, value: str, width: int) -> DataFrame:
-    """i, j, cov of an array column's components, by one aggregation over pairs of places."""
-    cells = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.transform(F.sequence(i, F.lit(width - 1)), lambda j: F.struct(i.alias("i"), j.alias("j"), F.get(F.col(value), i).cast("double").alias("x"), F.get(F.col(value), j).cast("double").alias("y")))))
-    return df.select(F.explode(cells).alias("c")).groupBy("c.i", "c.j").agg(F.covar_pop("c.x", "c.y").alias("cov"))
+    """i, j, cov of an array column's components, i <= j.
+
+    A task makes one matrix of its vectors, batch by batch; matrices are put together
+    in two steps. Vectors that are null, of another width or hold a null are left out;
+    without any there are no rows.
+    """
+    schema = "n long, mean array<double>, c array<double>"
+
+    def packed(n, mean, c) -> pa.Table:
+        floats = pa.list_(pa.float64())
+        return pa.table({"n": pa.array([n], pa.int64()), "mean": pa.array([mean.tolist()], floats), "c": pa.array([c.ravel().tolist()], floats)})
+
+    def none() -> tuple:
+        return 0, np.zeros(width), np.zeros((width, width))
+
+    def moments(batches):
+        total = none()
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            if len(x):
+                mean = x.mean(0)
+                total = _merged_moments(total, (len(x), mean, (x - mean).T @ (x - mean)))
+        if total[0]:
+            yield from packed(*total).to_batches()
+
+    def together(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        total = none()
+        for r in table.to_pylist():
+            total = _merged_moments(total, (r["n"], np.array(r["mean"]), np.array(r["c"]).reshape(width, width)))
+        return packed(*total)
+
+    whole = df.select(F.col(value).cast("array<double>").alias("x")).where((F.size("x") == width) & F.forall("x", lambda v: v.isNotNull()))
+    parts = whole.mapInArrow(moments, schema)
+    some = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(256))).applyInArrow(together, schema)
+    all_ = some.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(together, schema)  # 256 rows at most
+    cells = all_.select("n", F.posexplode("c").alias("at", "s")).select(F.floor(F.col("at") / width).cast("int").alias("i"), (F.col("at") % width).alias("j"), (F.col("s") / F.col("n")).alias("cov"))
+    return cells.where("i <= j")
 
 
 def principal_components(df: DataFrame, value: str, width: int) -> tuple[list[float], list[list[float]]]:
     """Eigenvalues, largest first, and their vectors; only the width * width covariance matrix comes to the driver."""
-    import numpy as np
-
     m = np.zeros((width, width))
     for r in covariance(df, value, width).collect():
         m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["cov"]

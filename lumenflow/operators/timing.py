@@ -62,7 +62,9 @@ def at_rate(df: DataFrame, s: Stream, seconds: int, round_: str = "near", start:
     if start is not None:
         first = _slot(_us(F.lit(start).cast(df.schema[s.ts].dataType)), step, round_)
         low = F.when(F.col("__prev").isNull() & (low > first), first).otherwise(F.greatest(low, first))
-    return out.where(low <= high).withColumn(name, F.explode(F.sequence(low, high))).drop("__prev", "__next")
+    # A long gap is laid out a thousand slots at a time, so that no row holds all of it.
+    blocks = out.where(low <= high).withColumns({"__high": high, "__low": F.explode(F.sequence(low, high, F.lit(1000).cast("long")))})
+    return blocks.withColumn(name, F.explode(F.sequence("__low", F.least(F.col("__low") + 999, F.col("__high"))))).drop("__prev", "__next", "__low", "__high")
 
 
 def at_times(times: DataFrame, df: DataFrame, s: Stream, value: str, name: str) -> DataFrame:
@@ -106,28 +108,45 @@ def sliding_median(df: DataFrame, s: Stream, value: str, size: int, name: str =
     return rows.withColumn(name, F.get(window, F.floor((F.size(window) - 1) / 2).cast("int"))).drop(*[f"__m{k}" for k in range(1, size)])
 
 
-def exact_quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
+#: Accuracy of the sketch that brackets a quantile, and the ranks (as a share of a key's rows) that a bracket reaches to on either side.
+ACCURACY, MARGIN = 100_000, 5e-5
+
+
+def exact_quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float], accuracy: int = ACCURACY, margin: float = MARGIN, salts: int = 64) -> DataFrame:
     """Interpolated quantiles of each key, exact, without all of a key's values in one task.
 
-    Values are counted first by equal bins between a key's least and greatest, which
-    says in which bins the two ranks around each quantile lie, and then by value in
-    those bins only. Nulls don't count.
+    A sketch of bounded size brackets each quantile by values a few ranks below and
+    above, however values are spread. A second pass counts what lies below, and sorts
+    only the distinct values inside the bracket: about a ten-thousandth of a key's
+    rows. The values next to a bracket count too, so that a rank right beside it is
+    found; one further away would be an error, and is raised. Nulls don't count. A key
+    with very many rows meets the table of brackets in `salts` groups.
     """
+    names, qs = [*shares], [*shares.values()]
     rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
-    ends = rows.groupBy(F.col("k").alias("ek")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("total"))
-    binned = rows.join(ends, F.col("k").eqNullSafe(F.col("ek"))).drop("ek").withColumn("bin", F.least(F.coalesce(F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(0)), F.lit(bins - 1)).cast("int"))
-    line = Window.partitionBy("k").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = binned.groupBy("k", "bin").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total")).withColumn("before", F.coalesce(F.sum("n").over(line), F.lit(0)))  # `bins` rows a key at most
-    at = lambda q: (F.col("total") - 1) * F.lit(q)
-    wanted = F.array(*[r for q in shares.values() for r in (F.floor(at(q)), F.ceil(at(q)))])
-    chosen = counts.where(F.exists(wanted, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))).select(F.col("k").alias("ck"), F.col("bin").alias("cbin"), "before", "total")
-    inside = binned.join(chosen.drop("total"), F.col("k").eqNullSafe(F.col("ck")) & (F.col("bin") == F.col("cbin"))).groupBy("k", "bin", "v").agg(F.count(F.lit(1)).alias("n"), F.first("before").alias("before"), F.first("total").alias("total"))
-    upto = Window.partitionBy("k", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = inside.withColumn("from", F.col("before") + F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    has = lambda r: (r >= F.col("from")) & (r < F.col("from") + F.col("n"))
-    low, high = (lambda q: F.max(F.when(has(F.floor(at(q))), F.col("v")))), (lambda q: F.max(F.when(has(F.ceil(at(q))), F.col("v"))))
-    share = lambda q: F.max(at(q) - F.floor(at(q)))
-    return ranked.groupBy(F.col("k").alias(key)).agg(*[(low(q) + (high(q) - low(q)) * share(q)).alias(n) for n, q in shares.items()])
+    probes = [p for q in qs for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
+    ends = rows.groupBy(F.col("k").alias("ek")).agg(F.percentile_approx("v", probes, accuracy).alias("p"), F.count(F.lit(1)).alias("total"))
+    ends = ends.withColumn("es", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = rows.withColumn("s", F.pmod(F.xxhash64("v", F.monotonically_increasing_id()), F.lit(salts))).join(ends, F.col("k").eqNullSafe(F.col("ek")) & (F.col("s") == F.col("es")))
+    side = lambda i: F.when(F.col("v") < F.get("p", F.lit(2 * i)), -1).when(F.col("v") > F.get("p", F.lit(2 * i + 1)), 1).otherwise(0)
+    each = met.select("k", "v", "total", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), side(i).alias("side")) for i in range(len(qs))])).alias("x")).select("k", "v", "total", "x.i", "x.side")
+    inner = F.when(F.col("side") == 0, F.col("v")).alias("w")
+    counts = each.groupBy("k", "i", "side", inner).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.first("total").alias("total"))
+    line = Window.partitionBy("k", "i").orderBy("side", "w").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("n").over(line))
+    share = F.get(F.array(*[F.lit(float(q)) for q in qs]), F.col("i"))
+    place = (F.col("total") - 1) * share
+
+    def at(rank: Column) -> Column:
+        inside = (F.col("side") == 0) & (rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto"))
+        below = (F.col("side") == -1) & (rank == F.col("upto") - 1)
+        above = (F.col("side") == 1) & (rank == F.col("upto") - F.col("n"))
+        return F.max(F.when(inside, F.col("w")).when(below, F.col("most")).when(above, F.col("least")))
+
+    found = ranked.groupBy("k", "i").agg(at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"), F.max(place - F.floor(place)).alias("part"))
+    sure = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+    made = found.withColumn("q", sure("low") + (sure("high") - sure("low")) * F.col("part"))
+    return made.groupBy(F.col("k").alias(key)).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
 
 
 def drained(df: DataFrame, s: Stream, size: Column, seconds: int, most: int) -> DataFrame:

@@ -203,3 +203,9 @@ def swapped_planes(spark, sf_dir):
     from lumenflow.operators.kernels import swapped_planes as swapped
 
     return swapped(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax"), "l_discount", "l_tax")
+
+
+@query()
+def directory_scan(spark, sf_dir):
+    """The files of the tables' own folder, without reading them; where they lie isn't known to SQL, so tests hold it against a walk."""
+    return X.scan_files(spark, sf_dir, [".parquet"]).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "size", "ext")

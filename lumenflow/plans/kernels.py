@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenflow.operators import kernels as K
 from lumenflow.registry import query
-from lumenflow.session import table
+from lumenflow.session import ship_package, table
 
 _E = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
 _PAIR = f"{_E} a JOIN {_E} b ON b.vec_id = a.vec_id + 1"
@@ -130,16 +130,16 @@ def limited_morphology(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT range AS n, (range + 25) % 100 / 100.0::DOUBLE AS t FROM range(300)), d AS (SELECT n, (sin(t * 2 * pi()) + 1) / 2 * 30 - 10 AS s, CASE floor(4 * t) WHEN 0 THEN 2 * t + 0.5 WHEN 3 THEN 2 * t - 1.5 ELSE 1.5 - 2 * t END * 30 - 10 AS tri FROM t)
-SELECT n, round(s, 9) AS sine, round(tri, 9) AS triangle, (trunc(round(tri, 9) + CASE WHEN tri < 0 THEN -0.5 ELSE 0.5 END))::BIGINT AS whole, n % 16 * 4 AS box_x, (n // 16) * 4 AS box_y FROM d"""
+    """WITH t AS (SELECT event_id AS n, (event_id + 25) % 100 / 100.0::DOUBLE AS t FROM events), d AS (SELECT n, (sin(t * 2 * pi()) + 1) / 2 * 30 - 10 AS s, CASE floor(4 * t) WHEN 0 THEN 2 * t + 0.5 WHEN 3 THEN 2 * t - 1.5 ELSE 1.5 - 2 * t END * 30 - 10 AS tri FROM t)
+SELECT n, round(s, 9) AS sine, round(tri, 9) AS triangle, (trunc(round(tri, 9) + CASE WHEN tri < 0 THEN -0.5 ELSE 0.5 END))::BIGINT AS whole, n % 256 % 16 * 4 AS box_x, (n % 256 // 16) * 4 AS box_y FROM d"""
 )
 def wave_tables(spark, sf_dir):
     """Tables of a sine and a triangle a quarter turn on, whole numbers of the latter, and the places of palette boxes."""
     import math
 
-    n, args = F.col("id"), (100, -10.0, 20.0, math.pi / 2)
-    box = K.palette_box(n, 4)
-    return spark.range(300).select(n.alias("n"), F.round(K.wave_table(n, *args), 9).alias("sine"), F.round(K.wave_table(n, *args, kind="tri"), 9).alias("triangle"), K.wave_table(n, *args, kind="tri", whole=True).alias("whole"), box["x"].alias("box_x"), box["y"].alias("box_y"))
+    n, args = F.col("event_id"), (100, -10.0, 20.0, math.pi / 2)
+    box = K.palette_box(n % 256, 4)
+    return table(spark, sf_dir, "events").select(n.alias("n"), F.round(K.wave_table(n, *args), 9).alias("sine"), F.round(K.wave_table(n, *args, kind="tri"), 9).alias("triangle"), K.wave_table(n, *args, kind="tri", whole=True).alias("whole"), box["x"].alias("box_x"), box["y"].alias("box_y"))
 
 
 @query(
@@ -214,13 +214,13 @@ _COVARIANCE = f"SELECT i, j, round(covar_pop(e[i + 1], e[j + 1]), 9) + 0 AS cov
 @query(_COVARIANCE, "covariance_whole")
 def covariance(spark, sf_dir):
     """Over all 64 components."""
-    return K.covariance(_vectors(spark, sf_dir), "e", 64).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.round("cov", 9) + 0).alias("cov"))
+    return K.covariance(_vectors(ship_package(spark), sf_dir), "e", 64).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.round("cov", 9) + 0).alias("cov"))
 
 
 @query()
 def principal_components(spark, sf_dir):
     """The components of all vectors by size; their signs are free, so there is no SQL: tests hold them against the covariance matrix."""
-    values, vectors = K.principal_components(_vectors(spark, sf_dir), "e", 64)
+    values, vectors = K.principal_components(_vectors(ship_package(spark), sf_dir), "e", 64)
     return spark.createDataFrame([(i, float(v), list(map(float, x))) for i, (v, x) in enumerate(zip(values, vectors, strict=True))], "component int, variance double, vector array<double>")
 
 
@@ -232,8 +232,29 @@ def siti(spark, sf_dir):
     return _pairs(spark, sf_dir).select("vec_id", F.round(spread(F.col("e")), 9).alias("si"), F.round(spread(change), 9).alias("ti"))
 
 
-@query("SELECT range AS n, round((2 * t * t * t - 3 * t * t + 1) * 1 + (t * t * t - 2 * t * t + t) * 2 * 0.5 + (-2 * t * t * t + 3 * t * t) * 3 + (t * t * t - t * t) * 2 * -1, 9) AS y FROM (SELECT range, range / 100.0::DOUBLE AS t FROM range(101))")
+@query("SELECT event_id, round((2 * t * t * t - 3 * t * t + 1) * 1 + (t * t * t - 2 * t * t + t) * 2 * 0.5 + (-2 * t * t * t + 3 * t * t) * 3 + (t * t * t - t * t) * 2 * -1, 9) AS y FROM (SELECT event_id, least(value / 250, 1.0::DOUBLE) AS t FROM events)")
 def hermite(spark, sf_dir):
-    x = F.col("id") / F.lit(50.0)
+    """A cubic with given ends and tangents, at each event's value."""
+    x = F.least(F.col("value") / 250, F.lit(1.0)) * 2
     lits = [F.lit(float(v)) for v in (0, 2, 1, 3, 0.5, -1)]
-    return spark.range(101).select(F.col("id").alias("n"), F.round(K.hermite(x, *lits), 9).alias("y"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(K.hermite(x, *lits), 9).alias("y"))
+
+
+@query(
+    """WITH s AS (SELECT l_returnflag, sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc, sum(a * y) AS ay, sum(b * y) AS yb, sum(c * y) AS cy
+FROM (SELECT l_returnflag, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, l_tax::DOUBLE AS c, l_extendedprice::DOUBLE AS y FROM lineitem) GROUP BY 1),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s)
+SELECT l_returnflag, round((ay * (bb * cc - bc * bc) - ab * (yb * cc - bc * cy) + ac * (yb * bc - bb * cy)) / det, 3) AS c_quantity,
+ round((aa * (yb * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - yb * ac)) / det, 3) AS c_discount, round((aa * (bb * cy - yb * bc) - ab * (ab * cy - yb * ac) + ay * (ab * bc - bb * ac)) / det, 3) AS c_tax FROM d"""
+)
+def lls_3var(spark, sf_dir):
+    """Least squares in three variables, without an intercept."""
+    out = K.least_squares(table(ship_package(spark), sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], ["l_returnflag"])
+    return out.select("l_returnflag", *[F.round(f"c_l_{c}", 3).alias(f"c_{c}") for c in ("quantity", "discount", "tax")])
+
+
+@query()
+def noise(spark, sf_dir):
+    """Events with seeded noise, uniform and Gaussian, which depend on the event's id alone; SQL hasn't the hash, so tests look at the distributions."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", (F.col("value") + K.uniform_noise(F.col("event_id"), 7)).alias("uniform"), (F.col("value") + K.gaussian_noise(F.col("event_id"), 7)).alias("gaussian"))

@@ -123,3 +123,20 @@ def escaped_dictionary(spark, sf_dir):
     ship_package(spark)
     text = F.concat(F.lit("k="), F.get_json_object("props", "$.k"), F.lit(":kind="), "event_type", F.lit("\\:x"))
     return table(spark, sf_dir, "events").select("event_id", S.parse_dict(text).alias("d")).select("event_id", F.col("d")["k"].alias("k"), F.col("d")["kind"].alias("kind"))
+
+
+_INNER, _OUTER = (bytes(b ^ x for b in b"key".ljust(64, b"\0")) for x in (0x36, 0x5C))
+_BLOB = lambda data: "'" + "".join(f"\\x{b:02X}" for b in data) + "'::BLOB"
+
+
+@query(f"SELECT event_id, sha256({_BLOB(_OUTER)} || unhex(sha256({_BLOB(_INNER)} || encode(props)))) AS hmac FROM events")
+def hmac_sha256(spark, sf_dir):
+    """A keyed digest of each event's properties, as two digests behind the key's pads."""
+    return table(spark, sf_dir, "events").select("event_id", S.hmac(F.col("props"), b"key").alias("hmac"))
+
+
+@query()
+def long_digests(spark, sf_dir):
+    """The SHA-512 family of page texts; DuckDB has none of them, so tests hold them against the library."""
+    ship_package(spark)
+    return table(spark, sf_dir, "pages").select("page_id", *[S.digest(F.col("html"), k).alias(k) for k in ("sha384", "sha512", "sha512_256")])

@@ -302,8 +302,9 @@ def fields_and_flip(spark, sf_dir):
     return e.join(total, "event_type").select("event_id", (F.col("n") % 2 == 0).alias("top_field"), (F.col("total") - 1 - F.col("n")).alias("flipped"))
 
 
-@query("SELECT range AS n, round(sin(2 * pi() * 440 * range / 8000), 9) + 0 AS sample, round((sin(2 * pi() * ((5.0::DOUBLE * (range % 1600) / 8000 + 0.25) % 1)) * 0.25 + 0.75), 9) AS tremolo FROM range(2000)")
+@query(f"SELECT event_id, round(sin(2 * pi() * 440 * n / 8000), 9) + 0 AS sample, round(value * (sin(2 * pi() * ((5.0::DOUBLE * (n % 1600) / 8000 + 0.25) % 1)) * 0.25 + 0.75), 9) AS tremolo FROM (SELECT *, {_N} AS n FROM (SELECT * FROM events WHERE ts IS NOT NULL))")
 def generated_wave(spark, sf_dir):
-    """A sine source and a tremolo's gain table (5 Hz, depth a half)."""
-    n = F.col("id")
-    return spark.range(2000).select(n.alias("n"), (F.round(F.sin(2 * F.pi() * 440 * n / 8000), 9) + 0).alias("sample"), F.round(K.tremolo_gain(n, 8000, 5.0, 0.5), 9).alias("tremolo"))
+    """A sine beside each stream's samples, and the samples under a tremolo (5 Hz, depth a half) that runs through the stream."""
+    e = BY_TYPE.numbered(_events(spark, sf_dir), "n")
+    n = F.col("n")
+    return e.select("event_id", (F.round(F.sin(2 * F.pi() * 440 * n / 8000), 9) + 0).alias("sample"), F.round(F.col("value") * K.tremolo_gain(n, 8000, 5.0, 0.5), 9).alias("tremolo"))
