@@ -321,6 +321,15 @@ def parse_dict(c: Column, assign: str = "=", between: str = ":") -> Column:
     return F.when(c.isNotNull(), F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"]))))
 
 
+def print_dict(m: Column, assign: str = "=", between: str = ":") -> Column:
+    """A map's entries in their order as text that parse_dict reads: backslashes and both separators get a backslash before them. Null gives null, and a null value nothing."""
+    import re
+
+    special = "([" + re.escape("\\" + assign + between) + "])"
+    coded = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), special, r"\\$1")
+    return F.when(m.isNotNull(), F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(coded(e["key"]), F.lit(assign), coded(e["value"]))), between))
+
+
 def byte_swapped(c: Column, size: int) -> Column:
     """Bytes with those of each word of `size` bytes reversed; a short last word too."""
     step = 2 * size

@@ -255,3 +255,26 @@ def decimated(df: DataFrame, s: Stream, value: str, id_: str, threshold: float)
         return last, {id_: part[id_].to_numpy()[kept]}
 
     return sequential(df.select(*s.keys, s.ts, *s.ties, value), s, lambda: None, step, f"{id_} long")
+
+
+#: Types in a history, and how many of them that agree change a stream's type.
+HISTORY, AGREE = 4, 3
+
+
+def settled(df: DataFrame, s: Stream, kind: str, unknown: str, name: str = "settled") -> DataFrame:
+    """df with the type that a stream has settled on: a column of types, of which single ones may be wrong, made steady by their history.
+
+    A row's history is its own type and the three before; unknown ones don't count, and
+    if the others differ there is none. The stream takes on the type of the first
+    history there is; after that it changes only where three or more agree. So the type
+    is that of the last such row, or of the first history before there is one: both
+    are carried from bucket to bucket.
+    """
+    rows = s.annotated(df, before={f"__h{k}": (kind, k) for k in range(1, HISTORY)})
+    known = F.filter(F.array(kind, *[f"__h{k}" for k in range(1, HISTORY)]), lambda x: x.isNotNull() & (x != unknown))
+    best = F.when(F.size(F.array_distinct(known)) == 1, F.get(known, F.lit(0)))
+    rows = rows.withColumns({"__best": best, "__strong": F.when(F.size(known) >= AGREE, best)}).drop(*[f"__h{k}" for k in range(1, HISTORY)])
+    place = F.struct(F.col(s.ts).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(s.ties)], F.col("__best").alias("best"))
+    rows = s.running(rows, F.when(F.col("__best").isNotNull(), place), "__first", "min")
+    out = O.carried(rows, [*s.keys], s.ts, [*s.ties], "__strong", "__last", s.unit)
+    return out.withColumn(name, F.coalesce(F.col("__last"), F.col("__first")["best"], F.lit(unknown))).drop("__best", "__strong", "__first", "__last")

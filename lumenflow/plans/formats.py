@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenflow.functions import scalars as S
@@ -209,3 +210,19 @@ def swapped_planes(spark, sf_dir):
 def directory_scan(spark, sf_dir):
     """The files of the tables' own folder, without reading them; where they lie isn't known to SQL, so tests hold it against a walk."""
     return X.scan_files(spark, sf_dir, [".parquet"]).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "size", "ext")
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations)
+SELECT conv_id::VARCHAR AS file, 0::BIGINT AS n, NULL::VARCHAR AS section, 0::BIGINT AS at, 'title' AS key, 'conversation; ' || conv_id || chr(10) || '#' AS value FROM (SELECT DISTINCT conv_id FROM conversations)
+UNION ALL SELECT conv_id::VARCHAR, n, 'CHAPTER', unnest([0, 1, 2])::BIGINT, unnest(['START', 'ro=le', 'text']), unnest([turn::VARCHAR, role, text]) FROM t"""
+)
+def metadata_sections(spark, sf_dir):
+    """Each conversation as a metadata file with a chapter for each turn, written and read again: values over several lines, and signs that must be escaped."""
+    c = table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")  # a file's sections
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    turns = c.select(F.col("conv_id").cast("string").alias("file"), F.row_number().over(w).cast("long").alias("n"), F.lit("CHAPTER").alias("section"), F.array(entry("START", F.col("turn").cast("string")), entry("ro=le", F.col("role")), entry("text", F.col("text"))).alias("entries"))
+    title = F.concat(F.lit("conversation; "), F.col("conv_id").cast("string"), F.lit("\n#"))
+    heads = c.select("conv_id").distinct().select(F.col("conv_id").cast("string").alias("file"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("section"), F.array(entry("title", title)).alias("entries"))
+    return X.metadata_sections(X.metadata_files(heads.unionByName(turns)))

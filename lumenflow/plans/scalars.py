@@ -140,3 +140,10 @@ def long_digests(spark, sf_dir):
     """The SHA-512 family of page texts; DuckDB has none of them, so tests hold them against the library."""
     ship_package(spark)
     return table(spark, sf_dir, "pages").select("page_id", *[S.digest(F.col("html"), k).alias(k) for k in ("sha384", "sha512", "sha512_256")])
+
+
+@query(r"SELECT event_id, 'type=' || replace(event_type, ':', '\:') || ':props=' || regexp_replace(props, '([\\=:])', '\\\1', 'g') AS printed, props AS back FROM events")
+def printed_dictionary(spark, sf_dir):
+    """A map printed with escapes, and what reading it gives."""
+    printed = S.print_dict(F.create_map(F.lit("type"), F.col("event_type"), F.lit("props"), F.col("props")))
+    return table(spark, sf_dir, "events").select("event_id", printed.alias("printed")).withColumn("back", S.parse_dict(F.col("printed"))["props"])

@@ -308,3 +308,26 @@ def generated_wave(spark, sf_dir):
     e = BY_TYPE.numbered(_events(spark, sf_dir), "n")
     n = F.col("n")
     return e.select("event_id", (F.round(F.sin(2 * F.pi() * 440 * n / 8000), 9) + 0).alias("sample"), F.round(F.col("value") * K.tremolo_gain(n, 8000, 5.0, 0.5), 9).alias("tremolo"))
+
+
+_KIND = "CASE WHEN value > 1.04::DOUBLE * (100 - value) THEN 'tff' WHEN 100 - value > 1.04::DOUBLE * value + 60 THEN 'bff' WHEN value > 45 THEN 'progressive' ELSE 'undetermined' END"
+
+
+@query(
+    f"""WITH k AS (SELECT event_type, event_id, ts, {_KIND} AS kind FROM events WHERE ts IS NOT NULL),
+h AS (SELECT *, list_filter([kind, lag(kind) OVER w, lag(kind, 2) OVER w, lag(kind, 3) OVER w], lambda x: x IS NOT NULL AND x <> 'undetermined') AS h FROM k WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+b AS (SELECT *, CASE WHEN len(list_distinct(h)) = 1 THEN h[1] END AS best, CASE WHEN len(list_distinct(h)) = 1 AND len(h) >= 3 THEN h[1] END AS strong FROM h)
+SELECT event_id, kind, coalesce(last_value(strong IGNORE NULLS) OVER w, first_value(best IGNORE NULLS) OVER w, 'undetermined') AS settled FROM b WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)"""
+)
+def interlace_history(spark, sf_dir):
+    """Types of fields made steady by the history of their stream."""
+    v = F.col("value")
+    kind = F.when(v > 1.04 * (100 - v), "tff").when(100 - v > 1.04 * v + 60, "bff").when(v > 45, "progressive").otherwise("undetermined")
+    return T.settled(_events(spark, sf_dir).withColumn("kind", kind), BY_TYPE, "kind", "undetermined").select("event_id", "kind", "settled")
+
+
+@query("SELECT event_type, least(greatest(floor(value / 20), 0), 7)::BIGINT AS x, (user_id % 8)::BIGINT AS y, count(*) AS n FROM events GROUP BY ALL")
+def vectorscope(spark, sf_dir):
+    """Counts over two dimensions at once."""
+    x = F.least(F.greatest(F.floor(F.col("value") / 20), F.lit(0)), F.lit(7))
+    return _events(spark, sf_dir).groupBy("event_type", x.cast("long").alias("x"), (F.col("user_id") % 8).alias("y")).agg(F.count(F.lit(1)).alias("n"))

@@ -74,6 +74,39 @@ def parse_metadata(df: DataFrame) -> DataFrame:
     return rows.select(plain(F.regexp_extract("value", cut, 1)).alias("key"), plain(F.regexp_extract("value", cut, 2)).alias("value"))
 
 
+def metadata_files(sections: DataFrame) -> DataFrame:
+    """file and value: a whole metadata file for each file of sections(file, n, section, entries), where entries are array<struct<key, value>>.
+
+    Section 0 holds the global entries and needs no name; others come in order of n
+    under their names in brackets. Rows without entries give their heads alone.
+    """
+    body = F.transform("entries", lambda e: F.concat(escape_metadata(e["key"]), F.lit("="), escape_metadata(e["value"])))
+    head = F.when(F.col("n") > 0, F.array(F.concat(F.lit("["), F.col("section"), F.lit("]")))).otherwise(F.array().cast("array<string>"))
+    own = sections.select("file", "n", F.concat(head, F.coalesce(body, F.array().cast("array<string>"))).alias("lines"))
+    parts = own.groupBy("file").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "lines"))), lambda x: x["lines"])).alias("lines"))
+    return parts.select("file", F.concat(F.lit(";FFMETADATA1\n"), F.array_join(F.transform("lines", lambda x: F.concat(x, F.lit("\n"))), "")).alias("value"))
+
+
+def metadata_sections(files: DataFrame) -> DataFrame:
+    """file, n, section, at, key and value of the entries in files(file, value), where value is a whole metadata file.
+
+    A line that ends in a backslash goes on in the next one. n counts the sections of a
+    file, 0 (with a null name) being what stands before the first; at is the entry's
+    place in its section. Comments, blank lines and lines without an assignment are left out.
+    """
+    logical = F.regexp_extract_all("value", F.lit(r"(?:[^\\\r\n]|\\(?s:.)|\\$)+"), F.lit(0))
+    kept = F.filter(logical, lambda x: ~x.rlike("^[;#]"))
+    # Lines of a file are one row already; a running count of heads numbers the sections.
+    rows = files.select("file", F.posexplode(kept).alias("line", "x")).withColumn("head", F.col("x").rlike(r"^\[[^\]]*\]\s*$"))
+    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"n": F.sum(F.col("head").cast("long")).over(w), "section": F.last(F.when(F.col("head"), F.regexp_extract("x", r"^\[([^\]]*)\]", 1)), ignorenulls=True).over(w)})
+    plain = lambda c: F.regexp_replace(c, r"\\((?s:.))", "$1")
+    cut = r"^((?:[^=\\]++|\\(?s:.))*+)=((?s:.*))$"
+    rows = rows.where(~F.col("head") & F.col("x").rlike(cut))
+    place = F.row_number().over(Window.partitionBy("file", "n").orderBy("line")) - 1
+    return rows.select("file", "n", "section", place.cast("long").alias("at"), plain(F.regexp_extract("x", cut, 1)).alias("key"), plain(F.regexp_extract("x", cut, 2)).alias("value"))
+
+
 def _clock(ms: Column, comma: str, hours: bool = True) -> Column:
     h, m, s, f = ((ms / k).cast("long") % n for k, n in ((3_600_000, 10**9), (60_000, 60), (1000, 60), (1, 1000)))
     short = F.format_string(f"%02d:%02d{comma}%03d", m, s, f)
