@@ -164,6 +164,79 @@ class Envelope:
         return np.array(out)[:, None]
 
 
+@dataclass(frozen=True)
+class Kept:
+    """The last kept value of a column, where a row is kept if it differs from that by more than a threshold; nulls never are.
+
+    Over a stretch of rows the levels that keep none of them are an interval, which
+    shrinks from row to row; a level that drops out at a row goes on from that row's
+    value. So a stretch is a list of shrinking intervals, each with the level that those
+    which drop out there end with, and one for a stream that has kept nothing yet.
+    Once the interval is empty no later row adds to the list.
+    """
+
+    column: str
+    threshold: float
+    made: dict[str, int]
+    start: list[float] = (float("nan"), 0.0)
+
+    def _end(self, x: list[float], i: int, known: dict[int, float]) -> float:
+        """The level after all of x if row i is kept."""
+        path, last = [i], x[i]
+        for j in range(i + 1, len(x)):
+            if abs(x[j] - last) > self.threshold:
+                if j in known:
+                    last = known[j]
+                    break
+                path.append(j)
+                last = x[j]
+        known.update(dict.fromkeys(path, last))
+        return last
+
+    def summaries(self, cols: Columns, cuts: np.ndarray, carry: np.ndarray | None) -> list[np.ndarray]:
+        values, out = cols[self.column], []
+        for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            part = values[i:j]
+            x = part[~np.isnan(part)].tolist()
+            known: dict[int, float] = {}
+            steps: list[list[float]] = []
+            low, high, none = -np.inf, np.inf, self._end(x, 0, known) if x else np.nan
+            for n, v in enumerate(x):
+                if low > high:
+                    break
+                if v - self.threshold > low or v + self.threshold < high:
+                    low, high = max(low, v - self.threshold), min(high, v + self.threshold)
+                    steps.append([low, high, self._end(x, n, known)])
+            if k == 0 and carry is not None:
+                own = np.array([none, *[v for step in steps for v in step]])
+                before = carry[1:].reshape(-1, 3)
+                first = self.apply(own, np.array([carry[0], 0.0]))[0]
+                low, high = before[-1][:2] if len(before) else (-np.inf, np.inf)
+                moved = [[a, b, self.apply(own, np.array([c, 0.0]))[0]] for a, b, c in before]
+                steps = moved + [[max(low, a), min(high, b), c] for a, b, c in steps if low <= high]
+                none = first
+            out.append(np.array([none, *[v for step in steps for v in step]]))
+        return out
+
+    def apply(self, summary: np.ndarray, state: np.ndarray) -> np.ndarray:
+        v = float(state[0])
+        if v != v:
+            return np.array([summary[0], 0.0])
+        steps = summary[1:].reshape(-1, 3)
+        out = np.flatnonzero((v < steps[:, 0]) | (v > steps[:, 1]))
+        return np.array([steps[out[0], 2] if len(out) else v, 0.0])
+
+    def run(self, cols: Columns, cuts: np.ndarray, states: list[np.ndarray]) -> np.ndarray:
+        x, out = cols[self.column].tolist(), np.zeros((cuts[-1], 2))
+        for i, j, s in zip(cuts[:-1], cuts[1:], states, strict=True):
+            last = float(s[0])
+            for n in range(i, j):
+                kept = x[n] == x[n] and (last != last or abs(x[n] - last) > self.threshold)
+                last = x[n] if kept else last
+                out[n] = last, kept
+        return out
+
+
 def _cuts(first: np.ndarray) -> tuple[np.ndarray, bool]:
     """Where segments begin and end, and whether the first goes on one of the batch before."""
     begins = np.flatnonzero(first)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scans import Affine, Columns, Envelope, chained
+from .scans import Affine, Columns, Envelope, Kept, chained
 from .streams import Stream
 from .tiles import Axis, dealt, line, owned, sliding_extreme
 
@@ -83,6 +83,11 @@ def clock_filtered(df: DataFrame, s: Stream, pts: str, period: float, feedback2:
     return chained(rows, s, Affine([0.0, period], maps, {name: 0}), [pts, "__n1"]).drop("__n1")
 
 
+def decimated(df: DataFrame, s: Stream, value: str, threshold: float) -> DataFrame:
+    """Rows that differ from their stream's last kept row by more than threshold; the first with a value is kept, and rows without one never are."""
+    return chained(df, s, Kept(value, threshold, {"__kept": 1}), [value]).where("__kept = 1").drop("__kept")
+
+
 # --- loudness ---------------------------------------------------------------
 
 #: Fixed values of the standard: what full scale is offset by, and the two gates (absolute; below the mean of what passes it, for programme and range).

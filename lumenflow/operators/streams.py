@@ -7,10 +7,9 @@ stream is spread over its time buckets.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,43 +217,18 @@ def representatives(df: DataFrame, s: Stream, size: int, value: str, id_: str) -
     return c.join(mean, [*s.keys, "chunk"]).groupBy(*s.keys, "chunk").agg(F.min(near).alias("__b")).select(*s.keys, "chunk", F.col("__b.i").alias(id_))
 
 
-def sequential(df: DataFrame, s: Stream, init: Callable, step: Callable, schema: str) -> DataFrame:
-    """Order-dependent recursion: step(state, part) -> (state, made), where part is a stretch of one stream in order and made what it gives, as columns.
-
-    Streams are sorted inside partitions and read batch by batch, so memory
-    doesn't grow with a stream; the recursion itself can't be split, and rows are
-    gone through as columns of numbers.
-    """
-    keys, names = [*s.keys], [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for b in batches:
-            if not len(b):
-                continue
-            own = list(zip(*(b[k].tolist() for k in keys), strict=True))
-            cut = [0, *[i for i in range(1, len(own)) if own[i] != own[i - 1]], len(own)]
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                if own[i] != key:
-                    key, state = own[i], init()
-                state, made = step(state, b.iloc[i:j])
-                yield pd.DataFrame(made, columns=names)
-
-    return df.where(F.col(s.ts).isNotNull()).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, s.ts, *s.ties).mapInPandas(run, schema)
-
-
 def decimated(df: DataFrame, s: Stream, value: str, id_: str, threshold: float) -> DataFrame:
     """Ids of rows that differ from the last kept row by more than threshold; rows without a value are never kept."""
+    from .signals import decimated as kept
+
+    return kept(df.select(*s.keys, s.ts, *s.ties, value), s, value, threshold).select(id_)
+
 
-    def step(last, part):
-        kept = []
-        for i, v in enumerate(part[value].tolist()):
-            if (last is None or abs(v - last) > threshold) and v == v:
-                last = v
-                kept.append(i)
-        return last, {id_: part[id_].to_numpy()[kept]}
+def clock_filtered(df: DataFrame, s: Stream, pts: str, id_: str, period: float, feedback2: float, feedback3: float) -> DataFrame:
+    """Ids and smoothed times of a delay-locked loop over noisy times."""
+    from .signals import clock_filtered as smoothed
 
-    return sequential(df.select(*s.keys, s.ts, *s.ties, value), s, lambda: None, step, f"{id_} long")
+    return smoothed(df.select(*s.keys, s.ts, *s.ties, pts), s, pts, period, feedback2, feedback3).select(id_, "smoothed")
 
 
 #: Types in a history, and how many of them that agree change a stream's type.

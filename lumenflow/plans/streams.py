@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenflow.operators import kernels as K
 from lumenflow.operators import streams as T
-from lumenflow.operators.signals import clock_filtered
+from lumenflow.operators.signals import clock_filtered, decimated
 from lumenflow.operators.timing import exact_quantiles
 from lumenflow.registry import query
 from lumenflow.session import table
@@ -216,7 +216,7 @@ def mpdecimate(spark, sf_dir):
     from lumenflow.session import ship_package
 
     ship_package(spark)
-    return T.decimated(_events(spark, sf_dir), BY_USER, "value", "event_id", 20.0)
+    return decimated(_events(spark, sf_dir), BY_USER, "value", 20.0).select("event_id")
 
 
 @query(

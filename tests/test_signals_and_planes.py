@@ -283,3 +283,34 @@ def test_measures_see_what_they_are_for(spark):
     assert error["smooth"].wsse == 0 and error["smooth"].xpsnr is None and error["blocks"].xpsnr > 10
     keyed = P.colour_keyed(df.where("p = 'sharp'"), ["v", "o", "v"], [50, 100, 50], 60.0)
     assert {r.alpha for r in keyed.collect()} == {0.0, 1.0}
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.5, 2.5, 100.0])
+def test_decimation_as_a_loop(spark, small_batches, threshold):
+    df, streams = stream(spark, seed=int(threshold * 10) + 3)
+    got = sorted(r.i for r in S.decimated(df, ONE, "x", threshold).collect())
+    want = []
+    for rows in streams.values():
+        last = None
+        for i, x in rows:
+            if x is not None and (last is None or abs(x - last) > threshold):
+                last = x
+                want.append(i)
+    assert got == sorted(want)
+
+
+def test_kept_levels_over_pieces_are_those_of_the_whole():
+    rng = np.random.default_rng(5)
+    for t in (0.0, 0.3, 1.0):
+        chain = scans.Kept("x", t, {"kept": 1})
+        x = np.cumsum(rng.normal(size=400)) / 5
+        x[rng.random(400) < 0.1] = np.nan
+        whole = chain.summaries({"x": x}, np.array([0, 400]), None)[0]
+        carry = None
+        for a in range(0, 400, 37):
+            carry = chain.summaries({"x": x[a : a + 37]}, np.array([0, len(x[a : a + 37])]), carry)[0]
+        for start in (float("nan"), *rng.normal(size=50), *x[~np.isnan(x)][:50]):
+            want = chain.run({"x": x}, np.array([0, 400]), [np.array([start, 0.0])])[-1, 0]
+            for summary in (whole, carry):
+                got = chain.apply(summary, np.array([start, 0.0]))[0]
+                assert got == want or (got != got and want != want)
