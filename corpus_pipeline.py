@@ -14,7 +14,8 @@ All but the last return the columns of documents.
    the decoded text, for each document left.
 
 Null texts count as empty, rows without an id are never duplicates of others by
-near-dedup nor contaminated, and an empty table gives no rows.
+near-dedup nor contaminated, and an empty table gives no rows. Very long texts are
+taken whole; columns beside doc_id and text may have any names and pass as they are.
 """
 
 from __future__ import annotations
@@ -27,24 +28,29 @@ from lumenflow.session import ship_package
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject. Each row is judged by its text alone, so repeated rows and ties fare alike; null and empty texts have a score too."""
     ship_package(spark)
     return quality.quality_filter(docs, quality.train_quality(docs, queries.quality_labels(spark, sf_dir)))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text: of equal ones that with the largest doc_id, null ids last; of rows equal in both any one. Null and empty texts are one group."""
     return exact_dedup.exact_dedup_filter(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked documents those with the smallest doc_id; repeated rows of that document all stay, and so do rows without an id or without words."""
     ship_package(spark)
     return minhash.near_duplicate_filter(docs, k=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of benchmark. Repeated rows and rows that repeat an id go or stay together; null and empty texts and rows without an id stay."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each row left, in whatever order: null and empty texts have the end id alone, repeated rows equal results."""
     ship_package(spark)
     return sentencepiece_codec.encode_decode_digest(docs, queries.vocabulary("piece_bpe_32k.model"))
 

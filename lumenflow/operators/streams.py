@@ -164,14 +164,21 @@ def grid(df: DataFrame, s: Stream, step: str) -> DataFrame:
     return at.select(*s.keys, F.timestamp_add("SECOND", (F.col("__k") * seconds).cast("int"), F.col("__a")).alias(s.ts))
 
 
-def resampled(df: DataFrame, s: Stream, step: str, value: str) -> DataFrame:
-    """Each grid time with the stream's last value (held) and the value interpolated to the next row."""
+def resampled(df: DataFrame, s: Stream, step: str, value: str, cut: float | None = None) -> DataFrame:
+    """Each grid time with the stream's last value (held) and the value interpolated to the next row.
+
+    cut: where the next value differs by more than this, as across a change of scene,
+    nothing is blended: the nearer one counts, the next at half way.
+    """
     ahead = s.next(df, __nts=s.ts, __nv=value).select(*s.keys, s.ts, *s.ties, F.struct(F.col(s.ts).alias("t"), F.col(value).alias("v"), F.col("__nts").alias("nt"), F.col("__nv").alias("nv")).alias("__x"))
     g = grid(df, s, step).withColumns({t: F.lit(None).cast(df.schema[t].dataType) for t in s.ties})
     out = asof(g, ahead, s, "__x", "x")
     us = lambda c: F.unix_micros(c.cast("timestamp"))
     share = (us(F.col(s.ts)) - us(F.col("x.t"))) / F.nullif(us(F.col("x.nt")) - us(F.col("x.t")), F.lit(0))
-    return out.select(*s.keys, s.ts, F.col("x.v").alias("held"), F.coalesce(F.col("x.v") + (F.col("x.nv") - F.col("x.v")) * share, F.col("x.v")).alias("interpolated"))
+    blend = F.col("x.v") + (F.col("x.nv") - F.col("x.v")) * share
+    if cut is not None:
+        blend = F.when(F.abs(F.col("x.nv") - F.col("x.v")) > cut, F.when(share >= 0.5, F.col("x.nv")).otherwise(F.col("x.v"))).otherwise(blend)
+    return out.select(*s.keys, s.ts, F.col("x.v").alias("held"), F.coalesce(blend, F.col("x.v")).alias("interpolated"))
 
 
 def scene_scores(df: DataFrame, s: Stream, value: str) -> DataFrame:

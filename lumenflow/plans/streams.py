@@ -331,3 +331,13 @@ def vectorscope(spark, sf_dir):
     """Counts over two dimensions at once."""
     x = F.least(F.greatest(F.floor(F.col("value") / 20), F.lit(0)), F.lit(7))
     return _events(spark, sf_dir).groupBy("event_type", x.cast("long").alias("x"), (F.col("user_id") % 8).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    _GRID.replace("6 HOUR", "90 MINUTE").replace("'hour'", "'minute'")
+    + """, a AS (SELECT g.event_type, g.ts, x.value, x.nv, (epoch_us(g.ts) - epoch_us(x.ts))::DOUBLE / nullif(epoch_us(x.nt) - epoch_us(x.ts), 0) AS share FROM g ASOF LEFT JOIN (SELECT * FROM x WHERE r = 1) x ON g.event_type = x.event_type AND g.ts >= x.ts)
+SELECT event_type, ts, coalesce(CASE WHEN abs(nv - value) > 60 THEN CASE WHEN share >= 0.5 THEN nv ELSE value END ELSE value + (nv - value) * share END, value) AS value FROM a"""
+)
+def framerate_cuts(spark, sf_dir):
+    """Values blended between rows, but not across a jump of more than 60."""
+    return T.resampled(_events(spark, sf_dir), BY_TYPE, "90 minutes", "value", cut=60.0).select("event_type", "ts", F.col("interpolated").alias("value"))
