@@ -27,6 +27,8 @@ TOOL_FORMATS = {
     "dynamic2jxl": (("gif", "webp", "avif"), "jxl"),
     "video2mov": (("mp4", "avi", "mkv", "mov"), "mov"),
 }
+#: Tools that take any image or any media and keep its format.
+KEEPING = {"merge_xmp": (*STILL, *ANIMATED), "deduplicate_media": (*STILL, *ANIMATED, *VIDEO)}
 #: Modes and, for each, the target of a file's extension.
 MODES = {
     "optimized": {".jpg": "jxl", ".jpeg": "jxl", ".png": "jxl", ".gif": "avif", ".mp4": "mov"},
@@ -77,7 +79,8 @@ def tool_formats(df: DataFrame, path: str) -> DataFrame:
     """df with a row for each tool that takes the file's format: tool, out_ext. The matrix is a constant of the plan."""
     ext = F.regexp_replace(C.extension(C.normalised_path(F.col(path))), r"^\.", "")
     rows = F.array(*[F.struct(F.lit(tool).alias("tool"), F.lit("tif" if i == "tiff" else i).alias("in_ext"), F.lit(out).alias("out_ext")) for tool, (ins, out) in TOOL_FORMATS.items() for i in ins])
-    return df.withColumn("__t", F.explode(F.filter(rows, lambda r: r["in_ext"] == ext))).select(*df.columns, F.col("__t.tool").alias("tool"), F.col("__t.out_ext").alias("out_ext"))
+    own = [F.when(F.concat(F.lit("."), ext).isin(*exts), F.struct(F.lit(tool).alias("tool"), ext.alias("in_ext"), ext.alias("out_ext"))) for tool, exts in KEEPING.items()]
+    return df.withColumn("__t", F.explode(F.concat(F.filter(rows, lambda r: r["in_ext"] == ext), F.array_compact(F.array(*own))))).select(*df.columns, F.col("__t.tool").alias("tool"), F.col("__t.out_ext").alias("out_ext"))
 
 
 def maintained(media: DataFrame, sidecars: DataFrame, content: str = "content") -> DataFrame:

@@ -64,7 +64,10 @@ def target_guard(spark, sf_dir):
 _TOOLS = "(VALUES ('all2avif', ['jpg', 'png', 'bmp', 'tif', 'gif', 'webp', 'jxl', 'heic'], 'avif'), ('all2jxl', ['jpg', 'png', 'bmp', 'tif', 'gif', 'webp', 'avif', 'heic'], 'jxl'), ('static2avif', ['jpg', 'png', 'bmp', 'tif'], 'avif'), ('dynamic2avif', ['gif', 'webp', 'jxl'], 'avif'), ('static2jxl', ['jpg', 'png', 'bmp', 'tif'], 'jxl'), ('dynamic2jxl', ['gif', 'webp', 'avif'], 'jxl'), ('video2mov', ['mp4', 'avi', 'mkv', 'mov'], 'mov')) t(tool, ins, out_ext)"
 
 
-@query(rf"WITH {_M}, e AS (SELECT doc_id, regexp_replace(regexp_replace({_X}, '^\.jpeg$', '.jpg'), '^\.tiff$', '.tif') AS ext FROM m) SELECT doc_id, tool, out_ext FROM e JOIN {_TOOLS} ON list_contains(ins, e.ext[2:])")
+_KEEPING = f"(VALUES {', '.join(f'({tool!r}, {list(exts)!r})' for tool, exts in M.KEEPING.items())}) k(tool, exts)"
+
+
+@query(rf"WITH {_M}, e AS (SELECT doc_id, regexp_replace(regexp_replace({_X}, '^\.jpeg$', '.jpg'), '^\.tiff$', '.tif') AS ext FROM m) SELECT doc_id, tool, out_ext FROM e JOIN {_TOOLS} ON list_contains(ins, e.ext[2:]) UNION ALL SELECT doc_id, tool, e.ext[2:] FROM e JOIN {_KEEPING} ON list_contains(exts, e.ext)")
 def tool_matrix(spark, sf_dir):
     return M.tool_formats(media(spark, sf_dir), "path").select("doc_id", "tool", "out_ext")
 
