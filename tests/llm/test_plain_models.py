@@ -109,3 +109,20 @@ def test_the_fast_way_is_taken_for_files_of_its_rules_only():
         else:
             model["vocab"]["☃"] = 60_000
         assert not token_counts._same_rules(other, ranks), change
+
+
+def test_mixtures_are_flagged_and_whole_texts_are_not(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL AND text IS NOT NULL")
+    fold = queries.fold("doc_id", 3)
+    model = lang_id.train_language(docs.where(fold != 1))
+    held = docs.where(fold == 1)
+    assert lang_id.identify_language(held, model).where("ambiguous").count() <= 0.02 * held.count()
+    rng, by = random.Random(1), {}
+    for r in held.collect():
+        by.setdefault(r.lang, []).append(r.text)
+    mixed = []
+    for i in range(200):
+        x, y = (rng.choice(by[k])[:1500] for k in rng.sample(sorted(by), 2))
+        n = min(len(x), len(y))
+        mixed.append((i, x[:n] + " " + y[:n]))
+    assert lang_id.identify_language(spark.createDataFrame(mixed, SCHEMA), model).where("ambiguous").count() >= 70
