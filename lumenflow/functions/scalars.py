@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import struct
 import zlib
 
 import numpy as np
@@ -148,45 +147,68 @@ def crc_moved(c: Column, n_bytes: Column, kind: str, back: bool = False) -> Colu
     return run(c.cast("long"), n_bytes.cast("long"))
 
 
-def _rotl(x: int, r: int) -> int:
-    return (x << r | x >> (64 - r)) & 0xFFFFFFFFFFFFFFFF
+# The multipliers and turns of the public 128-bit Murmur3 for 64-bit machines, and those of its finish.
+_C1, _C2 = np.uint64(0x87C37B91114253D5), np.uint64(0x4CF5AD432745937F)
+_N1, _N2 = np.uint64(0x52DCE729), np.uint64(0x38495AB5)
+_F1, _F2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def _turned(x: np.ndarray, r: int) -> np.ndarray:
+    return x << np.uint64(r) | x >> np.uint64(64 - r)
+
+
+def murmur3_of(data: list[bytes | None], seed: int = 0) -> list[bytes | None]:
+    """The public Murmur3 128-bit hash of many byte strings at once, little-endian; the seed starts both halves. A step for each block of the longest."""
+    sizes = np.array([len(d or b"") for d in data], np.int64)
+    whole = sizes // 16
+    order = np.argsort(-whole, kind="stable")  # so that the strings still open are a prefix
+    # Each string is padded with zeros to whole blocks, one more than it fills; a tail of zeros changes nothing.
+    flat = np.frombuffer(b"".join((data[i] or b"").ljust(int(whole[i] + 1) * 16, b"\0") for i in order), "<u8").astype(np.uint64).reshape(-1, 2)
+    sizes, whole = sizes[order], whole[order]
+    start = np.cumsum(whole + 1) - (whole + 1)
+    h1 = np.full(len(data), seed & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    h2 = h1.copy()
+    five, open_ = np.uint64(5), len(data)
+
+    def mixed(k: np.ndarray, a: np.uint64, turn: int, b: np.uint64) -> np.ndarray:
+        return _turned(k * a, turn) * b
+
+    for k in range(int(whole.max(initial=0))):
+        open_ = int(np.searchsorted(-whole[:open_], -k, "left"))
+        block, x, y = flat[start[:open_] + k], h1[:open_], h2[:open_]
+        x = (_turned(x ^ mixed(block[:, 0], _C1, 31, _C2), 27) + y) * five + _N1
+        h2[:open_] = (_turned(y ^ mixed(block[:, 1], _C2, 33, _C1), 31) + x) * five + _N2
+        h1[:open_] = x
+    tail = flat[start + whole] if len(data) else flat
+    n = sizes.astype(np.uint64)
+    h1, h2 = h1 ^ mixed(tail[:, 0], _C1, 31, _C2) ^ n, h2 ^ mixed(tail[:, 1], _C2, 33, _C1) ^ n
+    h1 = h1 + h2
+    h2 = h2 + h1
+
+    def final(x: np.ndarray) -> np.ndarray:
+        shift = np.uint64(33)
+        x = (x ^ x >> shift) * _F1
+        x = (x ^ x >> shift) * _F2
+        return x ^ x >> shift
 
+    h1, h2 = final(h1), final(h2)
+    h1 = h1 + h2
+    h2 = h2 + h1
+    packed, out = np.stack([h1, h2], 1).astype("<u8").tobytes(), [None] * len(data)
+    for place, i in enumerate(order):
+        out[i] = None if data[i] is None else packed[16 * place : 16 * place + 16]
+    return out
 
-def murmur3_x64_128(data: bytes, seed: int = 0) -> bytes:
-    """The public Murmur3 128-bit hash for 64-bit machines, little-endian; the seed starts both halves."""
-    m64 = 0xFFFFFFFFFFFFFFFF
-    c1, c2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
-    h1 = h2 = seed & m64
-    whole = len(data) // 16 * 16
-    for k1, k2 in struct.iter_unpack("<QQ", data[:whole]):
-        h1 ^= _rotl(k1 * c1 & m64, 31) * c2 & m64
-        h1 = ((_rotl(h1, 27) + h2) * 5 + 0x52DCE729) & m64
-        h2 ^= _rotl(k2 * c2 & m64, 33) * c1 & m64
-        h2 = ((_rotl(h2, 31) + h1) * 5 + 0x38495AB5) & m64
-    if tail := data[whole:]:
-        k1, k2 = struct.unpack("<QQ", tail.ljust(16, b"\0"))
-        h2 ^= _rotl(k2 * c2 & m64, 33) * c1 & m64
-        h1 ^= _rotl(k1 * c1 & m64, 31) * c2 & m64
-    h1 ^= len(data)
-    h2 ^= len(data)
-    h1 = (h1 + h2) & m64
-    h2 = (h2 + h1) & m64
-
-    def final(x: int) -> int:
-        x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & m64
-        x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 & m64
-        return x ^ x >> 33
 
-    h1, h2 = final(h1), final(h2)
-    h1 = (h1 + h2) & m64
-    h2 = (h2 + h1) & m64
-    return struct.pack("<QQ", h1, h2)
+def murmur3_x64_128(data: bytes, seed: int = 0) -> bytes:
+    """murmur3_of one string."""
+    return murmur3_of([data], seed)[0]
 
 
 def murmur3_128(c: Column, seed: int = 0) -> Column:
     @F.pandas_udf("string")
     def run(data: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None else murmur3_x64_128(d, seed).hex() for d in data])
+        return pd.Series([None if d is None else d.hex() for d in murmur3_of(data.tolist(), seed)])
 
     return run(as_bytes(c))
 

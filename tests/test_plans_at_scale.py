@@ -94,3 +94,13 @@ def test_scan_noise_and_digests(spark, data):
     for r in QUERIES["long_digests"](spark, data).limit(50).collect():
         html = pages[r.page_id].encode()
         assert (r.sha384, r.sha512, r.sha512_256) == (hashlib.sha384(html).hexdigest(), hashlib.sha512(html).hexdigest(), hashlib.new("sha512_256", html).hexdigest())
+
+
+def test_many_murmur_hashes_are_those_of_each_alone():
+    from lumenflow.functions import scalars as S
+
+    rng = random.Random(6)
+    data = [None if rng.random() < 0.05 else rng.randbytes(rng.choice([0, 1, 8, 9, 15, 16, 17, 32, 33, 100, 1000])) for _ in range(500)]
+    for seed in (0, 725):
+        assert S.murmur3_of(data, seed) == [None if d is None else S.murmur3_x64_128(d, seed) for d in data]
+    assert S.murmur3_of([]) == []
