@@ -7,6 +7,8 @@ file they come from. Nothing is read by the driver.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,26 @@ def scan_files(spark: SparkSession, root: str, exts: list[str] | None = None, co
     return df.where(F.col("ext").isin(*exts)) if exts else df
 
 
+def scan_tree(spark: SparkSession, root: str) -> DataFrame:
+    """path, size, is_dir and mod_time (whole seconds since 1970) of all files below root and of the directories that hold them.
+
+    Directories come from the files' paths, so one without a file anywhere below it
+    isn't seen, nor is an empty file, which Spark's file source leaves out; a directory's
+    size is 0 and its time that of the latest file below it. Files that go while they are listed are left out, as files that can't be looked at are;
+    their contents are not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
+    files = files.select("path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mod_time"))
+    # Paths may begin with a scheme that root leaves out: a directory counts if root's own path is in front of it.
+    base = re.sub(r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
+    own = F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "")
+    steps = F.split(F.substr(own, F.lit(len(base) + 2)), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.concat(F.substr(F.col("path"), F.lit(1), F.char_length("path") - F.char_length(F.array_join(F.slice(steps, n + 1, F.size(steps)), "/")) - 1)))
+    folders = files.where(F.size(steps) > 1).select(F.explode(above).alias("path"), "mod_time").groupBy("path").agg(F.max("mod_time").alias("mod_time"))
+    both = files.select("path", "size", F.lit(False).alias("is_dir"), "mod_time")
+    return both.unionByName(folders.select("path", F.lit(0).cast("long").alias("size"), F.lit(True).alias("is_dir"), "mod_time"))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """value, file and the number of the line in its file, for files that fit one task each."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("__all"))

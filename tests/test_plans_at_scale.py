@@ -104,3 +104,16 @@ def test_many_murmur_hashes_are_those_of_each_alone():
     for seed in (0, 725):
         assert S.murmur3_of(data, seed) == [None if d is None else S.murmur3_x64_128(d, seed) for d in data]
     assert S.murmur3_of([]) == []
+
+
+def test_a_tree_of_directories(spark, tmp_path):
+    from lumenflow.sources import formats
+
+    for name, size in (("a.jpg", 3), ("one/b.png", 5), ("one/two/c d.gif", 7), ("one/two/e", 2), ("one/two/empty", 0), ("three/f.tar.gz", 11)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * size)
+    got = {(r.path.split(tmp_path.name + "/")[1].replace("%20", " "), r["size"], r.is_dir) for r in formats.scan_tree(spark, str(tmp_path)).collect()}
+    assert got == {("a.jpg", 3, False), ("one/b.png", 5, False), ("one/two/c d.gif", 7, False), ("one/two/e", 2, False), ("three/f.tar.gz", 11, False), ("one", 0, True), ("one/two", 0, True), ("three", 0, True)}
+    newest = max(os.stat(tmp_path / "one" / "two" / n).st_mtime for n in ("c d.gif", "e"))
+    times = {r.path.split("/")[-1]: r.mod_time for r in formats.scan_tree(spark, f"file://{tmp_path}").where("is_dir").collect()}
+    assert times["two"] == int(newest)
