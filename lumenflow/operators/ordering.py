@@ -6,8 +6,8 @@ last value that is not null, runs) is found inside each bucket by windows, and
 from bucket to bucket over a small table with one row for each bucket. All that one
 pass asks for shares its shuffle: rows are dealt once by stream and bucket, the small
 table is taken from the dealt rows, and the two are joined. A stream with a third of
-all rows is spread over its buckets; `fitted_unit` says which unit of time keeps the
-fullest bucket small.
+all rows is spread over its buckets; for large inputs `fitted_unit` chooses the unit of
+time that keeps the fullest bucket small.
 
 Rows without a timestamp have no place in a stream and are left out by everything
 here; so are they in the SQL of the queries.
@@ -21,11 +21,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "__bucket"
-#: Units of time from coarse to fine, and the rows that a bucket should have at most.
-UNITS, BUCKET_ROWS = ("day", "hour", "minute", "second"), 1_000_000
+#: Units of time from coarse to fine, those for bursts inside a second, and the rows that a bucket should have at most.
+UNITS, FINER, BUCKET_ROWS = ("day", "hour", "minute", "second"), ("millisecond", "microsecond"), 1_000_000
+#: The unit that is chosen from the input: a day for less than AUTO_BYTES of files, else what fitted_unit says.
+AUTO, AUTO_BYTES = "auto", 1 << 28
 
 
-def bucketed(df: DataFrame, ts: str, unit: str = "day") -> DataFrame:
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files and tables that df is made from, as far as Spark knows them without reading."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 62)  # what isn't known counts as Long's largest
+
+
+def bucketed(df: DataFrame, ts: str, unit: str = AUTO, keys: list[str] | None = None) -> DataFrame:
+    if unit == AUTO:
+        unit = fitted_unit(df, keys or [], ts) if input_bytes(df) >= AUTO_BYTES else UNITS[0]
     return df.where(F.col(ts).isNotNull()).withColumn(BUCKET, F.date_trunc(unit, F.col(ts)))
 
 
@@ -37,7 +48,13 @@ def fitted_unit(df: DataFrame, keys: list[str], ts: str, most: int = BUCKET_ROWS
         top = fine.agg(F.max("__n").alias("m")).select(F.lit(unit).alias("unit"), "m")
         tops = top if unit == UNITS[-1] else tops.unionByName(top)
     found = {r["unit"]: r["m"] or 0 for r in tops.collect()}
-    return next((u for u in UNITS if found[u] <= most), UNITS[-1])
+    if (fits := next((u for u in UNITS if found[u] <= most), None)) is not None:
+        return fits
+    for unit in FINER:
+        top = df.where(F.col(ts).isNotNull()).groupBy(*keys, F.date_trunc(unit, F.col(ts)).alias("__t")).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0]
+        if top <= most:
+            break
+    return unit
 
 
 def _inside(keys: list[str], order: list[Column | str]):
@@ -54,7 +71,7 @@ def _pass(df: DataFrame, keys: list[str], ts: str, unit: str, local: dict[str, C
     edges are aggregates of a bucket; each of `between` has windows over the table
     of buckets, on the columns that the one before it gives.
     """
-    rows = bucketed(df, ts, unit).repartition(*[F.col(k) for k in keys], F.col(BUCKET))
+    rows = bucketed(df, ts, unit, keys).repartition(*[F.col(k) for k in keys], F.col(BUCKET))
     for n, c in local.items():
         rows = rows.withColumn(n, c)
     table = rows.groupBy(*keys, BUCKET).agg(*[c.alias(n) for n, c in edges.items()])
@@ -71,7 +88,7 @@ def _pass(df: DataFrame, keys: list[str], ts: str, unit: str, local: dict[str, C
 _HOW: dict[str, tuple[Callable, Callable]] = {"sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + b), "min": (F.min, F.least), "max": (F.max, F.greatest)}
 
 
-def annotated(df: DataFrame, keys: list[str], ts: str, ties: list[str], sums: dict[str, tuple[Column, str]] | None = None, before: dict[str, tuple[str, int]] | None = None, behind: dict[str, str] | None = None, unit: str = "day") -> DataFrame:
+def annotated(df: DataFrame, keys: list[str], ts: str, ties: list[str], sums: dict[str, tuple[Column, str]] | None = None, before: dict[str, tuple[str, int]] | None = None, behind: dict[str, str] | None = None, unit: str = AUTO) -> DataFrame:
     """df with columns that depend on a row's place in its stream, all in one pass.
 
     sums: name -> (value, sum | min | max): over the stream's rows up to and with each row.
@@ -111,27 +128,27 @@ def annotated(df: DataFrame, keys: list[str], ts: str, ties: list[str], sums: di
     return out.withColumns(made).drop(*local, *between, *[f"__i_v_{n}" for n in sums])
 
 
-def running(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: Column, name: str, how: str = "sum", unit: str = "day") -> DataFrame:
+def running(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: Column, name: str, how: str = "sum", unit: str = AUTO) -> DataFrame:
     """df with a column: the sum, min or max of value over the stream's rows up to and with each row."""
     return annotated(df, keys, ts, ties, sums={name: (value, how)}, unit=unit)
 
 
-def numbered(df: DataFrame, keys: list[str], ts: str, ties: list[str], name: str = "n", unit: str = "day") -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], ts: str, ties: list[str], name: str = "n", unit: str = AUTO) -> DataFrame:
     """df with each row's place in its stream, from 0."""
     return running(df, keys, ts, ties, F.lit(1).cast("long"), name, "sum", unit).withColumn(name, (F.col(name) - 1).cast("long"))
 
 
-def with_previous(df: DataFrame, keys: list[str], ts: str, ties: list[str], cols: dict[str, str], unit: str = "day") -> DataFrame:
+def with_previous(df: DataFrame, keys: list[str], ts: str, ties: list[str], cols: dict[str, str], unit: str = AUTO) -> DataFrame:
     """df with the values that columns have in the stream's row before: cols maps a column to the new one's name."""
     return annotated(df, keys, ts, ties, before={n: (c, 1) for c, n in cols.items()}, unit=unit)
 
 
-def with_next(df: DataFrame, keys: list[str], ts: str, ties: list[str], cols: dict[str, str], unit: str = "day") -> DataFrame:
+def with_next(df: DataFrame, keys: list[str], ts: str, ties: list[str], cols: dict[str, str], unit: str = AUTO) -> DataFrame:
     """df with the values that columns have in the stream's row behind."""
     return annotated(df, keys, ts, ties, behind={n: c for c, n in cols.items()}, unit=unit)
 
 
-def carried(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: str, name: str, unit: str = "day") -> DataFrame:
+def carried(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: str, name: str, unit: str = AUTO) -> DataFrame:
     """df with the last value that is not null at or before each row of the stream."""
     upto = Window.unboundedPreceding
     local = {"__local": F.last(value, ignorenulls=True).over(_inside(keys, [ts, *ties]).rowsBetween(upto, 0))}
@@ -140,7 +157,7 @@ def carried(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: str
     return _pass(df, keys, ts, unit, local, edges, between).withColumn(name, F.coalesce("__local", "__before")).drop("__local", "__before")
 
 
-def islands(df: DataFrame, keys: list[str], ts: str, ties: list[str], cols: list[str], same: Callable[[Column, Column], Column], name: str = "island", unit: str = "day") -> DataFrame:
+def islands(df: DataFrame, keys: list[str], ts: str, ties: list[str], cols: list[str], same: Callable[[Column, Column], Column], name: str = "island", unit: str = AUTO) -> DataFrame:
     """df with a number for each maximal run of rows, from 1.
 
     same(a, b) says, from the structs of `cols` of the row before and of a row,

@@ -316,7 +316,7 @@ def chained(df: DataFrame, s: Stream, chain: Chain, inputs: list[str]) -> DataFr
     """
     keys = [*s.keys]
     inside = Window.partitionBy(*keys, BUCKET).orderBy(s.ts, *s.ties)
-    rows = bucketed(df, s.ts, s.unit).repartition(*[F.col(k) for k in keys], F.col(BUCKET))
+    rows = bucketed(df, s.ts, s.unit, keys).repartition(*[F.col(k) for k in keys], F.col(BUCKET))
     place = {f.name: f for f in rows.schema.fields}
     part = T.StructType([place[c] for c in (*keys, BUCKET)])
     floats = T.ArrayType(T.DoubleType())

@@ -23,7 +23,7 @@ class Stream:
     keys: tuple[str, ...]
     ts: str = "ts"
     ties: tuple[str, ...] = ("event_id",)
-    unit: str = "day"
+    unit: str = O.AUTO
 
     def _args(self) -> tuple[list[str], str, list[str]]:
         return [*self.keys], self.ts, [*self.ties]

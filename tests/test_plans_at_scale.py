@@ -117,3 +117,29 @@ def test_a_tree_of_directories(spark, tmp_path):
     newest = max(os.stat(tmp_path / "one" / "two" / n).st_mtime for n in ("c d.gif", "e"))
     times = {r.path.split("/")[-1]: r.mod_time for r in formats.scan_tree(spark, f"file://{tmp_path}").where("is_dir").collect()}
     assert times["two"] == int(newest)
+
+
+def test_buckets_follow_the_input(spark, data, monkeypatch):
+    from lumenflow.operators import ordering as O
+
+    e = spark.read.parquet(f"{data}/events.parquet")
+    assert 10_000 < O.input_bytes(e) < 10_000_000
+    assert O.input_bytes(e.join(e.select("event_id"), "event_id")) < 20_000_000  # the files, not what a join might give
+    units = []
+    trunc = F.date_trunc
+    monkeypatch.setattr(O.F, "date_trunc", lambda u, c: units.append(u) or trunc(u, c))
+    want = {r.event_id: r.n for r in O.numbered(e, ["event_type"], "ts", ["event_id"]).collect()}
+    assert units == ["day"]
+    monkeypatch.setattr(O, "AUTO_BYTES", 1000)
+    monkeypatch.setattr(O, "fitted_unit", lambda df, keys, ts, fit=O.fitted_unit: fit(df, keys, ts, 4))
+    assert {r.event_id: r.n for r in O.numbered(e, ["event_type"], "ts", ["event_id"]).collect()} == want
+    assert units[-1] in ("hour", "minute")
+
+
+def test_a_burst_within_a_second_is_cut(spark):
+    from lumenflow.operators import ordering as O
+
+    df = spark.range(1000).select(F.lit("a").alias("k"), "id", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 20).alias("ts"))
+    assert O.fitted_unit(df, ["k"], "ts", 1000) == "day" and O.fitted_unit(df, ["k"], "ts", 60) == "millisecond" and O.fitted_unit(df, ["k"], "ts", 1) == "microsecond"
+    n = {r.id: r.n for r in O.numbered(df, ["k"], "ts", ["id"], unit="millisecond").collect()}
+    assert n == {i: i for i in range(1000)}
