@@ -26,7 +26,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -168,9 +170,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = b.column(1)[i].as_py()
             own = base_spans(text)
             base.append([{"s": s, "k": BASE.index(k), "e": e} for k, s, e in own])
+            starts = sorted((s, e) for _, s, e in own)
+            reach = list(accumulate((e for _, e in starts), max))  # how far the spans up to each one go
             for m in TOKEN.finditer(text):
                 # A token inside a span of a base kind adds nothing.
-                if not any(s <= m.start() and m.end() <= e for _, s, e in own) and (k := encoding_of(m[0])) is not None:
+                before = bisect_right(starts, (m.start(), len(text)))
+                if not (before and reach[before - 1] >= m.end()) and (k := encoding_of(m[0])) is not None:
                     places.append((i, m.start(), m.end()))
                     tokens.append(m[0])
                     encodings.append(k)

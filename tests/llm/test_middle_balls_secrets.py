@@ -307,6 +307,16 @@ def test_secrets_in_a_very_long_text(spark):
     assert (r.n_assign, r.n_access, r.n_hex) == (1, 0, 1) and r.spans.startswith(f"assign:{19 * 60_000}:")
 
 
+def test_a_long_text_full_of_secrets_takes_no_time_squared(spark):
+    import time
+
+    text = "".join(f"token = abcdef{i:06d} and notInside{'abcdefgh'[i % 8] * 20} {i:032x} " for i in range(20_000))
+    began = time.perf_counter()
+    (batch,) = secrets_._scan(iter([__import__("pyarrow").RecordBatch.from_pydict({"doc_id": [1], "t": [text]})]))
+    assert time.perf_counter() - began < 20
+    assert len(batch.column(1)[0].as_py()) == 40_000 and len(batch.column(2)[0].as_py()) == 20_000
+
+
 def test_thresholds_go_by_stratum():
     assert secrets_.thresholds({(0, 0): 1000, (0, 80): 11, (1, 0): 1, (1, 50): 30}) == {0: 80, 1: 50}
     assert secrets_.thresholds({(0, 0): 1000, (0, 60): 3}) == {}
