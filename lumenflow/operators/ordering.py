@@ -36,20 +36,21 @@ def input_bytes(df: DataFrame) -> int:
 
 def bucketed(df: DataFrame, ts: str, unit: str = AUTO, keys: list[str] | None = None) -> DataFrame:
     if unit == AUTO:
-        unit = fitted_unit(df, keys or [], ts) if input_bytes(df) >= AUTO_BYTES else UNITS[0]
+        unit = fitted_unit(df, keys or [], ts, finer=True) if input_bytes(df) >= AUTO_BYTES else UNITS[0]
     return df.where(F.col(ts).isNotNull()).withColumn(BUCKET, F.date_trunc(unit, F.col(ts)))
 
 
-def fitted_unit(df: DataFrame, keys: list[str], ts: str, most: int = BUCKET_ROWS) -> str:
-    """The coarsest unit whose fullest bucket has `most` rows or fewer; the finest if none has. Only one number for each unit comes to the driver."""
+def fitted_unit(df: DataFrame, keys: list[str], ts: str, most: int = BUCKET_ROWS, finer: bool = False) -> str:
+    """The coarsest unit whose fullest bucket has `most` rows or fewer; the finest if none has, which is a second, or a microsecond if finer. Only one number for each unit comes to the driver."""
     fine = df.where(F.col(ts).isNotNull()).groupBy(*keys, F.date_trunc(UNITS[-1], F.col(ts)).alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
     for unit in reversed(UNITS):
         fine = fine.groupBy(*keys, F.date_trunc(unit, F.col("__t")).alias("__t")).agg(F.sum("__n").alias("__n")) if unit != UNITS[-1] else fine
         top = fine.agg(F.max("__n").alias("m")).select(F.lit(unit).alias("unit"), "m")
         tops = top if unit == UNITS[-1] else tops.unionByName(top)
     found = {r["unit"]: r["m"] or 0 for r in tops.collect()}
-    if (fits := next((u for u in UNITS if found[u] <= most), None)) is not None:
-        return fits
+    unit = next((u for u in UNITS if found[u] <= most), UNITS[-1])
+    if not finer or found[unit] <= most:
+        return unit
     for unit in FINER:
         top = df.where(F.col(ts).isNotNull()).groupBy(*keys, F.date_trunc(unit, F.col(ts)).alias("__t")).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0]
         if top <= most:

@@ -131,7 +131,7 @@ def test_buckets_follow_the_input(spark, data, monkeypatch):
     want = {r.event_id: r.n for r in O.numbered(e, ["event_type"], "ts", ["event_id"]).collect()}
     assert units == ["day"]
     monkeypatch.setattr(O, "AUTO_BYTES", 1000)
-    monkeypatch.setattr(O, "fitted_unit", lambda df, keys, ts, fit=O.fitted_unit: fit(df, keys, ts, 4))
+    monkeypatch.setattr(O, "fitted_unit", lambda df, keys, ts, finer, fit=O.fitted_unit: fit(df, keys, ts, 4, finer))
     assert {r.event_id: r.n for r in O.numbered(e, ["event_type"], "ts", ["event_id"]).collect()} == want
     assert units[-1] in ("hour", "minute")
 
@@ -140,6 +140,6 @@ def test_a_burst_within_a_second_is_cut(spark):
     from lumenflow.operators import ordering as O
 
     df = spark.range(1000).select(F.lit("a").alias("k"), "id", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 20).alias("ts"))
-    assert O.fitted_unit(df, ["k"], "ts", 1000) == "day" and O.fitted_unit(df, ["k"], "ts", 60) == "millisecond" and O.fitted_unit(df, ["k"], "ts", 1) == "microsecond"
+    assert O.fitted_unit(df, ["k"], "ts", 1000) == "day" and O.fitted_unit(df, ["k"], "ts", 60) == "second" and O.fitted_unit(df, ["k"], "ts", 60, True) == "millisecond" and O.fitted_unit(df, ["k"], "ts", 1, True) == "microsecond"
     n = {r.id: r.n for r in O.numbered(df, ["k"], "ts", ["id"], unit="millisecond").collect()}
     assert n == {i: i for i in range(1000)}

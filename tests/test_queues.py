@@ -1,7 +1,9 @@
 """Queues over event time against batch plans and plain loops, over several batches and restarts."""
 
 import json
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,7 +23,10 @@ def rocks(spark):
 def put(folder, batch, rows):
     folder.mkdir(exist_ok=True)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    (folder / f"{batch:03d}.json").write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in rows))
+    path = folder / f"{batch:03d}.json"
+    path.write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in rows))
+    at = time.time() - 1000 + batch
+    os.utime(path, (at, at))  # files are taken in order of their times
 
 
 def source(spark, folder):
