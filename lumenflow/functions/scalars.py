@@ -336,8 +336,8 @@ def parse_dict(c: Column, assign: str = "=", between: str = ":") -> Column:
 
     a, b = re.escape(assign), re.escape(between)
     plain = lambda x: F.regexp_replace(x, r"\\(?s:(.))", "$1")
-    parts = F.regexp_extract_all(c, F.lit(rf"(?:^|{b})((?:[^\\{between}]|\\(?s:.)|\\$)*)"), F.lit(1))
-    cut = rf"^((?:[^\\{assign}]|\\(?s:.))*){a}((?s:.*))$"
+    parts = F.regexp_extract_all(c, F.lit(rf"(?:^|{b})((?:[^\\{between}]++|\\(?s:.)|\\$)*+)"), F.lit(1))
+    cut = rf"^((?:[^\\{assign}]++|\\(?s:.))*+){a}((?s:.*))$"
     pairs = F.filter(F.transform(parts, lambda p: F.struct(plain(F.regexp_extract(p, cut, 1)).alias("k"), plain(F.regexp_extract(p, cut, 2)).alias("v"), p.rlike(cut).alias("ok"))), lambda x: x["ok"])
     last = F.filter(F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), i.alias("i"))), lambda x: ~F.exists(F.slice(pairs, x["i"] + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
     return F.when(c.isNotNull(), F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"]))))

@@ -116,7 +116,8 @@ def metadata_sections(files: DataFrame) -> DataFrame:
     file, 0 (with a null name) being what stands before the first; at is the entry's
     place in its section. Comments, blank lines and lines without an assignment are left out.
     """
-    logical = F.regexp_extract_all("value", F.lit(r"(?:[^\\\r\n]|\\(?s:.)|\\$)+"), F.lit(0))
+    # Java repeats a possessive group in a loop, a greedy one by calling itself for each character.
+    logical = F.regexp_extract_all("value", F.lit(r"(?:[^\\\r\n]++|\\(?s:.)|\\$)++"), F.lit(0))
     kept = F.filter(logical, lambda x: ~x.rlike("^[;#]"))
     # Lines of a file are one row already; a running count of heads numbers the sections.
     rows = files.select("file", F.posexplode(kept).alias("line", "x")).withColumn("head", F.col("x").rlike(r"^\[[^\]]*\]\s*$"))

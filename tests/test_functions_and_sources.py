@@ -194,3 +194,12 @@ def test_reports_as_one_array(spark, tmp_path):
     X.write_report(spark.createDataFrame([(1, "a"), (2, None)], "id int, name string"), str(tmp_path / "r"), "json-array")
     text = "".join(p.read_text() for p in (tmp_path / "r").glob("part-*"))
     assert json.loads(text) == [{"id": 1, "name": "a"}, {"id": 2}]
+
+
+def test_sections_and_dictionaries_of_long_values(spark):
+    """Values far longer than a regular expression could go through by recursion."""
+    long_ = "text with = and \\ and : in it; " * 20_000
+    files = spark.createDataFrame([("f", 1, "CHAPTER", [("k=ey", long_ + "\n#")])], "file string, n long, section string, entries array<struct<key: string, value: string>>")
+    assert [tuple(r) for r in X.metadata_sections(X.metadata_files(files)).collect()] == [("f", 1, "CHAPTER", 0, "k=ey", long_ + "\n#")]
+    printed = S.print_dict(F.create_map(F.lit("a"), F.col("t"), F.lit("b:"), F.lit("x")))
+    assert one(spark, S.parse_dict(printed), [long_, "z" * 500_000]) == [{"a": long_, "b:": "x"}, {"a": "z" * 500_000, "b:": "x"}]
