@@ -381,6 +381,15 @@ def wide_shift_right(c: Column, bits: int) -> Column:
     return ((c.cast("decimal(38,0)") - rest) / by).cast("decimal(38,0)")
 
 
+def wide_divide(c: Column, by: int) -> Column:
+    """A decimal of up to 38 digits by a power of ten, towards zero: exact where `div`, which gives a long, passes 64 bits."""
+    digits = len(str(by)) - 1
+    if by != 10**digits or not 0 < digits < 7:
+        raise ValueError("wide_divide takes powers of ten from 10 to a million")
+    whole = c.cast("decimal(38,0)")
+    return ((whole - whole % F.lit(by).cast("decimal(38,0)")) * F.lit(f"{1 / by:.{digits}f}").cast(f"decimal({digits},{digits})")).cast("decimal(38,0)")
+
+
 def flipped_matrix(a: Column, b: Column, c: Column, d: Column, horizontal: bool, vertical: bool) -> Column:
     """A 2 by 2 display matrix with its columns turned over: the first for a horizontal flip, the second for a vertical one."""
     h, v = (-1 if horizontal else 1), (-1 if vertical else 1)

@@ -107,7 +107,7 @@ def rotation_and_errors(spark, sf_dir):
 def wide_integers(spark, sf_dir):
     x = F.col("event_id").cast("decimal(19,0)") * F.lit("12345678901234567").cast("decimal(17,0)")
     rest = (x % F.lit(1000).cast("decimal(4,0)")).cast("long")
-    return table(spark, sf_dir, "events").select("event_id", (x + F.lit("98765432109876543").cast("decimal(17,0)")).cast("string").alias("product"), F.expr("cast((cast(event_id as decimal(19,0)) * cast('12345678901234567' as decimal(17,0))) div 1000 as string)").alias("quotient"), rest.alias("rest"))
+    return table(spark, sf_dir, "events").select("event_id", (x + F.lit("98765432109876543").cast("decimal(17,0)")).cast("string").alias("product"), S.wide_divide(x, 1000).cast("string").alias("quotient"), rest.alias("rest"))
 
 
 @query("SELECT doc_id, lang AS language, source AS publisher, n_chars::VARCHAR AS \"length\" FROM documents")

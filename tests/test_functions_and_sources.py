@@ -203,3 +203,17 @@ def test_sections_and_dictionaries_of_long_values(spark):
     assert [tuple(r) for r in X.metadata_sections(X.metadata_files(files)).collect()] == [("f", 1, "CHAPTER", 0, "k=ey", long_ + "\n#")]
     printed = S.print_dict(F.create_map(F.lit("a"), F.col("t"), F.lit("b:"), F.lit("x")))
     assert one(spark, S.parse_dict(printed), [long_, "z" * 500_000]) == [{"a": long_, "b:": "x"}, {"a": "z" * 500_000, "b:": "x"}]
+
+
+def test_wide_integers_beyond_64_bits(spark, tmp_path):
+    from lumenflow.plans.scalars import wide_integers
+
+    ids = [0, 1, -1, 81, 747_078, 747_079, 800_000, -800_001, 10**12, 2**63 - 1, -(2**63)]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    towards_zero = lambda x: abs(x) // 1000 * (1 if x >= 0 else -1)
+    want = {}
+    for i in ids:
+        x = i * 12345678901234567
+        want[i] = (str(x + 98765432109876543), str(towards_zero(x)), x - towards_zero(x) * 1000)
+    assert {r.event_id: (r["product"], r.quotient, r.rest) for r in wide_integers(spark, str(tmp_path)).collect()} == want
+    assert one(spark, S.wide_divide(F.col("t").cast("decimal(38,0)"), 10**6).cast("string"), ["9" * 38, "-" + "9" * 38, None]) == ["9" * 32, "-" + "9" * 32, None]
