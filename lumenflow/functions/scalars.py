@@ -290,6 +290,14 @@ def replay_gain(c: Column) -> Column:
     the decimals five count and further ones are cut off. Text without a number is
     0; null, and what passes 32 bits, gives null.
     """
+    # Most texts: a plain number below 10,000, whose five decimals are exact in a double.
+    plain = r"^[ \t]*([+-]?(?:[1-9][0-9]{0,3}|0(?![xX]))(?![0-9])(?:\.[0-9]{1,5})?)"
+    read = F.round(F.regexp_extract(c, plain, 1).cast("double") * 100_000).cast("long")
+    return F.when(c.rlike(plain), read).when(c.rlike(r"^\s*[+-]?\.?[0-9]"), _replay_gain_of_any(c)).when(c.isNotNull(), F.lit(0).cast("long"))
+
+
+def _replay_gain_of_any(c: Column) -> Column:
+    """replay_gain of any text, octal, hexadecimal, bare and too large numbers too; it looks at the text many times."""
     part = r"^\s*([+-]?)(0[xX][0-9A-Fa-f]+|0[0-7]*|[1-9][0-9]*)(?:\.([0-9]{1,5}))?"
     g = lambda i: F.regexp_extract(c, part, i)
     whole = F.when(g(2).rlike("^0[xX]"), F.conv(F.substr(g(2), F.lit(3)), 16, 10)).when(g(2).startswith("0"), F.conv(g(2), 8, 10)).otherwise(g(2)).try_cast("long")
