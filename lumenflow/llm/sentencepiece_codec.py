@@ -9,7 +9,9 @@ ids are then read off backwards.
 Two tokens are compatible when encoding their joint text gives just these two;
 that is found once by plain merging and remembered. Text is taken word by word,
 a word being spaces and what follows up to the next space: no piece holds a space
-behind another character, so no merge crosses. Runs of spaces, whose pieces share
+behind another character, so no merge crosses. A character that no longer piece
+holds, as marks of punctuation often are, is a word of its own for the same reason,
+so what stands before it is remembered but once. Runs of spaces, whose pieces share
 one score so that place decides between them, are merged plainly.
 """
 
@@ -26,10 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-WORD = re.compile(r"\n|▁+[^▁\n]*|[^▁\n]+")
 #: Words of up to so many characters that a Python worker remembers with their ids, and pairs of tokens whose fit it
 #: remembers; beyond either it begins anew. Together they stay below about 150 MB.
-REMEMBERED, WORD_CHARS, FITS = 150_000, 48, 400_000
+REMEMBERED, WORD_CHARS, FITS = 200_000, 48, 400_000
 
 
 class PieceCodec:
@@ -66,7 +67,12 @@ class PieceCodec:
         self.id = {p: i for p, (_, i) in self.rank.items()}
         self.known = set("".join(self.rank)) & set(self.rank)
         self.fits: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[str, int, str]] = {}
+        self.words: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
+        self.shown = [str(i) for i in range(len(self.pieces))]
+        joined = set("".join(p for p in self.rank if len(p) > 1))
+        alone = "".join(map(re.escape, sorted(c for c in self.known - joined if c not in (SPACE, "\n"))))
+        self.word = re.compile(f"[\n{alone}]|{SPACE}+[^{SPACE}\n{alone}]*|[^{SPACE}\n{alone}]+")
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
             if self._merge(p) == [i]:  # a piece that its own parts don't merge into never comes out
@@ -144,28 +150,35 @@ class PieceCodec:
         return (SPACE if self.dummy else "") + text.replace(" ", SPACE) if text else ""
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in WORD.findall(self.normalised(text)) for i in self.word_ids(w)]
+        return [i for w in self.word.findall(self.normalised(text)) for i in self.word_ids(w)]
 
     def encode_decode(self, text: str) -> tuple[str, int, str]:
         """Decimal ids joined by spaces, without the end id, their number, and the text that they decode to.
 
         Decoding goes word by word too: no run of bytes of one character crosses words.
         """
-        remembered = self.words
-        out, n, texts = [], 0, []
-        for w in WORD.findall(self.normalised(text)):
+        remembered, odd, shown = self.words, self.odd, self.shown
+        found = self.word.findall(self.normalised(text))
+        out, texts = [], found
+        for k, w in enumerate(found):
             if (known := remembered.get(w)) is None:
                 ids = self.word_ids(w)
-                known = (" ".join(map(str, ids)), len(ids), self.decode(ids, False))
+                known = " ".join([shown[i] for i in ids])
+                decoded = w if self.known.issuperset(w) else self.decode(ids, False)
                 if len(w) <= WORD_CHARS:
                     if len(remembered) >= REMEMBERED:
                         remembered.clear()
+                        odd.clear()
                     remembered[w] = known
-            out.append(known[0])
-            n += known[1]
-            texts.append(known[2])
-        decoded = "".join(texts)
-        return " ".join(out), n, decoded[1:] if self.dummy and decoded.startswith(" ") else decoded
+                    if decoded != w:
+                        odd[w] = decoded
+                texts[k] = decoded
+            elif w in odd:
+                texts[k] = odd[w]
+            out.append(known)
+        joined = " ".join(out)
+        decoded = "".join(texts).replace(SPACE, " ")
+        return joined, joined.count(" ") + 1 if joined else 0, decoded[1:] if self.dummy and decoded.startswith(" ") else decoded
 
     def decode(self, ids: list[int], whole: bool = True) -> str:
         """Text of ids: spaces from their marks, the added first one left out if ids are a whole text's, runs of byte pieces as UTF-8 (bad bytes become U+FFFD each)."""

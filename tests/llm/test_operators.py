@@ -522,3 +522,21 @@ def test_packed_numbers():
     x = np.random.default_rng(1).integers(0, 2**48, 1000).astype(np.uint64)
     assert (suffix_dedup.unpacked(suffix_dedup.packed(x)) == x).all() and len(suffix_dedup.unpacked(None)) == 0
     assert blocks.is_in(np.array([1, 5], np.uint64), np.array([5], np.uint64)).tolist() == [False, True]
+
+
+def test_marks_are_words_of_their_own():
+    """Words are remembered without the marks behind them, and ids and texts stay the library's."""
+    import sentencepiece
+    from public_tokenizers import path
+
+    from lumenflow.llm.sentencepiece_codec import PieceCodec
+
+    model = path("piece_bpe_32k.model")
+    c, library = PieceCodec(model), sentencepiece.SentencePieceProcessor(model_file=str(model))
+    text = " ".join(f"{a}{b}" for a in ("word", "Étage", "x1y22", "\u2581") for b in ("", "0", "1", "\u00bd", ".", ",", "...", "\n\n", "\U0001f600", "\u4e2d\u56fd")) + "  7  \u2581\u25818 "
+    for _ in range(2):
+        joined, n, decoded = c.encode_decode(text)
+        ids = library.encode(text)
+        assert (joined, n, decoded) == (" ".join(map(str, ids)), len(ids), library.decode(ids)) and c.encode(text) == ids
+    marks = [m for m in "0123456789\u00bd" if f"\u2581word{m}" not in c.words]
+    assert marks and "\u2581word" in c.words
