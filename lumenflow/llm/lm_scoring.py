@@ -244,11 +244,13 @@ def _sequences(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         bytes_ = data[part[0] : part[-1]]
         start, end, row = words(bytes_, part - part[0])
         hashes.append(_short(hash_spans(prefix_sums(LOWERED[bytes_]), start, end)))
-        rows.append(row + i)
+        rows.append((row + i).astype(np.int32))
     n = len(offs) - 1
-    h, row = joined([*hashes, np.full(n, END)]), joined([*rows, np.arange(n)], np.int64)
+    h, row = joined([*hashes, np.full(n, END)]), joined([*rows, np.arange(n, dtype=np.int32)], np.int32)
+    del hashes, rows
     o = np.argsort(row, kind="stable")
-    return h[o], row[o]
+    h = h[o]
+    return h, row[o]
 
 
 class _Tokens:
@@ -256,13 +258,14 @@ class _Tokens:
 
     def __init__(self, table: pa.Table, buckets: int):
         self.rows = table.num_rows
-        self.token, self.row = _sequences(table.column("text"))
+        token, self.row = _sequences(table.column("text"))
         self.train = np.asarray(table.column("train").combine_chunks())
-        distinct, place = np.unique(self.token, return_inverse=True)
+        distinct, place = np.unique(token, return_inverse=True)
+        del token
         bucket = (mixed(distinct) % np.uint64(buckets)).astype(np.int64)
         o = np.argsort(bucket, kind="stable")
-        back = np.empty(len(o), np.int64)
-        back[o] = np.arange(len(o))
+        back = np.empty(len(o), np.int32)
+        back[o] = np.arange(len(o), dtype=np.int32)
         self.words, self.word = distinct[o], back[place]
         self.cut = cuts(bucket[o])
 
@@ -279,19 +282,29 @@ class _Tokens:
         n = len(self.words)
         before = np.full(len(self.word), n, np.int64)  # START
         before[1:] = np.where(self.row[1:] == self.row[:-1], self.word[:-1], n)
-        code, place = np.unique(before * (n + 1) + self.word, return_inverse=True)
-        first, second = code // (n + 1), code % (n + 1)
+        before *= n + 1
+        before += self.word
+        code, place = np.unique(before, return_inverse=True)
+        del before
+        place = place.astype(np.int32)
+        first, second = (code // (n + 1)).astype(np.int32), (code % (n + 1)).astype(np.int32)
+        size = len(code)
+        del code
         context = np.append(self.words, START)[first]
         total = np.append(counts, documents)[first]
+        del first
         successor = (mixed(self.words[second]) >> np.uint64(32)).astype(np.uint32)
         spread = 1 + total // share
         salt = (successor.astype(np.int64) // 7) % spread
-        shard = (mixed(context + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+        shard = (mixed(context + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
+        del spread, salt
         o = np.lexsort((successor, context, shard))
-        back = np.empty(len(o), np.int64)
-        back[o] = np.arange(len(o))
-        trained = np.bincount(place[self.train[self.row]], minlength=len(code))
-        return {"pair": back[place], "context": context[o], "total": total[o], "successor": successor[o], "second": second[o], "trained": trained[o], "cut": cuts(shard[o])}
+        trained = np.bincount(place[self.train[self.row]], minlength=size).astype(np.uint32)
+        back = np.empty(len(o), np.int32)
+        back[o] = np.arange(len(o), dtype=np.int32)
+        pair = back[place]
+        del back, place
+        return {"pair": pair, "context": context[o], "total": total[o], "successor": successor[o], "second": second[o], "trained": trained[o], "cut": cuts(shard[o])}
 
 
 # --- what runs in blocks and buckets ---------------------------------------
@@ -362,7 +375,8 @@ def _paired(buckets: int, mass: float, documents: int, share: int):
         t = _Tokens(table, buckets)
         counts = t.counts(told)
         p = t.pairs(counts, buckets, documents, share)
-        low = quantised(_lower(counts, mass))[p["second"]]
+        low = quantised(_lower(counts, mass))[p.pop("second")]
+        del t, counts, p["pair"]
         rows = []
         for k, s in p["cut"].items():
             context = p["context"][s]
