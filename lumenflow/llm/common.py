@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles at a time; a longer text is a step of its own.
 STEP_BYTES = 1 << 19
+#: Bytes of a batch of rows on its way to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 1 << 21
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SEPARATOR_PATTERN = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,6 +69,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """df, with its session set to hand rows to Python in batches of BATCH_BYTES, or of what the session has if that is less.
+
+    Spark's own bound is by rows, and ten thousand texts are tens of MB or, where they
+    are long, a GB, which executor and worker each hold several times.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key)) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in whatever case."""
     taken = {c.lower() for c in df.columns}

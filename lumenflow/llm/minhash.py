@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, raw, shingles, steps, stored, unused, word_hashes
+from .common import batched, mixed, raw, shingles, steps, stored, unused, word_hashes
 from .graph import components, extended
 
 BANDS, ROWS, BATCH = 40, 6, 40
@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, miss: float
 
 def _grouped(docs: DataFrame, k: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
     """near_duplicates with the digest of each row's text."""
-    base = _texts(docs, id_col, text_col)
+    base = _texts(batched(docs), id_col, text_col)
     signed = stored(base.mapInArrow(_signed(k), "doc_id long, digest long, n_shingles long, key binary, sig binary"), "signed")
     named_ = signed.where("key IS NOT NULL AND doc_id IS NOT NULL")
     # Sets of similar size are in the same or in neighbouring classes.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import batched, stored
 
 #: Bytes of a block: short enough for a dictionary to matter in each.
 BLOCK = 2048
@@ -156,7 +156,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = 3000, dic
     if not (made.get(0) and made.get(1)):
         return constant
     model = QualityModel(made[1], made[0], ())
-    fitted = texts.where(turn == 1).select("doc_id", "quality", "text").mapInArrow(_featured(model), "doc_id long, quality int, d double, g double, b double").collect()
+    fitted = batched(texts).where(turn == 1).select("doc_id", "quality", "text").mapInArrow(_featured(model), "doc_id long, quality int, d double, g double, b double").collect()
     fitted.sort(key=lambda r: r["doc_id"])
     y = np.array([r["quality"] for r in fitted], float)
     if min((y == q).sum() for q in (0, 1)) < 4:
@@ -191,7 +191,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
     compressed whole, block by block. An empty table gives no rows; other columns are
     ignored; repeated rows each get their row.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = batched(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(_scores(model), "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -204,4 +204,4 @@ def quality_filter(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
             texts = [x or b"" for x in b.column(b.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()]
             yield b.filter(pa.array(model.score(texts) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched
+
 SPACE = "▁"
 #: Words of up to so many characters that a Python worker remembers with their ids, and pairs of tokens whose fit it
 #: remembers; beyond either it begins anew. Together they stay below about 150 MB.
@@ -261,7 +263,7 @@ def _decoded(model_path: str):
 
 
 def _rows(docs: DataFrame, id_col: str, col: str, kind: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(col).cast(kind).alias("x"))
+    return batched(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(col).cast(kind).alias("x"))
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
