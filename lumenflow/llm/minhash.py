@@ -331,14 +331,14 @@ def _grouped(docs: DataFrame, k: int, percent: int, miss: float, id_col: str, te
     ends = members.select(F.col("rep").alias("x"), F.explode(F.array("lo", "hi")).alias("p")).where("x <> p")
     found = pruned(ends.select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct())
     both = lambda pairs: pairs.select(F.explode(F.array("x", "p")).alias("rep")).distinct()
-    clusters = stored(components(found, "x", "p"), "clusters")
+    clusters = components(found, "x", "p")
     more = _remaining(members, clusters, sigs, percent / 100, miss)
     if more.take(1):
         clusters = extended(clusters, more, "x", "p")
     texts = _picked(base, both(found.select("x", "p").unionByName(more)), reps)
     best = found.groupBy("x").agg(F.max(F.struct("equal", (-F.col("p")).alias("p"))).alias("top")).select("x", (-F.col("top.p")).alias("p"))
     links = verified(best, texts)
-    comps = stored(components(links), "components")
+    comps = components(links)
     rest = stored(across(found.join(best, ["x", "p"], "left_anti"), comps, "x", "p"), "rest")
     if rest.take(1):
         comps = extended(comps, verified(rest, texts))
