@@ -3,16 +3,17 @@
 Documents are dealt into blocks of bounded size by doc_id, strings into buckets
 by content, and only arrays travel between the two:
 
-1. Every 50-byte window has an anchor, the least hash among its 16-byte grams, so
+1. Every 50-byte window has an anchor, the least hash among its 24-byte grams, so
    equal windows have equal anchors. Each block sends its distinct anchors once.
 2. Buckets of anchors tell blocks which of theirs more than one document has, and
    which very many have.
 3. Blocks cut their texts into cells, runs of windows with one shared anchor, and
    tell of each distinct cell once, by hash, with its smallest and largest document.
    Windows of a very common anchor go singly, dealt by their own content, so that
-   no bucket gets more than a bounded part of them. The bucket asks one block for
-   the bytes of each cell.
-4. Each bucket builds the suffix array of its cells by two-stage sorting: only
+   no bucket gets more than a bounded part of them. Windows of an anchor that has
+   one distinct cell, as in copies, and single windows are equal where their hashes
+   are; of anchors with several cells the bucket asks one block for each one's bytes.
+4. Each bucket builds suffix arrays of these cells by two-stage sorting: only
    suffixes smaller than their successors are sorted directly, the rest are
    induced by scanning the array bucket by bucket; neighbours whose common prefix
    reaches 50 bytes form a class, whose smallest document is sent back.
@@ -28,14 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, WIRE, block_count, cuts, grouped, in_blocks, is_in, joined, number, wire
+from .blocks import BLOCK_BYTES, WIRE, block_count, cuts, grouped, in_blocks, joined, number, wire
 from .common import hash_grams, hash_spans, prefix_sums, raw, steps
 
-LENGTH, GRAM = 50, 16
+LENGTH = 50
+#: Shorter grams meet by chance: of 16 bytes, which are a few syllables, ever more as the input grows.
+GRAM = 24
 REACH = LENGTH - GRAM + 1  # grams in a window
 SEPARATOR = 255  # never a byte of UTF-8
 #: Documents beyond which an anchor's windows go singly.
 COMMON = 2000
+#: Bytes of cells that are sorted at a time; the cells of an anchor stay together.
+SORTED_BYTES = 1 << 20
+#: Bytes of text whose windows are found at a time, so that arrays of them stay in a core's cache.
+RUN_BYTES = 1 << 17
 
 
 # --- two-stage suffix sorting ----------------------------------------------
@@ -153,7 +160,7 @@ class Block:
 
     def runs(self) -> Iterator[tuple[np.ndarray, ...]]:
         """For steps of the text: its bytes' prefix sums, their place, and anchor, first and last window, and row of each run of windows with one anchor."""
-        for i, j in steps(self.offs):
+        for i, j in steps(self.offs, RUN_BYTES):
             base = self.offs[i]
             data = self.data[base : self.offs[j]]
             if len(data) < LENGTH:
@@ -178,6 +185,25 @@ class Block:
             yield sums, base, least[k] >> np.uint64(16), k, np.minimum(nxt, end[row]) - 1, i + row
 
 
+class Among:
+    """Sorted numbers, in which others are looked up: most that aren't there are known by a table of their last bits."""
+
+    def __init__(self, sorted_: np.ndarray):
+        self.sorted_ = sorted_
+        self.seen = np.zeros(1 << min(22, (4 * len(sorted_)).bit_length()), bool)
+        self.last = np.uint64(len(self.seen) - 1)
+        self.seen[sorted_ & self.last] = True
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of x are there, and where."""
+        yes = np.flatnonzero(self.seen[x & self.last])
+        if not len(yes):
+            return yes, yes
+        at = np.minimum(np.searchsorted(self.sorted_, x[yes]), len(self.sorted_) - 1)
+        same = self.sorted_[at] == x[yes]
+        return yes[same], at[same]
+
+
 def packed(x: np.ndarray) -> bytes:
     """48-bit numbers in 6 bytes each."""
     return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint16).tobytes()
@@ -188,23 +214,29 @@ def unpacked(b: bytes | None) -> np.ndarray:
     return np.frombuffer(b, np.uint32, n).astype(np.uint64) | np.frombuffer(b, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32) if n else np.zeros(0, np.uint64)
 
 
+def docs_of_anchors(fp: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchors, 48-bit numbers, and how many of the documents, numbered from 0, each has."""
+    if doc.max() < 1 << 16:  # both in one number, which sorts much faster
+        pairs = np.sort(fp << np.uint64(16) | doc)
+        fp = pairs[np.append(True, pairs[1:] != pairs[:-1])] >> np.uint64(16)
+    else:
+        o, begins = grouped(fp, doc)
+        fp = fp[o[begins]]
+    begins = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
+    return fp[begins], np.diff(np.append(begins, len(fp))).astype(np.uint32)
+
+
 def _anchors(buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block = Block(table)
-        anchors, ids = [], []
+        doc = np.unique(block.ids, return_inverse=True)[1].astype(np.uint64)
+        anchors, docs = [], []
         for _, _, value, _, _, row in block.runs():
             anchors.append(value)
-            ids.append(block.ids[row])
-        fp, ids = joined(anchors), joined(ids, np.int64)
-        if not len(fp):
+            docs.append(doc[row])
+        if not anchors:
             return wire([])
-        o, _ = grouped(fp, ids)
-        fp, ids = fp[o], ids[o]
-        once = np.append(True, (fp[1:] != fp[:-1]) | (ids[1:] != ids[:-1]))
-        fp = fp[once]
-        begins = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
-        docs = np.diff(np.append(begins, len(fp))).astype(np.uint32)
-        fp = fp[begins]
+        fp, docs = docs_of_anchors(joined(anchors), joined(docs))
         where = (fp % np.uint64(buckets)).astype(np.int64)
         o = np.argsort(where, kind="stable")
         fp, docs, where = fp[o], docs[o], where[o]
@@ -245,142 +277,160 @@ def _shared(common_from: int):
     return run
 
 
-def _block_cells(block: Block, told: pa.Table) -> tuple[np.ndarray, ...] | None:
-    """Hash, anchor, place, bytes, document and singleness of every cell of shared anchors."""
-    shared = np.sort(joined([unpacked(x) for x in told.column("a").to_pylist()]))
-    common = np.sort(joined([unpacked(x) for x in told.column("b").to_pylist()]))
-    parts = []
-    for sums, base, value, p0, p1, row in block.runs() if len(shared) or len(common) else ():
-        yes = is_in(value, shared)
-        parts.append((hash_spans(sums, p0[yes], p1[yes] + LENGTH), value[yes], base + p0[yes], p1[yes] - p0[yes] + LENGTH, block.ids[row[yes]], np.zeros(yes.sum(), bool)))
-        yes = is_in(value, common)
-        if yes.any():
+def _block_cells(block: Block, told: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """The distinct cells of shared anchors and then the distinct windows of common ones: hash, anchor, smallest and largest document."""
+    shared, common = (Among(np.sort(joined([unpacked(x) for x in told.column(k).to_pylist()]))) for k in "ab")
+    cells, windows = [], []
+    for sums, _, value, p0, p1, row in block.runs() if told.num_rows else ():
+        yes, _ = shared.find(value)
+        cells.append((hash_spans(sums, p0[yes], p1[yes] + LENGTH), value[yes], block.ids[row[yes]]))
+        yes, _ = common.find(value)
+        if len(yes):
             own, p = spread_windows(p0, p1, yes)
-            parts.append((hash_spans(sums, p, p + LENGTH), value[own], base + p, np.full(len(p), LENGTH), block.ids[row[own]], np.ones(len(p), bool)))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else None
+            windows.append((hash_spans(sums, p, p + LENGTH), value[own], block.ids[row[own]]))
+    for parts in (cells, windows):
+        h, fp, ids = (joined([x[k] for x in parts], kind) for k, kind in enumerate((np.uint64, np.uint64, np.int64)))
+        o = np.argsort(h)
+        h, ids = h[o], ids[o]
+        begins = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+        yield h[begins], fp[o[begins]], *((f.reduceat(ids, begins) if len(ids) else ids) for f in (np.minimum, np.maximum))
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n numbers from each start on."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def spread_windows(p0: np.ndarray, p1: np.ndarray, yes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The windows of the chosen runs one by one: their run and place."""
     n = (p1 - p0 + 1)[yes]
-    own = np.repeat(np.flatnonzero(yes), n)
-    return own, p0[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(yes, n), spread(p0[yes], n)
 
 
 def _cells(buckets: int):
-    """Tells the buckets of the block's distinct cells: kind and hashes (a), smallest and largest documents (b), anchors of single windows (c)."""
+    """Tells the buckets of the block's distinct cells: how many are no single windows, and hashes of these and of single windows (a), smallest and largest documents (b), anchors (c)."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
-        block = Block(table)
-        if (cells := _block_cells(block, told)) is None:
+        cells, windows = _block_cells(Block(table), told)
+        h, fp, low, high = (np.concatenate(x) for x in zip(cells, windows, strict=True))
+        if not len(h):
             return wire([])
-        h, fp, _, _, ids, single = cells
-        o, begins = grouped(single, h)
-        low, high = np.minimum.reduceat(ids[o], begins), np.maximum.reduceat(ids[o], begins)
-        h, fp, single = h[o[begins]], fp[o[begins]], single[o[begins]]
-        where = (np.where(single, h, fp) % np.uint64(buckets)).astype(np.int64) * 2 + single
-        o = np.argsort(where, kind="stable")
+        single = np.arange(len(h)) >= len(cells[0])
+        where = (np.where(single, h, fp) % np.uint64(buckets)).astype(np.int64)
+        o = np.argsort(where, kind="stable")  # single windows stay behind the others
         rows = []
         for k, at in cuts(where[o]).items():
             s = o[at]
-            rows.append((k // 2, number(key), np.append(np.uint64(k % 2), h[s]).tobytes(), np.concatenate([low[s], high[s]]).tobytes(), fp[s].tobytes() if k % 2 else None, None))
+            rows.append((k, number(key), np.append(np.uint64((~single[s]).sum()), h[s]).tobytes(), np.concatenate([low[s], high[s]]).tobytes(), packed(fp[s]), None))
         return wire(rows)
 
     return run
 
 
 class _Cells:
-    """What all blocks have told a bucket: for each block its kind, hashes, largest documents and anchors, and the distinct cells."""
+    """What all blocks have told a bucket, and the distinct cells in order of anchors and hashes."""
 
     def __init__(self, table: pa.Table):
-        self.sent = []
-        for block, a, b, c in zip(*(table.column(x).to_pylist() for x in ("block", "a", "b", "c")), strict=True):
-            h, docs = np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64).reshape(2, -1)
-            self.sent.append((block, bool(h[0]), h[1:], docs[0], docs[1], np.frombuffer(c, np.uint64) if c is not None else None))
-        every = joined([x[2] for x in self.sent])
-        low = joined([x[3] for x in self.sent], np.int64)
-        fp = joined([np.zeros(len(x[2]), np.uint64) if x[5] is None else x[5] for x in self.sent])
-        block = np.repeat(np.array([x[0] for x in self.sent], np.int64), [len(x[2]) for x in self.sent])
-        o = np.lexsort((low, every))
-        first = np.append(True, every[o[1:]] != every[o[:-1]]) if len(o) else np.zeros(0, bool)
+        hashes, docs, anchors, single, self.blocks = [], [], [], [], table.column("block").to_pylist()
+        for a, b, c in zip(*(table.column(x).to_pylist() for x in "abc"), strict=True):
+            h = np.frombuffer(a, np.uint64)
+            hashes.append(h[1:])
+            docs.append(np.frombuffer(b, np.int64).reshape(2, -1))
+            anchors.append(unpacked(c))
+            single.append(np.arange(len(h) - 1) >= int(h[0]))
+        n = [len(x) for x in hashes]
+        self.ends = np.cumsum(n)  # of the blocks' parts of what was told
+        self.told, self.high, self.told_fp, self.told_single = joined(hashes), joined([x[1] for x in docs], np.int64), joined(anchors), joined(single, bool)
+        low, block = joined([x[0] for x in docs], np.int64), np.repeat(np.array(self.blocks, np.int64), n)
+        o = np.lexsort((low, self.told, self.told_fp))
+        h, fp = self.told[o], self.told_fp[o]
+        first = np.append(True, (h[1:] != h[:-1]) | (fp[1:] != fp[:-1]))[: len(o)]
+        self.which = np.empty(len(o), np.int64)  # of the distinct cells, for each that was told of
+        self.which[o] = np.cumsum(first) - 1
         o = o[first]
-        self.hashes, self.low, self.fp, self.holder = every[o], low[o], fp[o], block[o]
+        self.hashes, self.low, self.fp, self.holder = h[first], low[o], fp[first], block[o]
+        begins = np.flatnonzero(np.append(True, self.fp[1:] != self.fp[:-1])[: len(o)])
+        n_cells = np.diff(np.append(begins, len(o)))
+        #: Whether windows may equal those of other cells.
+        self.open = np.repeat(n_cells > 1, n_cells) & ~self.told_single[o]
 
     def held(self, block: int) -> np.ndarray:
-        """The cells whose bytes a block is asked for, in the order in which it gives them."""
-        return np.flatnonzero(self.holder == block)
+        """The open cells whose bytes a block is asked for, in the order in which it gives them."""
+        return np.flatnonzero(self.open & (self.holder == block))
 
 
 def _wanted(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Asks the block of each cell's smallest document for its bytes: hashes (c), and the anchors of single windows among them (d)."""
+    """Asks the block of each open cell's smallest document for its bytes: hashes (c)."""
     cells = _Cells(table)
-    rows = []
-    for k in np.unique(cells.holder):
-        held = cells.held(k)
-        fp = np.unique(cells.fp[held])
-        rows.append((number(key), int(k), None, None, cells.hashes[held].tobytes(), fp[fp > 0].tobytes()))
-    return wire(rows)
+    return wire([(number(key), int(k), None, None, cells.hashes[cells.held(k)].tobytes(), None) for k in np.unique(cells.holder[cells.open])])
 
 
 def _given(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
     """The asked cells: lengths (b) and bytes (c), in the order asked for."""
-    block = Block(table)
     asked = [(k, np.frombuffer(c, np.uint64)) for k, c in zip(told.column("key").to_pylist(), told.column("c").to_pylist(), strict=True)]
     if not asked:
         return wire([])
-    wanted = np.sort(joined([x for _, x in asked]))
-    common = np.unique(joined([np.frombuffer(x, np.uint64) for x in told.column("d").to_pylist()]))
+    block = Block(table)
+    wanted = Among(np.sort(joined([x for _, x in asked])))
     parts = []
-    for sums, base, value, p0, p1, _ in block.runs():
+    for sums, base, _, p0, p1, _ in block.runs():
         h = hash_spans(sums, p0, p1 + LENGTH)
-        yes = is_in(h, wanted)
+        yes, _ = wanted.find(h)
         parts.append((h[yes], base + p0[yes], p1[yes] - p0[yes] + LENGTH))
-        yes = is_in(value, common)
-        if yes.any():
-            _, p = spread_windows(p0, p1, yes)
-            h = hash_spans(sums, p, p + LENGTH)
-            yes = is_in(h, wanted)
-            parts.append((h[yes], base + p[yes], np.full(yes.sum(), LENGTH)))
     h, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    o = np.argsort(h, kind="stable")
+    o = np.argsort(h)
     sorted_ = h[o]
     rows = []
     for k, hashes in asked:
         i = o[np.searchsorted(sorted_, hashes)]
-        text = b"".join([block.data[x:y].tobytes() for x, y in zip(at[i].tolist(), (at[i] + n[i]).tolist(), strict=True)])
-        rows.append((k, number(key), None, n[i].astype(np.uint32).tobytes(), text, None))
+        rows.append((k, number(key), None, n[i].astype(np.uint32).tobytes(), block.data[spread(at[i], n[i])].tobytes(), None))
     return wire(rows)
 
 
+def runs_of_cells(cells: _Cells, given: pa.Table) -> tuple[np.ndarray, ...]:
+    """For the open cells in turn, the number of runs of windows with one smallest document, and the least of these; for the runs in turn, windows and document."""
+    lens = joined([np.frombuffer(x, np.uint32) for x in given.column("b").to_pylist()]).astype(np.int64)
+    text = np.frombuffer(b"".join(given.column("c").to_pylist()), np.uint8)
+    place = joined([cells.held(k) for k in given.column("block").to_pylist()], np.int64)  # of the given cells among the distinct ones
+    o = np.argsort(place)
+    at, lens, place = (np.cumsum(lens) - lens)[o], lens[o], place[o]
+    begins = np.flatnonzero(np.append(True, cells.fp[place[1:]] != cells.fp[place[:-1]])[: len(place)])
+    part = (np.cumsum(lens) - lens)[begins] // SORTED_BYTES
+    edges = np.append(begins[np.append(True, part[1:] != part[:-1])[: len(part)]], len(place))
+    out = []
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        n = lens[i:j]
+        found = classes_of_windows(text[spread(at[i:j], n)], n, cells.low[place[i:j]])
+        first = np.cumsum(n - LENGTH + 1) - (n - LENGTH + 1)
+        new = np.append(True, found[1:] != found[:-1])
+        new[first] = True
+        run_at = np.flatnonzero(new)
+        runs = np.diff(np.append(np.searchsorted(run_at, first), len(run_at)))
+        out.append((runs, np.minimum.reduceat(found, first), np.diff(np.append(run_at, len(found))), found[run_at]))
+    return tuple(joined([x[k] for x in out], np.int64) for k in range(4))
+
+
 def _sorted(key: tuple[pa.Scalar, ...], table: pa.Table, given: pa.Table) -> pa.Table:
-    """For each block and cell where something may go: hash (a), runs of windows (b) with their smallest document (c); single windows have their anchors too (d)."""
+    """For each block and cell where something may go: how many go whole, and hashes of these and of others (a), runs of windows of the others (b), smallest documents of the cells that go whole and of the runs (c), the anchors of single windows (d)."""
     cells = _Cells(table)
-    if not len(cells.hashes):
-        return wire([])
-    blocks, lens, text = given.column("block").to_pylist(), given.column("b").to_pylist(), given.column("c").to_pylist()
-    lens = np.concatenate([np.frombuffer(x, np.uint32) for x in lens]).astype(np.int64)
-    text = np.frombuffer(b"".join(text), np.uint8)
-    place = np.concatenate([cells.held(k) for k in blocks])  # of the given cells among the distinct ones
-    found = classes_of_windows(text, lens, cells.low[place])
-    n_windows = lens - LENGTH + 1
-    first = np.cumsum(n_windows) - n_windows
-    new = np.append(True, found[1:] != found[:-1])
-    new[first] = True
-    run_at = np.flatnonzero(new)
-    run_len, run_doc = np.diff(np.append(run_at, len(found))), found[run_at]
-    runs = np.diff(np.append(np.searchsorted(run_at, first), len(run_at)))
+    runs, least_open, run_len, run_doc = runs_of_cells(cells, given)
     run_first = np.cumsum(runs) - runs
-    least = np.minimum.reduceat(found, first)
-    given_as = np.empty(len(cells.hashes), np.int64)
-    given_as[place] = np.arange(len(place))
+    as_open = np.cumsum(cells.open) - 1
+    least = cells.low.copy()
+    least[cells.open] = least_open
+    goes = cells.high > least[cells.which]  # otherwise none of the block's documents has anything to remove there
     rows = []
-    for block, single, h, _, high, fp in cells.sent:
-        which = given_as[np.searchsorted(cells.hashes, h)]
-        yes = np.flatnonzero(high > least[which])  # otherwise none of the block's documents has anything to remove there
-        if len(yes):
-            k = which[yes]
-            r = np.repeat(run_first[k] - (np.cumsum(runs[k]) - runs[k]), runs[k]) + np.arange(runs[k].sum())
-            rows.append((number(key), block, np.append(np.uint64(single), h[yes]).tobytes(), np.concatenate([runs[k], run_len[r]]).astype(np.int32).tobytes(), run_doc[r].tobytes(), fp[yes].tobytes() if single else None))
+    for block, i, j in zip(cells.blocks, np.append(0, cells.ends[:-1]), cells.ends, strict=True):
+        at = i + np.flatnonzero(goes[i:j])
+        if len(at):
+            opened = cells.open[cells.which[at]]
+            whole, at = at[~opened], at[opened]
+            k = as_open[cells.which[at]]
+            r = spread(run_first[k], runs[k])
+            rows.append((
+                number(key), block, np.concatenate([np.array([len(whole)], np.uint64), cells.told[whole], cells.told[at]]).tobytes(), np.concatenate([runs[k], run_len[r]]).astype(np.int32).tobytes(),
+                np.concatenate([cells.low[cells.which[whole]], run_doc[r]]).tobytes(), packed(np.unique(cells.told_fp[whole[cells.told_single[whole]]])),
+            ))
     return wire(rows)
 
 
@@ -388,64 +438,71 @@ class _Told:
     """What the buckets have sent to a block."""
 
     def __init__(self, told: pa.Table):
-        hashes, self.common = {False: [], True: []}, []
-        runs, lens, docs = {False: [], True: []}, {False: [], True: []}, {False: [], True: []}
-        for a, b, c, d in zip(*(told.column(x).to_pylist() for x in "abcd"), strict=True):
-            h, nums = np.frombuffer(a, np.uint64), np.frombuffer(b, np.int32)
-            single, n = bool(h[0]), len(h) - 1
-            hashes[single].append(h[1:])
-            runs[single].append(nums[:n])
-            lens[single].append(nums[n:])
-            docs[single].append(np.frombuffer(c, np.int64))
-            if single:
-                self.common.append(np.frombuffer(d, np.uint64))
-        self.common = np.unique(joined(self.common))
-        self.cells, self.windows = ((joined(hashes[s]), joined(runs[s], np.int32), joined(lens[s], np.int32), joined(docs[s], np.int64)) for s in (False, True))
-
-    @staticmethod
-    def look(h: np.ndarray, table: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        """Which of h are told of; for all runs of these, the index in h, offset of the first window, number of windows, and document."""
-        hashes, runs, lens, docs = table
-        none = np.zeros(0, np.int64)
-        if not len(hashes):
-            return none, none, none, none
-        o = np.argsort(hashes)
-        at = np.minimum(np.searchsorted(hashes[o], h), len(o) - 1)
-        yes = np.flatnonzero(hashes[o][at] == h)
-        k = o[at[yes]]
-        first = np.cumsum(runs) - runs
-        start = np.cumsum(lens) - lens
-        n = runs[k]
-        own = np.repeat(np.arange(len(k)), n)
-        r = first[k][own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        return yes[own], start[r] - start[first[k][own]], lens[r].astype(np.int64), docs[r]
+        whole, whole_docs, opened, runs, lens, docs = [], [], [], [], [], []
+        for a, b, c in zip(*(told.column(x).to_pylist() for x in "abc"), strict=True):
+            h, nums, doc = np.frombuffer(a, np.uint64), np.frombuffer(b, np.int32), np.frombuffer(c, np.int64)
+            w, n = int(h[0]), len(h) - 1 - int(h[0])
+            whole.append(h[1 : 1 + w])
+            whole_docs.append(doc[:w])
+            opened.append(h[1 + w :])
+            runs.append(nums[:n])
+            lens.append(nums[n:])
+            docs.append(doc[w:])
+        self.common = Among(np.unique(joined([unpacked(x) for x in told.column("d").to_pylist()])))
+        h = joined(whole)
+        o = np.argsort(h)
+        self.whole, self.whole_docs = Among(h[o]), joined(whole_docs, np.int64)[o]
+        h, runs, self.lens, self.docs = joined(opened), joined(runs, np.int32).astype(np.int64), joined(lens, np.int32).astype(np.int64), joined(docs, np.int64)
+        self.start = np.cumsum(self.lens) - self.lens
+        o = np.argsort(h)
+        self.opened, self.first, self.runs = Among(h[o]), (np.cumsum(runs) - runs)[o], runs[o]
+
+    def in_whole(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of h go whole, and the document."""
+        yes, at = self.whole.find(h)
+        return yes, self.whole_docs[at]
+
+    def in_runs(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For all runs of those of h that have some, the index in h, offset of the first window, number of windows, and document."""
+        yes, at = self.opened.find(h)
+        first, n = self.first[at], self.runs[at]
+        r = spread(first, n)
+        return np.repeat(yes, n), self.start[r] - np.repeat(self.start[first], n), self.lens[r], self.docs[r]
 
 
 def _removed(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
     block, known = Block(table), _Told(told)
     step = np.zeros(len(block.data) + 1, np.int32)
-    if len(known.cells[0]) or len(known.windows[0]):
+    if told.num_rows:
         for sums, base, value, p0, p1, row in block.runs():
-            i, off, n, doc = known.look(hash_spans(sums, p0, p1 + LENGTH), known.cells)
+            h = hash_spans(sums, p0, p1 + LENGTH)
+            i, doc = known.in_whole(h)
+            i = i[doc < block.ids[row[i]]]
+            np.add.at(step, base + p0[i], 1)
+            np.add.at(step, base + p1[i] + LENGTH, -1)
+            i, off, n, doc = known.in_runs(h)
             yes = doc < block.ids[row[i]]
             start = base + p0[i[yes]] + off[yes]
             np.add.at(step, start, 1)
             np.add.at(step, start + n[yes] - 1 + LENGTH, -1)
-            common = is_in(value, known.common)
-            if common.any():
+            common, _ = known.common.find(value)
+            if len(common):
                 own, p = spread_windows(p0, p1, common)
-                i, _, _, doc = known.look(hash_spans(sums, p, p + LENGTH), known.windows)
-                yes = doc < block.ids[row[own[i]]]
-                np.add.at(step, base + p[i[yes]], 1)
-                np.add.at(step, base + p[i[yes]] + LENGTH, -1)
-    gone = np.cumsum(step[:-1]) > 0
-    n_removed, n_spans, kept = [], [], []
-    for a, b in zip(block.offs[:-1], block.offs[1:], strict=True):
-        g = gone[a:b]
-        n_removed.append(int(g.sum()))
-        n_spans.append(int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()))
-        kept.append(block.data[a:b][~g].tobytes())
-    return pa.table([table.column("doc_id").cast(pa.int64()), pa.array(np.diff(block.offs), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                i, doc = known.in_whole(hash_spans(sums, p, p + LENGTH))
+                i = i[doc < block.ids[row[own[i]]]]
+                np.add.at(step, base + p[i], 1)
+                np.add.at(step, base + p[i] + LENGTH, -1)
+    gone = np.cumsum(step[:-1], out=step[:-1]) > 0
+    begins = gone.copy()  # of removed runs
+    begins[1:] &= ~gone[:-1]
+    first = block.offs[:-1][np.diff(block.offs) > 0]
+    begins[first] = gone[first]
+    step[0] = 0
+    np.cumsum(gone, out=step[1:])
+    n_bytes, n_removed, n_spans = np.diff(block.offs), np.diff(step[block.offs]), np.diff(np.searchsorted(np.flatnonzero(begins), block.offs))
+    ends = np.append(0, np.cumsum(n_bytes - n_removed)).astype(np.int32)
+    kept = pa.Array.from_buffers(pa.binary(), len(n_bytes), [None, pa.py_buffer(ends), pa.py_buffer(block.data[~gone])])
+    return pa.table([table.column("doc_id").cast(pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), kept], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, common: int = COMMON) -> DataFrame:
@@ -460,9 +517,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     blocks = block_count(rows, block_bytes)
     rows = in_blocks(rows, blocks)
-    buckets = 4 * blocks  # what a bucket sorts takes more memory than what a block reads
+    buckets = 2 * blocks  # where much is shared and differs, a bucket gets more than a block reads
     own = rows.groupBy("block")
-    anchors = own.applyInArrow(_anchors(buckets), WIRE)
+    anchors = own.applyInArrow(_anchors(blocks), WIRE)
     shared = anchors.groupBy("key").applyInArrow(_shared(common), WIRE)
     cells = own.cogroup(shared.groupBy("block")).applyInArrow(_cells(buckets), WIRE)
     wanted = cells.groupBy("key").applyInArrow(_wanted, WIRE)
